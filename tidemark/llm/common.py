@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,6 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def widened(schema: StructType, ddl: str) -> StructType:
+    """The schema with the fields of a DDL string after it; a field of the same name is replaced."""
+    more = StructType.fromDDL(ddl)
+    return StructType([f for f in schema.fields if f.name not in more.names] + more.fields)
+
+
 def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import whole_text, widened
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
@@ -208,7 +208,7 @@ def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int
 
 def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds `ids` (array<int>), the ids of each whole text, to the columns `keep`. A null text counts as empty; an empty text has no ids."""
-    schema = df.select(*keep).schema.add("ids", "array<int>")
+    schema = widened(df.select(*keep).schema, "ids array<int>")
     names = list(keep)
 
     def run(batches):
@@ -226,8 +226,8 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
 
 def decode(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """Adds `decoded`, the text of the ids in each row. Null ids count as none; bytes that are not UTF-8 become U+FFFD each."""
-    schema = df.schema.add("decoded", "string") if "decoded" not in df.columns else df.schema
-    names = df.columns
+    schema = widened(df.schema, "decoded string")
+    names = [k for k in df.columns if k != "decoded"]
 
     def run(batches):
         model_ = pieces(model)
