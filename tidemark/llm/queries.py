@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces
+from . import mpegts, pieces
 from .common import table
 
 #: The vocabulary file of op9; see the tokenizers' own README.
@@ -19,12 +19,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECES_MODEL))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_mpegts": op6_mpegts,
         "op9_sentencepiece": op9_sentencepiece,
     }
 
