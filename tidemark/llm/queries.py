@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mpegts, pieces
+from . import mixing, mpegts, pieces, sharding, urlfilter, warc
 from .common import table
 
 #: The vocabulary file of op9; see the tokenizers' own README.
 PIECES_MODEL = "piece_bpe_32k.model"
+SHARDS = 8
+#: The mix of op4: 70 % of all tokens, crawl : reference : community as 5 : 3 : 2, at most two epochs.
+MIX = mixing.Mix(domains={"crawl": 5, "reference": 3, "community": 2}, langs={"en": 4, "de": 2, "fr": 2, "es": 2}, sources={"src0": 2}, share_thousandths=700, max_epochs=2)
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,20 +23,46 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = urlfilter.evaluate(urlfilter.captures(pages), urlfilter.sample_list(pages))
+    return found.withColumns({k: F.col(k).cast("string") for k in ("fetched_at", "listed_on")})
+
+
+def op4_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), MIX)
+
+
 def op6_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECES_MODEL))
 
 
+def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_audit(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_temporal_url_filter": op2_temporal_url_filter,
+        "op4_hierarchical_mix": op4_hierarchical_mix,
         "op6_mpegts": op6_mpegts,
+        "op8_feistel_shards": op8_feistel_shards,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_merkle_audit": op10_merkle_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_temporal_url_filter": urlfilter.SQL,
+        "op4_hierarchical_mix": mixing.sql(MIX),
+        "op10_merkle_audit": warc.AUDIT_SQL,
+    }
