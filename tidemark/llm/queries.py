@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, mpegts, pieces, sharding, urlfilter, warc
+from . import mixing, mpegts, pieces, sharding, simhash, urlfilter, warc
 from .common import table
 
 #: The vocabulary file of op9; see the tokenizers' own README.
@@ -23,6 +23,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
 def op2_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = urlfilter.evaluate(urlfilter.captures(pages), urlfilter.sample_list(pages))
@@ -51,6 +56,7 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
         "op2_temporal_url_filter": op2_temporal_url_filter,
         "op4_hierarchical_mix": op4_hierarchical_mix,
         "op6_mpegts": op6_mpegts,
