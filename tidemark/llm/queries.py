@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, mpegts, pieces, sharding, simhash, urlfilter, warc
+from . import mixing, mpegts, pieces, sharding, simhash, topk, urlfilter, warc
 from .common import table
 
 #: The vocabulary file of op9; see the tokenizers' own README.
@@ -42,6 +42,10 @@ def op6_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_temporal_url_filter": op2_temporal_url_filter,
         "op4_hierarchical_mix": op4_hierarchical_mix,
         "op6_mpegts": op6_mpegts,
+        "op7_threshold_topk": op7_threshold_topk,
         "op8_feistel_shards": op8_feistel_shards,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_merkle_audit": op10_merkle_audit,
@@ -70,5 +75,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_temporal_url_filter": urlfilter.SQL,
         "op4_hierarchical_mix": mixing.sql(MIX),
+        "op7_threshold_topk": topk.SQL,
         "op10_merkle_audit": warc.AUDIT_SQL,
     }
