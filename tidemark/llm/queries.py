@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, mpegts, pieces, sharding, simhash, topk, urlfilter, warc
+from . import mixing, mpegts, pieces, sharding, simhash, topk, toxicity, urlfilter, warc
 from .common import table
 
 #: The vocabulary file of op9; see the tokenizers' own README.
@@ -38,6 +38,10 @@ def op4_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), MIX)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.digests(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_temporal_url_filter": op2_temporal_url_filter,
         "op4_hierarchical_mix": op4_hierarchical_mix,
+        "op5_toxicity": op5_toxicity,
         "op6_mpegts": op6_mpegts,
         "op7_threshold_topk": op7_threshold_topk,
         "op8_feistel_shards": op8_feistel_shards,
