@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, mpegts, pieces, sharding, simhash, topk, toxicity, urlfilter, warc
+from . import lmscore, mixing, mpegts, pieces, sharding, simhash, topk, toxicity, urlfilter, warc
 from .common import table
 
 #: The vocabulary file of op9; see the tokenizers' own README.
@@ -34,6 +34,10 @@ def op2_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({k: F.col(k).cast("string") for k in ("fetched_at", "listed_on")})
 
 
+def op3_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scores(table(spark, sf_dir, "documents"))
+
+
 def op4_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), MIX)
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_temporal_url_filter": op2_temporal_url_filter,
+        "op3_backoff_automaton": op3_backoff_automaton,
         "op4_hierarchical_mix": op4_hierarchical_mix,
         "op5_toxicity": op5_toxicity,
         "op6_mpegts": op6_mpegts,

@@ -70,7 +70,7 @@ def threshold_search(values: np.ndarray, order: np.ndarray, ids: np.ndarray, que
 
 
 def _shard_search(k: int):
-    def search(key, rows: pa.Table, queries: pa.Table) -> pa.Table:
+    def search(key, rows, queries):
         out: list[list] = [[], [], [], [], []]
         if rows.num_rows and queries.num_rows:
             dim = key[0].as_py()
