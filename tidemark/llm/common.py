@@ -52,6 +52,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(column, most: int = 4 << 20):
+    """(start, count) of runs of rows of an Arrow string or binary column with about so many bytes, or of one row."""
+    import pyarrow.compute as pc
+
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if i > start and size + n > most:
+            yield start, i - start
+            start, size = i, 0
+        size += n
+    if start < len(column):
+        yield start, len(column) - start
+
+
 def widened(schema: StructType, ddl: str) -> StructType:
     """The schema with the fields of a DDL string after it; a field of the same name is replaced."""
     more = StructType.fromDDL(ddl)

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, widened
+from .common import slices, whole_text, widened
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 #: A worker keeps the ids of this many distinct words at most, and none longer than KEEP_CHARS.
-KEEP_WORDS, KEEP_CHARS = 400_000, 48
-#: Texts are encoded so many characters at a time, or one text.
-CHUNK_CHARS = 4_000_000
+KEEP_WORDS, KEEP_CHARS = 250_000, 48
+#: Texts are encoded so many bytes at a time, or one text.
+CHUNK_BYTES = 2 << 20
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -194,18 +193,6 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with at most so many characters, or of one text."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        if i > start and size + len(x) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(x)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds `ids` (array<int>), the ids of each whole text, to the columns `keep`. A null text counts as empty; an empty text has no ids."""
     schema = widened(df.select(*keep).schema, "ids array<int>")
@@ -214,12 +201,12 @@ def encode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...]
     def run(batches):
         model_ = pieces(model)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for lo, hi in chunks(texts):
-                found = model_.encode(texts[lo:hi])
+            texts = batch.column("_text")
+            for lo, n in slices(texts, CHUNK_BYTES):
+                found = model_.encode(texts.slice(lo, n).to_pylist())
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in names), ids], [*names, "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, n) for k in names), ids], [*names, "ids"])
 
     return df.select(*keep, whole_text(text).alias("_text")).mapInArrow(run, schema)
 
