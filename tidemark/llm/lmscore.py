@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Stage, whole_text
 
 FOLDS, BACK, ADD = 10, 0.5, 0.1
-BATCH = 16 << 20
+BATCH = 8 << 20
 END = 0
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 PACKED = "batch bigint, doc_id array<bigint>, held_out array<boolean>, size array<bigint>, texts binary"
@@ -89,17 +89,20 @@ class Tokens:
 def tokens(texts: bytes, size: list[int], held_out: list[bool]) -> Tokens:
     ids, parts, at = _Ids(), [], 0
     for n in size:
-        parts.append(np.array([*map(ids.__getitem__, texts[at : at + n].lower().split()), END], dtype=np.int64))
+        parts.append(np.array([*map(ids.__getitem__, texts[at : at + n].lower().split()), END], dtype=np.int32))
         at += n
     length = np.array([len(p) for p in parts])
     cur = np.concatenate(parts)
-    prev = np.r_[END, cur[:-1]]
+    prev = np.empty_like(cur)
+    prev[0], prev[1:] = END, cur[:-1]
     words = np.array([xxhash.xxh64_intdigest(b"", 1), *(xxhash.xxh64_intdigest(w) for w in ids)], dtype=np.uint64)
-    h = (words * _A)[prev]
-    mixed = ((h << _C | h >> (np.uint64(64) - _C)) ^ words[cur]) * _B
+    h = words * _A
+    mixed = (h << _C | h >> (np.uint64(64) - _C))[prev]
+    mixed ^= words[cur]
+    mixed *= _B
     mixed ^= mixed >> _C
     pairs, pair_of = np.unique(mixed, return_inverse=True)
-    return Tokens(cur, prev, np.cumsum(length) - length, np.repeat(~np.array(held_out, bool), length), words, pairs, pair_of)
+    return Tokens(cur, prev, np.cumsum(length) - length, np.repeat(~np.array(held_out, bool), length), words, pairs, pair_of.astype(np.int32))
 
 
 def _cuts(hashes: np.ndarray, shards: int) -> np.ndarray:
