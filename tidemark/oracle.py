@@ -6,6 +6,7 @@ from .operators.costs import COMPONENTS, RATES
 from .plans.staging import PIN, PIN_NEW, steps
 
 AS_OF, LOOKBACK, SPAN = "2000-09-25", 52, 826
+DECISIONS = ["1998-03-30", "1999-06-28", "2000-05-29", "2000-10-30"]
 BEFORE_ACTIONS = "2002-06-15"
 WINDOWS = [("1997-01-06", "1998-06-08"), ("1998-06-08", "2000-09-25"), ("2000-06-05", "2001-08-06")]
 GUARD_SPAN, STALE = 210, 210
@@ -181,4 +182,111 @@ def oracle_sql() -> dict[str, str]:
     curve = f"WITH {_rates()}, sz AS (SELECT b.broker, s.side, n AS notional FROM range(100, 2000001, 100) r(n), (VALUES ('zerodha'), ('angelone')) b(broker), (VALUES ('buy'), ('sell')) s(side)), trades AS (SELECT broker || side || notional::VARCHAR AS trade_id, broker, 'equity' AS product, side, DATE '2026-09-07' AS date, notional, notional::DOUBLE AS price, 1 AS qty FROM sz), {charges('trades')}, cv AS (SELECT broker, notional, {r2("sum(total) + max(CASE broker WHEN 'zerodha' THEN 15.34::DOUBLE ELSE 23.6::DOUBLE END)")} AS cost FROM priced_trades GROUP BY 1, 2)"
     out["round_trip_curve"] = f"{curve} SELECT broker, notional, cost, {f6('cost / notional')} AS share FROM cv"
     out["min_notional_by_broker"] = f"{curve} SELECT broker, min(CASE WHEN cost / notional <= 0.005 THEN notional END) AS min_notional FROM cv GROUP BY 1"
+    out |= _identity() | _signals() | _reports()
     return out
+
+
+def _facts() -> str:
+    v = latest("bars", "symbol_id, date", PIN, "source = 'nse-bhavcopy'")
+    return f"""% lv AS ({v}), sess AS (SELECT date, row_number() OVER (ORDER BY date) AS n FROM (SELECT DISTINCT date FROM lv)),
+facts AS (SELECT symbol_id, isin, ticker, fd, ld, fc, lc, a.n AS fn, b.n AS ln FROM (SELECT symbol_id, min(date) AS fd, max(date) AS ld, arg_min(close::DOUBLE, date) AS fc, arg_max(close::DOUBLE, date) AS lc FROM lv GROUP BY 1) JOIN ({latest('symbols', 'symbol_id', PIN)}) USING (symbol_id) JOIN sess a ON a.date = fd JOIN sess b ON b.date = ld),
+cand AS (SELECT predecessor, successor, min(generator) AS generator FROM (
+  SELECT symbol_id AS predecessor, lead(symbol_id) OVER (PARTITION BY left(isin, 9) ORDER BY fd, symbol_id) AS successor, 'issuer' AS generator FROM facts WHERE isin LIKE 'INE%'
+  UNION ALL SELECT symbol_id, lead(symbol_id) OVER (PARTITION BY ticker ORDER BY fd, symbol_id), 'ticker' FROM facts) WHERE successor IS NOT NULL GROUP BY 1, 2),
+gat AS (SELECT c.*, p.ld AS last_date, s.fd AS first_date, s.fc / p.lc AS ratio, p.isin LIKE 'INE%' AND s.isin LIKE 'INE%' AS g0_equity, left(p.isin, 9) = left(s.isin, 9) AS g1_issuer,
+  substr(s.isin, 10, 2)::INT > substr(p.isin, 10, 2)::INT AS g2_serial, p.ld < s.fd AND NOT EXISTS (SELECT 1 FROM lv x JOIN lv y USING (date) WHERE x.symbol_id = c.predecessor AND y.symbol_id = c.successor) AS g3_apart,
+  s.fn - p.ln = 1 AS g4_no_session, NOT EXISTS (SELECT 1 FROM cal WHERE d > p.ld AND d < s.fd AND d NOT IN (SELECT date FROM ingest_log WHERE status IN ('ok', 'no-file'))) AS g4a_settled,
+  s.fd - p.ld BETWEEN 1 AND 8 AS g4b_gap, EXISTS (SELECT 1 FROM (VALUES (1.0::DOUBLE), (0.5), (0.4), (0.25), (0.2), (0.1), (0.05), (0.02), (0.01)) b(v) WHERE s.fc / p.lc BETWEEN v * 0.75 AND v * 1.25) AS g6_ratio,
+  coalesce(c.successor IN (SELECT symbol_id FROM ({latest('symbol_links', 'symbol_id', PIN)}) WHERE reason = 'retraction'), false) AS retracted
+  FROM cand c JOIN facts p ON p.symbol_id = c.predecessor JOIN facts s ON s.symbol_id = c.successor),
+okk AS (SELECT *, NOT retracted AND g0_equity AND g1_issuer AND g2_serial AND g3_apart AND g4_no_session AND g4a_settled AND g4b_gap AND g6_ratio AS ok FROM gat),
+fin AS (SELECT *, NOT (ok AND (count(*) FILTER (ok) OVER (PARTITION BY predecessor) > 1 OR count(*) FILTER (ok) OVER (PARTITION BY successor) > 1)) AS g5_path FROM okk)"""
+
+
+_TANGLED = "tangled AS (SELECT 2 * s AS symbol_id, 2 * s + 2 AS entity_id FROM (SELECT DISTINCT symbol_id // 2 AS s FROM symbols) WHERE s % 10 IN (1, 2))"
+_TMAP = f"tmap AS (SELECT s.symbol_id, coalesce(t.entity_id, s.symbol_id) AS entity_id FROM (SELECT DISTINCT symbol_id FROM symbols WHERE ingested_at <= TIMESTAMP '{PIN}') s LEFT JOIN tangled t USING (symbol_id))"
+_ISINS = "isins AS (SELECT DISTINCT isin FROM symbols UNION ALL SELECT DISTINCT left(isin, 11) || ((substr(isin, 12, 1)::INT + 1) % 10)::VARCHAR FROM symbols)"
+_CHECK = """digs AS (SELECT isin, list_reverse(list_transform(string_split(array_to_string(list_transform(string_split(isin, ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN (ascii(c) - 55)::VARCHAR ELSE c END), ''), ''), lambda d: d::INT)) AS r FROM isins)"""
+
+
+def _identity() -> dict[str, str]:
+    v = latest("bars", "symbol_id, date", PIN, "source = 'nse-bhavcopy'")
+    early = f"""en AS (SELECT 'T' || (symbol_id // 2)::VARCHAR || '-' || ((n - 1) // 13)::VARCHAR AS ticker, date, close::DOUBLE AS close FROM ({v}) JOIN cal ON d = date WHERE n <= 104),
+pe AS (SELECT ticker, min(date) AS fd, arg_min(close, date) AS fc, max(date) AS ld, arg_max(close, date) AS lc FROM en GROUP BY 1),
+mm AS (SELECT a.ticker AS old, b.ticker AS new FROM pe a JOIN cal x ON x.d = a.ld JOIN pe b ON true JOIN cal y ON y.d = b.fd WHERE y.n - x.n BETWEEN 1 AND 5 AND a.lc > 0 AND abs(b.fc / a.lc - 1) <= 0.15),
+m1 AS (SELECT old, new FROM mm QUALIFY count(*) OVER (PARTITION BY old) = 1 AND count(*) OVER (PARTITION BY new) = 1),
+br AS (SELECT regexp_replace(ticker, '-7$', '-6') AS ticker, 'INE' || ticker AS isin, fd FROM pe WHERE ticker LIKE '%-7'),
+rs AS (SELECT pe.ticker, br.isin, m1.new, br.fd, y.n - x.n AS gap, (SELECT count(*) FROM cal WHERE d <= DATE '1996-12-30') - x.n AS quiet FROM pe JOIN cal x ON x.d = pe.ld LEFT JOIN br USING (ticker) LEFT JOIN cal y ON y.d = br.fd LEFT JOIN m1 ON m1.old = pe.ticker),
+rk AS (SELECT *, CASE WHEN gap BETWEEN 0 AND 5 THEN 'bridged' WHEN new IS NOT NULL THEN 'renamed' WHEN fd IS NULL AND quiet > 5 THEN 'dead' ELSE 'quarantined' END AS kind FROM rs)"""
+    alias = "(VALUES ('NIFTY50', 'S&P CNX NIFTY'), ('NIFTY50', 'CNX NIFTY'), ('NIFTY50', 'NIFTY 50')) a(code, plain)"
+    return {
+        "succession_candidates": staged(_facts() + " SELECT * FROM cand"),
+        "gate_results": staged(_facts() + " SELECT predecessor, successor, generator, last_date::VARCHAR AS last_date, first_date::VARCHAR AS first_date, g0_equity, g1_issuer, g2_serial, g3_apart, g4_no_session, g4a_settled, g4b_gap, g6_ratio, retracted, g5_path, ok AND g5_path AS accepted FROM fin"),
+        "unlinked_candidates": staged(_facts() + f", um AS ({emap('2002-01-01')}) SELECT predecessor, successor, CASE WHEN a.entity_id IS NULL OR b.entity_id IS NULL THEN 'stale' WHEN ok AND g5_path THEN 'accepted' ELSE 'quarantined' END AS kind FROM fin LEFT JOIN um a ON a.symbol_id = predecessor LEFT JOIN um b ON b.symbol_id = successor WHERE a.entity_id IS NULL OR b.entity_id IS NULL OR a.entity_id <> b.entity_id"),
+        "archive_holes": staged("SELECT date::VARCHAR AS date FROM ingest_log WHERE status = 'error' AND date + INTERVAL '42 hours 30 minutes' < (SELECT max(fetched_at) FROM ingest_log)"),
+        "invariant_flatness": staged(f"% {_TANGLED} SELECT a.symbol_id, a.entity_id, b.entity_id AS next_entity FROM tangled a JOIN tangled b ON b.symbol_id = a.entity_id AND b.entity_id <> a.entity_id"),
+        "invariant_overlap": staged(f"% {_TANGLED}, {_TMAP}, od AS (SELECT entity_id, source, date FROM bars JOIN tmap USING (symbol_id) WHERE ingested_at <= TIMESTAMP '{PIN}' GROUP BY 1, 2, 3 HAVING count(DISTINCT symbol_id) > 1) SELECT entity_id, count(*) AS days FROM od GROUP BY 1"),
+        "invariant_issuer": staged(f"% {_TANGLED}, {_TMAP} SELECT entity_id, string_agg(DISTINCT left(isin, 9), ', ' ORDER BY left(isin, 9)) AS issuers FROM tmap JOIN ({latest('symbols', 'symbol_id', PIN)}) USING (symbol_id) WHERE isin LIKE 'INE%' GROUP BY 1 HAVING count(DISTINCT left(isin, 9)) > 1"),
+        "isin_check_digit": staged(f"% {_ISINS}, {_CHECK} SELECT isin, regexp_full_match(isin, '[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]') AS well_formed, list_sum(list_transform(r, lambda d, i: CASE WHEN i % 2 = 1 THEN d WHEN d >= 5 THEN 2 * d - 9 ELSE 2 * d END)) % 10 = 0 AS check_ok FROM digs"),
+        "issuer_prefix_serial": staged(f"% {_ISINS} SELECT isin, left(isin, 9) AS issuer, substr(isin, 10, 2)::INT AS serial FROM isins"),
+        "ratio_band": "WITH r AS (SELECT n / 200.0::DOUBLE AS ratio FROM range(1, 4001) x(n)), b(place, name, v) AS (VALUES (0, '1/1', 1.0::DOUBLE), (1, '1/2', 0.5), (2, '2/5', 0.4), (3, '1/4', 0.25), (4, '1/5', 0.2), (5, '1/10', 0.1), (6, '1/20', 0.05), (7, '1/50', 0.02), (8, '1/100', 0.01)) SELECT ratio, (SELECT name FROM b WHERE ratio >= v * (1 - 0.25::DOUBLE) AND ratio <= v * (1 + 0.25::DOUBLE) ORDER BY abs(ratio - v) / v, place LIMIT 1) AS band FROM r",
+        "simple_fraction": "WITH r AS (SELECT n / 200.0::DOUBLE AS ratio FROM range(1, 4001) x(n)), f AS (SELECT n::INT AS num, d::INT AS den FROM range(1, 21) a(n), range(1, 11) b(d) WHERE n <> d), m AS (SELECT ratio, num, den FROM r JOIN f ON abs(ratio - 1) >= 0.09::DOUBLE AND abs(ratio / (num::DOUBLE / den) - 1) <= 0.01::DOUBLE QUALIFY row_number() OVER (PARTITION BY ratio ORDER BY den, num) = 1) SELECT r.ratio, num, den FROM r LEFT JOIN m USING (ratio)",
+        "slug_codes": staged(f"%nm AS (SELECT index_name, date FROM index_levels UNION ALL SELECT CASE WHEN day(date) = 1 THEN 'CNX  nifty' ELSE 'S&P CNX Nifty' END, date FROM index_levels) SELECT index_name, coalesce(code, nullif(regexp_replace(upper(index_name), '[^A-Z0-9]', '', 'g'), ''), 'UNKNOWN') AS index_code, count(*) AS days FROM nm LEFT JOIN {alias} ON plain = upper(regexp_replace(trim(index_name), '\\s+', ' ', 'g')) WHERE date < DATE '1998-02-01' GROUP BY 1, 2"),
+        "month_windows": staged("SELECT d::VARCHAR AS date, (date_trunc('month', d)::DATE - INTERVAL 1 MONTH + to_days(day(d)::INT - 1))::DATE::VARCHAR AS back_1, (date_trunc('month', d)::DATE - INTERVAL 12 MONTH + to_days(day(d)::INT - 1))::DATE::VARCHAR AS back_12 FROM cal"),
+        "pre_isin_bridge": staged(f"SELECT ticker, isin, fd::VARCHAR AS first_date FROM (SELECT DISTINCT symbol_id, ticker, isin FROM symbols WHERE ingested_at <= TIMESTAMP '{PIN}') JOIN (SELECT symbol_id, min(date) AS fd FROM ({v}) GROUP BY 1) USING (symbol_id) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY fd, symbol_id) = 1"),
+        "pre_isin_resolution": staged(f"% {early} SELECT ticker, kind, CASE kind WHEN 'bridged' THEN isin WHEN 'renamed' THEN new ELSE 'X-NSE-' || upper(trim(ticker)) END AS identity FROM rk"),
+        "close_on_day": staged(f"SELECT ticker, arg_min(close::DOUBLE, symbol_id) AS close FROM ({v}) JOIN (SELECT symbol_id, ticker FROM ({latest('symbols', 'symbol_id', PIN)})) USING (symbol_id) WHERE date = DATE '{AS_OF}' GROUP BY 1"),
+    }
+
+
+def _signals() -> dict[str, str]:
+    days = " UNION ALL ".join(f"SELECT DATE '{d}' AS as_of" for d in DECISIONS)
+    members = f"""dd AS ({days}), lv AS ({latest('bars', 'symbol_id, date', PIN, "source = 'nse-bhavcopy'")}), ss AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM lv)),
+wn AS (SELECT as_of, b.date, b.k = a.k AS last_ FROM dd JOIN ss a ON a.date = as_of JOIN ss b ON b.k > a.k - {LOOKBACK} AND b.k <= a.k),
+mp AS (SELECT as_of, m.entity_id, median(coalesce(turnover::DOUBLE, close::DOUBLE * volume)) AS med, count(DISTINCT date) AS present, bool_or(last_) AS live FROM lv JOIN ({emap(PIN)}) m USING (symbol_id) JOIN wn USING (date) WHERE series = 'EQ' GROUP BY 1, 2),
+mb AS (SELECT as_of, entity_id, med, row_number() OVER (PARTITION BY as_of ORDER BY med DESC, entity_id) AS place FROM mp WHERE live AND present >= ceil((SELECT count(*) FROM wn WHERE wn.as_of = mp.as_of) * 0.8) QUALIFY place <= 40)"""
+
+    def ranked(formation: int, skip: int, order: str) -> str:
+        back = lambda k: f"(date_trunc('month', as_of)::DATE - INTERVAL {k} MONTH + to_days(day(as_of)::INT - 1))::DATE"
+        body = returns(PIN)
+        wins = f"(SELECT row_number() OVER (ORDER BY as_of) - 1 AS win, as_of, {back(formation)} AS fd, {back(skip)} AS td FROM ({days}))"
+        start, end = body.index("win AS ("), body.index("), b AS (")
+        return staged(body[:start] + f"win AS (SELECT * FROM {wins}" + body[end:] + f", {members} SELECT as_of::VARCHAR AS as_of, entity_id, {f6('ret')} AS \"return\", row_number() OVER (PARTITION BY as_of ORDER BY ret {order}, entity_id)::INT AS rank FROM (SELECT win.as_of, z.entity_id, t_close * ratio / f_close - 1.0 AS ret FROM z JOIN win ON win.win = z.win JOIN mb ON mb.as_of = win.as_of AND mb.entity_id = z.entity_id WHERE reason IS NULL)", True)
+
+    low_days = adjusted(PIN, "1999-09-25", AS_OF, True)
+    uni = universe(n=40)
+    core = uni[uni.index("v AS (") :]
+    return {
+        "rebalance_calendar": staged("% x AS (SELECT d, n, lead(d) OVER (ORDER BY d) AS nx FROM cal) SELECT y.d::VARCHAR AS date FROM x JOIN cal y ON y.n = x.n + 2 WHERE nx IS NOT NULL AND date_trunc('month', x.d) <> date_trunc('month', nx) AND month(x.d) % 3 = 0"),
+        "turnover_rank": staged(f"% {members} SELECT as_of::VARCHAR AS as_of, entity_id, {f6('med')} AS median_turnover, place::INT AS rank FROM mb"),
+        "momentum_rank": ranked(12, 1, "DESC"),
+        "reversal_rank": ranked(1, 0, "ASC"),
+        "lowvol_rank": staged(low_days + f", mem AS (WITH {core}), lr AS (SELECT entity_id, ln(adjusted / lag(adjusted) OVER (PARTITION BY entity_id ORDER BY date)) AS r FROM a WHERE adjusted > 0 AND entity_id IN (SELECT entity_id FROM mem)), lg AS (SELECT entity_id, stddev_samp(r) * sqrt(252) AS vol FROM lr GROUP BY 1 HAVING count(r) >= 30) SELECT entity_id, {f6('vol')} AS volatility, row_number() OVER (ORDER BY vol, entity_id)::INT AS rank FROM lg", True),
+        "trend_stance": staged("% t AS (SELECT date, close::DOUBLE AS close, avg(close::DOUBLE) OVER w AS mean, count(*) OVER w AS k, min(date) OVER w AS since FROM index_levels WINDOW w AS (ORDER BY date ROWS 199 PRECEDING)) SELECT d::VARCHAR AS date, CASE WHEN close IS NULL OR k < 200 OR date - since > 350 THEN 'unknown' WHEN close > mean THEN 'risk on' ELSE 'risk off' END AS stance FROM cal LEFT JOIN t ON t.date = d"),
+    }
+
+
+_CURVE = """curve AS (SELECT run, date, close::DOUBLE * (1 + amp * sin(dayofyear(date) / 10.0::DOUBLE)) * 4 AS equity, CASE WHEN dayofyear(date) % 11 = 0 THEN 0 ELSE 5 END AS held FROM index_levels, (VALUES ('calm', 0.01::DOUBLE), ('wild', 0.2::DOUBLE)) v(run, amp)),
+peaks AS (SELECT *, max(equity) OVER (PARTITION BY run ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM curve)"""
+
+
+def _reports() -> dict[str, str]:
+    years = "((t1 - t0) / 365.25::DOUBLE)"
+    digest = lambda table, group, key, cols: f"SELECT '{table}' AS \"table\", ({group})::VARCHAR AS part, count(*) AS rows, md5(string_agg(md5(line), '' ORDER BY md5(line))) AS digest FROM (SELECT *, concat_ws('|', {', '.join(cols)}) AS line FROM ({latest(table, key, PIN)})) GROUP BY 2"
+    s = lambda c: f"coalesce({c}::VARCHAR, '-')"
+    parts = " UNION ALL ".join([
+        digest("bars", "date", "source, symbol_id, date", [s(c) for c in ("source", "symbol_id", "series", "open", "high", "low", "close", "volume", "turnover", "delivery_qty")]),
+        digest("index_levels", "date", "source, index_code, date", [s(c) for c in ("source", "index_code", "index_name", "close")]),
+        digest("symbols", "symbol_id % 10", "symbol_id", [s(c) for c in ("symbol_id", "isin", "ticker", "valid_from")]),
+        digest("symbol_links", "symbol_id % 10", "symbol_id", [s(c) for c in ("symbol_id", "entity_id", "reason", "boundary", "predecessor")]),
+        digest("adjustments", "entity_id % 10", "entity_id, ex_date", ["entity_id::VARCHAR", "ex_date::VARCHAR", "'eod2-ratio-step'", "ratio::DECIMAL(18,8)::VARCHAR"]),
+    ])
+    return {
+        "tracking_stats": staged(f"% {_CURVE}, w AS (SELECT a.date, a.equity / lag(a.equity) OVER (ORDER BY a.date) - 1 AS x, b.equity / lag(b.equity) OVER (ORDER BY a.date) - 1 AS y FROM curve a JOIN curve b ON a.date = b.date AND a.run = 'calm' AND b.run = 'wild'), q AS (SELECT *, abs(x - y) AS diff FROM w WHERE x IS NOT NULL) SELECT count(*) AS pairs, count(*) FILTER (diff > 0.25) AS dropped, {f6('corr(x, y) FILTER (diff <= 0.25)')} AS correlation, {f6('avg(diff) FILTER (diff <= 0.25)')} AS mean_difference, (SELECT date FROM q WHERE diff <= 0.25 ORDER BY diff DESC, date DESC LIMIT 1)::VARCHAR AS worst_day FROM q"),
+        "drawdown": staged(f"% {_CURVE} SELECT run, date::VARCHAR AS date, {f6('peak')} AS peak, {f6('(1 - equity / peak)')} AS drawdown FROM peaks"),
+        "growth_report": staged(f"% {_CURVE}, g AS (SELECT run, count(*) AS sessions, min(date) AS t0, max(date) AS t1, arg_max(equity, date) AS final, max(1 - equity / peak) AS dd, count(*) FILTER (held = 0) AS idle, avg(equity) AS mean, CASE run WHEN 'calm' THEN 1000.0::DOUBLE ELSE 2000.0::DOUBLE END AS costs, CASE run WHEN 'calm' THEN 9e5::DOUBLE ELSE 5e6::DOUBLE END AS traded FROM peaks GROUP BY 1), i AS (SELECT arg_min(close::DOUBLE, date) AS b0, arg_max(close::DOUBLE, date) AS b1 FROM index_levels), r AS (SELECT *, pow(final / 1e6::DOUBLE, 1 / {years}) - 1 AS net, pow((final + costs) / 1e6::DOUBLE, 1 / {years}) - 1 AS gross, pow(b1 / b0, 1 / {years}) - 1 AS bench FROM g, i) SELECT run, sessions, {f6('final')} AS final, {f6('net')} AS net_growth, {f6('gross')} AS gross_growth, {f6('bench')} AS benchmark_growth, {f6('(net - bench)')} AS excess, {f6('dd')} AS max_drawdown, idle AS sessions_in_cash, {f6('(costs / 1e6)')} AS cost_share, {f6(f'(traded / mean / {years})')} AS turnover FROM r"),
+        "by_year": staged(f"% {_CURVE}, y AS (SELECT run, year(date)::INT AS year, arg_max(equity, date) AS equity FROM curve GROUP BY 1, 2), l AS (SELECT year(date)::INT AS year, arg_max(close::DOUBLE, date) AS lv, min_by(close::DOUBLE, date) AS fv FROM index_levels GROUP BY 1), m AS (SELECT year, lv / coalesce(lag(lv) OVER (ORDER BY year), fv) - 1 AS bench FROM l), x AS (SELECT y.*, equity / coalesce(lag(equity) OVER (PARTITION BY run ORDER BY y.year), 1e6::DOUBLE) - 1 AS ret, bench FROM y LEFT JOIN m USING (year)) SELECT run, year, {f6('equity')} AS equity, {f6('ret')} AS \"return\", {f6('bench')} AS benchmark FROM x"),
+        "worst_days": staged(f"% {_CURVE}, c AS (SELECT run, date, equity / lag(equity) OVER (PARTITION BY run ORDER BY date) - 1 AS change FROM curve) SELECT run, row_number() OVER (PARTITION BY run ORDER BY change, date)::INT AS place, date::VARCHAR AS date, {f6('change')} AS change FROM c WHERE change IS NOT NULL QUALIFY place <= 5"),
+        "snapshot_parts": staged(parts, True),
+        "snapshot_digest": staged(f"% parts AS ({parts}) SELECT \"table\", sum(rows)::BIGINT AS rows, sha256(string_agg(part || '|' || rows::VARCHAR || '|' || digest, ';' ORDER BY part || '|' || rows::VARCHAR || '|' || digest)) AS digest FROM parts GROUP BY 1", True),
+    }

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, TimestampType
 
+from .functions import aliases, scalars
 from .functions.scalars import fixed6
-from .operators import actions, bitemporal, costs, indices, returns, universe
+from .operators import actions, backtest, bitemporal, costs, identity, indices, preisin, provenance, report, returns, signals, universe
 from .operators.hashing import bar_hash
-from .oracle import AS_OF, BEFORE_ACTIONS, GUARD_SPAN, LOOKBACK, SPAN, STALE, WINDOWS
+from .oracle import AS_OF, BEFORE_ACTIONS, DECISIONS, GUARD_SPAN, LOOKBACK, SPAN, STALE, WINDOWS
 from .plans.staging import PIN, PIN_NEW, Tables, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +92,129 @@ def _rate_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(costs.rates_in_force(asked, costs.COMPONENTS).select("trade_id", "component", "since", "basis", "value", "verified"))
 
 
+def _gates(t: Tables) -> DataFrame:
+    return identity.gate_results(t.bars, t.symbols, t.symbol_links, t.ingest_log, NSE, PIN, max_gap_days=8, expected=t.cal.select(F.col("d").alias("date")))
+
+
+def _tangled(t: Tables) -> DataFrame:
+    """Links that break the rules, for the invariants to find: chains of two hops over symbols that trade on the same days."""
+    rows = t.symbols.select((F.col("symbol_id") / 2).cast("bigint").alias("s")).distinct().where("s % 10 in (1, 2)")
+    return rows.select((2 * F.col("s")).alias("symbol_id"), (2 * F.col("s") + 2).alias("entity_id"), F.lit("manual").alias("reason"), F.lit(None).cast("date").alias("boundary"), F.lit(None).cast("bigint").alias("predecessor"), F.lit("2002-06-01").cast("timestamp").alias("ingested_at"))
+
+
+def _early_names(t: Tables) -> DataFrame:
+    """Prices under names that change every 13 sessions."""
+    rows = bitemporal.bars_at(t.bars, NSE, PIN).join(t.cal, F.col("date") == F.col("d")).where("n <= 104")
+    return rows.select("date", "n", F.concat(F.lit("T"), (F.col("symbol_id") / 2).cast("bigint").cast("string"), F.lit("-"), ((F.col("n") - 1) / 13).cast("bigint").cast("string")).alias("ticker"), F.col("close").cast("double").alias("close"))
+
+
+def _pre_isin(t: Tables) -> DataFrame:
+    rows = _early_names(t)
+    per = rows.groupBy("ticker").agg(F.min("date").alias("first_date"), F.min_by("close", "date").alias("first_close"), F.max("date").alias("last_date"), F.max_by("close", "date").alias("last_close"))
+    calendar = t.cal.select(F.col("d").alias("date"))
+    renames = preisin.match_renames(per.select("ticker", "last_date", "last_close"), per.select("ticker", "first_date", "first_close"), calendar)
+    last = per.where("ticker like '%-7'")
+    bridge = last.select(F.regexp_replace("ticker", "-7$", "-6").alias("ticker"), F.concat(F.lit("INE"), "ticker").alias("isin"), "first_date")
+    return preisin.resolve(per.select("ticker", "last_date"), bridge, renames, calendar, "1996-12-30")
+
+
+def _isins(t: Tables) -> DataFrame:
+    """Identifiers right and wrong: each ISIN and one with its last digit moved on."""
+    good = t.symbols.select("isin").distinct()
+    return good.unionByName(good.select(F.concat(F.substring("isin", 1, 11), ((F.substring("isin", 12, 1).cast("int") + 1) % 10).cast("string")).alias("isin")))
+
+
+def _ratios(spark: SparkSession) -> DataFrame:
+    return spark.range(1, 4001).select((F.col("id") / 200.0).cast("double").alias("ratio"))
+
+
+def _names(t: Tables) -> DataFrame:
+    named = t.index_levels.select("index_name", "date")
+    return named.unionByName(named.select(F.when(F.dayofmonth("date") == 1, "CNX  nifty").otherwise("S&P CNX Nifty").alias("index_name"), "date")).where("date < '1998-02-01'")
+
+
+def _ranked(t: Tables, kind: str) -> DataFrame:
+    days = t.bars.sparkSession.createDataFrame([(d,) for d in DECISIONS], "date string").select(F.col("date").cast("date"))
+    members = signals.universes(t.bars, t.symbols, t.symbol_links, NSE, days, LOOKBACK, 40, PIN)
+    if kind == "turnover":
+        return members.select(F.col("as_of"), "entity_id", "median_turnover", F.col("place").alias("rank"))
+    formation, skip = (12, 1) if kind == "momentum" else (1, 0)
+    windows = signals.return_windows(DECISIONS, formation, skip)
+    got = returns.entity_returns(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, windows, PIN, **WEEKLY).where("status = 'priced'")
+    named = t.bars.sparkSession.createDataFrame(list(enumerate(DECISIONS)), "window int, as_of string").select("window", F.col("as_of").cast("date"))
+    rows = got.join(named, "window").select("as_of", "entity_id", "return").join(members.select("as_of", "entity_id"), ["as_of", "entity_id"])
+    return signals.rank_by(rows, "return", kind == "reversal").select("as_of", "entity_id", "return", "rank")
+
+
+def _low_volatility(t: Tables) -> DataFrame:
+    members = universe.universe_as_of(t.bars, t.symbols, t.symbol_links, NSE, AS_OF, LOOKBACK, 40, PIN, span_days=SPAN)
+    vol = returns.entity_volatility(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, "1999-09-25", AS_OF, PIN, ids=members, span=GUARD_SPAN, min_returns=30)
+    return signals.rank_by(vol.withColumn("as_of", F.lit(AS_OF)), "volatility", True).select("entity_id", "volatility", "rank")
+
+
+def _sessions(t: Tables) -> DataFrame:
+    return t.cal.select(F.col("d").alias("date"))
+
+
+def _curve(t: Tables) -> DataFrame:
+    """A deterministic equity curve of two runs from the index."""
+    rows = t.index_levels.select("date", F.col("close").cast("double").alias("close"), F.dayofyear("date").alias("k"))
+    runs = [rows.select(F.lit(r).alias("run"), "date", (F.col("close") * (1 + F.lit(a) * F.sin(F.col("k") / 10.0)) * 4).alias("equity"), F.when(F.col("k") % 11 == 0, 0).otherwise(5).alias("held")) for r, a in (("calm", 0.01), ("wild", 0.2))]
+    return runs[0].unionByName(runs[1])
+
+
+def _bench(t: Tables) -> DataFrame:
+    return t.index_levels.select("date", F.col("close").cast("double").alias("close"))
+
+
+def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills from the trades: odd days sell, with a number in the order of the day."""
+    rows = costs.trade_charges(trades(spark, sf_dir).where("product = 'equity'")).withColumn("run", F.col("broker"))
+    one = rows.groupBy("run", F.col("scrip").alias("entity_id"), "date", "side").agg(F.sum("qty").alias("qty"), F.sum("turnover").alias("value"), F.sum("total").alias("costs"))
+    return one.select("*", (F.datediff("date", F.lit("1990-01-01").cast("date")) * 2 + (F.col("side") == "sell").cast("int")).alias("seq"))
+
+
+def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.round_trips(_fills(spark, sf_dir))
+
+
+def _setups(offsets: list[int], **kw) -> dict[str, backtest.Setup]:
+    return {f"momentum+{o}": backtest.Setup(**{"top": 8, "max_stock": 0.5} | kw) for o in offsets}
+
+
+def _events(t: Tables, offsets: list[int], **kw) -> DataFrame:
+    """Momentum backtests, one for each number of sessions between month end and decision."""
+    spark = t.bars.sparkSession
+    sessions = _sessions(t).where("date >= '1997-01-01'")
+    calendar = {o: [str(r["date"]) for r in signals.rebalance_calendar(sessions, 3, o).orderBy("date").collect()] for o in offsets}
+    days = sorted({d for ds in calendar.values() for d in ds})  # a few decision days a year
+    frame = spark.createDataFrame([(d,) for d in days], "date string").select(F.col("date").cast("date"))
+    members = signals.universes(t.bars, t.symbols, t.symbol_links, NSE, frame, LOOKBACK, 40, PIN).select("as_of", "entity_id")
+    got = returns.entity_returns(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, signals.return_windows(days, 12, 1), PIN, **WEEKLY).where("status = 'priced'")
+    named = spark.createDataFrame(list(enumerate(days)), "window int, as_of string").select("window", F.col("as_of").cast("date"))
+    ranked = signals.rank_by(got.join(named, "window").join(members, ["as_of", "entity_id"]), "return", False).select(F.col("as_of").alias("date"), "entity_id", "rank")
+    runs = spark.createDataFrame([(f"momentum+{o}", d) for o, ds in calendar.items() for d in ds], "run string, date string").select("run", F.col("date").cast("date"))
+    stance = signals.trend_stance(t.index_levels, "NIFTYX", sessions, 20, PIN)
+    prices = bitemporal.bars_at(t.bars, NSE, PIN).join(bitemporal.entity_map(t.symbols, t.symbol_links, PIN), "symbol_id").select("date", "entity_id", "open", "close")
+    return backtest.backtests(prices, actions.current_actions(t.adjustments, PIN), ranked.join(runs, "date"), stance, _setups(offsets, **kw))
+
+
+def _backtest_report(t: Tables, offsets: list[int]) -> DataFrame:
+    events = _events(t, offsets)
+    curve = events.where("kind = 'equity'").select("run", "date", F.col("amount").alias("equity"), "held")
+    spent = events.where("kind = 'fill'").groupBy("run").agg(F.sum("charges").alias("costs"), F.sum("amount").alias("traded"))
+    return report.summary(curve, spent, _bench(t), 500_000.0)
+
+
+def _snapshot(t: Tables) -> DataFrame:
+    return provenance.snapshot_parts(t.bars, t.symbols, t.symbol_links, t.index_levels, t.adjustments, PIN)
+
+
+def _runs(spark: SparkSession) -> DataFrame:
+    rows = [(f"run-{i}", provenance.digest_of({"top": i % 3}), f"20{20 + i % 5}-06-30", f"2026-01-{i + 1:02d} 12:00:00") for i in range(20)]
+    return spark.createDataFrame(rows, "run_id string, config_hash string, period_to string, finished_at string").select("run_id", "config_hash", F.col("period_to").cast("date"), F.col("finished_at").cast("timestamp"))
+
+
 def queries() -> dict[str, Query]:
     B, U = bitemporal, universe
     return {
@@ -136,4 +260,42 @@ def queries() -> dict[str, Query]:
         "rate_in_force": _rate_in_force,
         "round_trip_curve": lambda spark, sf_dir: plain(costs.round_trips(spark), "share"),
         "min_notional_by_broker": lambda spark, sf_dir: costs.min_notional(costs.round_trips(spark)),
+        "succession_candidates": on(lambda t: identity.candidates(identity.symbol_facts(t.bars, t.symbols, NSE, PIN))),
+        "gate_results": on(lambda t: _gates(t).drop("ratio")),
+        "unlinked_candidates": on(lambda t: identity.unlinked(_gates(t), t.symbols, t.symbol_links, "2002-01-01")),
+        "archive_holes": on(lambda t: identity.archive_holes(t.ingest_log, NSE)),
+        "invariant_flatness": on(lambda t: identity.flatness(_tangled(t), PIN)),
+        "invariant_overlap": on(lambda t: identity.overlaps(t.bars, t.symbols, _tangled(t), PIN)),
+        "invariant_issuer": on(lambda t: identity.issuers(t.symbols, _tangled(t), PIN)),
+        "isin_check_digit": on(lambda t: _isins(t).select("isin", scalars.well_formed_isin("isin").alias("well_formed"), scalars.isin_check_ok("isin").alias("check_ok"))),
+        "issuer_prefix_serial": on(lambda t: _isins(t).select("isin", scalars.issuer_prefix("isin").alias("issuer"), scalars.issue_serial("isin").alias("serial"))),
+        "ratio_band": lambda spark, sf_dir: _ratios(spark).select("ratio", scalars.ratio_band("ratio").alias("band")),
+        "simple_fraction": lambda spark, sf_dir: _ratios(spark).withColumn("_f", scalars.simple_fraction("ratio", 0.01)).select("ratio", "_f.num", "_f.den"),
+        "slug_codes": on(lambda t: aliases.with_code(_names(t)).groupBy("index_name", "index_code").agg(F.count(F.lit(1)).alias("days"))),
+        "month_windows": on(lambda t: _sessions(t).select("date", *[scalars.months_before("date", k).alias(f"back_{k}") for k in (1, 12)])),
+        "pre_isin_bridge": on(lambda t: preisin.pre_isin_bridge(t.bars, t.symbols, NSE, PIN)),
+        "pre_isin_resolution": on(_pre_isin),
+        "close_on_day": on(lambda t: preisin.close_on(t.bars, t.symbols, NSE, AS_OF, PIN)),
+        "rebalance_calendar": on(lambda t: signals.rebalance_calendar(_sessions(t), 3, 2)),
+        "turnover_rank": on(lambda t: _ranked(t, "turnover"), "median_turnover"),
+        "momentum_rank": on(lambda t: _ranked(t, "momentum"), "return"),
+        "reversal_rank": on(lambda t: _ranked(t, "reversal"), "return"),
+        "lowvol_rank": on(_low_volatility, "volatility"),
+        "trend_stance": on(lambda t: signals.trend_stance(t.index_levels, "NIFTYX", _sessions(t), 200, PIN)),
+        "tracking_stats": on(lambda t: indices.tracking(_curve(t).where("run = 'calm'").select("date", F.col("equity").alias("close")), _curve(t).where("run = 'wild'").select("date", F.col("equity").alias("close"))), "correlation", "mean_difference"),
+        "drawdown": on(lambda t: report.drawdowns(_curve(t)).select("run", "date", "peak", "drawdown"), "peak", "drawdown"),
+        "growth_report": on(lambda t: report.summary(_curve(t), t.bars.sparkSession.createDataFrame([("calm", 1000.0, 9e5), ("wild", 2000.0, 5e6)], "run string, costs double, traded double"), _bench(t), 1e6), "final", "net_growth", "gross_growth", "benchmark_growth", "excess", "max_drawdown", "cost_share", "turnover"),
+        "by_year": on(lambda t: report.by_year(_curve(t), _bench(t), 1e6), "equity", "return", "benchmark"),
+        "worst_days": on(lambda t: report.worst_days(_curve(t), 5), "change"),
+        "round_trips": lambda spark, sf_dir: plain(_trips(spark, sf_dir), "basis", "proceeds", "return"),
+        "trade_stats": lambda spark, sf_dir: plain(report.trade_stats(_trips(spark, sf_dir)), "mean", "deviation", "win_rate"),
+        "snapshot_parts": on(_snapshot),
+        "snapshot_digest": on(lambda t: provenance.table_digests(_snapshot(t))),
+        "prior_runs": lambda spark, sf_dir: plain(provenance.prior_runs(_runs(spark), provenance.digest_of({"top": 1}))),
+        "holdout_runs": lambda spark, sf_dir: plain(provenance.holdout_runs(_runs(spark), "2023-01-01")),
+        "backtest_events": on(lambda t: _events(t, [0]).where("kind <> 'equity'"), "price", "charges", "amount", "cash"),
+        "equity_curve": on(lambda t: _events(t, [0]).where("kind = 'equity'").select("run", "date", "amount", "cash", "held"), "amount", "cash"),
+        "gate_decisions": on(lambda t: report.reasons(_events(t, [0], max_positions=5), "rejected")),
+        "backtest_momentum": on(lambda t: _backtest_report(t, [0]), "final", "net_growth", "gross_growth", "benchmark_growth", "excess", "max_drawdown", "cost_share", "turnover"),
+        "backtest_offset_sweep": on(lambda t: _backtest_report(t, list(range(6))), "final", "net_growth", "gross_growth", "benchmark_growth", "excess", "max_drawdown", "cost_share", "turnover"),
     }
