@@ -145,19 +145,19 @@ def validate_roster(links: DataFrame) -> None:
     assert_empty(roots(links).where("root is null"), "roster: links run in a circle")
 
 
-def roots(links: DataFrame, most: int = 32) -> DataFrame:
-    """(symbol_id, root) of every successor: the first symbol of its chain, by doubling the known stretch; null in a circle."""
+def roots(links: DataFrame) -> DataFrame:
+    """(symbol_id, root) of every successor: the first symbol of its chain, by doubling the known stretch; null in a circle.
+
+    A chain has at most as many steps as there are links, so what still moves after that stretch is covered runs in a circle.
+    """
     step = links.select(F.col("successor").alias("symbol_id"), F.col("predecessor").alias("root"))
-    for _ in range(most):
+    for _ in range(links.count().bit_length() + 1):
         up = step.select(F.col("symbol_id").alias("root"), F.col("root").alias("_up"))
-        step = step.join(up, "root", "left").select("symbol_id", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved"))
+        step = step.select("symbol_id", "root").join(up, "root", "left").select("symbol_id", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved"))
         step = step.checkpoint(eager=True) if step.sparkSession.conf.get("spark.checkpoint.dir", None) else step
         if step.where("_moved").isEmpty():
-            return step.drop("_moved")
-        step = step.drop("_moved")
-        if step.where("symbol_id = root").limit(1).count():
-            return step.withColumn("root", F.when(F.col("symbol_id") != F.col("root"), F.col("root")))
-    return step.withColumn("root", F.lit(None).cast("bigint"))
+            break
+    return step.select("symbol_id", F.when(~F.col("_moved"), F.col("root")).alias("root"))
 
 
 def plan_links(roster: DataFrame, links: DataFrame, at: str, seeded_by: str, digest: str = "") -> DataFrame:
