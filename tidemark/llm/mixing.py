@@ -133,8 +133,8 @@ def keep(df: DataFrame, mix: Mix) -> DataFrame:
     stage = Stage(df.sparkSession, "mix")
     found = plan(slim(df, stage), mix, stage).select(*[F.col(k).alias(f"_{k}") for k in LEAF], "full_epochs", F.col("cut").alias("_cut"))
     keys = {"_domain": domain_of(F.col("source")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_source": F.coalesce(F.col("source").cast("string"), F.lit(""))}
-    both = df.withColumns(keys).join(found, list(keys)).where(times("_cut", mix.seed) > 0)
-    return both.select(*[F.col(c) for c in df.columns])
+    rows = df.select("doc_id", *[v.alias(k) for k, v in keys.items()], F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
+    return rows.join(found, list(keys)).where(times("_cut", mix.seed) > 0).select("_row.*")
 
 
 def _share_sql(parent: str, child: str) -> str:
