@@ -120,7 +120,7 @@ def mixture(df: DataFrame, mix: Mix) -> DataFrame:
     """One row for each document and epoch in which it is taken: doc_id, domain, lang, source, tokens, epoch (from 0).
 
     Rows with equal ids in a leaf are taken together. Null ids share one place in the order. A text without tokens is
-    taken if its place is before the cut. An empty table gives an empty mixture; other columns are not read.
+    taken if its place is before the cut; a leaf without any token has no share. An empty table gives an empty mixture; other columns are not read.
     """
     stage = Stage(df.sparkSession, "mix")
     rows = slim(df, stage)
