@@ -74,12 +74,12 @@ def _shard_search(k: int):
         out: list[list] = [[], [], [], [], []]
         if rows.num_rows and queries.num_rows:
             dim = key[0].as_py()
-            matrix = lambda t: np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, dim).astype(np.float64)
-            values, asked = matrix(rows), matrix(queries)
+            matrix = lambda c: np.asarray(c.combine_chunks().flatten()).reshape(-1, dim).astype(np.float64)
+            values, asked = matrix(rows.column("v")), matrix(queries.column("query_v"))
             ids, row = np.asarray(rows.column("vec_id")), np.asarray(rows.column("row"))
             order = np.argsort(values, axis=0, kind="stable").T.copy()
             place = {r: i for i, r in enumerate(row.tolist())}
-            for q, q_row, q_id in zip(asked, queries.column("row").to_pylist(), queries.column("vec_id").to_pylist(), strict=True):
+            for q, q_row, q_id in zip(asked, queries.column("query_row").to_pylist(), queries.column("query_id").to_pylist(), strict=True):
                 at, score = threshold_search(values, order, ids, q, place.get(q_row, -1), k)
                 for c, x in zip(out, ([q_row] * len(at), [q_id] * len(at), row[at].tolist(), ids[at].tolist(), score.astype(np.int64).tolist()), strict=True):
                     c += x
@@ -100,7 +100,7 @@ def top_k(df: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     shards, blocks = max(1, -(-rows.count() // SHARD)), max(1, -(-asked.count() // BLOCK))
     dim = F.size("v").alias("dim")
     left = rows.select(dim, F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "row", "vec_id", "v")
-    right = asked.select(dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), "row", "vec_id", "v")
+    right = asked.select(dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("query_v"))
     both = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block"))
     hits = both.applyInArrow(_shard_search(k), HITS)
     best = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
