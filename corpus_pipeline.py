@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, pieces, simhash, toxicity
+from tidemark.llm import mixing, overlap, pieces, toxicity
 from tidemark.llm.common import Stage, table
 from tidemark.llm.queries import PIECES_MODEL, tokenizer_path
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked fingerprints."""
-    return simhash.first_of_group(docs)
+    """The document with the smallest id of each group linked by similarity 0.8 or more of their five-word shingles."""
+    return overlap.first_of_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
