@@ -1,12 +1,13 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A token that may hide a word (letters mixed with digits or signs, a letter three times in a row, single letters
-set apart by spaces) becomes a lattice: each character stands for the letters it may replace, a repeated character or a
+A token that may hide a word (letters mixed with digits or signs, a letter twice in a row, single letters
+set apart by separators) becomes a lattice: each character stands for the letters it may replace, a repeated character or a
 separator may stand for nothing, each at a cost. A Viterbi pass finds the best reading under a trigram model of characters. A
-logistic model then scores the restored words by their first letters and as wholes.
+logistic model then scores the restored words by their first letters and as wholes. Where it is open whether a doubled letter or a
+sign at an end belongs to the word, both readings are taken, and a feature they share counts once.
 
-Both models are fitted on at most SAMPLE labelled rows of either class, those with the smallest hash of their id, and
-never on rows held out. Nothing but the text enters a score.
+Trigrams are counted over all labelled rows that are not held out; the logistic model is fitted on at most SAMPLE of either
+class, those with the smallest hash of their id. Nothing but the text enters a score.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,16 @@ PREFIXES = range(3, 9)
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
 SEPARATORS = " .-_*~'`/\\"
 READ_COST, REPEAT_COST, GAP_COST, KEEP_COST = 1.0, 1.5, 0.4, 8.0
-#: Longer tokens and longer rows of single letters are taken as they are.
+#: Features of longer words and readings of longer tokens are not kept for the next text.
 LONGEST = 40
 EDGE = "^"
-_APART = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){2,%d}[^\W_](?!\S)" % LONGEST)
-_TRIPLE = re.compile(r"(.)\1\1")
+_TRIPLE, _DOUBLE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
 _ENDS = ".,;:?\"'()[]{}«»<>…-!*"
+#: Ends that never stand for a letter.
+_BARE_ENDS = "".join(c for c in _ENDS if c not in STANDS_FOR)
+_SIGN = "(?:[^\\W_]|[%s])" % re.escape("".join(c for c in STANDS_FOR if not c.isalnum()))
+#: Three or more single letters or signs with separators between them, opening and closing punctuation round them.
+_APART = re.compile(r"(?:(?<!\S)|(?<=[\"'(\[{«<]))(?:%s[ .\-_*~'`/\\\t]+){2,}%s(?=[%s]*(?!\S))" % (_SIGN, _SIGN, re.escape(_ENDS)))
 
 
 @dataclass
@@ -52,12 +58,14 @@ class Model:
     features: dict[str, float] = field(default_factory=dict)
     bias: float = -20.0
 
-    def restore(self, token: str) -> str:
-        """The best reading of a token; the token itself if no reading has only letters."""
-        states: dict[tuple[str, str], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+    def restore(self, token: str, repeats: int = 3) -> str:
+        """The best reading of a token; the token itself if no reading has only letters. Characters that somewhere come so
+        many times in a row may stand for nothing after the first. Time and memory grow with the token's length."""
+        states: dict[tuple[str, str], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
         before = ""
-        raw = [c for c in token if c not in SEPARATORS]
-        longest = {c: max(len(m.group()) for m in re.finditer(re.escape(c) + "+", "".join(raw))) for c in set(raw)}
+        longest: dict[str, int] = {}
+        for c, same in groupby(c for c in token if c not in SEPARATORS):
+            longest[c] = max(longest.get(c, 0), sum(1 for _ in same))
         for ch in token:
             ways: list[tuple[str, float]] = []
             if ch.isalpha():
@@ -65,53 +73,73 @@ class Model:
             ways += [(x, -READ_COST) for x in STANDS_FOR.get(ch, "")]
             if ch in SEPARATORS:
                 ways.append(("", -GAP_COST))
-            if ch == before and longest[ch] > 2:
+            if ch == before and longest[ch] >= repeats:
                 ways.append(("", -REPEAT_COST))
             if not ways:
                 ways.append((ch, -KEEP_COST))
-            after: dict[tuple[str, str], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+            after: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in states.items():
                 for out, cost in ways:
                     to = (b, out) if out else (a, b)
                     new = score + cost + (self.letter(a, b, out) if out else 0.0)
                     if to not in after or new > after[to][0]:
-                        after[to] = (new, text + out)
+                        after[to] = (new, (path, out) if out else path)
             states = after
             if ch not in SEPARATORS:
                 before = ch
-        best = max((score + self.letter(a, b, EDGE), text) for (a, b), (score, text) in states.items())[1]
+        best = max((score + self.letter(a, b, EDGE), _spelled(path)) for (a, b), (score, path) in states.items())[1]
         return best if best.isalpha() else token
 
     def letter(self, a: str, b: str, c: str) -> float:
         got = self.trigrams.get((a, b, c))
         return got if got is not None else self.unseen.get((a, b), self.floor)
 
+    def decoded(self, form: str) -> list[str]:
+        """The readings of a form: with its doubled characters, and with each of them once."""
+        out = [self.restore(form) if not form.isalpha() or _TRIPLE.search(form) else form]
+        if _DOUBLE.search(form if form.isalpha() else "".join(c for c in form if c not in SEPARATORS)):
+            out.append(self.restore(form, 2))
+        return out
+
+    def readings(self, token: str) -> tuple[str, ...]:
+        """The distinct readings of a token or a row of single letters, without its end punctuation first; none if it is all punctuation."""
+        if token.isalpha() and not _DOUBLE.search(token):
+            return (token,)
+        bare = token.strip(_ENDS)
+        if not bare:
+            return ()
+        whole = token.strip(_BARE_ENDS)
+        at = whole.index(bare)
+        left, right = ("".join(c for c in end if c in STANDS_FOR) for end in (whole[:at], whole[at + len(bare) :]))
+        forms = dict.fromkeys((bare, left + bare, bare + right, left + bare + right))
+        return tuple(dict.fromkeys(r for form in forms for r in self.decoded(form)))
+
     def words(self, text: str) -> set[str]:
-        """The distinct restored words of a text in lower case."""
+        """All readings of the words of a text in lower case."""
+        return {r for readings in self.read(text) for r in readings}
+
+    def read(self, text: str, known: dict[str, tuple[str, ...]] | None = None) -> set[tuple[str, ...]]:
+        """The distinct words of a text in lower case, each as its readings. known: readings found before, which it adds to."""
         low = text.lower()
+        known = {} if known is None else known
         out = set()
-        for m in _APART.finditer(low):
-            out.add(self.restore(m.group()))
-        for token in set(low.split()):
-            if token.isalpha() and not _TRIPLE.search(token):
-                out.add(token)
-                continue
-            bare = token.strip(_ENDS)
-            if not bare:
-                continue
-            if len(bare) <= LONGEST and (not bare.isalpha() or _TRIPLE.search(bare)):
-                out.add(self.restore(bare))
-            else:
-                out.add(bare)
+        for token in {*low.split(), *(m.group() for m in _APART.finditer(low))}:
+            found = known.get(token)
+            if found is None:
+                found = self.readings(token)
+                if len(known) < 300_000 and len(token) <= LONGEST:
+                    known[token] = found
+            if found:
+                out.add(found)
         return out
 
-    def score(self, text: str, kept: dict[str, list[str]]) -> float:
+    def score(self, text: str, kept: dict[tuple[str, ...], list[str]], known: dict[str, tuple[str, ...]] | None = None) -> float:
         counts: Counter[str] = Counter()
-        for w in self.words(text):
+        for w in self.read(text, known):
             found = kept.get(w)
             if found is None:
                 found = [f for f in features_of(w) if f in self.features]
-                if len(kept) < 300_000 and len(w) <= LONGEST:
+                if len(kept) < 300_000 and len(w[0]) <= LONGEST:
                     kept[w] = found
             if found:
                 counts.update(found)
@@ -119,18 +147,36 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def features_of(word: str) -> list[str]:
-    return [word[:n] for n in PREFIXES if len(word) >= n] + ["=" + word]
+def _spelled(path: tuple | None) -> str:
+    out = []
+    while path is not None:
+        path, letter = path
+        out.append(letter)
+    return "".join(reversed(out))
 
 
-def fit_letters(texts: list[str]) -> Model:
-    """Trigrams of the plain words of some texts, smoothed by Witten and Bell's rule with the floor below."""
+def features_of(readings: tuple[str, ...]) -> list[str]:
+    """First letters and wholes of a word's readings, each once."""
+    return list(dict.fromkeys(f for word in readings for f in [*(word[:n] for n in PREFIXES if len(word) >= n), "=" + word]))
+
+
+def count_letters(texts: list[str]) -> Counter[tuple[str, str, str]]:
+    """Trigrams of the plain words of some texts."""
     words = Counter(w for t in texts for w in t.lower().split() if w.isalpha() and not _TRIPLE.search(w))
     tri: Counter[tuple[str, str, str]] = Counter()
     for w, n in words.items():
         full = EDGE * 2 + w + EDGE
         for i in range(2, len(full)):
             tri[full[i - 2], full[i - 1], full[i]] += n
+    return tri
+
+
+def fit_letters(texts: list[str]) -> Model:
+    return smoothed(count_letters(texts))
+
+
+def smoothed(tri: Counter[tuple[str, str, str]]) -> Model:
+    """Trigrams smoothed by Witten and Bell's rule with the floor below."""
     total: Counter[tuple[str, str]] = Counter()
     kinds: Counter[tuple[str, str]] = Counter()
     for (a, b, _), n in tri.items():
@@ -143,14 +189,15 @@ def fit_letters(texts: list[str]) -> Model:
     return out
 
 
-def fit(texts: list[str], toxic: list[int]) -> Model:
-    """Fits both models. Without rows of both classes every score is that of the class seen, or near 0."""
-    model = fit_letters(texts)
+def fit(texts: list[str], toxic: list[int], trigrams: Counter[tuple[str, str, str]] | None = None) -> Model:
+    """Fits both models, that of letters on the trigrams, or on those of the texts. Without rows of both classes every score is that of the class seen, or near 0."""
+    model = fit_letters(texts) if trigrams is None else smoothed(trigrams)
     y = np.array(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         model.bias = 20.0 if len(y) and y.max() > 0 else -20.0
         return model
-    words = [model.words(t) for t in texts]
+    known: dict[str, tuple[str, ...]] = {}
+    words = [model.read(t, known) for t in texts]
     positive: Counter[str] = Counter()
     for ws, t in zip(words, toxic, strict=True):
         if t:
@@ -198,10 +245,31 @@ def fold(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % folds
 
 
+def training(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic outside the held-out fold. Of several labels of an id the highest counts; null ids and labels are left out."""
+    return labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != 0)
+
+
+def letter_counts(documents: DataFrame, labels: DataFrame) -> Counter[tuple[str, str, str]]:
+    """Trigrams of all rows of training documents; one row for each trigram, at most letters cubed, reaches the driver."""
+
+    def run(batches):
+        tri: Counter[tuple[str, str, str]] = Counter()
+        for batch in batches:
+            for lo, n in slices(batch.column("text")):
+                tri.update(count_letters(batch.column("text").slice(lo, n).to_pylist()))
+        a, b, c = zip(*tri, strict=True) if tri else ((), (), ())
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in (a, b, c)), pa.array(list(tri.values()), pa.int64())], ["a", "b", "c", "n"])
+
+    texts = documents.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(training(labels).select("doc_id"), "doc_id", "left_semi")
+    rows = texts.select("text").mapInArrow(run, "a string, b string, c string, n bigint").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+    return Counter({(r["a"], r["b"], r["c"]): r["n"] for r in rows.orderBy("a", "b", "c").collect()})
+
+
 def sample(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most per_class rows of either class outside the held-out fold. Of several labels of an id
-    the highest counts; null ids, labels and texts are left out. Of rows with one id the first text by order counts."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != 0)
+    """Texts and labels of at most per_class training rows of either class; null texts are left out. Of rows with one id
+    the first text by order counts."""
+    known = training(labels)
     parts = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for t in (0, 1)]
     ids = parts[0].unionByName(parts[1])
     rows = documents.where("text is not null").select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
@@ -217,14 +285,14 @@ def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text
     inside: the struct column that holds the text, which then goes to the workers once only."""
     names = list(keep)
     schema = widened(df.select(*names).schema, "toxicity double")
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights and the sample's trigrams
+    shared = df.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights and the trigrams
 
     def run(batches):
-        own, kept = shared.value, {}
+        own, kept, known = shared.value, {}, {}
         for batch in batches:
             texts = pc.fill_null(pc.struct_field(batch.column(inside), text).cast(pa.string()) if inside else batch.column("_text"), "")
             for lo, n in slices(texts):
-                got = [own.score(x, kept) for x in texts.slice(lo, n).to_pylist()]
+                got = [own.score(x, kept, known) for x in texts.slice(lo, n).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, n) for k in names), pa.array(got, pa.float64())], [*names, "toxicity"])
 
     rows = df.select(*names) if inside else df.select(*names, whole_text(text).alias("_text"))
@@ -233,14 +301,14 @@ def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    model = fit(*sample(documents, labels))
+    model = fit(*sample(documents, labels), letter_counts(documents, labels))
     out = score(documents, model)
     return out.select("doc_id", (fold() == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below 0.5, with all their columns."""
-    model = fit(*sample(documents, labels))
+    model = fit(*sample(documents, labels), letter_counts(documents, labels))
     names = documents.columns
     packed = documents.select(F.struct(*[F.col(c) for c in names]).alias("_row"))
     return score(packed, model, keep=("_row",), inside="_row").where("toxicity < 0.5").select("_row.*")
