@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a session without it is a local one and gets a folder of its own."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
+
+    A local session without it, as in tests, gets a folder of its own; a cluster must name one.
+    """
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
