@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,20 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..plans.storage import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
-
-    A session without that setting is a local one, as in tests; it gets a folder of its own.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        return own.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 class Stage:
@@ -37,15 +26,21 @@ class Stage:
         """Writes df and returns the written table. An empty table keeps its schema."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")  # what df shuffled is of no use once it is written
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that put() returned and that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that put() returned and that nothing reads any more."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +71,11 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def text_key(col: str = "text") -> Column:
+    """A hash of the whole text; rows are told apart by it only among those with the same id."""
+    return F.xxhash64(whole_text(col))
+
+
 def numbered(df: DataFrame, key: str, stage: Stage, name: str = "n", ties: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """Adds a gapless global row number from 0 in the order of the hex string column `key`, then of `ties`.
 

@@ -1,11 +1,14 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""Near-duplicates by the exact Jaccard similarity of word shingles: SimHash links first, then a set join for what they miss.
 
-Two sets of similarity 0.8 or more share one of their first shingles in any order common to all sets: of n shingles the first
-n - ceil(0.8 n) + 1 will do. These are joined, so every such pair is a candidate; a pair stays where the shared shingle can be its
-first one at such sizes, and is then verified on the whole sets. The order puts the shingles that a sample of documents has
-often last, as they would join too many sets. The sample affects the work only, not the result.
+At similarity 0.8 about 10 of a fingerprint's 64 bits differ, and no covering code carries that: anchors of so short blocks have nearly all
+fingerprints. So SimHash by anchor-point covering (simhash.py) finds the closest pairs, and the others come from this rule: two sets of
+similarity 0.8 or more share one of their first shingles in any order common to all sets; of n shingles the first n - ceil(0.8 n) + 1 will
+do. The order puts the shingles that a sample of documents has often last, as they would join too many sets. The sample affects the
+work only, not the result. Every link is verified on the whole sets.
 
-SimHash cannot do this: at similarity 0.8 about 10 of 64 bits differ, and anchors of so short blocks have nearly all fingerprints.
+Groups of many copies are joined without all their pairs: first each set is compared only with its closest fingerprint and with the first set
+of the lists that it stands in; what that connects is one component. Then all pairs of sets that share a first shingle are compared, but
+only those of different components, as others change nothing.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Stage, whole_text
+from .common import Stage, text_key, whole_text
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import links, majority, only_first, shingle_hashes
 
 WORDS = 5
 #: Documents of the sample, about; shingles in at least OFTEN of them are common, at most COMMON are known as such.
 SAMPLE, OFTEN, COMMON = 10_000, 3, 200_000
+#: Differing bits of the fingerprints that are looked at first; pairs with one set that are verified in one group.
+BITS, FAN = 3, 256
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -73,40 +79,35 @@ def _listed(values: list[np.ndarray]) -> pa.ListArray:
 
 
 def sets(df: DataFrame, words: int, common: np.ndarray) -> DataFrame:
-    """doc_id, text_key (a hash of the text), set (the name of its shingle set), size, bits (its bitmap) and first (shingles) of each row."""
+    """doc_id, text_key, set (the name of its shingle set), size, fingerprint, bits (its bitmap) and first (shingles) of each row."""
     shared = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         for batch in batches:
-            found = [shingle_set(x, words) for x in batch.column("_text").to_pylist()]
+            hashes = [shingle_hashes(x, words) for x in batch.column("_text").to_pylist()]
+            found = [np.unique(h) for h in hashes]
             names, sizes = pa.array([name_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())
             first = _listed([first_shingles(s, shared.value) for s in found])
             bits = _listed([bitmap(s) for s in found])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), names, sizes, bits, first], ["doc_id", "text_key", "set", "size", "bits", "first"])
+            prints = pa.array(majority(hashes).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), names, sizes, prints, bits, first], ["doc_id", "text_key", "set", "size", "fingerprint", "bits", "first"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    rows = df.select("doc_id", whole_text().alias("_text")).withColumn("text_key", F.xxhash64("_text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, set bigint, size bigint, bits array<bigint>, first array<bigint>")
+    rows = df.select("doc_id", whole_text().alias("_text"), text_key().alias("text_key"))
+    return rows.select("doc_id", "text_key", "_text").mapInArrow(run, f"doc_id {kind}, text_key bigint, set bigint, size bigint, fingerprint bigint, bits array<bigint>, first array<bigint>")
 
 
-def whole_sets(df: DataFrame, text_keys: DataFrame, words: int) -> DataFrame:
-    """set and shingles of the distinct texts that have one of the keys."""
+def whole_sets(df: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """set and shingles of the distinct texts that `keys` (text_key, _id) names."""
 
     def run(batches):
         for batch in batches:
             found = [shingle_set(x, words) for x in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in found], pa.int64()), _listed(found)], ["set", "shingles"])
 
-    rows = df.select(whole_text().alias("_text")).withColumn("text_key", F.xxhash64("_text"))
-    return rows.join(text_keys, "text_key", "left_semi").select("_text").mapInArrow(run, "set bigint, shingles array<bigint>").dropDuplicates(["set"])
-
-
-def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that share one of their first shingles where sets of these sizes can have the similarity."""
-    index = reps.select("set", "size", F.posexplode("first").alias("pos", "shingle"))
-    x = index.select("shingle", F.col("set").alias("a"), F.col("size").alias("_na"), (F.col("size") - F.col("pos")).alias("_la"))
-    y = index.select("shingle", F.col("set").alias("b"), F.col("size").alias("_nb"), (F.col("size") - F.col("pos")).alias("_lb"))
-    return x.join(y, "shingle").where("a < b and 9 * least(_la, _lb) >= 4 * (_na + _nb)").select("a", "b").distinct()
+    rows = df.select("doc_id", whole_text().alias("_text"), text_key().alias("text_key"))
+    rows = rows.join(keys, (rows["text_key"] == keys["text_key"]) & rows["doc_id"].eqNullSafe(keys["_id"]), "left_semi")
+    return rows.select("_text").mapInArrow(run, "set bigint, shingles array<bigint>").dropDuplicates(["set"])
 
 
 def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -118,30 +119,85 @@ def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(both).select("a", "b")
 
 
+def verified(pairs: DataFrame, reps: DataFrame, df: DataFrame, words: int, stage: Stage) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose whole sets have the similarity. A set with many partners is sent to several groups of them."""
+    ends = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    keys = stage.put(reps.join(ends, "set", "left_semi").select("text_key", "_id"), "keys")
+    whole = stage.put(whole_sets(df, keys, words), "whole")
+    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("_fans"))
+    dealt = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_fans")).alias("_fan"))
+    left = whole.select(F.col("set").alias("b"), F.col("shingles").alias("_b")).join(dealt, "b")
+    right = whole.select(F.col("set").alias("a"), F.col("shingles").alias("_a")).join(fans, "a").select("a", "_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_fans") - 1)).alias("_fan"))
+    enough = 9 * F.size(F.array_intersect("_a", "_b")) >= 4 * (F.size("_a") + F.size("_b"))
+    out = stage.put(left.join(right, ["a", "_fan"]).where(enough).select("a", "b"), "verified")
+    stage.drop(keys, whole)
+    return out
+
+
+def close_prints(reps: DataFrame, stage: Stage) -> DataFrame:
+    """Pairs (a, b) of sets that connect those whose fingerprints differ in at most BITS bits."""
+    heads = stage.put(reps.groupBy("fingerprint").agg(F.min("set").alias("head")), "heads")
+    same = reps.join(heads, "fingerprint").select(F.col("head").alias("a"), F.col("set").alias("b"))
+    near = links(heads, stage, BITS).distinct()
+    for end in ("a", "b"):
+        near = near.join(heads.select(F.col("fingerprint").alias(end), F.col("head").alias(f"_{end}")), end)
+    return same.union(near.select("_a", "_b"))
+
+
+def differing(index: DataFrame, by: str) -> DataFrame:
+    """The rows of index whose shingle stands beside more than one value of a column, with the least of them as _least."""
+    lists = Window.partitionBy("shingle")
+    return index.withColumns({"_least": F.min(by).over(lists), "_most": F.max(by).over(lists)}).where("_least < _most").drop("_most")
+
+
+def pairs_of(index: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share one of their first shingles where sets of these sizes can have the similarity."""
+    x, y = index.alias("x"), index.alias("y")
+    fits = "x.set < y.set and x.component <> y.component and 9 * least(x.reach, y.reach) >= 4 * (x.size + y.size)"
+    return x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(fits).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def labelled(df: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, component_id and text_key of each row; see groups."""
+    stage = Stage(df.sparkSession, "overlap")
+    found = stage.put(sets(df, words, common_shingles(df, df.count(), words)), "sets")
+    reps = stage.put(found.groupBy("set").agg(F.min(F.struct("doc_id", "text_key")).alias("_at"), F.min("doc_id").alias("_first"), *[F.first(c).alias(c) for c in ("size", "fingerprint", "bits", "first")]), "distinct")
+    rows = stage.put(found.select("doc_id", "text_key", "set"), "rows")
+    stage.drop(found)
+    names = reps.select("set", F.col("_at.doc_id").alias("_id"), F.col("_at.text_key").alias("text_key"), "_first", "size", "fingerprint", "bits")
+    index = reps.select("set", "size", F.posexplode("first").alias("_pos", "shingle")).select("set", "size", (F.col("size") - F.col("_pos")).alias("reach"), "shingle")
+    shared = stage.put(differing(index, "set"), "shared")
+    # First round: the closest fingerprint, and the set that comes first in most of a set's lists.
+    head = shared.where("set <> _least").groupBy("set", "_least").agg(F.count(F.lit(1)).alias("_n")).groupBy("set").agg(F.max_by("_least", F.struct("_n", "_least")).alias("head"))
+    tried = ordered(close_prints(names, stage).union(head.select("head", "set")))
+    near = verified(stage.put(possible(tried, names), "near"), names, df, words, stage)
+    nodes = stage.put(components(near, stage), "nodes")
+    # Second round: pairs of sets that the first one did not connect.
+    known = shared.drop("_least").join(nodes.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("component", F.coalesce("root", "set")).drop("root")
+    open_ = stage.put(differing(known, "component").drop("_least"), "open")
+    rest = verified(stage.put(possible(pairs_of(open_), names), "rest"), names, df, words, stage)
+    nodes = stage.put(components(nodes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest.select("a", "b")), stage), "nodes")
+    named = nodes.join(names, nodes["node"] == names["set"]).groupBy("root").agg(F.min("_first").alias("_joined"))
+    joined = stage.put(nodes.join(named, "root").select(F.col("node").alias("set"), "_joined", F.lit(True).alias("_in")), "joined")
+    label = names.select("set", "_first").join(joined, "set", "left").select("set", F.when(F.col("_in"), F.col("_joined")).otherwise(F.col("_first")).alias("component_id"))
+    label = stage.put(label, "labels")
+    stage.drop(reps, shared, open_)
+    return rows.join(label, "set").select("doc_id", "component_id", "text_key")
+
+
 def groups(df: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and component_id (the smallest doc_id that links reach, itself included) of each row.
 
     Rows link where the Jaccard similarity of their sets of shingles of so many words is 0.8 or more, empty sets with empty sets. Rows
     with a null id take part in links; a component without any id has component_id null. Repeated rows are given as often.
     """
-    stage = Stage(df.sparkSession, "overlap")
-    found = stage.put(sets(df, words, common_shingles(df, df.count(), words)), "sets")
-    reps = stage.put(found.groupBy("set").agg(F.min("doc_id").alias("_id"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("first").alias("first")), "distinct")
-    pairs = stage.put(possible(stage.put(candidates(reps), "candidates"), reps), "possible")
-    ends = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    keys = stage.put(reps.join(ends, "set", "left_semi").select("text_key"), "keys")
-    whole = stage.put(whole_sets(df, keys, words), "whole")
-    both = pairs.join(whole.select(F.col("set").alias("a"), F.col("shingles").alias("_a")), "a").join(whole.select(F.col("set").alias("b"), F.col("shingles").alias("_b")), "b")
-    links = both.where(9 * F.size(F.array_intersect("_a", "_b")) >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b")
-    nodes = stage.put(components(links, stage), "nodes")
-    named = nodes.join(reps, nodes["node"] == reps["set"]).groupBy("root").agg(F.min("_id").alias("_joined"))
-    joined = stage.put(nodes.join(named, "root").select(F.col("node").alias("set"), "_joined", F.lit(True).alias("_in")), "joined")
-    label = reps.select("set", "_id").join(joined, "set", "left").select("set", F.when(F.col("_in"), F.col("_joined")).otherwise(F.col("_id")).alias("component_id"))
-    return found.select("doc_id", "set").join(stage.put(label, "labels"), "set").select("doc_id", "component_id")
+    return labelled(df, words).select("doc_id", "component_id")
 
 
 def first_of_group(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns; of rows with one id, each.
-    Documents without an id stay."""
-    found = groups(df, words).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    return df.join(found, df["doc_id"] == found["_other"], "left_anti")
+    """The documents whose id is the smallest of their component, with all their columns; see simhash.only_first."""
+    return only_first(df, labelled(df, words))

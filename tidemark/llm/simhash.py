@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, whole_text, widened
+from .common import Stage, text_key, whole_text, widened
 from .components import components
 
 GROUP, FAN, SMALL = 4096, 16, 32
@@ -217,20 +217,35 @@ def groups(df: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
 
     Fingerprints link at `distance` or fewer differing bits, the empty texts' fingerprint 0 like any other. Rows with a
     null id take part in links; a component without any id has component_id null. Repeated rows are given as often.
+    An anchor holds a share of all fingerprints, so pairs compared grow with the square of their number beyond some 10**10 documents.
     """
+    return labelled(df, words, distance).select("doc_id", "fingerprint", "component_id")
+
+
+def labelled(df: DataFrame, words: int, distance: int) -> DataFrame:
+    """groups() with text_key."""
     stage = Stage(df.sparkSession, "simhash")
-    fps = stage.put(fingerprints(df, words), "fingerprints")
+    rows = df.select("doc_id", text_key().alias("text_key"), F.col("text"))
+    fps = stage.put(fingerprints(rows, words, keep=("doc_id", "text_key")), "fingerprints")
     reps = stage.put(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("_first")), "distinct")
     nodes = stage.put(components(links(reps, stage, distance), stage), "nodes")
     named = nodes.join(reps, nodes["node"] == reps["fingerprint"]).groupBy("root").agg(F.min("_first").alias("component_id"))
     named = stage.put(named, "named")
     joined = stage.put(nodes.join(named, "root").select(F.col("node").alias("fingerprint"), F.col("component_id").alias("_joined"), F.lit(True).alias("_in")), "joined")
     label = reps.join(joined, "fingerprint", "left").select("fingerprint", F.when(F.col("_in"), F.col("_joined")).otherwise(F.col("_first")).alias("component_id"))
-    return fps.join(stage.put(label, "labels"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return fps.join(stage.put(label, "labels"), "fingerprint").select("doc_id", "fingerprint", "component_id", "text_key")
 
 
 def first_of_group(df: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns; of rows with one id, each.
-    Documents without an id stay."""
-    found = groups(df, words, distance).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return df.join(found, df["doc_id"] == found["_id"], "left_anti")
+    """The documents whose id is the smallest of their component, with all their columns; see only_first."""
+    return only_first(df, labelled(df, words, distance))
+
+
+def only_first(df: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of df without those that `found` (doc_id, text_key, component_id) puts into a component of a smaller id.
+
+    A row goes by its id and text, so another text under the same id stays. Of rows alike in id and component each stays, and so do
+    documents without an id.
+    """
+    gone = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    return df.join(gone, (df["doc_id"] == gone["_gone_id"]) & (text_key() == gone["_gone_key"]), "left_anti")

@@ -6,8 +6,9 @@ separator may stand for nothing, each at a cost. A Viterbi pass finds the best r
 logistic model then scores the restored words by their first letters and as wholes. Where it is open whether a doubled letter or a
 sign at an end belongs to the word, both readings are taken, and a feature they share counts once.
 
-Trigrams are counted over all labelled rows that are not held out; the logistic model is fitted on at most SAMPLE of either
-class, those with the smallest hash of their id. Nothing but the text enters a score.
+Trigrams are counted over all rows that are not held out. The logistic model is fitted on at most SAMPLE labelled rows of either
+class that are not held out, those with the smallest hash of their id. Its features are counted by Spark over the sample; the driver receives
+the features that tell the classes apart and, per row of the sample, which of them it has, never a text. Nothing but the text enters a score.
 """
 
 from __future__ import annotations
@@ -24,28 +25,33 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole_text, widened
+from .common import Stage, slices, whole_text, widened
 
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE = 3000
-#: Features of the logistic model, at most; each in at least this share of the sample's toxic texts.
-FEATURES, FEATURE_SHARE = 1500, 0.004
+#: A feature must be in this share of the sample's toxic texts, and its log ratio must lie so many standard deviations above 0.
+FEATURE_SHARE, FEATURE_SIGMA = 0.004, 3.0
 FOLDS = 5
 PREFIXES = range(3, 9)
 #: What a character may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
-SEPARATORS = " .-_*~'`/\\"
+SEPARATORS = " \t\n\r\x0b\x0c.-_*~'`/\\"
 READ_COST, REPEAT_COST, GAP_COST, KEEP_COST = 1.0, 1.5, 0.4, 8.0
-#: Features of longer words and readings of longer tokens are not kept for the next text.
-LONGEST = 40
+#: What is found out about a token is kept for the next text, up to so many tokens of so many characters; longer ones are decoded again.
+KEEP_TOKENS, KEEP_CHARS = 300_000, 40
+#: Distinct words that a task counts before it hands their trigrams on.
+FLUSH_WORDS = 200_000
 EDGE = "^"
 _TRIPLE, _DOUBLE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
 _ENDS = ".,;:?\"'()[]{}«»<>…-!*"
 #: Ends that never stand for a letter.
 _BARE_ENDS = "".join(c for c in _ENDS if c not in STANDS_FOR)
-_SIGN = "(?:[^\\W_]|[%s])" % re.escape("".join(c for c in STANDS_FOR if not c.isalnum()))
+_SIGN = "(?!_)[\\w%s]" % re.escape("".join(c for c in STANDS_FOR if not c.isalnum()))
+_GAP = "[%s]" % re.escape(SEPARATORS)
 #: Three or more single letters or signs with separators between them, opening and closing punctuation round them.
-_APART = re.compile(r"(?:(?<!\S)|(?<=[\"'(\[{«<]))(?:%s[ .\-_*~'`/\\\t]+){2,}%s(?=[%s]*(?!\S))" % (_SIGN, _SIGN, re.escape(_ENDS)))
+_APART = re.compile(r"(?:(?<!\S)|(?<=[\"'(\[{«<]))(?:%s%s+){2,}%s(?=[%s]*(?!\S))" % (_SIGN, _GAP, _SIGN, re.escape(_ENDS)))
+#: What every such row has after white space or an opening sign. Most texts have it nowhere and need no closer look.
+_MAY_BE_APART = re.compile(r"[\s\"'(\[{«<]%s%s+%s%s" % (_SIGN, _GAP, _SIGN, _GAP))
 
 
 @dataclass
@@ -116,35 +122,45 @@ class Model:
 
     def words(self, text: str) -> set[str]:
         """All readings of the words of a text in lower case."""
-        return {r for readings in self.read(text) for r in readings}
-
-    def read(self, text: str, known: dict[str, tuple[str, ...]] | None = None) -> set[tuple[str, ...]]:
-        """The distinct words of a text in lower case, each as its readings. known: readings found before, which it adds to."""
-        low = text.lower()
-        known = {} if known is None else known
-        out = set()
-        for token in {*low.split(), *(m.group() for m in _APART.finditer(low))}:
-            found = known.get(token)
-            if found is None:
-                found = self.readings(token)
-                if len(known) < 300_000 and len(token) <= LONGEST:
-                    known[token] = found
-            if found:
-                out.add(found)
-        return out
+        return {r for readings in map(self.readings, tokens_of(text)) for r in readings}
+
+
+def tokens_of(text: str) -> set[str]:
+    """The distinct tokens of a text in lower case, and its rows of single letters."""
+    low = text.lower()
+    out = set(low.split())
+    if _MAY_BE_APART.search(" " + low):
+        out.update(m.group() for m in _APART.finditer(low))
+    return out
+
+
+class Reader(dict):
+    """What a model sees in tokens: the readings and features of each, or None if it has no feature in `wanted` (None: all count)."""
+
+    def __init__(self, model: Model, wanted: dict | None):
+        self.model, self.wanted = model, wanted
 
-    def score(self, text: str, kept: dict[tuple[str, ...], list[str]], known: dict[str, tuple[str, ...]] | None = None) -> float:
-        counts: Counter[str] = Counter()
-        for w in self.read(text, known):
-            found = kept.get(w)
-            if found is None:
-                found = [f for f in features_of(w) if f in self.features]
-                if len(kept) < 300_000 and len(w[0]) <= LONGEST:
-                    kept[w] = found
-            if found:
-                counts.update(found)
-        z = self.bias + sum(self.features[f] * math.log1p(n) for f, n in sorted(counts.items()))
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+    def __missing__(self, token: str) -> tuple[tuple[str, ...], tuple] | None:
+        readings = self.model.readings(token)
+        found = features_of(readings)
+        if self.wanted is not None:
+            found = [self.wanted[f] for f in found if f in self.wanted]
+        got = (readings, tuple(found)) if found else None
+        if len(self) < KEEP_TOKENS and len(token) <= KEEP_CHARS:
+            self[token] = got
+        return got
+
+    def counts(self, text: str) -> Counter:
+        """How many distinct words of a text have each feature; words are the same if their readings are."""
+        seen = set(map(self.__getitem__, tokens_of(text)))
+        seen.discard(None)
+        return Counter(f for _, found in seen for f in found)
+
+
+def score_of(model: Model, counts: Counter) -> float:
+    """The logistic model's value for feature counts; features add up in the order of their names."""
+    z = model.bias + sum(model.features[f] * math.log1p(n) for f, n in sorted(counts.items()))
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
 def _spelled(path: tuple | None) -> str:
@@ -160,17 +176,25 @@ def features_of(readings: tuple[str, ...]) -> list[str]:
     return list(dict.fromkeys(f for word in readings for f in [*(word[:n] for n in PREFIXES if len(word) >= n), "=" + word]))
 
 
-def count_letters(texts: list[str]) -> Counter[tuple[str, str, str]]:
-    """Trigrams of the plain words of some texts."""
-    words = Counter(w for t in texts for w in t.lower().split() if w.isalpha() and not _TRIPLE.search(w))
+def letters_of(words: Counter[str]) -> Counter[tuple[str, str, str]]:
+    """Trigrams of the plain ones among counted words."""
     tri: Counter[tuple[str, str, str]] = Counter()
     for w, n in words.items():
-        full = EDGE * 2 + w + EDGE
-        for i in range(2, len(full)):
-            tri[full[i - 2], full[i - 1], full[i]] += n
+        if w.isalpha() and not _TRIPLE.search(w):
+            full = EDGE * 2 + w + EDGE
+            for i in range(2, len(full)):
+                tri[full[i - 2], full[i - 1], full[i]] += n
     return tri
 
 
+def count_letters(texts: list[str]) -> Counter[tuple[str, str, str]]:
+    """Trigrams of the plain words of some texts."""
+    words: Counter[str] = Counter()
+    for t in texts:
+        words.update(t.lower().split())
+    return letters_of(words)
+
+
 def fit_letters(texts: list[str]) -> Model:
     return smoothed(count_letters(texts))
 
@@ -189,50 +213,29 @@ def smoothed(tri: Counter[tuple[str, str, str]]) -> Model:
     return out
 
 
-def fit(texts: list[str], toxic: list[int], trigrams: Counter[tuple[str, str, str]] | None = None) -> Model:
-    """Fits both models, that of letters on the trigrams, or on those of the texts. Without rows of both classes every score is that of the class seen, or near 0."""
-    model = fit_letters(texts) if trigrams is None else smoothed(trigrams)
-    y = np.array(toxic, dtype=np.float64)
-    if not len(y) or y.min() == y.max():
-        model.bias = 20.0 if len(y) and y.max() > 0 else -20.0
-        return model
-    known: dict[str, tuple[str, ...]] = {}
-    words = [model.read(t, known) for t in texts]
-    positive: Counter[str] = Counter()
-    for ws, t in zip(words, toxic, strict=True):
-        if t:
-            positive.update({f for w in ws for f in features_of(w)})
-    often = {f for f, n in positive.items() if n >= max(3, FEATURE_SHARE * y.sum())}
-    negative: Counter[str] = Counter()
-    for ws, t in zip(words, toxic, strict=True):
-        if not t:
-            negative.update({f for w in ws for f in features_of(w) if f in often})
-    n1, n0 = y.sum(), len(y) - y.sum()
-    strength = {f: math.sqrt(positive[f]) * math.log((positive[f] + 0.5) / n1 / ((negative[f] + 0.5) / n0)) for f in often}
-    names = sorted((f for f in often if strength[f] > 0), key=lambda f: (-strength[f], f))[:FEATURES]
-    at = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(y), len(names)), np.float32)
-    for i, ws in enumerate(words):
-        for f, n in Counter(f for w in ws for f in features_of(w) if f in at).items():
-            x[i, at[f]] = math.log1p(n)
-    weights, bias = _logistic(x, y.astype(np.float32))
-    # The cut goes half-way between nearly all texts of the one class and nearly all of the other, as far as they lie apart.
-    z = x @ weights + bias
-    low, high = np.quantile(z[y == 0], 0.999), np.quantile(z[y == 1], 0.02)
-    if high > low:
-        bias = bias - (low + high) / 2
-    model.features = {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-4}
-    model.bias = float(bias)
-    return model
+@dataclass
+class Sparse:
+    """A matrix by its non-zero cells."""
+
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.shape[0])
+
+    def transposed_times(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * r[self.row], self.shape[1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
+def _logistic(x: Sparse, y: np.ndarray, rounds: int = 400, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by Adam on the whole sample; the same rows give the same weights."""
-    w, b = np.zeros(x.shape[1], np.float32), np.float32(math.log(y.mean() / (1 - y.mean())))
+    w, b = np.zeros(x.shape[1]), math.log(y.mean() / (1 - y.mean()))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        g, gb = x.T @ (p - y) / len(y) + penalty * w, float((p - y).mean())
+        p = 1 / (1 + np.exp(-np.clip(x.times(w) + b, -30, 30)))
+        g, gb = x.transposed_times(p - y) / len(y) + penalty * w, float((p - y).mean())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
         w = w - 0.05 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
@@ -250,34 +253,108 @@ def training(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != 0)
 
 
-def letter_counts(documents: DataFrame, labels: DataFrame) -> Counter[tuple[str, str, str]]:
-    """Trigrams of all rows of training documents; one row for each trigram, at most letters cubed, reaches the driver."""
+def letter_counts(documents: DataFrame, labels: DataFrame | None = None) -> Counter[tuple[str, str, str]]:
+    """Trigrams of all documents that are not held out (with labels: of the labelled ones); one row for each trigram, at most letters
+    cubed, reaches the driver."""
+
+    def handed(tri) -> pa.RecordBatch:
+        a, b, c = zip(*tri, strict=True) if tri else ((), (), ())
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in (a, b, c)), pa.array(list(tri.values()), pa.int64())], ["a", "b", "c", "n"])
 
     def run(batches):
-        tri: Counter[tuple[str, str, str]] = Counter()
+        words: Counter[str] = Counter()
         for batch in batches:
             for lo, n in slices(batch.column("text")):
-                tri.update(count_letters(batch.column("text").slice(lo, n).to_pylist()))
-        a, b, c = zip(*tri, strict=True) if tri else ((), (), ())
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in (a, b, c)), pa.array(list(tri.values()), pa.int64())], ["a", "b", "c", "n"])
-
-    texts = documents.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(training(labels).select("doc_id"), "doc_id", "left_semi")
+                for t in batch.column("text").slice(lo, n).to_pylist():
+                    words.update(t.lower().split())
+                if len(words) > FLUSH_WORDS:
+                    yield handed(letters_of(words))
+                    words.clear()
+        yield handed(letters_of(words))
+
+    texts = documents.where("text is not null").where(fold() != 0).select("doc_id", F.col("text").cast("string").alias("text"))
+    if labels is not None:
+        texts = texts.join(training(labels).select("doc_id"), "doc_id", "left_semi")
     rows = texts.select("text").mapInArrow(run, "a string, b string, c string, n bigint").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
     return Counter({(r["a"], r["b"], r["c"]): r["n"] for r in rows.orderBy("a", "b", "c").collect()})
 
 
-def sample(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most per_class training rows of either class; null texts are left out. Of rows with one id
-    the first text by order counts."""
-    known = training(labels)
-    parts = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for t in (0, 1)]
-    ids = parts[0].unionByName(parts[1])
-    rows = documents.where("text is not null").select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    out: list[tuple[str, int]] = []
-    for t in (0, 1):
-        got = rows.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
-        out += [(r["text"], t) for r in got]
-    return [x for x, _ in out], [t for _, t in out]
+def sample(documents: DataFrame, labels: DataFrame, per_class: int | None = None) -> DataFrame:
+    """doc_id, toxic and text of at most per_class training rows of either class that have a text, chosen by the hash of the id among all
+    documents that have a label. Of rows with one id the first text by order counts."""
+    most = SAMPLE if per_class is None else per_class
+    texts = documents.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    known = training(labels).join(texts.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    picked = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for t in (0, 1)]
+    ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most twice `most` rows
+    return texts.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def features(rows: DataFrame, model: Model) -> DataFrame:
+    """(feature, toxic, n): in how many rows (toxic, text) of a sample a word with the feature stands."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # the trigrams
+
+    def run(batches):
+        reader = Reader(shared.value, None)
+        for batch in batches:
+            for lo, n in slices(batch.column("text")):
+                found: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+                for t, x in zip(batch.column("toxic").slice(lo, n).to_pylist(), batch.column("text").slice(lo, n).to_pylist(), strict=True):
+                    found[t].update(reader.counts(x).keys())
+                for t, each in found.items():
+                    yield pa.RecordBatch.from_arrays([pa.array(list(each), pa.string()), pa.array([t] * len(each), pa.int32()), pa.array(list(each.values()), pa.int64())], ["feature", "toxic", "n"])
+
+    return rows.select("toxic", "text").mapInArrow(run, "feature string, toxic int, n bigint")
+
+
+def telling(counted: DataFrame, n0: int, n1: int) -> DataFrame:
+    """The features that are often enough in toxic rows and clearly more often there than in the others."""
+    per = counted.groupBy("feature").agg(F.sum(F.col("n") * F.col("toxic")).alias("pos"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("neg"))
+    strength = F.sqrt("pos") * F.log((F.col("pos") + 0.5) / n1 / ((F.col("neg") + 0.5) / n0))
+    return per.where((F.col("pos") >= max(3.0, FEATURE_SHARE * n1)) & (strength >= FEATURE_SIGMA)).select("feature")
+
+
+def cells(rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """doc_id, toxic, and of each feature that the row has its place in names and log(1 + words)."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, {f: i for i, f in enumerate(names)}))
+
+    def run(batches):
+        model_, at = shared.value
+        reader = Reader(model_, at)
+        for batch in batches:
+            for lo, n in slices(batch.column("text")):
+                got = [sorted(reader.counts(x).items()) for x in batch.column("text").slice(lo, n).to_pylist()]
+                at_ = pa.array([[i for i, _ in g] for g in got], pa.list_(pa.int32()))
+                value = pa.array([[math.log1p(k) for _, k in g] for g in got], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("toxic").slice(lo, n), at_, value], ["doc_id", "toxic", "at", "value"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, toxic int, at array<int>, value array<double>")
+
+
+def fitted(documents: DataFrame, labels: DataFrame) -> Model:
+    """The model of labelled documents outside the held-out fold. Without rows of both classes every score is that of the class seen, or near 0."""
+    stage = Stage(documents.sparkSession, "toxicity")
+    model = smoothed(letter_counts(documents))
+    rows = stage.put(sample(documents, labels), "sample")
+    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n0, n1 = size.get(0, 0), size.get(1, 0)
+    if not n0 or not n1:
+        model.bias = 20.0 if n1 else -20.0
+        stage.drop(rows)
+        return model
+    names = sorted(r["feature"] for r in telling(features(rows, model), n0, n1).collect())
+    found = cells(rows, model, names).orderBy("doc_id").toArrow()
+    stage.drop(rows)
+    at, y = found.column("at").combine_chunks(), np.asarray(found.column("toxic")).astype(np.float64)
+    x = Sparse(np.repeat(np.arange(len(y)), pc.list_value_length(at)), np.asarray(at.flatten()), np.asarray(found.column("value").combine_chunks().flatten()), (len(y), len(names)))
+    weights, bias = _logistic(x, y)
+    # The cut goes half-way between nearly all texts of the one class and nearly all of the other, as far as they lie apart.
+    z = x.times(weights) + bias
+    low, high = np.quantile(z[y == 0], 0.999), np.quantile(z[y == 1], 0.02)
+    model.bias = float(bias - (low + high) / 2 if high > low else bias)
+    model.features = {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-4}
+    return model
 
 
 def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", inside: str | None = None) -> DataFrame:
@@ -285,14 +362,15 @@ def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text
     inside: the struct column that holds the text, which then goes to the workers once only."""
     names = list(keep)
     schema = widened(df.select(*names).schema, "toxicity double")
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights and the trigrams
+    shared = df.sparkSession.sparkContext.broadcast(model)  # the telling features of a bounded sample, and the trigrams
 
     def run(batches):
-        own, kept, known = shared.value, {}, {}
+        own = shared.value
+        reader = Reader(own, {f: f for f in own.features})
         for batch in batches:
             texts = pc.fill_null(pc.struct_field(batch.column(inside), text).cast(pa.string()) if inside else batch.column("_text"), "")
             for lo, n in slices(texts):
-                got = [own.score(x, kept, known) for x in texts.slice(lo, n).to_pylist()]
+                got = [score_of(own, reader.counts(x)) for x in texts.slice(lo, n).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, n) for k in names), pa.array(got, pa.float64())], [*names, "toxicity"])
 
     rows = df.select(*names) if inside else df.select(*names, whole_text(text).alias("_text"))
@@ -300,15 +378,19 @@ def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text
 
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
-    model = fit(*sample(documents, labels), letter_counts(documents, labels))
-    out = score(documents, model)
+    """doc_id, held_out, score and predicted of every document.
+
+    Null and empty texts get the score of a text without features; a null id counts as an empty one for the fold. Repeated rows get the same
+    score each. An empty table gives no rows; without labels of both classes all scores are alike.
+    """
+    out = score(documents, fitted(documents, labels))
     return out.select("doc_id", (fold() == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below 0.5, with all their columns."""
-    model = fit(*sample(documents, labels), letter_counts(documents, labels))
+    """The documents that score below 0.5, with all their columns. Null and empty texts stay, repeated rows share one fate, and an empty
+    table stays empty; without labels of both classes nothing is known to be toxic unless every label says so."""
+    model = fitted(documents, labels)
     names = documents.columns
     packed = documents.select(F.struct(*[F.col(c) for c in names]).alias("_row"))
     return score(packed, model, keep=("_row",), inside="_row").where("toxicity < 0.5").select("_row.*")
