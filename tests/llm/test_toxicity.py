@@ -1,4 +1,8 @@
+import math
+import random
+import zlib
 from collections import Counter
+from itertools import product
 
 import pytest
 from small import documents
@@ -48,3 +52,85 @@ def test_letters_are_counted_over_all_training_documents(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
     ids = {r["doc_id"] for r in toxicity.training(labels).collect()}
     assert toxicity.letter_counts(df, labels) == toxicity.count_letters([t for i, t, _, _ in rows if i in ids])
+
+
+def every_reading(model, token, repeats=3):
+    """All readings of a short token by plain enumeration, each with its score."""
+    longest, run, last = {}, 0, ""
+    for c in (c for c in token if c not in toxicity.SEPARATORS):
+        run = run + 1 if c == last else 1
+        last, longest[c] = c, max(longest.get(c, 0), run)
+    ways, before = [], ""
+    for ch in token:
+        here = [(ch, 0.0)] if ch.isalpha() else []
+        here += [(x, -toxicity.READ_COST) for x in toxicity.STANDS_FOR.get(ch, "")]
+        if ch in toxicity.SEPARATORS:
+            here.append(("", -toxicity.GAP_COST))
+        if ch == before and longest[ch] >= repeats:
+            here.append(("", -toxicity.REPEAT_COST))
+        ways.append(here or [(ch, -toxicity.KEEP_COST)])
+        if ch not in toxicity.SEPARATORS:
+            before = ch
+    for path in product(*ways):
+        word = "".join(x for x, _ in path)
+        full = "^^" + word + "^"
+        yield sum(c for _, c in path) + sum(model.letter(*full[i : i + 3]) for i in range(len(full) - 2)), word
+
+
+def test_decoding_finds_the_best_of_all_readings():
+    rng = random.Random(4)
+    for _ in range(400):
+        token = "".join(rng.choice("idotsup10$!3. -aa") for _ in range(rng.randint(1, 7)))
+        for repeats in (2, 3):
+            best = max(every_reading(MODEL, token, repeats))
+            got = MODEL.restore(token, repeats)
+            if best[1].isalpha():
+                assert max(s for s, w in every_reading(MODEL, token, repeats) if w == got) == pytest.approx(best[0])
+            else:
+                assert got == token or max(s for s, w in every_reading(MODEL, token, repeats) if w == got) == pytest.approx(best[0])
+
+
+def test_no_reading_begins_otherwise_than_foreseen():
+    rng = random.Random(9)
+    for _ in range(400):
+        token = "".join(rng.choice("idotsup10$!3. -aa") for _ in range(rng.randint(1, 9)))
+        assert all(r[: toxicity.START] in toxicity.starts(token) for r in MODEL.decoded(token))
+
+
+def test_scores_are_those_of_plain_counts(spark):
+    """Fits on a few rows and scores them again from the model's parts, with dictionaries only."""
+    rng = random.Random(2)
+    plain = [f"{a}{b}en" for a in "bcdfgl" for b in "aeiou"]
+    bad = ["idiot", "1d1ot", "stuupid", "s t u p i d"]
+    rows = [(i, " ".join(rng.choices(plain, k=12) + ([rng.choice(bad)] if i % 2 else [])), "en", "s") for i in range(200)]
+    df, labels = documents(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    model = toxicity.fitted(df, labels)
+    train = [(i, t) for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5]
+    words = Counter(w for _, t in train for w in t.split() if w.isalpha())
+    tri = Counter()
+    for w, n in words.items():
+        full = "^^" + w + "^"
+        tri.update({tuple(full[k : k + 3]): 0 for k in range(len(full) - 2)})
+        for k in range(len(full) - 2):
+            tri[tuple(full[k : k + 3])] += n
+    assert toxicity.letter_counts(df) == tri and set(model.trigrams) == set(tri)
+    assert "=idiot" in model.features and "=stupid" in model.features
+    for r in toxicity.scored(df, labels).collect():
+        seen = {model.readings(t) for t in toxicity.tokens_of(rows[r["doc_id"]][1])}
+        z = model.bias
+        for f, w in model.features.items():
+            z += w * math.log1p(sum(f in toxicity.features_of(x) for x in seen))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z))) and r["predicted"] == r["doc_id"] % 2
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_other_labels_do_not_thin_out_the_sample(spark):
+    df = documents(spark, [(i, f"text {i}", "en", "s") for i in range(60)])
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    wanted = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60))
+    assert toxicity.sample(df, labels, 100).count() == wanted and toxicity.sample(df, labels, 3).count() == 6
+
+
+@pytest.mark.parametrize(("text", "word"), [("st" + "." * 45 + "upid", "stupid"), ("stu" + "u" * 50 + "pid", "stupid"), ("i\td\ti\to\tt", "idiot"), ("i\nd\ni\no\nt", "idiot")])
+def test_long_and_spread_words_are_read(text, word):
+    assert word in found(text)

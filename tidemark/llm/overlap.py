@@ -151,10 +151,16 @@ def differing(index: DataFrame, by: str) -> DataFrame:
 
 
 def pairs_of(index: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of different components that share one of their first shingles where sets of these sizes can have the similarity."""
+    """Pairs (a, b) of sets of different components whose first shingles allow the similarity.
+
+    What two sets share up to the last first shingle that they have in common, they share among their first shingles, so the
+    overlap is at most that many and what is left behind it in the set with less left.
+    """
     x, y = index.alias("x"), index.alias("y")
     fits = "x.set < y.set and x.component <> y.component and 9 * least(x.reach, y.reach) >= 4 * (x.size + y.size)"
-    return x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(fits).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+    met = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(fits)
+    per = met.groupBy(F.col("x.set").alias("a"), F.col("y.set").alias("b")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.least("x.reach", "y.reach")).alias("_left"), F.max(F.col("x.size") + F.col("y.size")).alias("_both"))
+    return per.where("9 * (_n + _left - 1) >= 4 * _both").select("a", "b")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -172,7 +178,8 @@ def labelled(df: DataFrame, words: int = WORDS) -> DataFrame:
     index = reps.select("set", "size", F.posexplode("first").alias("_pos", "shingle")).select("set", "size", (F.col("size") - F.col("_pos")).alias("reach"), "shingle")
     shared = stage.put(differing(index, "set"), "shared")
     # First round: the closest fingerprint, and the set that comes first in most of a set's lists.
-    head = shared.where("set <> _least").groupBy("set", "_least").agg(F.count(F.lit(1)).alias("_n")).groupBy("set").agg(F.max_by("_least", F.struct("_n", "_least")).alias("head"))
+    lists = shared.where("set <> _least").groupBy("set", "_least").agg(F.count(F.lit(1)).alias("_n"), F.min("reach").alias("_left"), F.max("size").alias("_size"))
+    head = lists.where("10 * (_n + _left - 1) >= 8 * _size").groupBy("set").agg(F.max_by("_least", F.struct("_n", "_least")).alias("head"))
     tried = ordered(close_prints(names, stage).union(head.select("head", "set")))
     near = verified(stage.put(possible(tried, names), "near"), names, df, words, stage)
     nodes = stage.put(components(near, stage), "nodes")

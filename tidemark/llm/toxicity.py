@@ -33,6 +33,7 @@ SAMPLE = 3000
 FEATURE_SHARE, FEATURE_SIGMA = 0.004, 3.0
 FOLDS = 5
 PREFIXES = range(3, 9)
+START = PREFIXES[0]
 #: What a character may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
 SEPARATORS = " \t\n\r\x0b\x0c.-_*~'`/\\"
@@ -134,18 +135,52 @@ def tokens_of(text: str) -> set[str]:
     return out
 
 
+def starts(form: str) -> set[str]:
+    """The first START letters, or all, that any reading of a form may have: more than there are, never fewer."""
+    out, open_, before = {form[:START]}, {""}, ""
+    for ch in form:
+        letters = ([ch] if ch.isalpha() else []) + list(STANDS_FOR.get(ch, ""))
+        skip = ch in SEPARATORS or ch == before
+        if ch not in SEPARATORS:
+            before = ch
+        grown = {x + c for x in open_ for c in letters or ([] if skip else [ch])}
+        out |= {x for x in grown if len(x) == START}
+        open_ = {x for x in grown if len(x) < START} | (open_ if skip else set())
+        if not open_:
+            return out
+    return out | open_
+
+
 class Reader(dict):
     """What a model sees in tokens: the readings and features of each, or None if it has no feature in `wanted` (None: all count)."""
 
     def __init__(self, model: Model, wanted: dict | None):
         self.model, self.wanted = model, wanted
+        self.starts = wanted and {f.removeprefix("=")[:START] for f in wanted}
+
+    def may_count(self, token: str) -> bool:
+        """Whether a feature begins like some reading of the token; most tokens need no decoding by that."""
+        if self.wanted is None:
+            return True
+        if not self.wanted:
+            return False
+        if token.isalpha() and not _DOUBLE.search(token):
+            return token[:START] in self.starts
+        bare = token.strip(_ENDS)
+        if not bare:
+            return False
+        whole = token.strip(_BARE_ENDS)
+        left = "".join(c for c in whole[: whole.index(bare)] if c in STANDS_FOR)
+        return not self.starts.isdisjoint(starts(bare)) or bool(left) and not self.starts.isdisjoint(starts(left + bare))
 
     def __missing__(self, token: str) -> tuple[tuple[str, ...], tuple] | None:
-        readings = self.model.readings(token)
-        found = features_of(readings)
-        if self.wanted is not None:
-            found = [self.wanted[f] for f in found if f in self.wanted]
-        got = (readings, tuple(found)) if found else None
+        got = None
+        if self.may_count(token):
+            readings = self.model.readings(token)
+            found = features_of(readings)
+            if self.wanted is not None:
+                found = [self.wanted[f] for f in found if f in self.wanted]
+            got = (readings, tuple(found)) if found else None
         if len(self) < KEEP_TOKENS and len(token) <= KEEP_CHARS:
             self[token] = got
         return got
@@ -178,13 +213,18 @@ def features_of(readings: tuple[str, ...]) -> list[str]:
 
 def letters_of(words: Counter[str]) -> Counter[tuple[str, str, str]]:
     """Trigrams of the plain ones among counted words."""
-    tri: Counter[tuple[str, str, str]] = Counter()
-    for w, n in words.items():
-        if w.isalpha() and not _TRIPLE.search(w):
-            full = EDGE * 2 + w + EDGE
-            for i in range(2, len(full)):
-                tri[full[i - 2], full[i - 1], full[i]] += n
-    return tri
+    plain = [w for w in words if w.isalpha() and not _TRIPLE.search(w)]
+    if not plain:
+        return Counter()
+    flat = np.frombuffer("".join(EDGE * 2 + w + EDGE for w in plain).encode("utf-32-le"), np.uint32).astype(np.int64)
+    size = np.array([len(w) + 3 for w in plain])
+    whole = np.arange(len(flat)) + 2 < np.repeat(np.cumsum(size), size)  # a trigram that begins here ends in the same word
+    at = np.flatnonzero(whole)
+    codes, where = np.unique(flat[at] << 42 | flat[at + 1] << 21 | flat[at + 2], return_inverse=True)
+    weight = np.repeat([words[w] for w in plain], size)[at]
+    n = np.bincount(where, weight)
+    low = (1 << 21) - 1
+    return Counter({(chr(c >> 42), chr(c >> 21 & low), chr(c & low)): int(k) for c, k in zip(codes.tolist(), n.tolist(), strict=True)})
 
 
 def count_letters(texts: list[str]) -> Counter[tuple[str, str, str]]:
