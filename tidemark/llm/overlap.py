@@ -98,16 +98,17 @@ def sets(df: DataFrame, words: int, common: np.ndarray) -> DataFrame:
 
 
 def whole_sets(df: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """set and shingles of the distinct texts that `keys` (text_key, _id) names."""
+    """set, shingles and marks (the distinct first 16 bits of the shingles) of the distinct texts that `keys` (text_key, _id) names."""
 
     def run(batches):
         for batch in batches:
             found = [shingle_set(x, words) for x in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in found], pa.int64()), _listed(found)], ["set", "shingles"])
+            marks = pa.array([np.unique(s >> np.uint64(48)).astype(np.uint16).view(np.int16) for s in found], pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in found], pa.int64()), _listed(found), marks], ["set", "shingles", "marks"])
 
     rows = df.select("doc_id", whole_text().alias("_text"), text_key().alias("text_key"))
     rows = rows.join(keys, (rows["text_key"] == keys["text_key"]) & rows["doc_id"].eqNullSafe(keys["_id"]), "left_semi")
-    return rows.select("_text").mapInArrow(run, "set bigint, shingles array<bigint>").dropDuplicates(["set"])
+    return rows.select("_text").mapInArrow(run, "set bigint, shingles array<bigint>, marks array<smallint>").dropDuplicates(["set"])
 
 
 def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -119,17 +120,27 @@ def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(both).select("a", "b")
 
 
+def beside(pairs: DataFrame, whole: DataFrame, columns: list[str], stage: Stage) -> DataFrame:
+    """The pairs with columns of both sets, as _a_ and _b_ columns. A set with many partners is sent to several groups of them. The pairs are stored
+    first, so that Spark knows their size and need not shuffle what they are joined with if there are few."""
+    fans = stage.put(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("_fans")), "fans")
+    dealt = stage.put(pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_fans")).alias("_fan")), "dealt")
+    left = whole.select(F.col("set").alias("b"), *[F.col(c).alias(f"_b_{c}") for c in columns]).join(dealt, "b")
+    right = whole.select(F.col("set").alias("a"), *[F.col(c).alias(f"_a_{c}") for c in columns]).join(fans, "a")
+    return left.join(right.withColumn("_fan", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_fans") - 1))), ["a", "_fan"])
+
+
 def verified(pairs: DataFrame, reps: DataFrame, df: DataFrame, words: int, stage: Stage) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose whole sets have the similarity. A set with many partners is sent to several groups of them."""
+    """Those of the distinct stored pairs (a, b) whose whole sets have the similarity. Marks come first: each mark that the other set lacks
+    is at least one shingle that it lacks, and marks are a quarter of the bytes. What they allow is decided by the shingles."""
     ends = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     keys = stage.put(reps.join(ends, "set", "left_semi").select("text_key", "_id"), "keys")
-    whole = stage.put(whole_sets(df, keys, words), "whole")
-    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("_fans"))
-    dealt = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_fans")).alias("_fan"))
-    left = whole.select(F.col("set").alias("b"), F.col("shingles").alias("_b")).join(dealt, "b")
-    right = whole.select(F.col("set").alias("a"), F.col("shingles").alias("_a")).join(fans, "a").select("a", "_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_fans") - 1)).alias("_fan"))
-    enough = 9 * F.size(F.array_intersect("_a", "_b")) >= 4 * (F.size("_a") + F.size("_b"))
-    out = stage.put(left.join(right, ["a", "_fan"]).where(enough).select("a", "b"), "verified")
+    whole = stage.put(whole_sets(df, keys, words).withColumn("n", F.size("shingles")), "whole")
+    least = F.least(*[F.col(f"_{x}_n") - F.size(F.array_except(f"_{x}_marks", f"_{y}_marks")) for x, y in ("ab", "ba")])
+    enough = lambda overlap: 9 * overlap >= 4 * (F.col("_a_n") + F.col("_b_n"))
+    likely = stage.put(beside(pairs, whole, ["n", "marks"], stage).where(enough(least)).select("a", "b"), "likely")
+    out = beside(likely, whole, ["n", "shingles"], stage).where(enough(F.size(F.array_intersect("_a_shingles", "_b_shingles"))))
+    out = stage.put(out.select("a", "b"), "verified")
     stage.drop(keys, whole)
     return out
 

@@ -30,7 +30,7 @@ from .common import Stage, slices, whole_text, widened
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE = 3000
 #: A feature must be in this share of the sample's toxic texts, and its log ratio must lie so many standard deviations above 0.
-FEATURE_SHARE, FEATURE_SIGMA = 0.004, 3.0
+FEATURE_SHARE, FEATURE_SIGMA = 0.02, 6.0
 FOLDS = 5
 PREFIXES = range(3, 9)
 START = PREFIXES[0]
@@ -169,9 +169,11 @@ class Reader(dict):
         bare = token.strip(_ENDS)
         if not bare:
             return False
-        whole = token.strip(_BARE_ENDS)
-        left = "".join(c for c in whole[: whole.index(bare)] if c in STANDS_FOR)
-        return not self.starts.isdisjoint(starts(bare)) or bool(left) and not self.starts.isdisjoint(starts(left + bare))
+        plain = bare.isalpha() and not _DOUBLE.search(bare)
+        if (bare[:START] in self.starts) if plain else not self.starts.isdisjoint(starts(bare)):
+            return True
+        left = "".join(c for c in token[: token.index(bare)] if c in STANDS_FOR)
+        return bool(left) and not self.starts.isdisjoint(starts(left + bare))
 
     def __missing__(self, token: str) -> tuple[tuple[str, ...], tuple] | None:
         got = None
