@@ -90,27 +90,51 @@ def test_components_of_chains_loops_and_nothing(spark):
     assert components(edges.limit(0), Stage(spark, "c")).count() == 0
 
 
-def test_language_model_against_plain_counts(spark):
-    rows = [*ROWS, *((100 + i, f"the quick fox {i % 3} runs the river", "en", "s") for i in range(30))]
+def test_language_model_against_plain_counts(spark, monkeypatch):
+    """An automaton of dictionaries over all orders, walked token by token."""
+    monkeypatch.setattr(lmscore, "BATCH", 2000)
+    monkeypatch.setattr(lmscore, "SHARD_BYTES", 100_000)
+    rows = [*ROWS, *((100 + i, f"the quick fox {i % 3} runs the river and the quick fox {i % 7} sleeps", "en", "s") for i in range(60))]
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
     split = [(i, held(i), [*WORD.findall(lower(t)), "</s>"]) for i, t, *_ in rows]
-    c, pairs, before = Counter(), Counter(), Counter()
+    c, follows = Counter(), Counter()
     for _, h, tokens in split:
         if not h:
-            c.update(tokens)
-            pairs.update(zip(["</s>", *tokens], tokens))
+            c.update((w,) for w in tokens)
+            line = ["</s>", *tokens]
+            follows.update(line[k : k + 2] and tuple(line[k : k + 2]) for k in range(len(tokens)))
+            follows.update(tuple(line[k : k + 3]) for k in range(len(tokens) - 1))
     n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    known = lambda h: c[h] if len(h) == 1 else follows[h]
+
+    def p(h, w):
+        if not h:
+            return (c[w,] + 0.1) / (n + 0.1 * (v + 1))
+        return (follows[(*h, w)] + p(h[1:], w)) / (known(h) + 1)
+
     want = []
     for i, h, tokens in split:
-        score = 0.0
-        for a, b in zip(["</s>", *tokens], tokens):
-            score += math.log10(0.5 * pairs[a, b] / c[a] + 0.5 * p(b)) if pairs[a, b] else math.log10((0.5 if c[a] else 1) * p(b))
-        want.append((i, h, len(tokens), sum(c[t] > 0 for t in tokens), n, sum(math.log10(p(t)) for t in tokens), score))
+        state, score = ("</s>",) if c["</s>",] else (), 0.0
+        for w in tokens:
+            while state and not follows[(*state, w)]:  # failure arcs
+                score += math.log10(1 / (known(state) + 1))
+                state = state[1:]
+            score += math.log10(p(state, w))
+            state = (*state, w)[-2:]
+            while state and not known(state):
+                state = state[1:]
+        want.append((i, h, len(tokens), sum(c[t,] > 0 for t in tokens), n, sum(math.log10(p((), t)) for t in tokens), score))
     have = got(lmscore.scores(clashing(documents(spark, rows))))
     for x, y in zip(have, sorted(want, key=repr), strict=True):
         assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-9)
     assert got(lmscore.scores(documents(spark, []))) == []
+    named = lmscore.scores(documents(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string")))
+    assert {(r["doc_id"], round(r["score"], 6)) for r in named.collect()} == {(i if i is None else str(i), round(s, 6)) for i, *_, s in want}
+
+
+def test_numbers_survive_squeezing():
+    for x in (np.array([], np.uint64), np.array([5], np.uint32), np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64)):
+        assert lmscore.unsqueezed(lmscore.squeezed(x), x.dtype.type).tolist() == x.tolist()
 
 
 def test_streams_hold_the_payload(spark):
@@ -150,6 +174,41 @@ def test_shards(spark):
     assert got(again) == got(sharding.shard_rows(df, 8)) and sharding.shard_rows(documents(spark, []), 8).count() == 0
 
 
+def xx64(x, seed):
+    """XXH64 of one long as Spark's xxhash64 has it, as a signed number."""
+    h = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed & (1 << 64) - 1)
+    return h - (h >> 63 << 64)
+
+
+def plain_place(x, n, seed):
+    """The cycle-walked network by plain numbers."""
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    while True:
+        left, right = divmod(x, b)
+        for i in range(sharding.ROUNDS):
+            k = 2 * ((seed << 8) + i) + i % 2
+            if k % 2:
+                right = (right + xx64(k, xx64(left, 42)) % b) % b
+            else:
+                left = (left + xx64(k, xx64(right, 42)) % a) % a
+        x = left * b + right
+        if x < n:
+            return x
+
+
+def test_places_against_plain_numbers(spark):
+    """Every row's shard and slot from its rank by content hash, computed apart."""
+    rows = [(i, f"text {i} " + "x" * (i % 13), "en", "s") for i in range(137)]
+    n = len(rows)
+    found = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_rows(documents(spark, rows), 8).collect()}
+    text_hash = lambda t: (lambda h: h - (h >> 63 << 64))(xxhash.xxh64_intdigest(t.encode(), 42))
+    key = {i: hashlib.md5(f"{sharding.SEED}:{i}:{text_hash(t)}".encode()).hexdigest() for i, t, *_ in rows}
+    for number, i in enumerate(sorted(key, key=key.get)):
+        place = plain_place(number, n, sharding.SEED)
+        assert found[i] == (place % 8, place // 8)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
 def test_feistel_is_a_permutation(spark, n):
     places = [r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n)).collect()]

@@ -1,8 +1,8 @@
 """Mixing sources to target weights: hierarchical budgeting over domain, language and source.
 
 A token budget flows down the tree in proportion to the weights. No node gets more than its capacity, that is its
-tokens times the epochs allowed; what a node cannot take goes to its siblings by their weights, and only what all
-siblings together cannot take is left to their parent's siblings. A leaf's share is whole epochs and then a prefix of
+tokens times the epochs allowed; what is below a weight of 0 counts for nothing. What a node cannot take goes to its siblings by their
+weights, and only what all siblings together cannot take is left to their parent's siblings. A leaf's share is whole epochs and then a prefix of
 the next epoch, in which the leaf's documents stand in the order of a seeded hash.
 
 All shares are exact integers. Sums of tokens times weights must stay below 2**63.
@@ -84,14 +84,16 @@ def plan(rows: DataFrame, mix: Mix, stage: Stage) -> DataFrame:
     """Per leaf: tokens, share, full_epochs, rest (tokens of the last epoch's prefix) and cut (the last hash in that prefix)."""
     leaves = stage.put(rows.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "leaves")
     total, docs = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
-    caps = leaves.withColumn("cap", F.col("tokens") * mix.max_epochs)
-    capacity = total * mix.max_epochs
-    level = caps.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("w", _weight("domain", mix.domains))
-    level = level.withColumn("budget", F.lit(min(total * mix.share_thousandths // 1000, capacity)).cast("long")).withColumn("_root", F.lit(0))
+    # Capacities from the leaves up, then budgets from the root down.
+    open_ = lambda df: df.withColumn("cap", F.when(F.col("w") > 0, F.col("cap")).otherwise(0))
+    caps = open_(leaves.withColumn("cap", F.col("tokens") * mix.max_epochs).withColumn("w", _weight("source", mix.sources)))
+    by_lang = open_(caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("w", _weight("lang", mix.langs)))
+    by_domain = stage.put(open_(by_lang.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("w", _weight("domain", mix.domains))), "domains")
+    capacity = by_domain.agg(F.coalesce(F.sum("cap"), F.lit(0))).first()[0]
+    level = by_domain.withColumn("budget", F.lit(min(total * mix.share_thousandths // 1000, capacity)).cast("long")).withColumn("_root", F.lit(0))
     level = _share_out(level, ["_root"], "domain").select("domain", F.col("share").alias("budget"))
-    middle = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("w", _weight("lang", mix.langs)).join(level, "domain")
-    middle = _share_out(middle, ["domain"], "lang").select("domain", "lang", F.col("share").alias("budget"))
-    final = caps.withColumn("w", _weight("source", mix.sources)).join(middle, ["domain", "lang"])
+    middle = _share_out(by_lang.join(level, "domain"), ["domain"], "lang").select("domain", "lang", F.col("share").alias("budget"))
+    final = caps.join(middle, ["domain", "lang"])
     final = _share_out(final, ["domain", "lang"], "source")
     final = final.withColumn("full_epochs", F.expr("if(tokens > 0, share div tokens, 0)")).withColumn("rest", F.expr("if(tokens > 0, share % tokens, 0)"))
     final = stage.put(final.select(*LEAF, "tokens", "docs", "share", "full_epochs", "rest"), "shares")
@@ -153,19 +155,21 @@ def _case(col: str, weights: dict[str, int]) -> str:
 
 
 def sql(mix: Mix) -> str:
-    """mixture() over `documents` in DuckDB's SQL, for positive weights and texts of at least one token."""
+    """mixture() over `documents` in DuckDB's SQL, for leaves of at least one token."""
     place = f"('0x' || substr(md5('{mix.seed}:' || full_epochs::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT"
     return f"""
 WITH s AS (
   SELECT doc_id, CASE coalesce(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '')::BIGINT, 0) % 3 WHEN 0 THEN 'crawl' WHEN 1 THEN 'reference' ELSE 'community' END AS domain,
     coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS tokens FROM documents),
-leaf AS (SELECT domain, lang, source, sum(tokens) AS tokens, sum(tokens) * {mix.max_epochs} AS cap FROM s GROUP BY ALL),
-total AS (SELECT least(sum(tokens) * {mix.share_thousandths} // 1000, sum(cap)) AS budget FROM leaf),
-one AS (WITH t AS (SELECT domain, sum(cap) AS cap, {_case("domain", mix.domains)} AS w, 0 AS root, any_value(budget) AS budget FROM leaf, total GROUP BY domain)
+leaf AS (SELECT domain, lang, source, sum(tokens) AS tokens, {_case("source", mix.sources)} AS w, CASE WHEN {_case("source", mix.sources)} > 0 THEN sum(tokens) * {mix.max_epochs} ELSE 0 END AS cap FROM s GROUP BY domain, lang, source),
+bylang AS (SELECT domain, lang, {_case("lang", mix.langs)} AS w, CASE WHEN {_case("lang", mix.langs)} > 0 THEN sum(cap) ELSE 0 END AS cap FROM leaf GROUP BY domain, lang),
+bydomain AS (SELECT domain, {_case("domain", mix.domains)} AS w, CASE WHEN {_case("domain", mix.domains)} > 0 THEN sum(cap) ELSE 0 END AS cap FROM bylang GROUP BY domain),
+total AS (SELECT least((SELECT sum(tokens) FROM leaf) * {mix.share_thousandths} // 1000, sum(cap)) AS budget FROM bydomain),
+one AS (WITH t AS (SELECT domain, cap, greatest(w, 1) AS w, 0 AS root, budget FROM bydomain, total)
   {_share_sql("root", "domain")}),
-two AS (WITH t AS (SELECT leaf.domain, lang, sum(leaf.cap) AS cap, {_case("lang", mix.langs)} AS w, any_value(one.share) AS budget FROM leaf JOIN one USING (domain) GROUP BY leaf.domain, lang)
+two AS (WITH t AS (SELECT domain, lang, b.cap, greatest(b.w, 1) AS w, one.share AS budget FROM bylang b JOIN one USING (domain))
   {_share_sql("domain", "lang")}),
-three AS (WITH t AS (SELECT leaf.domain, leaf.lang, source, leaf.tokens, leaf.cap, {_case("source", mix.sources)} AS w, two.share AS budget FROM leaf JOIN two USING (domain, lang))
+three AS (WITH t AS (SELECT domain, lang, source, leaf.tokens, leaf.cap, greatest(leaf.w, 1) AS w, two.share AS budget FROM leaf JOIN two USING (domain, lang))
   {_share_sql("domain, lang", "source")}),
 p AS (SELECT s.*, share // three.tokens AS full_epochs, share % three.tokens AS rest FROM s JOIN three USING (domain, lang, source)),
 h AS (SELECT *, {place} AS h FROM p),

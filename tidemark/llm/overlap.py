@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Stage, text_key, whole_text
+from .common import Stage, slices, text_key, whole_text
 from .components import components
 from .simhash import links, majority, only_first, shingle_hashes
 
@@ -84,13 +84,14 @@ def sets(df: DataFrame, words: int, common: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            hashes = [shingle_hashes(x, words) for x in batch.column("_text").to_pylist()]
-            found = [np.unique(h) for h in hashes]
-            names, sizes = pa.array([name_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())
-            first = _listed([first_shingles(s, shared.value) for s in found])
-            bits = _listed([bitmap(s) for s in found])
-            prints = pa.array(majority(hashes).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), names, sizes, prints, bits, first], ["doc_id", "text_key", "set", "size", "fingerprint", "bits", "first"])
+            for lo, n in slices(batch.column("_text")):
+                hashes = [shingle_hashes(x, words) for x in batch.column("_text").slice(lo, n).to_pylist()]
+                found = [np.unique(h) for h in hashes]
+                names, sizes = pa.array([name_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())
+                first = _listed([first_shingles(s, shared.value) for s in found])
+                bits = _listed([bitmap(s) for s in found])
+                prints = pa.array(majority(hashes).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("text_key").slice(lo, n), names, sizes, prints, bits, first], ["doc_id", "text_key", "set", "size", "fingerprint", "bits", "first"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
     rows = df.select("doc_id", whole_text().alias("_text"), text_key().alias("text_key"))
@@ -102,9 +103,10 @@ def whole_sets(df: DataFrame, keys: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [shingle_set(x, words) for x in batch.column("_text").to_pylist()]
-            marks = pa.array([np.unique(s >> np.uint64(48)).astype(np.uint16).view(np.int16) for s in found], pa.list_(pa.int16()))
-            yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in found], pa.int64()), _listed(found), marks], ["set", "shingles", "marks"])
+            for lo, n in slices(batch.column("_text")):
+                found = [shingle_set(x, words) for x in batch.column("_text").slice(lo, n).to_pylist()]
+                marks = pa.array([np.unique(s >> np.uint64(48)).astype(np.uint16).view(np.int16) for s in found], pa.list_(pa.int16()))
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in found], pa.int64()), _listed(found), marks], ["set", "shingles", "marks"])
 
     rows = df.select("doc_id", whole_text().alias("_text"), text_key().alias("text_key"))
     rows = rows.join(keys, (rows["text_key"] == keys["text_key"]) & rows["doc_id"].eqNullSafe(keys["_id"]), "left_semi")

@@ -39,9 +39,9 @@ STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = " \t\n\r\x0b\x0c.-_*~'`/\\"
 READ_COST, REPEAT_COST, GAP_COST, KEEP_COST = 1.0, 1.5, 0.4, 8.0
 #: What is found out about a token is kept for the next text, up to so many tokens of so many characters; longer ones are decoded again.
-KEEP_TOKENS, KEEP_CHARS = 300_000, 40
+KEEP_TOKENS, KEEP_CHARS = 100_000, 40
 #: Distinct words that a task counts before it hands their trigrams on.
-FLUSH_WORDS = 200_000
+FLUSH_WORDS = 100_000
 EDGE = "^"
 _TRIPLE, _DOUBLE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
 _ENDS = ".,;:?\"'()[]{}«»<>…-!*"

@@ -1,7 +1,7 @@
 """URL filters with dated lists: entries become validity intervals, and every capture meets those active when it was fetched.
 
 A list entry is (pattern, action, listed_on). A pattern is `d:` and a domain suffix of two labels or more, `h:` and a
-host, or `p:`, a host and a path prefix of whole segments. An entry holds from its date until the next entry of
+host (a name, an IPv4 address, or an IPv6 address in brackets; addresses have no domains), or `p:`, a host and a path prefix of whole segments. An entry holds from its date until the next entry of
 the same pattern, whatever that says; the action `clear` ends an entry without another. A capture takes the action of the most
 specific active pattern: the longest path prefix, then the host, then the longest domain.
 """
@@ -14,7 +14,9 @@ from pyspark.sql.window import Window
 
 from .common import Stage
 
-_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)"
+#: Scheme, user, host (an IPv6 address in brackets), port, path.
+_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)(?::[0-9]*)?(?:$|([/?#].*))"
+_ADDRESS = r"^(?:\[.*|[0-9]{1,3}(?:\.[0-9]{1,3}){3})$"
 
 
 def host(url: Column) -> Column:
@@ -27,9 +29,10 @@ def patterns(url: Column) -> Column:
     name = host(url)
     labels = F.split(name, r"\.")
     n = F.size(labels)
-    parts = F.filter(F.split(F.regexp_extract(url, _URL, 2), "/"), lambda s: s != "")
+    path = F.regexp_extract(F.regexp_extract(url, _URL, 2), "^[^?#]*", 0)
+    parts = F.filter(F.split(path, "/"), lambda s: s != "")
     one = lambda p, s: F.struct(p.alias("pattern"), s.cast("int").alias("specificity"))
-    domains = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: one(F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, n), ".")), n - i + 1)))
+    domains = F.when((n > 1) & ~name.rlike(_ADDRESS), F.transform(F.sequence(F.lit(1), n - 1), lambda i: one(F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, n), ".")), n - i + 1)))
     paths = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: one(F.concat(F.lit("p:"), name, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")), 2000 + i)))
     none = F.filter(F.array(one(F.lit(""), F.lit(0))), lambda x: F.lit(False))
     return F.when(name.isNotNull(), F.concat(F.array(one(F.concat(F.lit("h:"), name), F.lit(1000))), F.coalesce(domains, none), F.coalesce(paths, none)))
@@ -49,17 +52,18 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     The list is stored first, so that Spark knows its size: a small one is broadcast, a large one is
     joined by pattern, and the partitions of a host with many captures can be split, as the join's other side
-    has at most one active interval for a pattern and time.
+    has at most one active interval for a pattern and time. Patterns travel with a number of the capture, not with its URL.
     """
     stage = Stage(captures.sparkSession, "urls")
     active = stage.put(intervals(entries), "intervals")
-    seen = captures.select("page_id", "url", "fetched_at", F.posexplode_outer(patterns(F.col("url"))).alias("_k", "_p"))
-    seen = seen.select("page_id", "url", "fetched_at", "_k", F.col("_p.pattern").alias("pattern"), F.col("_p.specificity").alias("_s"))
+    rows = stage.put(captures.select("page_id", "url", "fetched_at", F.monotonically_increasing_id().alias("_row")), "captures")
+    seen = rows.where("fetched_at is not null").select("_row", "fetched_at", F.explode(patterns(F.col("url"))).alias("_p"))
+    seen = seen.select("_row", "fetched_at", F.col("_p.pattern").alias("pattern"), F.col("_p.specificity").alias("_s"))
     covered = (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
-    hits = seen.join(active, (seen["pattern"] == active["pattern"]) & covered, "left").select("page_id", "url", "fetched_at", "_k", F.when(F.col("action").isNotNull(), F.struct(F.col("_s"), "action", active["pattern"].alias("pattern"), "valid_from")).alias("_hit"))
-    best = hits.groupBy("page_id", "url", "fetched_at").agg(F.max("_hit").alias("_hit"), F.count_if(F.coalesce("_k", F.lit(0)) == 0).alias("_times"))
+    hits = seen.join(active, (seen["pattern"] == active["pattern"]) & covered).select("_row", F.struct(F.col("_s"), "action", active["pattern"].alias("pattern"), "valid_from").alias("_hit"))
+    best = hits.groupBy("_row").agg(F.max("_hit").alias("_hit"))
     verdict = F.when(host(F.col("url")).isNull(), "unparsed").when(F.col("fetched_at").isNull(), "undated").otherwise(F.coalesce("_hit.action", F.lit("none")))
-    return best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("page_id", "url", "fetched_at", verdict.alias("verdict"), F.col("_hit.pattern").alias("pattern"), F.col("_hit.valid_from").alias("listed_on"))
+    return rows.join(best, "_row", "left").select("page_id", "url", "fetched_at", verdict.alias("verdict"), F.col("_hit.pattern").alias("pattern"), F.col("_hit.valid_from").alias("listed_on"))
 
 
 def captures(pages: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def sample_list(pages: DataFrame) -> DataFrame:
     on = lambda days: F.date_add(F.lit("2024-01-01").cast("date"), days)
     h = F.col("h")
     kind, day = digit(h, 1, 2), digit(h, 3, 2)
-    part = names.select(F.regexp_extract("h", r"([^.]+\.[^.]+)$", 1).alias("h")).where("h <> ''").distinct()
+    part = names.where(~h.rlike(_ADDRESS)).select(F.regexp_extract("h", r"([^.]+\.[^.]+)$", 1).alias("h")).where("h <> ''").distinct()
     row = lambda pattern, action, date: [pattern.alias("pattern"), F.lit(action).alias("action"), date.alias("listed_on")]
     made = [
         names.where(kind % 4 == 0).select(*row(F.concat(F.lit("h:"), h), "block", on(day))),
@@ -95,11 +99,11 @@ def sample_list(pages: DataFrame) -> DataFrame:
 SQL = r"""
 WITH u AS (
   SELECT page_id, url, DATE '2024-01-01' + ((page_id * 37) % 365)::INT AS fetched_at,
-    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)', 1)), '\.$', ''), '') AS h,
-    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)', 2), '/'), lambda x: x <> '') AS parts
+    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)(?::[0-9]*)?(?:$|([/?#].*))', 1)), '\.$', ''), '') AS h,
+    list_filter(string_split(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)(?::[0-9]*)?(?:$|([/?#].*))', 2), '^[^?#]*'), '/'), lambda x: x <> '') AS parts
   FROM pages),
 n AS (SELECT DISTINCT h, ('0x' || substr(md5(h), 1, 2))::INT AS kind, ('0x' || substr(md5(h), 3, 2))::INT AS day FROM u WHERE h IS NOT NULL),
-d AS (SELECT DISTINCT h, ('0x' || substr(md5(h), 3, 2))::INT AS day FROM (SELECT regexp_extract(h, '([^.]+\.[^.]+)$', 1) AS h FROM n) WHERE h <> ''),
+d AS (SELECT DISTINCT h, ('0x' || substr(md5(h), 3, 2))::INT AS day FROM (SELECT regexp_extract(h, '([^.]+\.[^.]+)$', 1) AS h FROM n WHERE NOT regexp_matches(h, '^(?:\[.*|[0-9]{1,3}(?:\.[0-9]{1,3}){3})$')) WHERE h <> ''),
 e AS (
   SELECT 'h:' || h AS pattern, 'block' AS action, DATE '2024-01-01' + day AS valid_from FROM n WHERE kind % 4 = 0
   UNION ALL SELECT 'h:' || h, 'clear', DATE '2024-01-01' + day + 60 FROM n WHERE kind % 4 = 0
@@ -112,7 +116,7 @@ m AS (
   SELECT u.page_id, u.url, u.fetched_at, u.h, i.action, i.pattern, i.valid_from,
     row_number() OVER (PARTITION BY u.page_id, u.url ORDER BY CASE substr(i.pattern, 1, 2) WHEN 'p:' THEN 2000 WHEN 'h:' THEN 1000 ELSE 0 END + length(i.pattern) DESC NULLS LAST) AS r
   FROM u LEFT JOIN i ON i.action <> 'clear' AND u.fetched_at >= i.valid_from AND (i.valid_to IS NULL OR u.fetched_at < i.valid_to)
-    AND (i.pattern = 'h:' || u.h OR (i.pattern LIKE 'd:%' AND ('.' || u.h) LIKE '%.' || substr(i.pattern, 3)) OR i.pattern = 'p:' || u.h || '/' || u.parts[1]))
+    AND (i.pattern = 'h:' || u.h OR (i.pattern LIKE 'd:%' AND NOT regexp_matches(u.h, '^(?:\[.*|[0-9]{1,3}(?:\.[0-9]{1,3}){3})$') AND ('.' || u.h) LIKE '%.' || substr(i.pattern, 3)) OR i.pattern = 'p:' || u.h || '/' || u.parts[1]))
 SELECT page_id, url, fetched_at::VARCHAR AS fetched_at, CASE WHEN h IS NULL THEN 'unparsed' WHEN fetched_at IS NULL THEN 'undated' ELSE coalesce(action, 'none') END AS verdict,
   pattern, valid_from::VARCHAR AS listed_on FROM m WHERE r = 1
 """
