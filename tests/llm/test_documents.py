@@ -163,6 +163,67 @@ def test_damaged_streams_are_noticed():
     assert mpegts.demux(b"\0" + stream[1:]).damaged == 1 and mpegts.demux(stream[:-5]).damaged >= 1 and mpegts.demux(b"").units == []
 
 
+def ts_packet(pid, counter, payload, begins=False, adaptation=None):
+    """A transport packet written field by field."""
+    head = bytes([0x47, (0x40 if begins else 0) | pid >> 8, pid & 255])
+    if adaptation is None and len(payload) < 184:
+        adaptation = b"\x00" if len(payload) < 183 else b""
+    if adaptation is None:
+        return head + bytes([0x10 | counter]) + payload
+    room = 183 - len(payload)
+    return head + bytes([0x30 | counter, room]) + adaptation[:room].ljust(room, b"\xff") + payload
+
+
+def table(table_id, number, body):
+    """A section with its checksum by plain long division."""
+    data = bytes([table_id, 0xB0 | len(body) + 9 >> 8, len(body) + 9 & 255, number >> 8, number & 255, 0xC1, 0, 0]) + body
+    crc = 0xFFFFFFFF
+    for byte in data:
+        for bit in range(8):
+            top = (crc >> 31) ^ (byte >> 7 - bit & 1)
+            crc = (crc << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if top else 0)
+    return data + crc.to_bytes(4, "big")
+
+
+def foreign(change=lambda packets: packets):
+    """A stream not made by the muxer: a program map over two packets, two units, the second a random-access point at 1,000."""
+    pat = table(0, 1, bytes([0, 7, 0xE0 | 0x02, 0x00]))
+    info = bytes([5, 200]) + b"i" * 200
+    pmt = table(2, 7, bytes([0xE1, 0x11, 0xF0, len(info)]) + info + bytes([6, 0xE1, 0x11, 0xF0, 0]))
+    pes = lambda t, data: b"\0\0\1\xbd" + (len(data) + 8).to_bytes(2, "big") + bytes([0x84, 0x80, 5, 0x21 | t >> 29 & 14, t >> 22 & 255, t >> 14 & 254 | 1, t >> 7 & 255, t << 1 & 254 | 1]) + data
+    one, two = pes(7, b"a" * 300), pes(1000, b"b" * 20)
+    first = b"\0" + pmt
+    packets = [
+        ts_packet(0, 3, b"\0" + pat + b"\xff" * (183 - len(pat)), True),
+        ts_packet(0x200, 14, first[:184], True),
+        ts_packet(0x200, 15, first[184:].ljust(184, b"\xff")),
+        ts_packet(0x111, 9, one[:184], True),
+        ts_packet(0x111, 10, one[184:]),
+        ts_packet(0x111, 11, two, True, b"\x40"),
+    ]
+    return mpegts.demux(b"".join(change(packets)))
+
+
+def test_streams_of_another_muxer():
+    got_ = foreign()
+    assert got_.programs == [(7, 0x200, 0x111, 6)] and got_.payload == b"a" * 300 + b"b" * 20
+    assert got_.units == [(7, 0, 300, False), (1000, 300, 20, True)] and (got_.damaged, got_.continuity_errors) == (0, 0)
+    twice = foreign(lambda p: [*p[:5], p[4], p[5]])
+    assert twice.payload == got_.payload and (twice.damaged, twice.continuity_errors) == (0, 0)
+    thrice = foreign(lambda p: [*p[:5], p[4], p[4], p[5]])
+    assert thrice.continuity_errors >= 1
+    jump = lambda p, flag: [*p[:5], ts_packet(0x111, 2, p[5][-34:], True, flag)]
+    assert foreign(lambda p: jump(p, b"\x40")).continuity_errors == 1 and foreign(lambda p: jump(p, b"\xc0")).continuity_errors == 0
+    assert foreign(lambda p: [p[0], p[1], p[2], p[4], p[5]]).damaged >= 1
+    assert foreign(lambda p: [p[0], p[1], p[3], p[4], p[5]]).programs == [] and foreign(lambda p: [p[0], p[1], p[3], p[4], p[5]]).damaged == 1
+    assert foreign(lambda p: [p[0][:-1] + b"\0", *p[1:]]).programs == got_.programs
+
+
+def test_feature_tells_all_units_apart(spark):
+    features = [r["feature"] for r in mpegts.digests(documents(spark, [(1, "x" * 200_000, "en", "s"), (2, "x" * 219_000, "en", "s")])).collect()]
+    assert len(set(features)) == 2 and all("access=1" in f for f in features)
+
+
 def test_shards(spark):
     df = clashing(documents(spark))
     for shards in (1, 5, 8):

@@ -31,6 +31,8 @@ from .common import Stage, whole_text
 
 FOLDS, PRIOR, ADD = 10, 1.0, 0.1
 BATCH, SHARD_BYTES = 8 << 20, 8 << 20
+#: Text that a task after a shuffle works on, about; the number of tasks grows with the input.
+TASK_BYTES = 16 << 20
 #: A batch has fewer distinct tokens than longer n-grams; their shards are so many times larger.
 WORD_SHARDS = 8
 END = 0
@@ -310,9 +312,12 @@ def scores(df: DataFrame) -> DataFrame:
     """
     stage = Stage(df.sparkSession, "lm")
     packed = stage.put(pack(df), "packed")
-    shards = Shards.of(packed.agg(F.coalesce(F.sum(F.expr("aggregate(size, 0L, (a, x) -> a + x)")), F.lit(0))).first()[0])
-    asked = packed.mapInArrow(_ask(shards), REQUESTS)
+    total = packed.agg(F.coalesce(F.sum(F.expr("aggregate(size, 0L, (a, x) -> a + x)")), F.lit(0))).first()[0]
+    shards = Shards.of(total)
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    asked = packed.mapInArrow(_ask(shards), REQUESTS).repartition(tasks, "shard")
     answers = stage.put(asked.groupBy("shard").applyInArrow(_answer(shards), ANSWERS), "answers")
     n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     kind = df.schema["doc_id"].dataType.simpleString()
+    packed, answers = (x.repartition(tasks, "batch") for x in (packed, answers))
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(shards, n, v, kind), f"doc_id {kind}, {SCORES}")

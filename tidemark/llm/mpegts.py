@@ -130,18 +130,47 @@ class Stream:
 
 
 @lru_cache(maxsize=1024)
-def _parse_section(body: bytes) -> tuple[int, int, bytes] | None:
-    """Table id, number and content of the section in a packet's payload; None if its checksum is wrong."""
-    body = body[1 + body[0] :] if body else b""
-    if len(body) < 12 or (end := 3 + (struct.unpack(">H", body[1:3])[0] & 0xFFF)) > len(body) or section_crc(body[:end]):
+def _parse_section(section: bytes) -> tuple[int, int, bytes] | None:
+    """Table id, number and content of a whole section; None if it is too short or its checksum is wrong."""
+    if len(section) < 12 or section_crc(section):
         return None
-    return body[0], struct.unpack(">H", body[3:5])[0], body[8 : end - 4]
+    return section[0], struct.unpack(">H", section[3:5])[0], section[8:-4]
+
+
+def assembled(parts: list[tuple[bool, bytes]]) -> tuple[list[bytes], int]:
+    """The sections in a table's packets (begins, payload), which may span packets or share one, and the number of those cut off."""
+    out, held, cut, going = [], b"", 0, False
+
+    def settle(held: bytes) -> bytes:
+        while len(held) >= 3 and held[0] != 0xFF:
+            end = 3 + (struct.unpack(">H", held[1:3])[0] & 0xFFF)
+            if len(held) < end:
+                break
+            out.append(held[:end])
+            held = held[end:]
+        return b"" if held[:1] == b"\xff" else held
+
+    for begins, payload in parts:
+        if begins and payload:
+            at = 1 + payload[0]
+            if going:
+                cut += bool(settle(held + payload[1:at]))
+            held, going = settle(payload[at:]), True
+        elif going:
+            held = settle(held + payload)
+        elif payload:
+            cut += 1
+    return out, cut + bool(held)
 
 
 def demux(data: bytes) -> Stream:
-    """Reads a stream of whole packets. Packets without sync byte, sections with a wrong checksum and elementary packets
-    without start code or of a wrong length count as damaged and are left out; a payload packet whose counter does not
-    follow the one before it in its elementary stream counts as a continuity error."""
+    """Reads a stream of whole packets.
+
+    As damaged count, and are left out: packets without sync byte, an incomplete last packet, sections cut off or with a wrong checksum,
+    elementary packets without start code or of a wrong length, and bytes before a stream's first packet start. A payload packet whose
+    counter does not follow the one before it on its PID is a continuity error, unless its adaptation field says that the stream
+    begins anew; one repetition of a packet is allowed and left out.
+    """
     out = Stream()
     rows = np.frombuffer(data, np.uint8)[: len(data) // PACKET * PACKET].reshape(-1, PACKET)
     good = rows[:, 0] == SYNC
@@ -149,12 +178,29 @@ def demux(data: bytes) -> Stream:
     rows = rows[good]
     pid = (rows[:, 1] & 31).astype(np.int32) << 8 | rows[:, 2]
     begins, control, counter = rows[:, 1] & 0x40 > 0, rows[:, 3] >> 4 & 3, rows[:, 3] & 15
+    adapted = (control & 2 > 0) & (rows[:, 4] > 0)
+    anew, access_flag = adapted & (rows[:, 5] & 0x80 > 0), adapted & (rows[:, 5] & 0x40 > 0)
     start = np.where(control & 2, np.minimum(5 + rows[:, 4].astype(np.int32), PACKET), 4)
-    start[control & 1 == 0] = PACKET
+
+    def packets(number: int) -> np.ndarray:
+        """The payload packets of a PID without repetitions; counts continuity errors."""
+        at = np.flatnonzero((pid == number) & (control & 1 > 0))
+        if len(at) < 2:
+            return at
+        step = np.diff(counter[at].astype(np.int32)) & 15
+        again = np.r_[False, step == 0]
+        again[again] = (rows[at[again]] == rows[at[np.flatnonzero(again) - 1]]).all(axis=1)
+        again &= ~np.r_[False, again[:-1]]
+        at = at[~again]
+        step = np.diff(counter[at].astype(np.int32)) & 15
+        out.continuity_errors += int(((step != 1) & ~anew[at[1:]]).sum())
+        return at
 
     def sections(number: int, table_id: int):
-        for i in np.flatnonzero((pid == number) & begins):
-            if (found := _parse_section(rows[i, start[i] :].tobytes())) is None:
+        whole, cut = assembled([(bool(begins[i]), rows[i, start[i] :].tobytes()) for i in packets(number)])
+        out.damaged += cut
+        for section in whole:
+            if (found := _parse_section(section)) is None:
                 out.damaged += 1
             elif found[0] == table_id:
                 yield found
@@ -172,18 +218,16 @@ def demux(data: bytes) -> Stream:
     parts: list[bytes] = []
     offset = 0
     for own in sorted(streams):
-        at = np.flatnonzero((pid == own) & (control & 1 > 0))
+        at = packets(own)
         if not len(at):
             continue
-        count = counter[at].astype(np.int32)
-        out.continuity_errors += int(((np.diff(count) & 15) != 1).sum())
         own_rows, own_start = rows[at], start[at]
         flat = own_rows[np.arange(PACKET) >= own_start[:, None]].tobytes()
         ends = np.cumsum(PACKET - own_start)
         first = np.flatnonzero(begins[at])
-        flag = (control[at] & 2 > 0) & (own_rows[:, 4] > 0) & (own_rows[:, 5] & 0x40 > 0)
+        out.damaged += not begins[at[0]]
         lo = (ends - (PACKET - own_start))[first].tolist()
-        for a, b, access in zip(lo, [*lo[1:], len(flat)], flag[first].tolist(), strict=True):
+        for a, b, access in zip(lo, [*lo[1:], len(flat)], access_flag[at][first].tolist(), strict=True):
             size = struct.unpack(">H", flat[a + 4 : a + 6])[0] if b - a >= 9 else 0
             if b - a < 14 or flat[a : a + 3] != b"\0\0\1" or size and size + 6 != b - a:
                 out.damaged += 1
@@ -250,16 +294,22 @@ def probe(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def digests(documents: DataFrame) -> DataFrame:
-    """Digests of the payload read back and of the stored stream, with a feature string of timestamps and access points."""
+    """Digests of the payload read back and of the stored stream, with a feature string. It holds counts, the first and last timestamp, and
+    digests over all units (timestamp, offset, length) and all random-access points (timestamp, offset).
+
+    A null text counts as empty: one block of padding. Repeated rows are given as often, equal texts have equal values, other columns
+    are not read, and an empty table gives no rows.
+    """
+    listed = lambda xs, *names: F.md5(F.array_join(F.transform(xs, lambda u: F.concat_ws("@", *[u[k].cast("string") for k in names])), ","))
     got = probe(pack(documents))
     units = F.col("units")
     access = F.filter(units, lambda u: u.random_access)
     feature = F.concat_ws(
         ";",
         F.format_string("programs=%d", F.size("programs")),
-        F.format_string("units=%d", F.size(units)),
+        F.format_string("units=%d@%s", F.size(units), listed(units, "pts", "offset", "length")),
         F.format_string("pts=%d-%d", F.array_min(units.pts), F.array_max(units.pts)),
-        F.format_string("access=%d@%s", F.size(access), F.concat_ws(",", F.slice(access.offset, 1, 8).cast("array<string>"))),
+        F.format_string("access=%d@%s", F.size(access), listed(access, "pts", "offset")),
         F.format_string("continuity=%d", F.col("continuity_errors")),
         F.format_string("damaged=%d", F.col("damaged")),
     )
