@@ -100,3 +100,14 @@ def test_round_trips_against_a_plain_fold(spark):
 
 def test_rupees():
     assert [report.rupees(x) for x in (0, 999.5, 123456.789, -12345678.9)] == ["0.00", "999.50", "1,23,456.79", "-1,23,45,678.90"]
+
+
+def test_floor_is_what_charges_make_it():
+    assert backtest.smallest_order("zerodha") == 5600.0 and backtest.smallest_order("angelone") == 25_600.0
+
+
+def test_sales_make_room_in_the_book_and_ids_begin_at_one():
+    s = backtest.Setup(floor=1.0, max_book=100.0, max_stock=10.0)
+    got = backtest.gate([(1, "sell", 10, 50.0), (2, "buy", 1, 90.0), (0, "buy", 1, 5.0)], {1: 80.0}, 100.0, s)
+    assert [r for _, r in got] == ["", "", "malformed"]
+    assert [r for _, r in backtest.gate([(2, "buy", 1, 30.0)], {1: 80.0}, 100.0, s)] == ["book too large"]

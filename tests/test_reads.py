@@ -67,10 +67,41 @@ def test_overlap_is_an_error(spark):
     b = bars(spark, [(i, x, 10.0) for i in (1, 2) for x in d])
     s = symbols(spark, [(i, f"INE00{i}A01010", f"T{i}", "2000-01-01", "0001-01-01") for i in (1, 2)])
     k = links(spark, [(2, 1, "manual", None, None, "2000-01-01")])
-    with pytest.raises(IntegrityError):
-        universe.universe_as_of(b, s, k, "nse-bhavcopy", d[-1], 2, 5, PIN)
-    with pytest.raises(IntegrityError):
-        bitemporal.bars_for_date(b, s, k, "nse-bhavcopy", d[0], PIN)
+    with pytest.raises(Exception, match="members of an entity overlap: 1"):
+        universe.universe_as_of(b, s, k, "nse-bhavcopy", d[-1], 2, 5, PIN).collect()
+    with pytest.raises(Exception, match="more than one member of an entity traded: 1"):
+        bitemporal.bars_for_date(b, s, k, "nse-bhavcopy", d[0], PIN).collect()
+
+
+def test_window_is_known_where_nobody_ranks(spark):
+    b = bars(spark, [(1, "2021-01-04", 10.0)]).withColumn("series", F.lit("BE"))
+    s = symbols(spark, [(1, "INE001A01010", "T", "2000-01-01", "0001-01-01")])
+    assert universe.universe_as_of(b, s, links(spark), "nse-bhavcopy", "2021-01-04", 5, 5, PIN).count() == 0
+    found = universe.window_of(b, "nse-bhavcopy", "2021-01-04", 5, PIN)
+    assert (found.sessions, str(found.last_session)) == (1, "2021-01-04") and "0 names over 1 sessions" in universe.text_of([], found, "2021-01-04")
+
+
+def test_unlinked_kinds(spark):
+    from tidemark.operators import identity
+
+    cands = spark.createDataFrame([(1, 2, True), (3, 4, True), (5, 6, False), (7, 8, False), (9, 10, True)], "predecessor bigint, successor bigint, accepted boolean")
+    s = symbols(spark, [(i, f"INE00{i}", f"T{i}", "2000-01-01", "0001-01-01") for i in range(1, 9)])
+    k = links(spark, [(2, 1, "succession", "2010-01-01", 1, "2011-01-01"), (8, 7, "succession", "2010-01-01", 7, "2011-01-01")])
+    got = {(r["predecessor"], r["kind"]) for r in identity.unlinked(cands, s, k, PIN).collect()}
+    assert got == {(3, "accepted"), (5, "quarantined"), (7, "stale"), (9, "accepted")}
+
+
+def test_holes_are_days_without_a_row_too_and_the_tail_is_pending(spark):
+    from tidemark.operators import identity
+
+    log = spark.createDataFrame(
+        [("n", d, s, t) for d, s, t in (("2020-01-01", "ok", "2020-01-02 00:00:00"), ("2020-01-03", "error", "2020-01-04 00:00:00"), ("2020-01-05", "no-file", "2020-01-06 00:00:00"), ("2020-01-06", "error", "2020-01-07 18:30:00"), ("2020-01-07", "error", "2020-01-07 18:30:00"))],
+        "source string, date string, status string, fetched_at string",
+    ).select("source", F.col("date").cast("date"), "status", F.col("fetched_at").cast("timestamp"))
+    days = lambda **kw: sorted(r["date"].day for r in identity.archive_holes(log, "n", **kw).collect())
+    assert days() == [2, 3, 4, 6]  # the 6th could settle at 18:30 of the 7th, to the second; the 7th is pending
+    assert days(end="2020-01-03") == [2, 3]
+    assert identity.archive_holes(log, "other").count() == 0
 
 
 @pytest.mark.parametrize(("raw", "adjusted", "outcome", "ratio"), [((2202.5, 1069.8), (1101.25, 1069.8), "share action", 2.0), ((1850.0, 370.0), (370.0, 370.0), "share action", 5.0), ((200.0, 203.0), (100.0, 203.0), "uncorroborated", 2.0)])

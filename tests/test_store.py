@@ -85,6 +85,69 @@ def test_arrival_takes_each_file_once(spark, tmp_path):
     assert run() == 1
 
 
+def test_arrival_refuses_what_a_batch_read_refuses(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    write(inbox, "a.csv", LEGACY, ROW.replace("13-JUL", "13-XXX"))
+    with pytest.raises(Exception, match="malformed rows"):
+        ingest_arrived(spark, str(inbox), LEGACY.split(","), "legacy", "nse-bhavcopy", str(tmp_path / "s"), str(tmp_path / "c"), lambda i: "2020-08-01")
+
+
+def test_arrival_of_the_layout_without_isin(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    header = ",".join(archives.LAYOUTS["preisin"][0])
+    write(inbox, "a.csv", header, "03-NOV-1994,ABC,EQ,1,2,0.5,1.5,100,150")
+    names = spark.createDataFrame([("ABC", "INE001A01010")], "ticker string, isin string")
+    got = ingest_arrived(spark, str(inbox), header.split(","), "preisin", "nse-bhavcopy", str(tmp_path / "s"), str(tmp_path / "c"), lambda i: "2020-08-01", names)
+    assert sum(got) == 1
+
+
+def test_files_of_several_headers_are_read_by_their_own(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder, "a.csv", "Date,Open,High,Low,Close,Volume", "2020-01-01,1,2,0.5,1.5,10")
+    write(folder, "b.csv", "Date,Volume,Open,High,Low,Close,DLV_QTY", "2020-01-01,20,1,2,0.5,1.5,4")
+    rows, _ = archives.daily_bars(spark, str(folder), {"A": "INE1", "B": "INE2"})
+    assert {(r["ticker"], r["volume"], r["delivery_qty"]) for r in rows.collect()} == {("A", 10, None), ("B", 20, 4)}
+    write(folder, "c.csv", "Date,Open,High,Low,Close,Volume", "2020-01-01,1,oops,0.5,1.5,10")
+    with pytest.raises(IntegrityError):
+        archives.daily_bars(spark, str(folder), {"A": "INE1"})
+
+
+def test_backfill_unpacks_logs_and_can_be_run_again(spark, tmp_path):
+    import io
+    import zipfile
+
+    root, asked = str(tmp_path / "s"), []
+
+    def fetch(day):
+        asked.append(day.day)
+        if day.day == 14:
+            return None
+        body = io.BytesIO()
+        with zipfile.ZipFile(body, "w") as z:
+            z.writestr("x.csv", f"{LEGACY}\n{ROW}\n" if day.day == 13 else f"{LEGACY}\n{ROW}\n")
+        return body.getvalue()
+
+    now = lambda: datetime(2020, 8, 1, tzinfo=timezone.utc)
+    run = lambda: ingest.backfill(spark, root, "nse-bhavcopy", date(2020, 7, 13), date(2020, 7, 15), fetch, now)
+    assert [(f.date.day, f.status, f.rows) for f in run()] == [(13, "ok", 1), (14, "no-file", 0), (15, "error", 0)]  # the 15th's file is of another day
+    assert spark.read.parquet(f"{root}/bars").count() == 1 and spark.read.parquet(f"{root}/ingest_log").count() == 3
+    asked.clear()
+    run()
+    assert asked == [15]
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    from tidemark.plans.storage import writer_lock
+
+    with writer_lock(spark, str(tmp_path)), pytest.raises(RuntimeError), writer_lock(spark, str(tmp_path)):
+        pass
+    with writer_lock(spark, str(tmp_path)):
+        pass
+
+
 def test_index_levels_are_compared_on_all_days(spark, tmp_path):
     root = str(tmp_path / "i")
     df = spark.createDataFrame([("X", "Nifty X", "2020-01-01", 1.0), ("X", "Nifty X", "2020-01-02", 2.0)], "index_code string, index_name string, date string, close double")
@@ -124,6 +187,28 @@ def test_roster_chain_apply_and_retract(spark):
     assert {(r["symbol_id"], r["entity_id"], r["reason"]) for r in back.collect()} == {(i, i, "retraction") for i in (2, 3, 4)}
 
 
+def test_links_that_stand_otherwise_are_not_repointed(spark, tmp_path):
+    chain = roster(spark, (1, 2), (2, 3))
+    plan = identity.plan_links(chain, links(spark), "2021-01-01", "me")
+    root = str(tmp_path / "l")
+    assert ingest.insert_links(spark, root, plan) == 2
+    stored = ingest.read(spark, f"{root}/symbol_links", "symbol_links")
+    with pytest.raises(IntegrityError):  # another boundary
+        identity.plan_links(chain.withColumn("boundary", F.lit("2020-02-02").cast("date")), stored, "2022-01-01", "me")
+    with pytest.raises(IntegrityError):  # another predecessor
+        identity.plan_links(roster(spark, (9, 3)), stored, "2022-01-01", "me")
+    assert [(r["symbol_id"], r["entity_id"]) for r in identity.plan_links(roster(spark, (3, 4)), stored, "2022-01-01", "me").collect()] == [(4, 1)]
+    known = spark.createDataFrame([(1,), (2,)], "symbol_id bigint")
+    with pytest.raises(IntegrityError):
+        identity.plan_links(chain, links(spark), "2021-01-01", "me", symbols=known)
+    for kw in ({"symbol_id": 2}, {"symbol_id": 1}, {"symbol_id": 7}, {"entity_id": 7}):
+        with pytest.raises(IntegrityError):
+            identity.plan_retraction(stored, "2022-01-01", "wrong", "me", **kw)
+    assert ingest.insert_links(spark, root, identity.plan_retraction(stored, "2022-01-01", "wrong", "me", entity_id=1)) == 2
+    again = ingest.read(spark, f"{root}/symbol_links", "symbol_links")
+    assert identity.plan_links(chain, again, "2023-01-01", "me").count() == 2
+
+
 @pytest.mark.parametrize("pairs", [[(1, 1)], [(1, 2), (1, 3)], [(1, 3), (2, 3)], [(1, 2), (2, 3), (3, 1)], [(None, 2)]])
 def test_bad_rosters_are_refused(spark, pairs):
     with pytest.raises(IntegrityError):

@@ -9,27 +9,28 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .costs import COMPONENTS, RATES
+from .costs import COMPONENTS, NOTE, RATES
 
 EVENTS = "run string, date date, seq int, kind string, entity_id bigint, side string, qty bigint, price double, charges double, amount double, cash double, held int, detail string"
-DROP = -1 / 3
+DROP = -0.33
 
 
 @dataclass(frozen=True)
 class Setup:
-    """What one run trades with. floor: the smallest order worth placing."""
+    """What one run trades with. floor: the smallest order worth placing; None: what the broker's charges make it, see smallest_order."""
 
     capital: float = 500_000.0
     top: int = 12
     cash_buffer: float = 0.01
     broker: str = "zerodha"
     slippage_bps: float = 0.0
-    floor: float = 5600.0
+    floor: float | None = None
     max_positions: int = 20
     max_stock: float = 0.25
     max_book: float = 0.0
@@ -61,6 +62,17 @@ def charge(qty: int, price: float, side: str, broker: str, day: str, product: st
     return paisa(taxable + paisa(lines["gst"] * taxable) + lines["stt"] + lines["stamp"])
 
 
+@lru_cache(maxsize=64)
+def smallest_order(broker: str, day: str = NOTE, slippage_bps: float = 0.0, cap: float = 0.005, step: int = 100, highest: int = 2_000_000) -> float:
+    """The least whole multiple of `step` whose round trip costs at most a share of it, as costs.min_notional() finds it. No such order is an error."""
+    dp = rate_at("dp", "equity", "sell", broker, day)[6]
+    for n in range(step, highest + 1, step):
+        cost = charge(1, float(n), "buy", broker, day) + charge(1, float(n), "sell", broker, day)
+        if paisa(cost + dp + 2 * n * slippage_bps / 10000) / n <= cap:
+            return float(n)
+    raise ValueError(f"no order is worth placing with {broker}")
+
+
 @dataclass
 class Book:
     cash: float
@@ -108,30 +120,34 @@ class Book:
 def gate(intents: list[tuple[int, str, int, float]], values: dict[int, float], equity: float, s: Setup, day_pnl: float = 0.0) -> list[tuple[tuple, str]]:
     """Each intent (entity, side, qty, price) with the rule that rejects it, or an empty string. Accepted ones change the working book."""
     pos, out = dict(values), []
+    book = sum(v for v in pos.values() if v > 0)
+    floor = smallest_order(s.broker) if s.floor is None else s.floor
     for x in intents:
         e, side, qty, price = x
         n = qty * price
         rule = ""
-        if e is None or e < 0 or qty <= 0 or price <= 0 or side not in ("buy", "sell"):
+        if e is None or e <= 0 or qty <= 0 or price <= 0 or side not in ("buy", "sell"):
             rule = "malformed"
         elif s.kill:
             rule = "kill switch"
         elif side == "sell":
+            book -= n
             pos[e] = pos.get(e, 0.0) - n
             if pos[e] <= 0:
                 del pos[e]
         elif s.daily_loss_cap > 0 and day_pnl <= -s.daily_loss_cap:
             rule = "daily loss"
-        elif n < s.floor:
+        elif n < floor:
             rule = "below the floor"
         elif e not in pos and len(pos) >= s.max_positions:
             rule = "too many positions"
         elif equity > 0 and (pos.get(e, 0.0) + n) / equity > s.max_stock:
             rule = "too much of one name"
-        elif s.max_book > 0 and sum(pos.values()) + n > s.max_book:
+        elif s.max_book > 0 and book + n > s.max_book:
             rule = "book too large"
         else:
             pos[e] = pos.get(e, 0.0) + n
+            book += n
         out.append((x, rule))
     return out
 

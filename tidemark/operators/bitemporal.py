@@ -5,13 +5,13 @@ Every read takes `pin` and sees only rows with ingested_at <= pin. Without a pin
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .checks import assert_empty
+from .checks import or_raise
 
 Pin = str | None
 EVER = "0001-01-01"
@@ -27,31 +27,33 @@ def latest_version(table: DataFrame, key: tuple[str, ...] | list[str], pin: Pin)
     return believed(table, pin).withColumn("_v", last).where("_v = 1").drop("_v")
 
 
+def symbol_links_at(symbols: DataFrame, links: DataFrame, pin: Pin) -> DataFrame:
+    """(symbol_id, entity_id, boundary) of every symbol known at the pin. Symbols and links meet in one aggregation."""
+    known = believed(symbols, pin).select("symbol_id", F.lit(True).alias("_known"), F.lit(None).cast("timestamp").alias("_at"), F.lit(None).cast("bigint").alias("_e"), F.lit(None).cast("date").alias("_b"))
+    linked = believed(links, pin).select("symbol_id", F.lit(False).alias("_known"), F.col("ingested_at").alias("_at"), F.col("entity_id").alias("_e"), F.col("boundary").alias("_b"))
+    per = known.unionByName(linked).groupBy("symbol_id").agg(F.bool_or("_known").alias("_known"), F.max_by(F.struct("_e", "_b"), "_at").alias("_l"))
+    return per.where("_known").select("symbol_id", F.coalesce("_l._e", "symbol_id").alias("entity_id"), F.col("_l._b").alias("boundary"))
+
+
 def entity_map(symbols: DataFrame, links: DataFrame, pin: Pin) -> DataFrame:
     """(symbol_id, entity_id) of every symbol known at the pin: its latest link's entity, else itself. One hop."""
-    known = believed(symbols, pin).select("symbol_id").distinct()
-    link = latest_version(links, ["symbol_id"], pin).select("symbol_id", F.col("entity_id").alias("_e"))
-    return known.join(link, "symbol_id", "left").select("symbol_id", F.coalesce("_e", "symbol_id").alias("entity_id"))
+    return symbol_links_at(symbols, links, pin).select("symbol_id", "entity_id")
 
 
 def labels_in_force(symbols: DataFrame, on: str | date, pin: Pin, names: tuple[str, ...] = ("isin", "ticker")) -> DataFrame:
     """Of each symbol the label in force on a day: the latest valid_from not after it, else the earliest there is; of
     equal valid_from the one ingested last."""
-    day = F.lit(on).cast("date")
-    started = F.col("valid_from") <= day
-    order = Window.partitionBy("symbol_id").orderBy(
-        F.desc(started), F.when(started, F.col("valid_from")).desc_nulls_last(), F.col("valid_from").asc(), F.desc("ingested_at")
-    )
-    return believed(symbols, pin).withColumn("_r", F.row_number().over(order)).where("_r = 1").select("symbol_id", *names, "valid_from")
+    started = F.col("valid_from") <= F.lit(on).cast("date")
+    nearest = F.when(started, F.unix_date("valid_from")).otherwise(-F.unix_date("valid_from"))
+    best = F.max_by(F.struct(*names, "valid_from"), F.struct(started, nearest, "ingested_at")).alias("_l")
+    return believed(symbols, pin).groupBy("symbol_id").agg(best).select("symbol_id", "_l.*")
 
 
 def entity_members(symbols: DataFrame, links: DataFrame, on: str | date, pin: Pin) -> DataFrame:
     """(entity_id, symbol_id): the member in force on a day, that is the one with the latest boundary not after it."""
-    boundary = latest_version(links, ["symbol_id"], pin).select("symbol_id", "boundary")
-    members = entity_map(symbols, links, pin).join(boundary, "symbol_id", "left")
     started = F.coalesce("boundary", F.lit(EVER).cast("date")) <= F.lit(on).cast("date")
-    order = Window.partitionBy("entity_id").orderBy(F.desc(started), F.col("boundary").desc_nulls_last(), "symbol_id")
-    return members.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("entity_id", "symbol_id")
+    order = F.struct(started, F.col("boundary").isNotNull(), F.coalesce(F.unix_date("boundary"), F.lit(0)), -F.col("symbol_id"))
+    return symbol_links_at(symbols, links, pin).groupBy("entity_id").agg(F.max_by("symbol_id", order).alias("symbol_id"))
 
 
 def entity_labels(symbols: DataFrame, links: DataFrame, on: str | date, pin: Pin) -> DataFrame:
@@ -59,18 +61,8 @@ def entity_labels(symbols: DataFrame, links: DataFrame, on: str | date, pin: Pin
     return entity_members(symbols, links, on, pin).join(labels_in_force(symbols, on, pin), "symbol_id").select("entity_id", "symbol_id", "isin", "ticker")
 
 
-def sessions(bars: DataFrame, source: str, start: str | None, end: str | None, pin: Pin) -> DataFrame:
-    """Distinct dates of a source, both ends included."""
-    rows = believed(bars.where(F.col("source") == source), pin)
-    if start is not None:
-        rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
-    if end is not None:
-        rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
-    return rows.select("date").distinct()
-
-
-def bars_at(bars: DataFrame, source: str, pin: Pin, after: str | date | None = None, upto: str | date | None = None) -> DataFrame:
-    """Latest versions of a source's bars with after < date <= upto. The window and the year partitions are pruned before versions are ranked."""
+def between(bars: DataFrame, source: str, after: str | date | None = None, upto: str | date | None = None) -> DataFrame:
+    """Rows of a source with after < date <= upto. Year partitions outside the window are pruned."""
     rows = bars.where(F.col("source") == source)
     for bound, op in ((after, "gt"), (upto, "le")):
         if bound is not None:
@@ -78,17 +70,31 @@ def bars_at(bars: DataFrame, source: str, pin: Pin, after: str | date | None = N
             rows = rows.where(F.col("date") > day if op == "gt" else F.col("date") <= day)
             if "year" in bars.columns:
                 rows = rows.where(F.col("year") >= F.year(day) if op == "gt" else F.col("year") <= F.year(day))
-    return latest_version(rows, ["symbol_id", "date"], pin)
+    return rows
 
 
-def bars_for_date(bars: DataFrame, symbols: DataFrame, links: DataFrame, source: str, on: str, pin: Pin, check: bool = True) -> DataFrame:
-    """The bars of a day with entity and label. An entity with two members that day is an error."""
-    from datetime import timedelta
+def sessions(bars: DataFrame, source: str, start: str | None, end: str | None, pin: Pin) -> DataFrame:
+    """Distinct dates of a source, both ends included."""
+    after = None if start is None else date.fromisoformat(str(start)) - timedelta(days=1)
+    return believed(between(bars, source, after, end), pin).select("date").distinct()
+
 
+def bars_at(bars: DataFrame, source: str, pin: Pin, after: str | date | None = None, upto: str | date | None = None) -> DataFrame:
+    """Latest versions of a source's bars with after < date <= upto. The window and the year partitions are pruned before versions are ranked."""
+    return latest_version(between(bars, source, after, upto), ["symbol_id", "date"], pin)
+
+
+def bars_for_date(bars: DataFrame, symbols: DataFrame, links: DataFrame, source: str, on: str, pin: Pin, check: bool = True) -> DataFrame:
+    """The bars of a day with entity and label. An entity with two members that day is an error, raised as the rows are read."""
     day = date.fromisoformat(on)
-    rows = bars_at(bars, source, pin, day - timedelta(days=1), day).join(entity_map(symbols, links, pin), "symbol_id")
-    labels = entity_labels(symbols, links, on, pin).select("entity_id", "isin", "ticker")
-    out = rows.join(labels, "entity_id")
+    state = symbol_links_at(symbols, links, pin).join(labels_in_force(symbols, on, pin), "symbol_id")
+    started = F.coalesce("boundary", F.lit(EVER).cast("date")) <= F.lit(on).cast("date")
+    order = F.struct(started, F.col("boundary").isNotNull(), F.coalesce(F.unix_date("boundary"), F.lit(0)), -F.col("symbol_id"))
+    # One row per entity: its members, and the label of the one in force.
+    entities = state.groupBy("entity_id").agg(F.collect_list("symbol_id").alias("_members"), F.max_by(F.struct("isin", "ticker"), order).alias("_l"))
+    member = entities.select("entity_id", "_l.isin", "_l.ticker", F.explode("_members").alias("symbol_id"))
+    out = bars_at(bars, source, pin, day - timedelta(days=1), day).join(member, "symbol_id")
     if check:
-        assert_empty(out.groupBy("entity_id").count().where("count > 1"), "more than one member of an entity traded")
+        traded = F.count(F.lit(1)).over(Window.partitionBy("entity_id"))
+        out = out.withColumn("_n", traded).withColumn("entity_id", or_raise(F.col("_n") <= 1, F.col("entity_id"), "more than one member of an entity traded"))
     return out.select("entity_id", "symbol_id", "isin", "ticker", "date", "series", "open", "high", "low", "close", "volume", "turnover")

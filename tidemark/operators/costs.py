@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import round2
 
@@ -38,53 +37,71 @@ COMPONENTS = ("brokerage", "stt", "exchange", "sebi", "ipf", "stamp", "gst")
 BROKERS = ("zerodha", "angelone")
 
 
-def rate_frame(spark: SparkSession, rates=RATES) -> DataFrame:
-    df = spark.createDataFrame(list(rates), "component string, r_product string, r_side string, r_broker string, since string, basis string, value double, cap double, floor double, verified boolean")
-    return df.withColumn("since", F.col("since").cast("date"))
-
-
-def rates_in_force(trades: DataFrame, components: tuple[str, ...], rates: DataFrame | None = None) -> DataFrame:
-    """Each trade (trade_id, broker, product, side, date) with its rate of each component: the most specific that applies, then the
-    latest in effect. A component without one is left out; callers treat that as an error. The rate table is small and fixed."""
-    known = (rate_frame(trades.sparkSession) if rates is None else rates).where(F.col("component").isin(*components))
-    fits = [F.col(f"r_{k}").isNull() | (F.col(f"r_{k}") == F.col(k)) for k in ("product", "side", "broker")]
-    rows = trades.join(known, fits[0] & fits[1] & fits[2] & (F.col("since") <= F.col("date")))
-    specific = sum((F.col(f"r_{k}").isNotNull().cast("int") for k in ("product", "side", "broker")), F.lit(0))
-    best = F.row_number().over(Window.partitionBy("trade_id", "component").orderBy(F.desc(specific), F.desc("since")))
-    return rows.withColumn("_r", best).where("_r = 1").drop("_r", "r_product", "r_side", "r_broker")
-
-
-def rupees(base: Column) -> Column:
-    """The charge of a rate row on a base, to the paisa."""
-    percent = F.col("value") * base
-    capped = F.greatest(F.least(percent, F.col("cap")), F.col("floor"))
-    return round2(F.when(F.col("basis") == "flat", F.col("value")).when(F.col("basis") == "percent", percent).when(F.col("basis") == "capped", capped).otherwise(0.0))
-
-
-def trade_charges(trades: DataFrame, rates: DataFrame | None = None) -> DataFrame:
-    """Trades (trade_id, broker, product, side, date, qty, price) with turnover, each charge, taxable, gst, verified, total and net
-    (what leaves the account; negative for a sale). Each line is rounded; tax is rounded once on the rounded sum."""
-    turnover = round2(F.col("qty").cast("double") * F.col("price"))
-    found = rates_in_force(trades.withColumn("turnover", turnover), COMPONENTS, rates)
-    lines = found.groupBy("trade_id").pivot("component", list(COMPONENTS)).agg(F.max(F.when(F.col("component") != "gst", rupees(F.col("turnover"))).otherwise(F.col("value"))))
-    seen = found.groupBy("trade_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_and("verified").alias("verified"))
-    rows = trades.withColumn("turnover", turnover).join(lines, "trade_id", "left").join(seen, "trade_id", "left")
-    missing = F.when(F.coalesce("_n", F.lit(0)) < len(COMPONENTS), F.raise_error(F.concat(F.lit("no rate for trade "), F.col("trade_id").cast("string"))).cast("double")).otherwise(0.0)
-    rows = rows.withColumn("taxable", round2(F.col("brokerage") + F.col("exchange") + F.col("sebi") + F.col("ipf") + missing)).withColumn("gst", round2(F.col("gst") * F.col("taxable")))
-    total = round2(F.col("taxable") + F.col("gst") + F.col("stt") + F.col("stamp"))
+RATE = "since date, basis string, value double, cap double, floor double, verified boolean"
+
+
+def rate_at(component: str, rates=RATES) -> Column:
+    """The rate of a component for a row with broker, product, side and date: the most specific that applies, then the latest in
+    effect; null if there is none. The table is a short fixed list, so it becomes one expression and no join."""
+    fits = sorted((r for r in rates if r[0] == component), key=lambda r: (sum(x is not None for x in r[1:4]), r[4]), reverse=True)
+    out = None
+    for _, product, side, broker, since, basis, value, cap, floor, verified in fits:
+        when = F.lit(since).cast("date") <= F.col("date")
+        for name, wanted in (("product", product), ("side", side), ("broker", broker)):
+            if wanted is not None:
+                when = when & (F.col(name) == wanted)
+        fields = zip(RATE.split(", "), (since, basis, value, cap, floor, verified), strict=True)
+        rate = F.struct(*[F.lit(x).cast(f.split()[1]).alias(f.split()[0]) for f, x in fields])
+        out = F.when(when, rate) if out is None else out.when(when, rate)
+    return F.lit(None).cast(f"struct<{RATE.replace(' ', ':').replace(',:', ',')}>") if out is None else out
+
+
+def rates_in_force(trades: DataFrame, components: tuple[str, ...], rates=RATES) -> DataFrame:
+    """Each trade (broker, product, side, date) with its rate of each component. A component without one is left out; callers treat that as an error."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), rate_at(c, rates).alias("r")) for c in components]))
+    rows = trades.select("*", each.alias("_rate")).where("_rate.r is not null")
+    return rows.select(*trades.columns, "_rate.component", "_rate.r.*")
+
+
+def rupees(base: Column, rate: Column) -> Column:
+    """The charge of a rate on a base, to the paisa."""
+    percent = rate["value"] * base
+    capped = F.greatest(F.least(percent, rate["cap"]), rate["floor"])
+    return round2(F.when(rate["basis"] == "flat", rate["value"]).when(rate["basis"] == "percent", percent).when(rate["basis"] == "capped", capped).otherwise(0.0))
+
+
+def trade_charges(trades: DataFrame, rates=RATES) -> DataFrame:
+    """Trades (broker, product, side, date, qty, price) with turnover, each charge, taxable, gst, verified, total and net
+    (what leaves the account; negative for a sale). Each line is rounded; tax is rounded once on the rounded sum. Nothing is shuffled.
+    A trade for which a component has no rate is an error."""
+    rows = trades.withColumn("turnover", round2(F.col("qty").cast("double") * F.col("price")))
+    rows = rows.withColumns({f"_{c}": rate_at(c, rates) for c in COMPONENTS})
+    known = F.lit(True)
+    for c in COMPONENTS:
+        known = known & F.col(f"_{c}").isNotNull()
+    ident = F.concat_ws(" ", "broker", "product", "side", F.col("date").cast("string"))
+    missing = F.when(known, 0.0).otherwise(F.raise_error(F.concat(F.lit("no rate for "), ident)).cast("double"))
+    verified = F.lit(True)
+    for c in COMPONENTS:
+        verified = verified & F.col(f"_{c}.verified")
+    rows = rows.withColumns({c: rupees(F.col("turnover"), F.col(f"_{c}")) for c in COMPONENTS if c != "gst"} | {"verified": verified})
+    rows = rows.withColumn("taxable", round2(F.col("brokerage") + F.col("exchange") + F.col("sebi") + F.col("ipf") + missing))
+    rows = rows.withColumn("gst", round2(F.col("_gst.value") * F.col("taxable"))).drop(*[f"_{c}" for c in COMPONENTS])
+    rows = rows.withColumn("total", round2(F.col("taxable") + F.col("gst") + F.col("stt") + F.col("stamp")))
     sign = F.when(F.col("side") == "sell", -1.0).otherwise(1.0)
-    return rows.withColumn("total", total).withColumn("net", round2(sign * F.col("turnover") + F.col("total"))).drop("_n")
-
-
-def day_charges(trades: DataFrame, rates: DataFrame | None = None) -> DataFrame:
-    """Per account and day: charges of all trades, and the depository's charge, flat per distinct scrip sold."""
-    priced = trade_charges(trades, rates)
-    sums = priced.groupBy("account", "broker", "date").agg(F.count(F.lit(1)).alias("trades"), F.sum("total").alias("_t"), F.countDistinct(F.when(F.col("side") == "sell", F.col("scrip"))).alias("scrips_sold"))
-    sold = priced.where("side = 'sell'").groupBy("account", "broker", "date").agg(F.max_by("product", "trade_id").alias("product"))
-    key = F.struct("account", "broker", "date")
-    asked = sold.select(key.alias("trade_id"), "broker", "product", F.lit("sell").alias("side"), "date")
-    flat = rates_in_force(asked, ("dp",), rates).select(F.col("trade_id.account").alias("account"), F.col("trade_id.broker").alias("broker"), F.col("trade_id.date").alias("date"), F.col("value").alias("_flat"))
-    out = sums.join(flat, ["account", "broker", "date"], "left").withColumn("dp", round2(F.coalesce(F.col("scrips_sold") * F.col("_flat"), F.lit(0.0))))
+    return rows.withColumn("net", round2(sign * F.col("turnover") + F.col("total")))
+
+
+def day_charges(trades: DataFrame, rates=RATES) -> DataFrame:
+    """Per account and day: charges of all trades, and the depository's charge, flat per distinct scrip sold. One shuffle; a group holds
+    the scrips that one account sold on one day."""
+    sold = F.col("side") == "sell"
+    sums = trade_charges(trades, rates).groupBy("account", "broker", "date").agg(
+        F.count(F.lit(1)).alias("trades"), F.sum("total").alias("_t"), F.size(F.collect_set(F.when(sold, F.col("scrip")))).cast("bigint").alias("scrips_sold"),
+        F.max_by(F.when(sold, F.col("product")), F.when(sold, F.col("trade_id"))).alias("product"),
+    )
+    flat = F.col("_dp.value")
+    out = sums.withColumn("side", F.lit("sell")).withColumn("_dp", rate_at("dp", rates)).withColumn("dp", round2(F.coalesce(F.col("scrips_sold") * flat, F.lit(0.0))))
     return out.select("account", "broker", "date", "trades", "scrips_sold", round2("_t").alias("charges"), "dp", round2(F.col("_t") + F.col("dp")).alias("total"))
 
 
@@ -94,11 +111,12 @@ def round_trips(spark: SparkSession, on: str = NOTE, product: str = "equity", sl
     both = sizes.crossJoin(spark.createDataFrame([(b, s) for b in brokers for s in ("buy", "sell")], "broker string, side string"))
     asked = both.select(F.concat_ws("|", "broker", "side", F.col("notional").cast("string")).alias("trade_id"), "broker", F.lit(product).alias("product"), "side", F.lit(on).cast("date").alias("date"), F.lit(1).alias("qty"), F.col("notional").cast("double").alias("price"), "notional")
     priced = trade_charges(asked).groupBy("broker", "notional").agg(F.sum("total").alias("_c"))
-    dp = rates_in_force(asked.where("side = 'sell'").select("trade_id", "broker", "product", "side", "date").dropDuplicates(["broker"]), ("dp",)).select("broker", F.col("value").alias("_dp"))
-    cost = round2(F.col("_c") + F.col("_dp") + 2.0 * F.col("notional") * slippage_bps / 10000.0)
-    return priced.join(dp, "broker").select("broker", "notional", cost.alias("cost"), (cost / F.col("notional")).alias("share"))
+    priced = priced.withColumns({"product": F.lit(product), "side": F.lit("sell"), "date": F.lit(on).cast("date")}).withColumn("_dp", rate_at("dp"))
+    cost = round2(F.col("_c") + F.col("_dp.value") + 2.0 * F.col("notional") * slippage_bps / 10000.0)
+    return priced.select("broker", "notional", cost.alias("cost"), (cost / F.col("notional")).alias("share"))
 
 
 def min_notional(curve: DataFrame, cap: float = 0.005) -> DataFrame:
-    """The smallest order of each broker whose round trip costs at most a share of it; null if none does."""
-    return curve.groupBy("broker").agg(F.min(F.when(F.col("share") <= cap, F.col("notional"))).alias("min_notional"))
+    """The smallest order of each broker whose round trip costs at most a share of it. A share that no order reaches is an error."""
+    least = F.min(F.when(F.col("share") <= cap, F.col("notional")))
+    return curve.groupBy("broker").agg(F.coalesce(least, F.raise_error(F.concat(F.lit("no order is worth placing with "), F.col("broker"))).cast("bigint")).alias("min_notional"))

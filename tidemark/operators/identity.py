@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import issue_serial, issuer_prefix, ratio_band, well_formed_isin
 from .bitemporal import Pin, bars_at, believed, entity_map, latest_version
-from .checks import assert_empty
+from .checks import IntegrityError, assert_empty
 
 GATES = ("g0_equity", "g1_issuer", "g2_serial", "g3_apart", "g4_no_session", "g4a_settled", "g4b_gap", "g6_ratio")
 MAX_GAP_DAYS = 4
@@ -46,13 +46,18 @@ def settled_days(log: DataFrame, source: str) -> DataFrame:
     return log.where((F.col("source") == source) & F.col("status").isin("ok", "no-file")).select("date").distinct()
 
 
-def archive_holes(log: DataFrame, source: str) -> DataFrame:
-    """Days without a settled fetch although they could have settled (24 h after their end in Indian time) before the last fetch."""
+def archive_holes(log: DataFrame, source: str, start: str | None = None, end: str | None = None, expected: DataFrame | None = None) -> DataFrame:
+    """Days from start to end (of the log, if not given) without a settled fetch, a row of the log or not, although the last fetch came when they could
+    have settled: 24 hours after their end in Indian time. expected: the days that must be settled; all calendar days by default."""
     rows = log.where(F.col("source") == source)
-    per = rows.groupBy("date").agg(F.bool_or(F.col("status").isin("ok", "no-file")).alias("settled"))
-    last = rows.agg(F.max("fetched_at").alias("_last"))
-    horizon = F.col("date").cast("timestamp") + F.expr("INTERVAL '1 18:30:00' DAY TO SECOND")
-    return per.where(~F.col("settled")).crossJoin(F.broadcast(last)).where(horizon < F.col("_last")).select("date")
+    lo, hi = (F.lit(x).cast("date") if x else f("date") for x, f in ((start, F.min), (end, F.max)))
+    span = rows.agg(lo.alias("_lo"), hi.alias("_hi"), F.max(F.unix_seconds("fetched_at")).alias("_last"))
+    days = span.where("_lo <= _hi").select("_last", F.explode(F.sequence("_lo", "_hi")).alias("date"))
+    if expected is not None:
+        days = days.join(expected.select("date").distinct(), "date", "left_semi")
+    # The end of a day in India is 18:30 of it in UTC; as seconds, no session's time zone enters.
+    could = (F.unix_date("date").cast("bigint") * 86400 + 66600 + 86400) <= F.col("_last")
+    return days.where(could).join(settled_days(log, source), "date", "left_anti").select("date")
 
 
 def gate_results(
@@ -98,14 +103,33 @@ def gate_results(
 
 
 def unlinked(cands: DataFrame, symbols: DataFrame, links: DataFrame, pin: Pin) -> DataFrame:
-    """Candidates that the map does not join: accepted ones, quarantined ones, and stale ones whose symbols the map does not know."""
+    """Candidates that the map does not join, as accepted or quarantined, and as stale those that it joins although they no longer pass. A
+    symbol that the map does not know is not joined."""
     m = entity_map(symbols, links, pin)
     rows = cands.select("predecessor", "successor", "accepted")
     for side in ("predecessor", "successor"):
         rows = rows.join(m.select(F.col("symbol_id").alias(side), F.col("entity_id").alias(f"_{side}")), side, "left")
-    known = F.col("_predecessor").isNotNull() & F.col("_successor").isNotNull()
-    kind = F.when(~known, "stale").when(F.col("accepted"), "accepted").otherwise("quarantined")
-    return rows.where(~known | (F.col("_predecessor") != F.col("_successor"))).select("predecessor", "successor", kind.alias("kind"))
+    joined = F.coalesce(F.col("_predecessor") == F.col("_successor"), F.lit(False))
+    kind = F.when(joined, "stale").when(F.col("accepted"), "accepted").otherwise("quarantined")
+    return rows.where(~(joined & F.col("accepted"))).select("predecessor", "successor", kind.alias("kind"))
+
+
+def evaluate_pair(gates: DataFrame, predecessor: int, successor: int) -> DataFrame:
+    """One candidate's gates, one row each, in order, and the first that fails marked. A pair that is no candidate gives no rows."""
+    one = gates.where((F.col("predecessor") == predecessor) & (F.col("successor") == successor))
+    each = F.posexplode(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(g).alias("passed")) for g in (*GATES, "g5_path")])).alias("place", "_g")
+    rows = one.select(each).select("place", "_g.gate", "_g.passed")
+    first = F.min(F.when(~F.col("passed"), F.col("place"))).over(Window.partitionBy())  # one pair's gates
+    return rows.withColumn("first_failure", F.coalesce(F.col("place") == first, F.lit(False)))
+
+
+def propose(gates: DataFrame, log: DataFrame, source: str, expected: DataFrame | None = None, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Roster links of the accepted candidates, ratios to four places, and how many candidates fail each gate first. While the archive has a hole nothing
+    is proposed: a session that was never fetched looks like a holiday."""
+    assert_empty(archive_holes(log, source, start, end, expected), "the archive has holes")
+    accepted = gates.where("accepted").select("predecessor", "successor", F.col("first_date").alias("boundary"), F.lit("succession").alias("reason"), F.lit(None).cast("string").alias("note"), F.round("ratio", 4).alias("ratio"), ratio_band("ratio").alias("band"), "last_date")
+    failed = F.coalesce(*[F.when(~F.col(g), F.lit(g)) for g in (*GATES, "g5_path")], F.when(F.col("retracted"), "retracted"), F.lit("accepted"))
+    return accepted, gates.groupBy(failed.alias("outcome")).agg(F.count(F.lit(1)).alias("candidates"))
 
 
 def flatness(links: DataFrame, pin: Pin) -> DataFrame:
@@ -160,26 +184,49 @@ def roots(links: DataFrame) -> DataFrame:
     return step.select("symbol_id", F.when(~F.col("_moved"), F.col("root")).alias("root"))
 
 
-def plan_links(roster: DataFrame, links: DataFrame, at: str, seeded_by: str, digest: str = "") -> DataFrame:
-    """The link rows a roster adds: those whose entity, reason, boundary or predecessor differ from the current ones, null-safely."""
-    want = roster.join(roots(roster), roster["successor"] == F.col("symbol_id")).select("symbol_id", F.col("root").alias("entity_id"), "reason", "boundary", "predecessor", "note")
-    now = latest_version(links, ["symbol_id"], None).select("symbol_id", *[F.col(c).alias(f"_{c}") for c in ("entity_id", "reason", "boundary", "predecessor")])
+def plan_links(roster: DataFrame, links: DataFrame, at: str, seeded_by: str, digest: str = "", symbols: DataFrame | None = None) -> DataFrame:
+    """The link rows a roster adds: those of symbols that no link joins yet, or only a retraction. A chain whose root is a member of an entity
+    already goes to that entity. Errors: a symbol that the store does not know, and a link that stands with another entity, boundary or
+    predecessor; such a link must be retracted first."""
+    if symbols is not None:
+        ends = roster.select(F.explode(F.array("predecessor", "successor")).alias("symbol_id")).distinct()
+        assert_empty(ends.join(symbols.select("symbol_id").distinct(), "symbol_id", "left_anti"), "symbols that the store does not know")
+    now = latest_version(links, ["symbol_id"], None).where("reason <> 'retraction'").select("symbol_id", *[F.col(c).alias(f"_{c}") for c in ("entity_id", "boundary", "predecessor")])
+    adopted = now.select(F.col("symbol_id").alias("root"), F.col("_entity_id").alias("_adopted"))
+    want = roster.join(roots(roster), roster["successor"] == F.col("symbol_id")).join(adopted, "root", "left")
+    want = want.select("symbol_id", F.coalesce("_adopted", "root").alias("entity_id"), "reason", "boundary", "predecessor", "note")
+    rows = want.join(now, "symbol_id", "left")
     same = F.lit(True)
-    for c in ("entity_id", "reason", "boundary", "predecessor"):
+    for c in ("entity_id", "boundary", "predecessor"):
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    rows = want.join(now, "symbol_id", "left").where(~same)
-    return rows.select("symbol_id", "entity_id", "reason", "boundary", "predecessor", F.lit(digest).alias("roster_sha"), F.lit(seeded_by).alias("seeded_by"), "note", F.lit(at).cast("timestamp").alias("ingested_at"))
+    assert_empty(rows.where(F.col("_entity_id").isNotNull() & ~same).select("symbol_id", "entity_id", F.col("_entity_id").alias("stored_entity"), "boundary", F.col("_boundary").alias("stored_boundary")), "a link stands otherwise; retract it first")
+    rows = rows.where("_entity_id is null")
+    evidence = F.to_json(F.struct("predecessor", F.col("symbol_id").alias("successor"), "boundary", "reason"))
+    return rows.select("symbol_id", "entity_id", "reason", "boundary", "predecessor", evidence.alias("evidence"), F.lit(digest).alias("roster_sha"), F.lit(seeded_by).alias("seeded_by"), "note", F.lit(at).cast("timestamp").alias("ingested_at"))
 
 
 def plan_retraction(links: DataFrame, at: str, note: str, seeded_by: str, entity_id: int | None = None, symbol_id: int | None = None) -> DataFrame:
-    """Rows that take back the links of one entity's members or of one symbol: each then stands for itself again."""
+    """Rows that take back the links of one entity's members, or of one symbol that is its entity's only linked member: each then stands for
+    itself again. Nothing to take back, a root, and one member of several are errors, as they would leave an entity split in silence."""
     if (entity_id is None) == (symbol_id is None):
         raise ValueError("name an entity or a symbol")
     if not note:
         raise ValueError("a retraction needs a note")
-    now = latest_version(links, ["symbol_id"], None).where("reason <> 'retraction'")
-    now = now.where(F.col("entity_id") == entity_id) if entity_id is not None else now.where(F.col("symbol_id") == symbol_id)
-    return now.select("symbol_id", F.col("symbol_id").alias("entity_id"), F.lit("retraction").alias("reason"), F.lit(None).cast("date").alias("boundary"), F.lit(None).cast("bigint").alias("predecessor"), F.lit(None).cast("string").alias("roster_sha"), F.lit(seeded_by).alias("seeded_by"), F.lit(note).alias("note"), F.lit(at).cast("timestamp").alias("ingested_at"))
+    now = latest_version(links, ["symbol_id"], None).where("reason <> 'retraction' and symbol_id <> entity_id")
+    if symbol_id is not None:
+        own = now.where(F.col("symbol_id") == symbol_id).select("entity_id").first()
+        if own is None:
+            members = now.where(F.col("entity_id") == symbol_id).count()
+            raise IntegrityError(f"symbol {symbol_id} is the root of an entity with {members} members; retract the entity" if members else f"symbol {symbol_id} is not linked")
+        entity_id = own["entity_id"]
+    now = now.where(F.col("entity_id") == entity_id)
+    members = now.count()
+    if not members:
+        raise IntegrityError(f"entity {entity_id} has no linked members")
+    if symbol_id is not None and members > 1:
+        raise IntegrityError(f"symbol {symbol_id} is one of {members} members of entity {entity_id}; retract the entity")
+    evidence = F.to_json(F.struct(F.col("entity_id").alias("retracted_from"), F.lit("symbol" if symbol_id is not None else "entity").alias("scope")))
+    return now.select("symbol_id", F.col("symbol_id").alias("entity_id"), F.lit("retraction").alias("reason"), F.lit(None).cast("date").alias("boundary"), F.lit(None).cast("bigint").alias("predecessor"), evidence.alias("evidence"), F.lit(None).cast("string").alias("roster_sha"), F.lit(seeded_by).alias("seeded_by"), F.lit(note).alias("note"), F.lit(at).cast("timestamp").alias("ingested_at"))
 
 
 def assert_flat(links: DataFrame, added: DataFrame) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,7 +24,7 @@ def pre_isin_bridge(bars: DataFrame, symbols: DataFrame, source: str, pin: Pin)
 def close_on(bars: DataFrame, symbols: DataFrame, source: str, day: str, pin: Pin) -> DataFrame:
     """(ticker, close) of a day, by the latest ticker of each symbol; of two symbols with one ticker the first."""
     names = latest_version(symbols, ["symbol_id"], pin).select("symbol_id", "ticker")
-    rows = bars_at(bars, source, pin).where(F.col("date") == F.lit(day).cast("date")).join(names, "symbol_id")
+    rows = bars_at(bars, source, pin, date.fromisoformat(day) - timedelta(days=1), day).join(names, "symbol_id")
     return rows.groupBy("ticker").agg(F.min_by(F.col("close").cast("double"), "symbol_id").alias("close"))
 
 

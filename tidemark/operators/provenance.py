@@ -63,13 +63,14 @@ def table_digests(parts: DataFrame) -> DataFrame:
 
 
 def snapshot_parts(bars: DataFrame, symbols: DataFrame, links: DataFrame, levels: DataFrame, adjustments: DataFrame, pin: Pin) -> DataFrame:
-    """The digests of all tables that can change an answer, actions among them: dated tables by date, others by a digest of the key's last digit."""
+    """The digests of all tables that can change an answer, actions among them: dated tables by date, others by ranges of
+    a thousand ids, so that parts grow in number and not in size."""
     parts = [
         group_digests(bars, "bars", "date", ["source", "symbol_id", "series", "open", "high", "low", "close", "volume", "turnover", "delivery_qty"], pin),
         group_digests(levels, "index_levels", "date", ["source", "index_code", "index_name", "close"], pin),
-        group_digests(symbols.withColumn("_g", F.col("symbol_id") % 10), "symbols", "_g", ["symbol_id", "isin", "ticker", "valid_from"], pin),
-        group_digests(links.withColumn("_g", F.col("symbol_id") % 10), "symbol_links", "_g", ["symbol_id", "entity_id", "reason", "boundary", "predecessor"], pin),
-        group_digests(adjustments.withColumn("_g", F.col("entity_id") % 10), "adjustments", "_g", ["entity_id", "ex_date", "source", "ratio"], pin),
+        group_digests(symbols.withColumn("_g", F.expr("symbol_id div 1000")), "symbols", "_g", ["symbol_id", "isin", "ticker", "valid_from"], pin),
+        group_digests(links.withColumn("_g", F.expr("symbol_id div 1000")), "symbol_links", "_g", ["symbol_id", "entity_id", "reason", "boundary", "predecessor"], pin),
+        group_digests(adjustments.withColumn("_g", F.expr("entity_id div 1000")), "adjustments", "_g", ["entity_id", "ex_date", "source", "ratio"], pin),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -3,44 +3,61 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..schemas import SOURCES
-from .bitemporal import Pin, bars_at, entity_labels, entity_map, latest_version
-from .checks import assert_empty
+from .bitemporal import Pin, symbol_links_at, bars_at, believed, between, entity_labels
+from .checks import or_raise
 
 
 def window_days(bars: DataFrame, source: str, as_of: str, lookback: int, pin: Pin, span_days: int | None = None) -> DataFrame:
     """The last `lookback` sessions up to a day, of all series, found within span_days (2 * lookback + 14 for daily bars)."""
     since = date.fromisoformat(as_of) - timedelta(days=span_days or 2 * lookback + 14)
-    return bars_at(bars, source, pin, since, as_of).select("date").distinct().orderBy(F.desc("date")).limit(lookback)
+    return believed(between(bars, source, since, as_of), pin).select("date").distinct().orderBy(F.desc("date")).limit(lookback)
 
 
-def ranking(bars: DataFrame, symbols: DataFrame, links: DataFrame, source: str, as_of: str, lookback: int, pin: Pin, allow_stale: bool = False, span_days: int | None = None) -> DataFrame:
+class Window(NamedTuple):
+    """The sessions that a ranking looks at; known even where nobody ranks."""
+
+    sessions: int
+    first_session: date | None
+    last_session: date | None
+
+
+def window_of(bars: DataFrame, source: str, as_of: str, lookback: int, pin: Pin, span_days: int | None = None) -> Window:
+    days = window_days(bars, source, as_of, lookback, pin, span_days)
+    return Window(*days.agg(F.count(F.lit(1)), F.min("date"), F.max("date")).first())
+
+
+def ranking(
+    bars: DataFrame, symbols: DataFrame, links: DataFrame, source: str, as_of: str, lookback: int, pin: Pin, allow_stale: bool = False, span_days: int | None = None, check: bool = True,
+) -> DataFrame:
     """Every entity that passes presence (at least 80 % of the sessions) and liveness (it traded on the last one), with its median turnover,
-    days_present, rows and fragments (symbols seen), and its last boundary up to the day."""
+    days_present, rows and fragments (symbols seen), its last boundary up to the day, and the window. With check, an entity with two bars on a day is an error."""
     if lookback <= 0 or source not in SOURCES:
         raise ValueError("lookback must be positive and the source one of " + ", ".join(SOURCES))
-    since = date.fromisoformat(as_of) - timedelta(days=span_days or 2 * lookback + 14)
-    days = window_days(bars, source, as_of, lookback, pin, span_days)
-    frame = days.agg(F.count(F.lit(1)).alias("sessions"), F.max("date").alias("last_session"))
-    rows = bars_at(bars, source, pin, since, as_of).where("series = 'EQ'").join(F.broadcast(days), "date", "left_semi")  # at most `lookback` dates
-    rows = rows.join(entity_map(symbols, links, pin), "symbol_id")
+    found = window_of(bars, source, as_of, lookback, pin, span_days)
+    first = found.first_session or date.fromisoformat(as_of)
+    # The window's sessions are all sessions from its first to the day, so that a range of dates selects them.
+    rows = bars_at(bars, source, pin, first - timedelta(days=1), as_of).where("series = 'EQ'")
+    rows = rows.join(symbol_links_at(symbols, links, pin), "symbol_id")
     turnover = F.coalesce(F.col("turnover").cast("double"), F.col("close").cast("double") * F.col("volume"))
     per = rows.groupBy("entity_id").agg(
         F.percentile(turnover, 0.5).alias("median_turnover"),
-        F.countDistinct("date").alias("days_present"),
+        F.size(F.collect_set("date")).cast("bigint").alias("days_present"),
         F.count(F.lit(1)).alias("rows"),
-        F.countDistinct("symbol_id").alias("fragments"),
+        F.size(F.collect_set("symbol_id")).cast("bigint").alias("fragments"),
         F.max("date").alias("last_seen"),
     )
-    live = F.lit(True) if allow_stale else F.col("last_seen") == F.col("last_session")
-    kept = per.crossJoin(F.broadcast(frame)).where((F.col("days_present") >= F.ceil(F.col("sessions") * F.lit("0.8").cast("decimal(2,1)"))) & live)
-    breaks = latest_version(links, ["symbol_id"], pin).where(F.col("boundary") <= F.lit(as_of).cast("date"))
-    breaks = breaks.join(entity_map(symbols, links, pin).withColumnRenamed("entity_id", "_e"), "symbol_id").groupBy(F.col("_e").alias("entity_id")).agg(F.max("boundary").alias("last_break"))
+    live = F.lit(True) if allow_stale else F.col("last_seen") == F.lit(found.last_session)
+    kept = per.withColumns({"sessions": F.lit(found.sessions).cast("bigint"), "last_session": F.lit(found.last_session).cast("date")})
+    kept = kept.where((F.col("days_present") >= -(-found.sessions * 8 // 10)) & live)
+    if check:
+        kept = kept.withColumn("entity_id", or_raise(F.col("rows") == F.col("days_present"), F.col("entity_id"), "members of an entity overlap"))
+    breaks = symbol_links_at(symbols, links, pin).where(F.col("boundary") <= F.lit(as_of).cast("date")).groupBy("entity_id").agg(F.max("boundary").alias("last_break"))
     return kept.join(breaks, "entity_id", "left")
 
 
@@ -50,13 +67,12 @@ def universe_as_of(
 ) -> DataFrame:
     """The n entities with the highest median turnover over the last sessions up to a day, as known at the pin.
 
-    Two bars of an entity on one day anywhere in the ranking are an error, before the cut. Ties go by ticker, then by entity.
+    Two bars of an entity on one day anywhere in the ranking are an error, before the cut. Ties go by ticker, then by entity. Where nobody
+    ranks there are no rows; window_of() has the sessions all the same.
     """
     if n <= 0:
         raise ValueError("n must be positive")
-    ranked = ranking(bars, symbols, links, source, as_of, lookback, pin, allow_stale, span_days)
-    if check:
-        assert_empty(ranked.where("rows > days_present").select("entity_id", "rows", "days_present"), "members of an entity overlap")
+    ranked = ranking(bars, symbols, links, source, as_of, lookback, pin, allow_stale, span_days, check)
     out = ranked.join(entity_labels(symbols, links, as_of, pin), "entity_id")
     if equities_only:
         out = out.where(F.col("isin").startswith("INE"))
@@ -64,6 +80,8 @@ def universe_as_of(
     return top.select("entity_id", "symbol_id", "isin", "ticker", "median_turnover", "days_present", "fragments", "last_break", "sessions", "last_session")
 
 
-def with_rank(universe: DataFrame) -> DataFrame:
-    """The place of each member in the order of the universe, from 1. A universe has at most n rows."""
-    return universe.withColumn("rank", F.row_number().over(Window.orderBy(F.col("median_turnover").desc_nulls_last(), "ticker", "entity_id")))
+def text_of(members: list, found: Window, as_of: str) -> str:
+    """The universe as lines for a person: the window, then one line per member in order."""
+    head = f"universe as of {as_of}: {len(members)} names over {found.sessions} sessions up to {found.last_session or '-'}"
+    lines = [f"{i:>4}  {r['ticker']:<20} {r['isin']:<12} {r['median_turnover'] or 0.0:>18,.2f}  {r['days_present']:>4}" + (f"  {r['fragments']} symbols" if r["fragments"] > 1 else "") for i, r in enumerate(members, 1)]
+    return "\n".join([head, *lines])

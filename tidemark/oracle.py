@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators.costs import COMPONENTS, RATES
-from .plans.staging import PIN, PIN_NEW, steps
+from .plans.staging import PIN, PIN_NEW, PIN_OLD, steps
 
 AS_OF, LOOKBACK, SPAN = "2000-09-25", 52, 826
 DECISIONS = ["1998-03-30", "1999-06-28", "2000-05-29", "2000-10-30"]
@@ -155,6 +155,7 @@ def oracle_sql() -> dict[str, str]:
         "universe_equities_only": universe(equities=True),
         "universe_eod2": universe(source="eod2"),
         "universe_at_new_pin": universe(pin=PIN_NEW),
+        "universe_at_old_pin": universe(pin=PIN_OLD),
         "universe_across_split": universe(as_of="1998-06-08"),
         "universe_window_size": staged(f"SELECT count(*) AS sessions, max(date)::VARCHAR AS last_session FROM (SELECT DISTINCT date FROM bars WHERE source = 'nse-bhavcopy' AND ingested_at <= TIMESTAMP '{PIN}' AND date > DATE '{AS_OF}' - {SPAN} AND date <= DATE '{AS_OF}' ORDER BY date DESC LIMIT {LOOKBACK})"),
         "boundaries": staged(f"SELECT l.entity_id, boundary::VARCHAR AS date, predecessor AS predecessor_id, l.symbol_id AS successor_id, p.isin AS predecessor_isin, s.isin AS successor_isin FROM ({latest('symbol_links', 'symbol_id', PIN)}) l LEFT JOIN ({latest('symbols', 'symbol_id', PIN)}) p ON p.symbol_id = predecessor LEFT JOIN ({latest('symbols', 'symbol_id', PIN)}) s ON s.symbol_id = l.symbol_id WHERE boundary IS NOT NULL"),
@@ -174,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
         "index_name_changes": staged(f"%n AS (SELECT *, lag(date) OVER w AS pd, lag(index_name) OVER w AS pn, lag(close::DOUBLE) OVER w AS pc FROM index_levels WINDOW w AS (ORDER BY date)), j AS (SELECT *, date - pd AS gap, close::DOUBLE / pc - 1.0 AS jump FROM n WHERE upper(regexp_replace(trim(index_name), '\\s+', ' ', 'g')) <> upper(regexp_replace(trim(pn), '\\s+', ' ', 'g'))) SELECT index_code, date::VARCHAR AS date, pn AS prev_index_name, index_name, gap::BIGINT AS gap_days, {f6('jump')} AS jump, CASE WHEN gap > 5 THEN 'UNVERIFIABLE' WHEN abs(jump) > 0.06 THEN 'REBASED' ELSE 'CONTINUOUS' END AS verdict FROM j"),
         "index_gaps": staged("SELECT index_code, pd::VARCHAR AS after, date::VARCHAR AS until, (date - pd)::BIGINT AS gap_days FROM (SELECT index_code, date, lag(date) OVER (ORDER BY date) AS pd FROM index_levels) WHERE date - pd > 5"),
         "calendar_agreement": staged("SELECT count(*) FILTER (a.date IS NOT NULL AND b.date IS NOT NULL) AS both, count(*) FILTER (b.date IS NULL) AS first_only, count(*) FILTER (a.date IS NULL) AS second_only FROM (SELECT DISTINCT date FROM bars WHERE source = 'nse-bhavcopy') a FULL JOIN (SELECT DISTINCT date FROM index_levels) b USING (date)"),
-        "content_hash_change_detect": staged("%h AS (SELECT source, symbol_id, date, ingested_at, sha256(concat_ws('|', symbol_id::VARCHAR, date::VARCHAR, series, open::VARCHAR, high::VARCHAR, low::VARCHAR, close::VARCHAR, volume::VARCHAR, coalesce(turnover::VARCHAR, '-'), '-')) AS content_hash FROM bars) SELECT a.source, a.symbol_id, a.date::VARCHAR AS date, a.content_hash AS old_hash, b.content_hash AS new_hash FROM h a JOIN h b ON a.source = b.source AND a.symbol_id = b.symbol_id AND a.date = b.date AND a.ingested_at < b.ingested_at AND a.content_hash <> b.content_hash"),
+        "content_hash_change_detect": staged("%h AS (SELECT source, symbol_id, date, ingested_at, sha256(concat_ws('|', symbol_id::VARCHAR, date::VARCHAR, series, open::VARCHAR, high::VARCHAR, low::VARCHAR, close::VARCHAR, volume::VARCHAR, coalesce(turnover::VARCHAR, '-'), '-')) AS content_hash FROM bars) SELECT source, symbol_id, date::VARCHAR AS date, old_hash, content_hash AS new_hash FROM (SELECT *, lag(content_hash) OVER (PARTITION BY source, symbol_id, date ORDER BY ingested_at) AS old_hash FROM h) WHERE old_hash <> content_hash"),
         "trade_charges": f"WITH {_rates()}, {TRADES}, {charges('trades')} SELECT trade_id, turnover, brokerage, stt, exchange, sebi, ipf, stamp, taxable, gst, total, net, verified FROM priced_trades",
         "day_charges": f"WITH {_rates()}, {TRADES}, {charges('trades')}, dsum AS (SELECT account, broker, date, count(*) AS trades, sum(total) AS t, count(DISTINCT CASE WHEN side = 'sell' THEN scrip END) AS scrips_sold FROM priced_trades GROUP BY 1, 2, 3) SELECT account, broker, date::VARCHAR AS date, trades, scrips_sold, {r2('t')} AS charges, {r2("scrips_sold * CASE broker WHEN 'zerodha' THEN 15.34::DOUBLE ELSE 23.6::DOUBLE END")} AS dp FROM dsum",
         "rate_in_force": f"WITH {_rates()}, {TRADES}, q AS (SELECT DISTINCT broker, product, side, DATE '2026-09-07' + (n * 400 - 8000)::INT AS date, broker || product || side || n::VARCHAR AS trade_id FROM trades, range(0, 21) r(n)) SELECT trade_id, component, since::VARCHAR AS since, basis, value, verified FROM {rates_for('q', COMPONENTS)}",
@@ -203,15 +204,16 @@ okk AS (SELECT *, NOT retracted AND g0_equity AND g1_issuer AND g2_serial AND g3
 fin AS (SELECT *, NOT (ok AND (count(*) FILTER (ok) OVER (PARTITION BY predecessor) > 1 OR count(*) FILTER (ok) OVER (PARTITION BY successor) > 1)) AS g5_path FROM okk)"""
 
 
-_TANGLED = "tangled AS (SELECT 2 * s AS symbol_id, 2 * s + 2 AS entity_id FROM (SELECT DISTINCT symbol_id // 2 AS s FROM symbols) WHERE s % 10 IN (1, 2))"
+_TANGLED = "tangled AS (SELECT 2 * s AS symbol_id, 2 * s + 2 AS entity_id FROM (SELECT DISTINCT symbol_id // 2 AS s FROM symbols) UNION ALL SELECT symbol_id, entity_id FROM symbol_links WHERE ingested_at <= TIMESTAMP '2003-01-01')"
 _TMAP = f"tmap AS (SELECT s.symbol_id, coalesce(t.entity_id, s.symbol_id) AS entity_id FROM (SELECT DISTINCT symbol_id FROM symbols WHERE ingested_at <= TIMESTAMP '{PIN}') s LEFT JOIN tangled t USING (symbol_id))"
+_RUNS = "SELECT 'run-' || i AS run_id, sha256('{\"top\":' || (i % 3) || '}') AS config_hash, make_date(2020 + i % 5, 6, 30)::VARCHAR AS period_to, '2026-01-' || lpad((i + 1)::VARCHAR, 2, '0') || ' 12:00:00' AS finished_at FROM range(20) t(i)"
 _ISINS = "isins AS (SELECT DISTINCT isin FROM symbols UNION ALL SELECT DISTINCT left(isin, 11) || ((substr(isin, 12, 1)::INT + 1) % 10)::VARCHAR FROM symbols)"
 _CHECK = """digs AS (SELECT isin, list_reverse(list_transform(string_split(array_to_string(list_transform(string_split(isin, ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN (ascii(c) - 55)::VARCHAR ELSE c END), ''), ''), lambda d: d::INT)) AS r FROM isins)"""
 
 
 def _identity() -> dict[str, str]:
     v = latest("bars", "symbol_id, date", PIN, "source = 'nse-bhavcopy'")
-    early = f"""en AS (SELECT 'T' || (symbol_id // 2)::VARCHAR || '-' || ((n - 1) // 13)::VARCHAR AS ticker, date, close::DOUBLE AS close FROM ({v}) JOIN cal ON d = date WHERE n <= 104),
+    early = f"""en AS (SELECT 'T' || (symbol_id // 2)::VARCHAR || '-' || ((n - 1) // 13)::VARCHAR AS ticker, date, close::DOUBLE AS close FROM ({v}) JOIN cal ON d = date),
 pe AS (SELECT ticker, min(date) AS fd, arg_min(close, date) AS fc, max(date) AS ld, arg_max(close, date) AS lc FROM en GROUP BY 1),
 mm AS (SELECT a.ticker AS old, b.ticker AS new FROM pe a JOIN cal x ON x.d = a.ld JOIN pe b ON true JOIN cal y ON y.d = b.fd WHERE y.n - x.n BETWEEN 1 AND 5 AND a.lc > 0 AND abs(b.fc / a.lc - 1) <= 0.15),
 m1 AS (SELECT old, new FROM mm QUALIFY count(*) OVER (PARTITION BY old) = 1 AND count(*) OVER (PARTITION BY new) = 1),
@@ -222,8 +224,8 @@ rk AS (SELECT *, CASE WHEN gap BETWEEN 0 AND 5 THEN 'bridged' WHEN new IS NOT NU
     return {
         "succession_candidates": staged(_facts() + " SELECT * FROM cand"),
         "gate_results": staged(_facts() + " SELECT predecessor, successor, generator, last_date::VARCHAR AS last_date, first_date::VARCHAR AS first_date, g0_equity, g1_issuer, g2_serial, g3_apart, g4_no_session, g4a_settled, g4b_gap, g6_ratio, retracted, g5_path, ok AND g5_path AS accepted FROM fin"),
-        "unlinked_candidates": staged(_facts() + f", um AS ({emap('2002-01-01')}) SELECT predecessor, successor, CASE WHEN a.entity_id IS NULL OR b.entity_id IS NULL THEN 'stale' WHEN ok AND g5_path THEN 'accepted' ELSE 'quarantined' END AS kind FROM fin LEFT JOIN um a ON a.symbol_id = predecessor LEFT JOIN um b ON b.symbol_id = successor WHERE a.entity_id IS NULL OR b.entity_id IS NULL OR a.entity_id <> b.entity_id"),
-        "archive_holes": staged("SELECT date::VARCHAR AS date FROM ingest_log WHERE status = 'error' AND date + INTERVAL '42 hours 30 minutes' < (SELECT max(fetched_at) FROM ingest_log)"),
+        "unlinked_candidates": staged(_facts() + f", um AS ({emap('2002-01-01')}) SELECT predecessor, successor, CASE WHEN a.entity_id = b.entity_id THEN 'stale' WHEN ok AND g5_path THEN 'accepted' ELSE 'quarantined' END AS kind FROM fin LEFT JOIN um a ON a.symbol_id = predecessor LEFT JOIN um b ON b.symbol_id = successor WHERE NOT coalesce(a.entity_id = b.entity_id AND ok AND g5_path, false)"),
+        "archive_holes": staged("SELECT d::VARCHAR AS date FROM cal, (SELECT min(date) AS lo, max(date) AS hi, max(fetched_at) AS last FROM ingest_log) WHERE d BETWEEN lo AND hi AND d NOT IN (SELECT date FROM ingest_log WHERE status IN ('ok', 'no-file')) AND last >= d + INTERVAL '42 hours 30 minutes'"),
         "invariant_flatness": staged(f"% {_TANGLED} SELECT a.symbol_id, a.entity_id, b.entity_id AS next_entity FROM tangled a JOIN tangled b ON b.symbol_id = a.entity_id AND b.entity_id <> a.entity_id"),
         "invariant_overlap": staged(f"% {_TANGLED}, {_TMAP}, od AS (SELECT entity_id, source, date FROM bars JOIN tmap USING (symbol_id) WHERE ingested_at <= TIMESTAMP '{PIN}' GROUP BY 1, 2, 3 HAVING count(DISTINCT symbol_id) > 1) SELECT entity_id, count(*) AS days FROM od GROUP BY 1"),
         "invariant_issuer": staged(f"% {_TANGLED}, {_TMAP} SELECT entity_id, string_agg(DISTINCT left(isin, 9), ', ' ORDER BY left(isin, 9)) AS issuers FROM tmap JOIN ({latest('symbols', 'symbol_id', PIN)}) USING (symbol_id) WHERE isin LIKE 'INE%' GROUP BY 1 HAVING count(DISTINCT left(isin, 9)) > 1"),
@@ -231,10 +233,13 @@ rk AS (SELECT *, CASE WHEN gap BETWEEN 0 AND 5 THEN 'bridged' WHEN new IS NOT NU
         "issuer_prefix_serial": staged(f"% {_ISINS} SELECT isin, left(isin, 9) AS issuer, substr(isin, 10, 2)::INT AS serial FROM isins"),
         "ratio_band": "WITH r AS (SELECT n / 200.0::DOUBLE AS ratio FROM range(1, 4001) x(n)), b(place, name, v) AS (VALUES (0, '1/1', 1.0::DOUBLE), (1, '1/2', 0.5), (2, '2/5', 0.4), (3, '1/4', 0.25), (4, '1/5', 0.2), (5, '1/10', 0.1), (6, '1/20', 0.05), (7, '1/50', 0.02), (8, '1/100', 0.01)) SELECT ratio, (SELECT name FROM b WHERE ratio >= v * (1 - 0.25::DOUBLE) AND ratio <= v * (1 + 0.25::DOUBLE) ORDER BY abs(ratio - v) / v, place LIMIT 1) AS band FROM r",
         "simple_fraction": "WITH r AS (SELECT n / 200.0::DOUBLE AS ratio FROM range(1, 4001) x(n)), f AS (SELECT n::INT AS num, d::INT AS den FROM range(1, 21) a(n), range(1, 11) b(d) WHERE n <> d), m AS (SELECT ratio, num, den FROM r JOIN f ON abs(ratio - 1) >= 0.09::DOUBLE AND abs(ratio / (num::DOUBLE / den) - 1) <= 0.01::DOUBLE QUALIFY row_number() OVER (PARTITION BY ratio ORDER BY den, num) = 1) SELECT r.ratio, num, den FROM r LEFT JOIN m USING (ratio)",
-        "slug_codes": staged(f"%nm AS (SELECT index_name, date FROM index_levels UNION ALL SELECT CASE WHEN day(date) = 1 THEN 'CNX  nifty' ELSE 'S&P CNX Nifty' END, date FROM index_levels) SELECT index_name, coalesce(code, nullif(regexp_replace(upper(index_name), '[^A-Z0-9]', '', 'g'), ''), 'UNKNOWN') AS index_code, count(*) AS days FROM nm LEFT JOIN {alias} ON plain = upper(regexp_replace(trim(index_name), '\\s+', ' ', 'g')) WHERE date < DATE '1998-02-01' GROUP BY 1, 2"),
+        "slug_codes": staged(f"%nm AS (SELECT index_name, date FROM index_levels UNION ALL SELECT CASE WHEN day(date) = 1 THEN 'CNX  nifty' ELSE 'S&P CNX Nifty' END, date FROM index_levels) SELECT index_name, coalesce(code, nullif(regexp_replace(upper(index_name), '[^A-Z0-9]', '', 'g'), ''), 'UNKNOWN') AS index_code, count(*) AS days FROM nm LEFT JOIN {alias} ON plain = upper(regexp_replace(trim(index_name), '\\s+', ' ', 'g')) GROUP BY 1, 2"),
         "month_windows": staged("SELECT d::VARCHAR AS date, (date_trunc('month', d)::DATE - INTERVAL 1 MONTH + to_days(day(d)::INT - 1))::DATE::VARCHAR AS back_1, (date_trunc('month', d)::DATE - INTERVAL 12 MONTH + to_days(day(d)::INT - 1))::DATE::VARCHAR AS back_12 FROM cal"),
         "pre_isin_bridge": staged(f"SELECT ticker, isin, fd::VARCHAR AS first_date FROM (SELECT DISTINCT symbol_id, ticker, isin FROM symbols WHERE ingested_at <= TIMESTAMP '{PIN}') JOIN (SELECT symbol_id, min(date) AS fd FROM ({v}) GROUP BY 1) USING (symbol_id) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY fd, symbol_id) = 1"),
         "pre_isin_resolution": staged(f"% {early} SELECT ticker, kind, CASE kind WHEN 'bridged' THEN isin WHEN 'renamed' THEN new ELSE 'X-NSE-' || upper(trim(ticker)) END AS identity FROM rk"),
+        "prior_runs": f"SELECT * FROM ({_RUNS}) WHERE config_hash = sha256('{{\"top\":1}}')",
+        "holdout_runs": f"SELECT * FROM ({_RUNS}) WHERE period_to >= '2023-01-01'",
+        "ingest_noop_rerun": staged(f"SELECT run, CASE run WHEN 1 THEN n ELSE 0 END AS rows_added FROM (SELECT count(*) AS n FROM ({v})), (VALUES (1), (2)) r(run)"),
         "close_on_day": staged(f"SELECT ticker, arg_min(close::DOUBLE, symbol_id) AS close FROM ({v}) JOIN (SELECT symbol_id, ticker FROM ({latest('symbols', 'symbol_id', PIN)})) USING (symbol_id) WHERE date = DATE '{AS_OF}' GROUP BY 1"),
     }
 
@@ -277,9 +282,9 @@ def _reports() -> dict[str, str]:
     parts = " UNION ALL ".join([
         digest("bars", "date", "source, symbol_id, date", [s(c) for c in ("source", "symbol_id", "series", "open", "high", "low", "close", "volume", "turnover", "delivery_qty")]),
         digest("index_levels", "date", "source, index_code, date", [s(c) for c in ("source", "index_code", "index_name", "close")]),
-        digest("symbols", "symbol_id % 10", "symbol_id", [s(c) for c in ("symbol_id", "isin", "ticker", "valid_from")]),
-        digest("symbol_links", "symbol_id % 10", "symbol_id", [s(c) for c in ("symbol_id", "entity_id", "reason", "boundary", "predecessor")]),
-        digest("adjustments", "entity_id % 10", "entity_id, ex_date", ["entity_id::VARCHAR", "ex_date::VARCHAR", "'eod2-ratio-step'", "ratio::DECIMAL(18,8)::VARCHAR"]),
+        digest("symbols", "symbol_id // 1000", "symbol_id", [s(c) for c in ("symbol_id", "isin", "ticker", "valid_from")]),
+        digest("symbol_links", "symbol_id // 1000", "symbol_id", [s(c) for c in ("symbol_id", "entity_id", "reason", "boundary", "predecessor")]),
+        digest("adjustments", "entity_id // 1000", "entity_id, ex_date", ["entity_id::VARCHAR", "ex_date::VARCHAR", "'eod2-ratio-step'", "ratio::DECIMAL(18,8)::VARCHAR"]),
     ])
     return {
         "tracking_stats": staged(f"% {_CURVE}, w AS (SELECT a.date, a.equity / lag(a.equity) OVER (ORDER BY a.date) - 1 AS x, b.equity / lag(b.equity) OVER (ORDER BY a.date) - 1 AS y FROM curve a JOIN curve b ON a.date = b.date AND a.run = 'calm' AND b.run = 'wild'), q AS (SELECT *, abs(x - y) AS diff FROM w WHERE x IS NOT NULL) SELECT count(*) AS pairs, count(*) FILTER (diff > 0.25) AS dropped, {f6('corr(x, y) FILTER (diff <= 0.25)')} AS correlation, {f6('avg(diff) FILTER (diff <= 0.25)')} AS mean_difference, (SELECT date FROM q WHERE diff <= 0.25 ORDER BY diff DESC, date DESC LIMIT 1)::VARCHAR AS worst_day FROM q"),

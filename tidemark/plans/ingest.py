@@ -1,7 +1,10 @@
-"""Appending to the store: only what is new or changed, with symbols minted for new identifiers. One writer at a time."""
+"""Appending to the store: only what is new or changed, with symbols minted for new identifiers. A lock keeps it to one writer at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +12,11 @@ from pyspark.sql.window import Window
 from ..operators.bitemporal import EVER, latest_version
 from ..operators.checks import assert_empty
 from ..operators.hashing import bar_hash, index_hash
-from ..schemas import STATUSES, schema
+from ..operators.identity import assert_flat
+from ..schemas import REASONS, STATUSES, schema
+from ..sources.addresses import MOST_ERRORS, days_to_fetch, unpacked, walk_days
+from ..sources.archives import equity_bars
+from .storage import append, write_bars, write_bytes, writer_lock
 
 
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -49,24 +56,26 @@ def new_symbols(batch: DataFrame, symbols: DataFrame, at: str) -> DataFrame:
 
 
 def insert_bars(spark: SparkSession, root: str, source: str, batch: DataFrame, at: str) -> int:
-    """Registers symbols and appends the bars of a batch that are new or changed. Writing a batch again adds nothing. Returns the rows added."""
-    symbols = read(spark, f"{root}/symbols", "symbols")
-    new_symbols(batch, symbols, at).write.mode("append").parquet(f"{root}/symbols")
-    ids = read(spark, f"{root}/symbols", "symbols").select("isin", "symbol_id").distinct()
-    rows = batch.join(ids, "isin").withColumn("source", F.lit(source))
-    for c, kind in (("delivery_qty", "bigint"), ("turnover", "decimal(20,2)")):
-        if c not in rows.columns:
-            rows = rows.withColumn(c, F.lit(None).cast(kind))
-    key = ["source", "symbol_id", "date"]
-    rows = one_of_each(rows.withColumn("content_hash", bar_hash()), key)
-    names = [f.name for f in schema("bars").fields]
-    added = changed(rows, read(spark, f"{root}/bars", "bars"), key).withColumn("ingested_at", F.lit(at).cast("timestamp")).select(*names)
-    added = added.cache()
-    n = added.count()
-    if n:
-        added.write.mode("append").parquet(f"{root}/bars")
-    added.unpersist()
-    return n
+    """Registers symbols and appends the bars of a batch that are new or changed, by source and year. Writing a batch again adds nothing. Returns
+    the rows added."""
+    with writer_lock(spark, root):
+        symbols = read(spark, f"{root}/symbols", "symbols")
+        append(new_symbols(batch, symbols, at), f"{root}/symbols")
+        ids = read(spark, f"{root}/symbols", "symbols").select("isin", "symbol_id").distinct()
+        rows = batch.join(ids, "isin").withColumn("source", F.lit(source))
+        for c, kind in (("delivery_qty", "bigint"), ("turnover", "decimal(20,2)")):
+            if c not in rows.columns:
+                rows = rows.withColumn(c, F.lit(None).cast(kind))
+        key = ["source", "symbol_id", "date"]
+        rows = one_of_each(rows.withColumn("content_hash", bar_hash()), key)
+        names = [f.name for f in schema("bars").fields]
+        added = changed(rows, read(spark, f"{root}/bars", "bars"), key).withColumn("ingested_at", F.lit(at).cast("timestamp")).select(*names)
+        added = added.persist()
+        n = added.count()
+        if n:
+            write_bars(added, f"{root}/bars")
+        added.unpersist()
+        return n
 
 
 def insert_index_levels(spark: SparkSession, root: str, source: str, batch: DataFrame, at: str) -> int:
@@ -83,7 +92,7 @@ def insert_index_levels(spark: SparkSession, root: str, source: str, batch: Data
     added = changed(rows, read(spark, f"{root}/index_levels", "index_levels"), key).withColumn("ingested_at", F.lit(at).cast("timestamp"))
     n = added.count()
     if n:
-        added.select(*[f.name for f in schema("index_levels").fields]).write.mode("append").parquet(f"{root}/index_levels")
+        append(added.select(*[f.name for f in schema("index_levels").fields]), f"{root}/index_levels")
     return n
 
 
@@ -100,3 +109,65 @@ def log_rows(spark: SparkSession, source: str, fetched: list, at: str) -> DataFr
         raise ValueError(f"unknown status {sorted(bad)}")
     rows = [(source, f.date, f.status, f.rows, f.note) for f in fetched]
     return spark.createDataFrame(rows, "source string, date date, status string, rows int, note string").withColumn("fetched_at", F.lit(at).cast("timestamp"))
+
+
+def insert_actions(spark: SparkSession, root: str, found: DataFrame, at: str) -> int:
+    """Appends detected actions that are new or changed. Returns the rows added."""
+    with writer_lock(spark, root):
+        added = changed_actions(found, read(spark, f"{root}/adjustments", "adjustments")).withColumn("ingested_at", F.lit(at).cast("timestamp"))
+        return _append_as(added, root, "adjustments")
+
+
+def insert_links(spark: SparkSession, root: str, planned: DataFrame) -> int:
+    """Appends planned links or retractions (see identity.plan_links and plan_retraction) after a look that the map stays flat. Returns the rows added."""
+    known = F.coalesce(F.col("reason").isin(*REASONS), F.lit(False))
+    own = F.col("symbol_id") == F.col("entity_id")
+    shaped = F.when(F.col("reason") == "retraction", own & F.col("boundary").isNull() & F.col("predecessor").isNull()).otherwise(~own & F.col("boundary").isNotNull() & F.col("predecessor").isNotNull())
+    assert_empty(planned.where(~known | ~shaped), "no proper link")
+    with writer_lock(spark, root):
+        assert_flat(read(spark, f"{root}/symbol_links", "symbol_links"), planned)
+        return _append_as(planned, root, "symbol_links")
+
+
+def log_days(spark: SparkSession, root: str, source: str, fetched: list, at: str) -> int:
+    """Appends a walk over days to the ingest log."""
+    return _append_as(log_rows(spark, source, fetched, at), root, "ingest_log") if fetched else 0
+
+
+def record_run(spark: SparkSession, root: str, row: DataFrame) -> int:
+    """Appends one run to the ledger; see provenance.run_row."""
+    return _append_as(row, root, "runs")
+
+
+def _append_as(df: DataFrame, root: str, table: str) -> int:
+    """Appends rows in the stored schema; columns that they lack are null."""
+    fields = schema(table).fields
+    rows = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).persist()
+    n = rows.count()
+    if n:
+        append(rows, f"{root}/{table}")
+    rows.unpersist()
+    return n
+
+
+def backfill(spark: SparkSession, root: str, source: str, start: date, end: date, fetch: Callable[[date], bytes | None], now: Callable[[], datetime], refetch: bool = False) -> list:
+    """Fetches, unpacks, parses, inserts and logs every day from start to end that the log does not have as settled. fetch(day) gives a zip file or a
+    CSV, or None where there is no file. Days done before an error stay logged, so that the walk can be taken up again."""
+    todo = [r["date"] for r in days_to_fetch(spark, read(spark, f"{root}/ingest_log", "ingest_log"), source, start, end, first=start, refetch=refetch).collect()]
+    done: list = []
+
+    def store(day: date, body: bytes) -> int:
+        path = f"{root}/incoming/{source}-{day:%Y%m%d}.csv"
+        write_bytes(spark, path, unpacked(body))
+        bars = equity_bars(spark, path).drop("file")
+        assert_empty(bars.where(F.col("date") != F.lit(day)).select("date", "ticker"), f"rows of another day than {day}")
+        return insert_bars(spark, root, source, bars, f"{now():%Y-%m-%d %H:%M:%S}")
+
+    try:
+        for day in todo:
+            done += walk_days([day], fetch, store, now)
+            if len(done) >= MOST_ERRORS and all(f.status == "error" for f in done[-MOST_ERRORS:]):
+                raise RuntimeError(f"{MOST_ERRORS} errors in a row, the last on {day}: {done[-1].note}")
+    finally:
+        log_days(spark, root, source, done, f"{now():%Y-%m-%d %H:%M:%S}")
+    return done

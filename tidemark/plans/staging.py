@@ -24,7 +24,8 @@ def _check_digit(digits: str, n: int) -> str:
     return f"CAST((10 - ({' + '.join(parts)}) % 10) % 10 AS STRING)"
 
 
-_BODY = "concat(CASE WHEN s % 13 = 6 THEN '182315' ELSE '182314' END, lpad(CAST(s AS STRING), 4, '0'), '01', serial)"
+#: Digits of an ISIN: issuers are numbers of up to six digits.
+_BODY = "concat(CASE WHEN s % 13 = 6 THEN '182315' ELSE '182314' END, lpad(CAST(s AS STRING), 6, '0'), serial)"
 STAGING: list[tuple[str, str]] = [
     ("cal", "SELECT d, CAST(row_number() OVER (ORDER BY d) AS BIGINT) AS n FROM (SELECT DISTINCT CAST(date_trunc('week', l_shipdate) AS DATE) AS d FROM lineitem)"),
     ("weekly", "SELECT l_suppkey AS s, CAST(date_trunc('week', l_shipdate) AS DATE) AS d, sum(CAST(l_quantity AS DECIMAL(18,2))) AS qty, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS val FROM lineitem GROUP BY 1, 2"),
@@ -37,13 +38,13 @@ STAGING: list[tuple[str, str]] = [
     ("bars", "SELECT symbol_id, date, source, CAST(ingested_at AS TIMESTAMP) AS ingested_at, series, CAST(px / 10000.0 AS DECIMAL(14,4)) AS open, CAST(px / 10000.0 AS DECIMAL(14,4)) AS high, CAST(px / 10000.0 AS DECIMAL(14,4)) AS low, CAST(px / 10000.0 AS DECIMAL(14,4)) AS close, volume, turnover, CAST(NULL AS BIGINT) AS delivery_qty FROM versions"),
     ("reissued", "SELECT plan.s, name, min(d) AS first_day FROM plan JOIN quoted ON plan.s = quoted.s AND symbol_id = 2 * plan.s + 1 GROUP BY plan.s, name"),
     ("issues", "SELECT s, name, 2 * s AS symbol_id, '01' AS serial, DATE '1995-01-01' AS known FROM plan UNION ALL SELECT s, name, 2 * s + 1, '02', CAST(first_day + INTERVAL 1 DAY AS DATE) FROM reissued"),
-    ("named", f"SELECT symbol_id, s, name, known, concat(CASE WHEN s % 13 = 6 THEN 'INF' ELSE 'INE' END, lpad(CAST(s AS STRING), 4, '0'), '01', serial, {_check_digit(_BODY, 14)}) AS isin FROM issues"),
+    ("named", f"SELECT symbol_id, s, name, known, concat(CASE WHEN s % 13 = 6 THEN 'INF' ELSE 'INE' END, lpad(CAST(s AS STRING), 6, '0'), serial, {_check_digit(_BODY, 14)}) AS isin FROM issues"),
     ("symbols", "SELECT symbol_id, isin, name AS ticker, CAST(known AS TIMESTAMP) AS ingested_at, DATE '0001-01-01' AS valid_from FROM named UNION ALL SELECT symbol_id, isin, concat(name, '-R'), CAST(d + INTERVAL 1 DAY AS TIMESTAMP), d FROM named JOIN cal ON n = 200 WHERE s % 17 = 0"),
     ("symbol_links", "SELECT 2 * s + 1 AS symbol_id, 2 * s AS entity_id, 'succession' AS reason, first_day AS boundary, 2 * s AS predecessor, TIMESTAMP '2002-06-01 00:00:00' AS ingested_at FROM reissued"
      " UNION ALL SELECT 2 * s + 1, 2 * s + 1, 'retraction', CAST(NULL AS DATE), CAST(NULL AS BIGINT), TIMESTAMP '2004-01-01 00:00:00' FROM reissued WHERE s % 35 = 0"),
     ("index_days", "SELECT CAST(o_orderdate AS DATE) AS d, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total, count(*) AS k FROM orders GROUP BY 1"),
     ("index_levels", "SELECT 'NIFTYX' AS index_code, d AS date, 'nse-index' AS source, CAST(d + INTERVAL 1 DAY AS TIMESTAMP) AS ingested_at, CASE WHEN d < DATE '1998-01-01' THEN 'Nifty  X' ELSE 'NIFTY X 50' END AS index_name, CAST(floor(CAST(sum(total) OVER (ORDER BY d) AS DOUBLE) / CAST(sum(k) OVER (ORDER BY d) AS DOUBLE) * 100 + 0.5) / 100.0 AS DECIMAL(14,4)) AS close FROM index_days WHERE d NOT BETWEEN DATE '1999-03-01' AND DATE '1999-03-12'"),
-    ("ingest_log", "SELECT 'nse-bhavcopy' AS source, d AS date, CASE WHEN n % 97 = 0 THEN 'error' ELSE 'ok' END AS status, CAST(d + INTERVAL 1 DAY AS TIMESTAMP) AS fetched_at FROM cal"),
+    ("ingest_log", "SELECT 'nse-bhavcopy' AS source, d AS date, CASE WHEN n % 97 = 0 THEN 'error' ELSE 'ok' END AS status, CAST(d + INTERVAL 1 DAY AS TIMESTAMP) AS fetched_at FROM cal WHERE n % 61 <> 30"),
 ]
 
 
@@ -84,11 +85,11 @@ def stage(spark: SparkSession, sf_dir: str) -> Tables:
         stored = {"quoted": f"parquet.`{path}/quoted`"}
         write_bars(_relation(spark, sf_dir, stored, "bars").withColumn("content_hash", bar_hash()), f"{path}/bars")
         for name in _KEPT:
-            _relation(spark, sf_dir, stored, name).coalesce(1).write.parquet(f"{path}/{name}")
+            _relation(spark, sf_dir, stored, name).write.parquet(f"{path}/{name}")
         opened = _open(spark, path)
         found = detect(opened["bars"], opened["symbols"], opened["symbol_links"], PIN).where("outcome = 'share action'")
         found = found.select("entity_id", "ex_date", F.lit("eod2-ratio-step").alias("source"), F.col("exact").cast("decimal(18,8)").alias("ratio"), F.lit("2002-07-01").cast("timestamp").alias("ingested_at"))
-        found.coalesce(1).write.parquet(f"{path}/adjustments")
+        found.write.parquet(f"{path}/adjustments")
         _STORED[key] = path
     opened = _open(spark, _STORED[key])
     return Tables(**opened, adjustments=spark.read.parquet(f"{_STORED[key]}/adjustments"))

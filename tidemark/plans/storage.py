@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +42,28 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
 def append(df: DataFrame, path: str) -> None:
     """The only way rows get into a table: there is no update and no delete."""
     df.write.mode("append").parquet(path)
+
+
+@contextmanager
+def writer_lock(spark: SparkSession, root: str) -> Iterator[None]:
+    """One writer at a time: a file that can be created only once, removed at the end. A second writer gets an error and may try again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_writer")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        fs.create(path, False).close()
+    except Exception as e:
+        raise RuntimeError(f"another writer holds {root}/_writer") from e
+    try:
+        yield
+    finally:
+        fs.delete(path, False)
+
+
+def write_bytes(spark: SparkSession, path: str, body: bytes) -> None:
+    """A small file in the store's file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(body))
+    finally:
+        out.close()

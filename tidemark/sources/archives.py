@@ -16,6 +16,8 @@ LAYOUTS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
 }
 BAR_COLUMNS = ("date", "ticker", "series", "isin", "open", "high", "low", "close", "volume", "turnover")
 INDEX_COLUMNS = ("Index Name", "Index Date", "Open Index Value", "High Index Value", "Low Index Value", "Closing Index Value", "Points Change", "Change(%)", "Volume", "Turnover (Rs. Cr.)", "P/E", "P/B", "Div Yield")
+#: The ways an index file may write its date.
+INDEX_DATES = ("dd-MM-yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "MM/dd/yyyy")
 DAILY_COLUMNS = ("Date", "Open", "High", "Low", "Close", "Volume")
 
 
@@ -39,55 +41,89 @@ def day(col: Column, formats: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
 
 
-def read_csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """All columns as text with the file they came from; rows that do not fit the header are kept for the checks."""
-    return spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(paths).withColumn("file", F.col("_metadata.file_name"))
+def headers(spark: SparkSession, paths: list[str] | str) -> dict[str, list[str]]:
+    """The files of each header line. An archive has a few headers and one small file a day."""
+    line = F.substring_index(F.decode(F.substring("content", 1, 8192), "UTF-8"), "\n", 1)
+    rows = spark.read.format("binaryFile").load(paths).select(F.regexp_replace(line, "[\\r\ufeff]", "").alias("header"), "path")
+    return {r["header"]: sorted(r["paths"]) for r in rows.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()}
 
 
-def equity_bars(spark: SparkSession, paths: list[str] | str, check: bool = True) -> DataFrame:
-    """Bars of equity archive files of one layout. Only series EQ and BE are taken.
+def read_csv(spark: SparkSession, paths: list[str] | str) -> list[DataFrame]:
+    """One table of text columns for each header among the files, with the file that rows came from. Columns go by their own file's header."""
+    out = []
+    for header, files in sorted(headers(spark, paths).items()):
+        names = [h.strip().strip('"') for h in header.split(",")]
+        kind = ", ".join(f"`{n or f'_blank{i}'}` string" for i, n in enumerate(names))
+        read = spark.read.option("header", True).option("enforceSchema", False).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+        read = read.option("mode", "FAILFAST") if all(names) else read.option("enforceSchema", True)
+        out.append(read.schema(kind).csv(files).withColumn("file", F.col("_metadata.file_name")))
+    return out
 
-    Errors: an unreadable date or number, a price that is no finite number, a blank ISIN in a layout that has it, and one
-    ISIN (or ticker, where there is none) twice on a day.
-    """
-    raw = read_csv(spark, paths)
-    names = {c: c.strip() for c in raw.columns}
-    name = layout_of(list(names.values()))
-    columns, formats = LAYOUTS[name]
-    at = {v: k for k, v in names.items()}
-    col = lambda c: F.col(f"`{at[c]}`")
-    date_c, ticker_c, series_c = columns[:3]
+
+def parsed(raw: DataFrame, layout: str) -> DataFrame:
+    """Bars of text columns in one layout, series EQ and BE only, numbers and dates null where they cannot be read. Batches and streams both come here."""
+    columns, formats = LAYOUTS[layout]
+    col = lambda c: F.col(f"`{c}`")
     isin = F.nullif(F.trim(col("ISIN")), F.lit("")) if "ISIN" in columns else F.lit(None).cast("string")
     prices, volume, value = columns[-6:-2], columns[-2], columns[-1]
-    rows = raw.where(F.trim(col(series_c)).isin(*SERIES)).select(
-        "file", day(col(date_c), formats).alias("date"), F.trim(col(ticker_c)).alias("ticker"), F.trim(col(series_c)).alias("series"), isin.alias("isin"),
+    file = F.col("file") if "file" in raw.columns else F.lit(None).cast("string")
+    return raw.where(F.trim(col(columns[2])).isin(*SERIES)).select(
+        file.alias("file"), day(col(columns[0]), formats).alias("date"), F.trim(col(columns[1])).alias("ticker"), F.trim(col(columns[2])).alias("series"), isin.alias("isin"),
         *[number(col(c)).alias(k) for c, k in zip(prices, ("open", "high", "low", "close"), strict=True)],
         number(col(volume), "bigint").alias("volume"), number(col(value)).alias("turnover"),
     )
-    if check:
-        bad = F.col("date").isNull() | F.col("volume").isNull()
-        for p in ("open", "high", "low", "close"):
-            bad = bad | F.col(p).isNull() | F.isnan(p) | (F.abs(F.col(p)) == float("inf"))
-        assert_empty(rows.where(bad), "malformed rows")
-        if "ISIN" in columns:
-            assert_empty(rows.where("isin is null"), "rows without ISIN")
-        assert_empty(rows.groupBy("date", F.coalesce("isin", "ticker").alias("identity")).count().where("count > 1"), "one identity twice on a day")
-    prices_out = {p: F.col(p).cast("decimal(14,4)") for p in ("open", "high", "low", "close")}
-    return rows.withColumns(prices_out | {"turnover": F.col("turnover").cast("decimal(20,2)")}).select("file", *BAR_COLUMNS)
+
+
+def checked(rows: DataFrame, layout: str) -> None:
+    """Raises on an unreadable date, price or volume, a price that is no finite number, a blank ISIN in a layout that has it, and one ISIN (or
+    ticker, where there is none) twice on a day."""
+    bad = F.col("date").isNull() | F.col("volume").isNull()
+    for p in ("open", "high", "low", "close"):
+        bad = bad | F.col(p).isNull() | F.isnan(p) | (F.abs(F.col(p)) == float("inf"))
+    assert_empty(rows.where(bad), "malformed rows")
+    if "ISIN" in LAYOUTS[layout][0]:
+        assert_empty(rows.where("isin is null"), "rows without ISIN")
+    assert_empty(rows.groupBy("date", F.coalesce("isin", "ticker").alias("identity")).count().where("count > 1"), "one identity twice on a day")
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    prices = {p: F.col(p).cast("decimal(14,4)") for p in ("open", "high", "low", "close")}
+    return rows.withColumns(prices | {"turnover": F.col("turnover").cast("decimal(20,2)")}).select("file", *BAR_COLUMNS)
+
+
+def equity_bars(spark: SparkSession, paths: list[str] | str, check: bool = True) -> DataFrame:
+    """Bars of equity archive files, each read by its own header; see checked() for what is an error."""
+    out = None
+    for raw in read_csv(spark, paths):
+        name = layout_of(raw.columns)
+        rows = parsed(raw, name)
+        if check:
+            checked(rows, name)
+        out = typed(rows) if out is None else out.unionByName(typed(rows))
+    if out is None:
+        raise IntegrityError("no files")
+    return out
 
 
 def daily_bars(spark: SparkSession, folder: str, symbol_map: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """Adjusted daily files of a folder, one per ticker named by its file: the bars of mapped tickers, and the unmapped tickers in order."""
-    raw = read_csv(spark, folder)
-    if missing := set(DAILY_COLUMNS) - set(raw.columns):
-        raise IntegrityError(f"missing columns {sorted(missing)}")
+    """Adjusted daily files of a folder, one per ticker named by its file: the bars of mapped tickers, and the unmapped tickers in order.
+    Files may or may not have deliveries. A date or number that cannot be read is an error."""
     if not symbol_map:
         raise IntegrityError("the symbol map is empty")
-    delivery = F.col("DLV_QTY") if "DLV_QTY" in raw.columns else F.lit(None).cast("string")
-    rows = raw.select(
-        F.upper(F.regexp_replace("file", r"(?i)\.csv$", "")).alias("ticker"), day(F.substring("Date", 1, 10), ("yyyy-MM-dd",)).alias("date"),
-        *[number(F.col(c)).cast("decimal(14,4)").alias(c.lower()) for c in ("Open", "High", "Low", "Close")], number(F.col("Volume")).cast("bigint").alias("volume"), number(delivery).cast("bigint").alias("delivery_qty"),
-    )
+    rows = None
+    for raw in read_csv(spark, folder):
+        if missing := set(DAILY_COLUMNS) - set(raw.columns):
+            raise IntegrityError(f"missing columns {sorted(missing)}")
+        delivery = F.col("DLV_QTY") if "DLV_QTY" in raw.columns else F.lit(None).cast("string")
+        some = raw.select(
+            F.upper(F.regexp_replace("file", r"(?i)\.csv$", "")).alias("ticker"), day(F.substring("Date", 1, 10), ("yyyy-MM-dd",)).alias("date"),
+            *[number(F.col(c)).cast("decimal(14,4)").alias(c.lower()) for c in ("Open", "High", "Low", "Close")], number(F.col("Volume")).cast("bigint").alias("volume"), number(delivery).cast("bigint").alias("delivery_qty"),
+        )
+        rows = some if rows is None else rows.unionByName(some)
+    bad = F.lit(False)
+    for c in ("date", "open", "high", "low", "close", "volume"):
+        bad = bad | F.col(c).isNull()
+    assert_empty(rows.where(bad), "malformed rows")
     known = spark.createDataFrame(list(symbol_map.items()), "ticker string, isin string")
     return rows.join(known, "ticker"), rows.select("ticker").distinct().join(known, "ticker", "left_anti").orderBy("ticker")
 
@@ -105,11 +141,11 @@ def index_rows(spark: SparkSession, path: str, session: str) -> tuple[DataFrame,
 
     The date may be written in four ways; one of them must give the session asked for. A dash is a null; a close is required.
     """
-    raw = read_csv(spark, path)
-    if tuple(c.strip() for c in raw.columns if c != "file") != INDEX_COLUMNS:
+    raw = read_csv(spark, path)[0]
+    if tuple(c for c in raw.columns if c != "file") != INDEX_COLUMNS:
         raise IntegrityError(f"unexpected header {raw.columns}")
     text = F.trim(F.col("`Index Date`"))
-    ways = F.array(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in ("dd-MM-yyyy", "MM-dd-yyyy", "dd-MMM-yyyy", "yyyy-MM-dd")])
+    ways = F.array(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in INDEX_DATES])
     assert_empty(raw.where(~F.coalesce(F.exists(ways, lambda d: d == F.lit(session).cast("date")), F.lit(False))).select("Index Name", "Index Date"), "rows of another day")
     named = raw.withColumn("index_name", F.trim(F.col("`Index Name`")))
     twice = named.groupBy("index_name").count().where("count > 1").select("index_name")

@@ -12,28 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ingest import insert_bars
-from ..sources.archives import LAYOUTS, SERIES, day, number
+from ..sources.archives import checked, layout_of, parsed, typed
 
 
-def parsed(raw: DataFrame, layout: str) -> DataFrame:
-    """Bars of text columns in one layout's order, without checks that need an action."""
-    columns, formats = LAYOUTS[layout]
-    prices, volume, value = columns[-6:-2], columns[-2], columns[-1]
-    return raw.where(F.trim(F.col(columns[2])).isin(*SERIES)).select(
-        day(F.col(columns[0]), formats).alias("date"), F.trim(F.col(columns[1])).alias("ticker"), F.trim(F.col(columns[2])).alias("series"), F.trim(F.col("ISIN")).alias("isin"),
-        *[number(F.col(c)).cast("decimal(14,4)").alias(k) for c, k in zip(prices, ("open", "high", "low", "close"), strict=True)],
-        number(F.col(volume), "bigint").alias("volume"), number(F.col(value)).cast("decimal(20,2)").alias("turnover"),
-    )
+def ingest_arrived(spark: SparkSession, folder: str, header: list[str], layout: str, source: str, root: str, checkpoint: str, at: Callable[[int], str], identity: DataFrame | None = None) -> list[int]:
+    """Appends all files of a folder that no earlier run has seen, by the parser and checks of batch reads. Returns the rows added by each batch.
 
-
-def ingest_arrived(spark: SparkSession, folder: str, header: list[str], layout: str, source: str, root: str, checkpoint: str, at: Callable[[int], str]) -> list[int]:
-    """Appends all files of a folder that no earlier run has seen. Returns the rows added by each batch."""
-    text = ", ".join(f"`{h}` string" for h in header)
+    identity (ticker, isin): names the bars of a layout that has no ISIN; a ticker without one is an error there.
+    """
+    names = [h.strip() for h in header]
+    if layout_of(names) != layout:
+        raise ValueError(f"the header is not of layout {layout}")
+    text = ", ".join(f"`{h or f'_blank{i}'}` string" for i, h in enumerate(names))
     stream = spark.readStream.option("header", True).schema(text).csv(folder)
     added: list[int] = []
 
-    def append(batch: DataFrame, number_: int) -> None:
-        added.append(insert_bars(batch.sparkSession, root, source, parsed(batch, layout), at(number_)))
+    def append(batch: DataFrame, number: int) -> None:
+        rows = parsed(batch, layout)
+        checked(rows, layout)
+        if identity is not None:
+            rows = rows.join(identity.select("ticker", F.col("isin").alias("_isin")), "ticker", "left").withColumn("isin", F.coalesce("isin", "_isin")).drop("_isin")
+        added.append(insert_bars(batch.sparkSession, root, source, typed(rows).drop("file"), at(number)))
 
     query = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
