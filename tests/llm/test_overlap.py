@@ -55,6 +55,28 @@ def test_pipeline_stage_drops_near_copies_that_fingerprints_miss(spark, sf):
     assert len(kept) < simhash.first_of_group(df).count()
 
 
+def test_rows_go_and_ids_stay(spark):
+    """Of two texts under one id only the copy goes."""
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    df = documents(spark, [(1, a, "en", "s"), (8, a, "en", "s"), (8, b, "en", "s")])
+    for kept in (overlap.first_of_group(df), simhash.first_of_group(df)):
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, a), (8, b)]
+
+
+def test_a_text_and_its_edited_copies_are_one_group(spark):
+    """Copies that differ more from each other than from their text."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(1000, " ".join(base), "en", "s")]
+    for i in range(60):
+        at = set(rng.sample(range(300), 5))
+        rows.append((i, " ".join(f"x{i}.{k}" if k in at else w for k, w in enumerate(base)), "en", "s"))
+    found = got(overlap.groups(documents(spark, rows)))
+    root = brute(rows)
+    assert {i for i, c in found if c == 0} >= {rows[k][0] for k in range(len(rows)) if root[k] == root[0]}
+    assert len({c for _, c in found}) == len(set(root))
+
+
 def test_odd_documents(spark):
     kept = overlap.first_of_group(clashing(documents(spark)))
     assert "set" not in kept.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 4, 7, 8, 8, 9, 10]

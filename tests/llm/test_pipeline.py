@@ -1,8 +1,9 @@
 import sentencepiece
 from small import clashing, documents
+from test_overlap import brute
 
 import corpus_pipeline
-from tidemark.llm import simhash, toxicity
+from tidemark.llm import toxicity
 from tidemark.llm.common import table
 from tidemark.llm.queries import PIECES_MODEL, tokenizer_path
 
@@ -12,9 +13,9 @@ def test_stages_one_by_one(spark, sf):
     bad = {r["doc_id"] for r in toxicity.scored(docs, labels).where("predicted = 1").collect()}
     clean = corpus_pipeline.drop_toxic(spark, docs, sf)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in docs.collect()} - bad
-    groups = simhash.groups(clean).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in clean.orderBy("doc_id").collect()]
     single = corpus_pipeline.drop_near_duplicates(spark, clean, sf)
-    assert single.columns == docs.columns and sorted(r["doc_id"] for r in single.collect()) == sorted({r["component_id"] for r in groups})
+    assert single.columns == docs.columns and {r["doc_id"] for r in single.collect()} == {rows[i][0] for i in brute(rows)}
     mixed = corpus_pipeline.mix_sources(spark, single, sf)
     assert mixed.columns == docs.columns and 0.7 * single.count() <= mixed.count() <= single.count()
     lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(PIECES_MODEL))

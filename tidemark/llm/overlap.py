@@ -6,8 +6,8 @@ similarity 0.8 or more share one of their first shingles in any order common to
 do. The order puts the shingles that a sample of documents has often last, as they would join too many sets. The sample affects the
 work only, not the result. Every link is verified on the whole sets.
 
-Groups of many copies are joined without all their pairs: first each set is compared only with its closest fingerprint and with the first set
-of the lists that it stands in; what that connects is one component. Then all pairs of sets that share a first shingle are compared, but
+Groups of many copies are joined without all their pairs: first each set is compared only with its closest fingerprint and with the set
+at the head of most lists that it stands in; what that connects is one component. Then all pairs of sets that share a first shingle are compared, but
 only those of different components, as others change nothing.
 """
 
@@ -158,9 +158,18 @@ def close_prints(reps: DataFrame, stage: Stage) -> DataFrame:
 
 
 def differing(index: DataFrame, by: str) -> DataFrame:
-    """The rows of index whose shingle stands beside more than one value of a column, with the least of them as _least."""
+    """The rows of index whose shingle stands beside more than one value of a column."""
     lists = Window.partitionBy("shingle")
-    return index.withColumns({"_least": F.min(by).over(lists), "_most": F.max(by).over(lists)}).where("_least < _most").drop("_most")
+    return index.withColumns({"_least": F.min(by).over(lists), "_most": F.max(by).over(lists)}).where("_least < _most").drop("_least", "_most")
+
+
+def heads(shared: DataFrame, stage: Stage) -> DataFrame:
+    """(head, set): the set that is at the head of most of a set's lists and may be similar to it. A list's head is the set of which the greatest part stands in lists
+    with others: of a text and its edited copies that is the text, as each edit makes shingles that no other has."""
+    part = stage.put(shared.groupBy("set").agg((F.count(F.lit(1)) / F.max("size")).alias("_part")), "parts")
+    rows = shared.join(part, "set").withColumn("_head", F.max(F.struct("_part", "set")).over(Window.partitionBy("shingle"))["set"])
+    lists = rows.where("set <> _head").groupBy("set", "_head").agg(F.count(F.lit(1)).alias("_n"), F.min("reach").alias("_left"), F.max("size").alias("_size"))
+    return lists.where("10 * (_n + _left - 1) >= 8 * _size").groupBy("set").agg(F.max_by("_head", F.struct("_n", "_head")).alias("head")).select("head", "set")
 
 
 def pairs_of(index: DataFrame) -> DataFrame:
@@ -190,15 +199,13 @@ def labelled(df: DataFrame, words: int = WORDS) -> DataFrame:
     names = reps.select("set", F.col("_at.doc_id").alias("_id"), F.col("_at.text_key").alias("text_key"), "_first", "size", "fingerprint", "bits")
     index = reps.select("set", "size", F.posexplode("first").alias("_pos", "shingle")).select("set", "size", (F.col("size") - F.col("_pos")).alias("reach"), "shingle")
     shared = stage.put(differing(index, "set"), "shared")
-    # First round: the closest fingerprint, and the set that comes first in most of a set's lists.
-    lists = shared.where("set <> _least").groupBy("set", "_least").agg(F.count(F.lit(1)).alias("_n"), F.min("reach").alias("_left"), F.max("size").alias("_size"))
-    head = lists.where("10 * (_n + _left - 1) >= 8 * _size").groupBy("set").agg(F.max_by("_least", F.struct("_n", "_least")).alias("head"))
-    tried = ordered(close_prints(names, stage).union(head.select("head", "set")))
+    # First round: the closest fingerprint, and the head of most of a set's lists.
+    tried = ordered(close_prints(names, stage).union(heads(shared, stage)))
     near = verified(stage.put(possible(tried, names), "near"), names, df, words, stage)
     nodes = stage.put(components(near, stage), "nodes")
     # Second round: pairs of sets that the first one did not connect.
-    known = shared.drop("_least").join(nodes.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("component", F.coalesce("root", "set")).drop("root")
-    open_ = stage.put(differing(known, "component").drop("_least"), "open")
+    known = shared.join(nodes.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("component", F.coalesce("root", "set")).drop("root")
+    open_ = stage.put(differing(known, "component"), "open")
     rest = verified(stage.put(possible(pairs_of(open_), names), "rest"), names, df, words, stage)
     nodes = stage.put(components(nodes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest.select("a", "b")), stage), "nodes")
     named = nodes.join(names, nodes["node"] == names["set"]).groupBy("root").agg(F.min("_first").alias("_joined"))
