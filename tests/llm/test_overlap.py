@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 from small import clashing, documents, got
 
 import corpus_pipeline
@@ -77,6 +79,20 @@ def test_a_text_and_its_edited_copies_are_one_group(spark):
     assert len({c for _, c in found}) == len(set(root))
 
 
+def test_bitmaps_of_two_lengths(spark):
+    """Sets on both sides of a power of two, linked or not."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(12):
+        base = [f"w{i}.{rng.random()}" for _ in range(128)]
+        rows += [(10 * i + k, " ".join(base + [f"x{k}.{j}" for j in range(more)]), "en", "s") for k, more in enumerate((0, 8, 20, 40))]
+    root = brute(rows)
+    assert got(overlap.groups(documents(spark, rows))) == sorted(((r[0], rows[root[i]][0]) for i, r in enumerate(rows)), key=repr)
+    assert len(set(root)) < len(rows)
+    for n in (0, 1, 64, 65, 5000):
+        assert len(overlap.bitmap(np.arange(n, dtype=np.uint64))) == max(1, 2 ** math.ceil(math.log2(max(n, 1))) // 64)
+
+
 def test_odd_documents(spark):
     kept = overlap.first_of_group(clashing(documents(spark)))
     assert "set" not in kept.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 4, 7, 8, 8, 9, 10]

@@ -4,7 +4,8 @@ At similarity 0.8 about 10 of a fingerprint's 64 bits differ, and no covering co
 fingerprints. So SimHash by anchor-point covering (simhash.py) finds the closest pairs, and the others come from this rule: two sets of
 similarity 0.8 or more share one of their first shingles in any order common to all sets; of n shingles the first n - ceil(0.8 n) + 1 will
 do. The order puts the shingles that a sample of documents has often last, as they would join too many sets. The sample affects the
-work only, not the result. Every link is verified on the whole sets.
+work only, not the result. Each set has a bitmap of about a bit per shingle, which refuses nearly all pairs of unlike sets without their
+shingles. Every link is verified on the whole sets.
 
 Groups of many copies are joined without all their pairs: first each set is compared only with its closest fingerprint and with the set
 at the head of most lists that it stands in; what that connects is one component. Then all pairs of sets that share a first shingle are compared, but
@@ -16,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,9 +53,10 @@ def first_shingles(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """256 bits, those that the first byte of some shingle names."""
-    bits = np.zeros(256, np.uint8)
-    bits[shingles >> np.uint64(56)] = 1
+    """The bits that the last binary digits of some shingle name, of the power of two, at least 64, that is not less than their number."""
+    n = 1 << max(6, (len(shingles) - 1).bit_length())
+    bits = np.zeros(n, np.uint8)
+    bits[shingles & np.uint64(n - 1)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
@@ -99,27 +101,39 @@ def sets(df: DataFrame, words: int, common: np.ndarray) -> DataFrame:
 
 
 def whole_sets(df: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """set, shingles and marks (the distinct first 16 bits of the shingles) of the distinct texts that `keys` (text_key, _id) names."""
+    """set and shingles of the distinct texts that `keys` (text_key, _id) names."""
 
     def run(batches):
         for batch in batches:
             for lo, n in slices(batch.column("_text")):
                 found = [shingle_set(x, words) for x in batch.column("_text").slice(lo, n).to_pylist()]
-                marks = pa.array([np.unique(s >> np.uint64(48)).astype(np.uint16).view(np.int16) for s in found], pa.list_(pa.int16()))
-                yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in found], pa.int64()), _listed(found), marks], ["set", "shingles", "marks"])
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in found], pa.int64()), _listed(found)], ["set", "shingles"])
 
     rows = df.select("doc_id", whole_text().alias("_text"), text_key().alias("text_key"))
     rows = rows.join(keys, (rows["text_key"] == keys["text_key"]) & rows["doc_id"].eqNullSafe(keys["_id"]), "left_semi")
-    return rows.select("_text").mapInArrow(run, "set bigint, shingles array<bigint>, marks array<smallint>").dropDuplicates(["set"])
+    return rows.select("_text").mapInArrow(run, "set bigint, shingles array<bigint>").dropDuplicates(["set"])
 
 
-def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs whose bitmaps allow the similarity: each bit of one that the other lacks is at least one shingle that it lacks."""
-    x = reps.select(F.col("set").alias("a"), F.col("size").alias("_na"), F.col("bits").alias("_ba"))
-    y = reps.select(F.col("set").alias("b"), F.col("size").alias("_nb"), F.col("bits").alias("_bb"))
-    lacks = lambda p, q: " + ".join(f"bit_count({p}[{i}] & ~{q}[{i}])" for i in range(4))
-    both = f"9 * least(_na - ({lacks('_ba', '_bb')}), _nb - ({lacks('_bb', '_ba')})) >= 4 * (_na + _nb)"
-    return pairs.join(x, "a").join(y, "b").where(both).select("a", "b")
+def enough(overlap) -> Column:
+    """Whether so many common shingles make two sets of _a_size and _b_size similar."""
+    return 9 * overlap >= 4 * (F.col("_a_size") + F.col("_b_size"))
+
+
+def folded(bits: str, other: str) -> Column:
+    """A bitmap at half its length where the other one is shorter; those of similar sets differ by no more than that."""
+    half = F.size(other)
+    halves = F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseOR(y))
+    return F.when(F.size(bits) > half, halves).otherwise(F.col(bits))
+
+
+def possible(pairs: DataFrame, reps: DataFrame, stage: Stage) -> DataFrame:
+    """Those of the distinct stored pairs whose sizes and bitmaps allow the similarity: each bit of one that the other lacks is at least one
+    shingle that it lacks."""
+    a, b = folded("_a_bits", "_b_bits"), folded("_b_bits", "_a_bits")
+    lacks = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
+    sized = enough(F.least("_a_size", "_b_size"))
+    both = F.least(F.col("_a_size") - lacks(a, b), F.col("_b_size") - lacks(b, a))
+    return beside(pairs, reps, ["size", "bits"], stage).where(F.when(sized, enough(both))).select("a", "b")
 
 
 def beside(pairs: DataFrame, whole: DataFrame, columns: list[str], stage: Stage) -> DataFrame:
@@ -133,15 +147,11 @@ def beside(pairs: DataFrame, whole: DataFrame, columns: list[str], stage: Stage)
 
 
 def verified(pairs: DataFrame, reps: DataFrame, df: DataFrame, words: int, stage: Stage) -> DataFrame:
-    """Those of the distinct stored pairs (a, b) whose whole sets have the similarity. Marks come first: each mark that the other set lacks
-    is at least one shingle that it lacks, and marks are a quarter of the bytes. What they allow is decided by the shingles."""
+    """Those of the distinct stored pairs (a, b) whose whole sets have the similarity."""
     ends = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     keys = stage.put(reps.join(ends, "set", "left_semi").select("text_key", "_id"), "keys")
-    whole = stage.put(whole_sets(df, keys, words).withColumn("n", F.size("shingles")), "whole")
-    least = F.least(*[F.col(f"_{x}_n") - F.size(F.array_except(f"_{x}_marks", f"_{y}_marks")) for x, y in ("ab", "ba")])
-    enough = lambda overlap: 9 * overlap >= 4 * (F.col("_a_n") + F.col("_b_n"))
-    likely = stage.put(beside(pairs, whole, ["n", "marks"], stage).where(enough(least)).select("a", "b"), "likely")
-    out = beside(likely, whole, ["n", "shingles"], stage).where(enough(F.size(F.array_intersect("_a_shingles", "_b_shingles"))))
+    whole = stage.put(whole_sets(df, keys, words).withColumn("size", F.size("shingles")), "whole")
+    out = beside(pairs, whole, ["size", "shingles"], stage).where(enough(F.size(F.array_intersect("_a_shingles", "_b_shingles"))))
     out = stage.put(out.select("a", "b"), "verified")
     stage.drop(keys, whole)
     return out
@@ -200,13 +210,14 @@ def labelled(df: DataFrame, words: int = WORDS) -> DataFrame:
     index = reps.select("set", "size", F.posexplode("first").alias("_pos", "shingle")).select("set", "size", (F.col("size") - F.col("_pos")).alias("reach"), "shingle")
     shared = stage.put(differing(index, "set"), "shared")
     # First round: the closest fingerprint, and the head of most of a set's lists.
-    tried = ordered(close_prints(names, stage).union(heads(shared, stage)))
-    near = verified(stage.put(possible(tried, names), "near"), names, df, words, stage)
+    tried = stage.put(ordered(close_prints(names, stage).union(heads(shared, stage))), "tried")
+    near = verified(stage.put(possible(tried, names, stage), "near"), names, df, words, stage)
     nodes = stage.put(components(near, stage), "nodes")
     # Second round: pairs of sets that the first one did not connect.
     known = shared.join(nodes.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("component", F.coalesce("root", "set")).drop("root")
     open_ = stage.put(differing(known, "component"), "open")
-    rest = verified(stage.put(possible(pairs_of(open_), names), "rest"), names, df, words, stage)
+    met = stage.put(pairs_of(open_), "met")
+    rest = verified(stage.put(possible(met, names, stage), "rest"), names, df, words, stage)
     nodes = stage.put(components(nodes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest.select("a", "b")), stage), "nodes")
     named = nodes.join(names, nodes["node"] == names["set"]).groupBy("root").agg(F.min("_first").alias("_joined"))
     joined = stage.put(nodes.join(named, "root").select(F.col("node").alias("set"), "_joined", F.lit(True).alias("_in")), "joined")
