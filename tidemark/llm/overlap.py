@@ -3,7 +3,7 @@
 At similarity 0.8 about 10 of a fingerprint's 64 bits differ, and no covering code carries that: anchors of so short blocks have nearly all
 fingerprints. So SimHash by anchor-point covering (simhash.py) finds the closest pairs, and the others come from this rule: two sets of
 similarity 0.8 or more share one of their first shingles in any order common to all sets; of n shingles the first n - ceil(0.8 n) + 1 will
-do. The order puts the shingles that a sample of documents has often last, as they would join too many sets. The sample affects the
+do. The order puts the shingles that a fixed share of the texts has often last, as they would join too many sets. The share affects the
 work only, not the result. Each set has a bitmap of about a bit per shingle, which refuses nearly all pairs of unlike sets without their
 shingles. Every link is verified on the whole sets.
 
@@ -26,8 +26,8 @@ from .components import components
 from .simhash import links, majority, only_first, shingle_hashes
 
 WORDS = 5
-#: Documents of the sample, about; shingles in at least OFTEN of them are common, at most COMMON are known as such.
-SAMPLE, OFTEN, COMMON = 10_000, 3, 200_000
+#: One text in SHARE is in the sample; shingles in at least OFTEN of its texts are common, and the commonest, at most COMMON, are known as such.
+SHARE, OFTEN, COMMON = 8, 3, 1_000_000
 #: Differing bits of the fingerprints that are looked at first; pairs with one set that are verified in one group.
 BITS, FAN = 3, 256
 
@@ -60,17 +60,25 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def common_shingles(df: DataFrame, rows: int, words: int) -> np.ndarray:
-    """Shingles that many documents of a sample have, ascending; at most COMMON of them reach the driver."""
+def common_shingles(df: DataFrame, words: int, stage: Stage) -> np.ndarray:
+    """Shingles that many of a share of the distinct texts have, ascending; at most COMMON of them reach the driver."""
 
     def run(batches):
         for batch in batches:
             for x in batch.column("_text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x, words).view(np.int64))], ["shingle"])
 
-    texts = df.select(whole_text().alias("_text")).where(F.pmod(F.xxhash64("_text"), F.lit(max(1, rows // SAMPLE))) == 0).distinct()
+    texts = df.select(whole_text().alias("_text")).where(F.pmod(F.xxhash64("_text"), F.lit(SHARE)) == 0).distinct()
     often = texts.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
-    found = often.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow().column("shingle")
+    often = stage.put(often.select("shingle", F.floor(4 * F.log2("n")).alias("step")), "often")
+    total, least = 0, None
+    for step, n in sorted(often.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # four steps per doubling: few rows
+        total += n
+        if total > COMMON:
+            break
+        least = step
+    found = often.where(F.col("step") >= F.lit(least)).select("shingle").toArrow().column("shingle")
+    stage.drop(often)
     return np.sort(np.asarray(found.to_numpy(), np.int64).view(np.uint64))
 
 
@@ -202,7 +210,7 @@ def ordered(pairs: DataFrame) -> DataFrame:
 def labelled(df: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, component_id and text_key of each row; see groups."""
     stage = Stage(df.sparkSession, "overlap")
-    found = stage.put(sets(df, words, common_shingles(df, df.count(), words)), "sets")
+    found = stage.put(sets(df, words, common_shingles(df, words, stage)), "sets")
     reps = stage.put(found.groupBy("set").agg(F.min(F.struct("doc_id", "text_key")).alias("_at"), F.min("doc_id").alias("_first"), *[F.first(c).alias(c) for c in ("size", "fingerprint", "bits", "first")]), "distinct")
     rows = stage.put(found.select("doc_id", "text_key", "set"), "rows")
     stage.drop(found)
