@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lmscore, mixing, mpegts, pieces, sharding, simhash, topk, toxicity, urlfilter, warc
+from . import align, lmscore, mixing, mpegts, pieces, sharding, simhash, topk, toxicity, urlfilter, warc
 from .common import table
 
 #: The vocabulary file of op9; see the tokenizers' own README.
 PIECES_MODEL = "piece_bpe_32k.model"
+#: The byte-level side of op11.
+BYTES_MODEL = "byte_bpe_50k.json"
 SHARDS = 8
 #: The mix of op4: 70 % of all tokens, crawl : reference : community as 5 : 3 : 2, at most two epochs.
 MIX = mixing.Mix(domains={"crawl": 5, "reference": 3, "community": 2}, langs={"en": 4, "de": 2, "fr": 2, "es": 2}, sources={"src0": 2}, share_thousandths=700, max_epochs=2)
@@ -66,6 +68,10 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_audit(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digests(table(spark, sf_dir, "documents"), tokenizer_path(BYTES_MODEL), tokenizer_path(PIECES_MODEL))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_feistel_shards": op8_feistel_shards,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_merkle_audit": op10_merkle_audit,
+        "op11_token_alignment": op11_token_alignment,
     }
 
 
