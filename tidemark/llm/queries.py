@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, lexical, lmscore, mixing, mpegts, pieces, sharding, simhash, topk, toxicity, urlfilter, warc
+from . import align, lexical, lmscore, mixing, mpegts, pieces, quality, sharding, simhash, topk, toxicity, urlfilter, warc
 from .common import table
 
 #: The vocabulary file of op9; see the tokenizers' own README.
@@ -72,6 +72,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digests(table(spark, sf_dir, "documents"), tokenizer_path(BYTES_MODEL), tokenizer_path(PIECES_MODEL))
 
 
+def op12_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece": op9_sentencepiece,
         "op10_merkle_audit": op10_merkle_audit,
         "op11_token_alignment": op11_token_alignment,
+        "op12_fourier_quality": op12_fourier_quality,
         "op13_lexical_search": op13_lexical_search,
     }
 
