@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -294,3 +295,18 @@ def test_any_text_encodes_as_the_library_does(text):
     lib, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.pieces(MODEL)
     ids = np.frombuffer(own.encode([text])[0], np.int32)
     assert ids.tolist() == lib.encode(text) and own.decode(ids) == lib.decode(ids.tolist())
+
+
+def test_totals_beyond_32_bits():
+    asked = [np.array([5, 9], np.uint64), np.array([9, 1 << 60], np.uint64)]
+    counts = [np.array([7, 3_000_000_000]), np.array([3_000_000_000, 1])]
+    table = pa.table(
+        {
+            "batch": [1, 2],
+            "hashes": [lmscore.squeezed(np.diff(h, prepend=np.uint64(0))) for h in asked],
+            "counts": [lmscore.counted(c) for c in counts],
+        }
+    )
+    out = lmscore._answer(lmscore.Shards(1, 1))((pa.scalar(0),), table).to_pylist()
+    assert [lmscore.uncounted(r["totals"]).tolist() for r in out] == [[7, 6_000_000_000], [6_000_000_000, 1]]
+    assert out[0]["n"] == 6_000_000_008 and out[0]["v"] == 3

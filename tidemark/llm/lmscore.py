@@ -144,6 +144,16 @@ def unsqueezed(blob: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(width, -1).T.tobytes(), kind)
 
 
+def counted(values: np.ndarray) -> bytes:
+    """Counts behind a byte that says how wide they are: four bytes where all fit, else eight."""
+    kind = np.uint32 if not len(values) or values.max() < 1 << 32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + squeezed(values.astype(kind))
+
+
+def uncounted(blob: bytes) -> np.ndarray:
+    return unsqueezed(blob[1:], {4: np.uint32, 8: np.uint64}[blob[0]])
+
+
 def _cuts(hashes: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's range of sorted hashes begins and the last ends."""
     bounds = np.array([(k << 64) // shards for k in range(1, shards)], dtype=np.uint64)
@@ -181,13 +191,12 @@ def _ask(shards: Shards):
                 for (base, many), (hashes, counts) in zip(shards.families(), asked, strict=True):
                     cut = _cuts(hashes, many)
                     parts = [(base + k, a, b) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-                    counts = counts.astype(np.uint32)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([k for k, _, _ in parts], pa.int64()),
                             pa.array([row["batch"]] * len(parts), pa.int64()),
                             pa.array([squeezed(np.diff(hashes[a:b], prepend=np.uint64(0))) for _, a, b in parts], pa.binary()),
-                            pa.array([squeezed(counts[a:b]) for _, a, b in parts], pa.binary()),
+                            pa.array([counted(counts[a:b]) for _, a, b in parts], pa.binary()),
                         ],
                         ["shard", "batch", "hashes", "counts"],
                     )
@@ -201,12 +210,12 @@ def _answer(shards: Shards):
     def run(key, asked):
         shard = key[0].as_py()
         hashes = [np.cumsum(unsqueezed(x.as_py(), np.uint64), dtype=np.uint64) for x in asked.column("hashes")]
-        counts = np.concatenate([unsqueezed(x.as_py(), np.uint32) for x in asked.column("counts")])
+        counts = np.concatenate([uncounted(x.as_py()) for x in asked.column("counts")])
         _, where = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(where, weights=counts)
-        each = total[where].astype(np.uint32)
+        each = total[where]  # sums of doubles, exact below 2**53
         ends = np.cumsum([len(h) for h in hashes])
-        blobs = [squeezed(each[e - len(h) : e]) for e, h in zip(ends.tolist(), hashes, strict=True)]
+        blobs = [counted(each[e - len(h) : e]) for e, h in zip(ends.tolist(), hashes, strict=True)]
         whole = (int(total.sum()), int((total > 0).sum())) if shard < shards.words else (0, 0)
         first = [i == 0 for i in range(len(blobs))]
         return pa.table([asked.column("batch"), pa.array([shard] * len(blobs), pa.int64()), pa.array(blobs, pa.binary()), pa.array([whole[0] * f for f in first], pa.int64()), pa.array([whole[1] * f for f in first], pa.int64())], names=["batch", "shard", "totals", "n", "v"])
@@ -289,7 +298,7 @@ def _score(shards: Shards, n: int, v: int, kind: str):
         for row in packed.to_pylist():
             t = _read(row)
             got = sorted(zip(answers.column("shard").to_pylist(), answers.column("totals"), strict=True), key=lambda x: x[0])
-            totals = np.concatenate([unsqueezed(x.as_py(), np.uint32) for _, x in got]).astype(np.float64)
+            totals = np.concatenate([uncounted(x.as_py()) for _, x in got]).astype(np.float64)
             c1 = np.empty(len(t.words))
             c1[np.argsort(t.words)] = totals[: len(t.words)]
             c2, c3 = np.split(totals[len(t.words) :], [len(t.pairs)])
