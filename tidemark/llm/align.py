@@ -30,7 +30,7 @@ from .common import Stage, slices, widened
 
 SPACE = "▁"
 #: Bytes of text in a batch; a longer text is a batch of its own. Bytes that either tokenizer gets at once, or one cut.
-BATCH, RUN = 16 << 20, 128 << 10
+BATCH, RUN = 4 << 20, 64 << 10
 CUT = re.compile(r"(?<=\S) (?=\S)")
 BYTE_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 BATCHES = (
@@ -196,6 +196,16 @@ def kept_cuts(found: Cuts, cuts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
     return cuts[~np.repeat(wrong, sizes)], np.cumsum(np.where(wrong, 0, sizes))
 
 
+def _digest(spelled: list[str], cuts: np.ndarray) -> str:
+    text = "".join(map(spelled.__getitem__, cuts.tolist()))[:-1]
+    return hashlib.sha256(text.encode()).hexdigest() if text else ""
+
+
+def _one_list(values, kind: pa.ListType) -> pa.ListArray:
+    """A column of one row, which holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind.value_type) if not isinstance(values, pa.Array) else values.cast(kind.value_type))
+
+
 def _batches(path_a: str, path_b: str):
     def run(batches):
         from pyspark import TaskContext
@@ -209,19 +219,21 @@ def _batches(path_a: str, path_b: str):
                 cuts, ends = kept_cuts(found, cuts, ends)
                 spelled = tokens.spelled(found)
                 at = [0, *ends.tolist()]
-                texts = ["".join([spelled[c] for c in cuts[x:y].tolist()])[:-1] for x, y in zip(at, at[1:], strict=False)]
+                groups = [_digest(spelled, cuts[x:y]) for x, y in zip(at, at[1:], strict=False)]
+                del spelled
                 links = np.diff(found.at)
                 weight = np.repeat(np.bincount(cuts, minlength=len(distinct)), links)
                 pair, pair_of_link = np.unique(found.ids_a[found.a] << 32 | found.ids_b[found.b], return_inverse=True)
                 sums = np.zeros(len(pair), np.int64)
                 np.add.at(sums, pair_of_link, weight)
-                row = {
-                    "batch": number, "doc_id": part.column("doc_id").to_pylist(), "n_a": per_text(np.diff(found.a_at), cuts, ends), "n_b": per_text(np.diff(found.b_at), cuts, ends),
-                    "n_groups": per_text(found.groups, cuts, ends), "n_links": per_text(links, cuts, ends), "groups_sha256": [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts],
-                    "pair": pair, "weight": sums, "doc_cuts": ends, "cut_links": links.astype(np.int32), "docs": pack(cuts), "pairs_of": pack(pair_of_link),
-                }
+                lists = [
+                    part.column("doc_id"), per_text(np.diff(found.a_at), cuts, ends), per_text(np.diff(found.b_at), cuts, ends), per_text(found.groups, cuts, ends),
+                    per_text(links, cuts, ends), groups, pair, sums, ends, links,
+                ]
+                schema = _arrow(BATCHES)
+                whole = [pa.array([number], pa.int64()), *(_one_list(x, f.type) for x, f in zip(lists, list(schema)[1:], strict=False)), pa.array([pack(cuts)]), pa.array([pack(pair_of_link)])]
                 number += 1
-                yield pa.RecordBatch.from_pylist([row], schema=_arrow(BATCHES))
+                yield pa.RecordBatch.from_arrays(whole, schema=schema)
 
     return run
 
