@@ -140,7 +140,7 @@ def test_backfill_unpacks_logs_and_can_be_run_again(spark, tmp_path):
 
 
 def test_one_writer_at_a_time(spark, tmp_path):
-    from tidemark.plans.storage import writer_lock
+    from tidemark.plans.commits import lease as writer_lock
 
     with writer_lock(spark, str(tmp_path)), pytest.raises(RuntimeError), writer_lock(spark, str(tmp_path)):
         pass

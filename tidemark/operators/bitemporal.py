@@ -22,7 +22,12 @@ def believed(table: DataFrame, pin: Pin) -> DataFrame:
 
 
 def latest_version(table: DataFrame, key: tuple[str, ...] | list[str], pin: Pin) -> DataFrame:
-    """Of each key the row ingested last at the pin. Keys are unique by ingested_at, so there are no ties."""
+    """Of each key the row ingested last at the pin. Keys are unique by ingested_at, so there are no ties.
+
+    Where rows carry superseded_at, which is when their key's next version came, that is a filter which the scan takes."""
+    if "superseded_at" in table.columns:
+        open_ = F.col("superseded_at").isNull()
+        return believed(table, pin).where(open_ if pin is None else open_ | (F.col("superseded_at") > F.lit(pin).cast("timestamp"))).drop("superseded_at")
     last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ingested_at")))
     return believed(table, pin).withColumn("_v", last).where("_v = 1").drop("_v")
 
@@ -74,7 +79,7 @@ def between(bars: DataFrame, source: str, after: str | date | None = None, upto:
 
 
 def sessions(bars: DataFrame, source: str, start: str | None, end: str | None, pin: Pin) -> DataFrame:
-    """Distinct dates of a source, both ends included."""
+    """Distinct dates of a source, both ends included. `bars` may be the kept table of sessions, which has one row per date."""
     after = None if start is None else date.fromisoformat(str(start)) - timedelta(days=1)
     return believed(between(bars, source, after, end), pin).select("date").distinct()
 

@@ -16,15 +16,39 @@ from ..operators.identity import assert_flat
 from ..schemas import REASONS, STATUSES, schema
 from ..sources.addresses import MOST_ERRORS, days_to_fetch, unpacked, walk_days
 from ..sources.archives import equity_bars
-from .storage import append, write_bars, write_bytes, writer_lock
+from .commits import Commit, commit, read_folders, state
+from .storage import session_days, write_bytes
 
 
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A stored table, or an empty one of its schema where nothing has been written yet."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        return spark.createDataFrame([], schema(table))
-    return spark.read.schema(schema(table)).parquet(path)
+    """A stored table (at <root>/<table>) as the last commit left it, or an empty one where nothing has been written yet. Bars come with superseded_at in
+    force: their own, or that of a closing which is not folded into them yet."""
+    root = path.rstrip("/").removesuffix(f"/{table}")
+    _, held = state(spark, root)
+    rows = read_folders(spark, root, table, held.get(table, []))
+    if table != "bars" or not held.get("closings"):
+        return rows
+    return closed(rows, read_folders(spark, root, "closings", held["closings"]))
+
+
+def closed(bars: DataFrame, closings: DataFrame) -> DataFrame:
+    """Bars with the closings of a delta beside them."""
+    key = ["source", "symbol_id", "date", "ingested_at"]
+    late = closings.select(*key, F.col("superseded_at").alias("_closed"))
+    return bars.join(late, key, "left").withColumn("superseded_at", F.coalesce("superseded_at", "_closed")).select(*bars.columns)
+
+
+def fold(spark: SparkSession, root: str) -> int:
+    """Writes the closings into the bars that they close and drops the delta; only sources and years with closings are rewritten. Returns their number."""
+    with commit(spark, root) as c:
+        delta = c.held.get("closings", [])
+        touched = {tuple(f.split("/")[1:]) for f in delta}
+        folders = [f for f in c.held.get("bars", []) if tuple(f.split("/")[1:]) in touched]
+        if folders:
+            c.append("bars", closed(read_folders(spark, root, "bars", folders), c.read("closings")))
+            c.remove("bars", folders)
+        c.remove("closings", delta)
+        return len(touched)
 
 
 def one_of_each(rows: DataFrame, key: list[str], digest: str = "content_hash") -> DataFrame:
@@ -46,9 +70,13 @@ def new_symbols(batch: DataFrame, symbols: DataFrame, at: str) -> DataFrame:
     named = batch.groupBy("isin").agg(F.max_by("ticker", F.struct("date", "ticker")).alias("ticker"), F.max("date").alias("_day"))
     top = symbols.agg(F.coalesce(F.max("symbol_id"), F.lit(0)).alias("_top"))
     known = symbols.select("isin", "symbol_id").distinct()
-    fresh = named.join(known, "isin", "left_anti").crossJoin(F.broadcast(top))  # one row
-    order = Window.orderBy("isin")  # new identifiers of one batch
-    fresh = fresh.select((F.col("_top") + F.row_number().over(order)).alias("symbol_id"), "isin", "ticker", F.lit(EVER).cast("date").alias("valid_from"))
+    fresh = named.join(known, "isin", "left_anti").withColumn("_group", F.substring("isin", 1, 8))
+    # Numbers go on from group to group, and within a group of one issuer's neighbours by ISIN: no task sorts all identifiers.
+    sizes = fresh.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_group", (F.sum("_size").over(Window.orderBy("_group")) - F.col("_size")).alias("_before"))
+    fresh = fresh.join(before, "_group").crossJoin(F.broadcast(top))  # one row
+    place = F.row_number().over(Window.partitionBy("_group").orderBy("isin"))
+    fresh = fresh.select((F.col("_top") + F.col("_before") + place).alias("symbol_id"), "isin", "ticker", F.lit(EVER).cast("date").alias("valid_from"))
     versions = symbols.join(named.select("isin", F.col("ticker").alias("_ticker"), "_day"), "isin")
     in_force = Window.partitionBy("symbol_id").orderBy(F.desc(F.col("valid_from") <= F.col("_day")), F.when(F.col("valid_from") <= F.col("_day"), F.col("valid_from")).desc_nulls_last(), "valid_from", F.desc("ingested_at"))
     moved = versions.withColumn("_r", F.row_number().over(in_force)).where("_r = 1 and ticker <> _ticker").select("symbol_id", "isin", F.col("_ticker").alias("ticker"), F.col("_day").alias("valid_from"))
@@ -56,26 +84,48 @@ def new_symbols(batch: DataFrame, symbols: DataFrame, at: str) -> DataFrame:
 
 
 def insert_bars(spark: SparkSession, root: str, source: str, batch: DataFrame, at: str) -> int:
-    """Registers symbols and appends the bars of a batch that are new or changed, by source and year. Writing a batch again adds nothing. Returns
-    the rows added."""
-    with writer_lock(spark, root):
-        symbols = read(spark, f"{root}/symbols", "symbols")
-        append(new_symbols(batch, symbols, at), f"{root}/symbols")
-        ids = read(spark, f"{root}/symbols", "symbols").select("isin", "symbol_id").distinct()
+    """Registers symbols and appends the bars of a batch that are new or changed, by source and year, all in one commit. Writing a batch again adds
+    nothing. Returns the rows added.
+
+    Only stored bars of the batch's years and days are read. A changed bar closes the version before it; a batch that is older than the version it would
+    close is an error. New sessions go into the kept table of sessions."""
+    key = ["source", "symbol_id", "date"]
+    with commit(spark, root) as c:
+        symbols = c.read("symbols")
+        minted = c.append("symbols", new_symbols(batch, symbols, at))
+        ids = symbols.unionByName(minted).select("isin", "symbol_id").distinct()
         rows = batch.join(ids, "isin").withColumn("source", F.lit(source))
-        for c, kind in (("delivery_qty", "bigint"), ("turnover", "decimal(20,2)")):
-            if c not in rows.columns:
-                rows = rows.withColumn(c, F.lit(None).cast(kind))
-        key = ["source", "symbol_id", "date"]
+        for col, kind in (("delivery_qty", "bigint"), ("turnover", "decimal(20,2)")):
+            if col not in rows.columns:
+                rows = rows.withColumn(col, F.lit(None).cast(kind))
         rows = one_of_each(rows.withColumn("content_hash", bar_hash()), key)
+        now = stored_beside(c, batch, source).select(*key, F.col("content_hash").alias("_h"), F.col("ingested_at").alias("_since"))
         names = [f.name for f in schema("bars").fields]
-        added = changed(rows, read(spark, f"{root}/bars", "bars"), key).withColumn("ingested_at", F.lit(at).cast("timestamp")).select(*names)
-        added = added.persist()
-        n = added.count()
-        if n:
-            write_bars(added, f"{root}/bars")
-        added.unpersist()
-        return n
+        moment = F.lit(at).cast("timestamp")
+        found = rows.join(now, key, "left").where(~F.col("content_hash").eqNullSafe(F.col("_h"))).withColumns({"ingested_at": moment, "superseded_at": F.lit(None).cast("timestamp")})
+        found = found.select(*names, "_since").persist()
+        try:
+            assert_empty(found.where(F.col("_since") >= moment).select(*key), "a batch that is older than what it changes")
+            n, closes = found.agg(F.count(F.lit(1)), F.count("_since")).first()
+            if n:
+                c.append("bars", found.select(*names))
+                days = session_days(found).join(c.read("sessions").where(F.col("source") == source).select("source", "date"), ["source", "date"], "left_anti")
+                c.append("sessions", days)
+            if closes:
+                c.append("closings", found.where("_since is not null").select(*key, F.col("_since").alias("ingested_at"), moment.alias("superseded_at")))
+        finally:
+            found.unpersist()
+    return n
+
+
+def stored_beside(c: Commit, batch: DataFrame, source: str) -> DataFrame:
+    """The open versions of a source's stored bars between a batch's first and last day, of its years only: what an insert reads does not grow with the store."""
+    years, lo, hi = batch.agg(F.collect_set(F.year("date")), F.min("date"), F.max("date")).first()  # a few years
+    inside = (F.col("source") == source) & F.col("year").isin(years) & F.col("date").between(F.lit(lo), F.lit(hi))
+    bars = c.read("bars").where(inside)
+    if c.held.get("closings"):
+        bars = closed(bars, c.read("closings").where(inside))
+    return bars.where("superseded_at is null")
 
 
 def insert_index_levels(spark: SparkSession, root: str, source: str, batch: DataFrame, at: str) -> int:
@@ -89,11 +139,10 @@ def insert_index_levels(spark: SparkSession, root: str, source: str, batch: Data
             rows = rows.withColumn(f.name, F.col(f.name).cast(f.dataType))
     rows = rows.withColumn("content_hash", index_hash())
     assert_empty(rows.groupBy(*key).count().where("count > 1"), "an index twice on a day")
-    added = changed(rows, read(spark, f"{root}/index_levels", "index_levels"), key).withColumn("ingested_at", F.lit(at).cast("timestamp"))
-    n = added.count()
-    if n:
-        append(added.select(*[f.name for f in schema("index_levels").fields]), f"{root}/index_levels")
-    return n
+    with commit(spark, root) as c:
+        lo, hi = rows.agg(F.min("date"), F.max("date")).first()
+        stored = c.read("index_levels").where((F.col("source") == source) & F.col("date").between(F.lit(lo), F.lit(hi)))
+        return _append_as(changed(rows, stored, key).withColumn("ingested_at", F.lit(at).cast("timestamp")), c, "index_levels")
 
 
 def changed_actions(found: DataFrame, stored: DataFrame, step: float = 1e-8) -> DataFrame:
@@ -113,9 +162,8 @@ def log_rows(spark: SparkSession, source: str, fetched: list, at: str) -> DataFr
 
 def insert_actions(spark: SparkSession, root: str, found: DataFrame, at: str) -> int:
     """Appends detected actions that are new or changed. Returns the rows added."""
-    with writer_lock(spark, root):
-        added = changed_actions(found, read(spark, f"{root}/adjustments", "adjustments")).withColumn("ingested_at", F.lit(at).cast("timestamp"))
-        return _append_as(added, root, "adjustments")
+    with commit(spark, root) as c:
+        return _append_as(changed_actions(found, c.read("adjustments")).withColumn("ingested_at", F.lit(at).cast("timestamp")), c, "adjustments")
 
 
 def insert_links(spark: SparkSession, root: str, planned: DataFrame) -> int:
@@ -124,28 +172,32 @@ def insert_links(spark: SparkSession, root: str, planned: DataFrame) -> int:
     own = F.col("symbol_id") == F.col("entity_id")
     shaped = F.when(F.col("reason") == "retraction", own & F.col("boundary").isNull() & F.col("predecessor").isNull()).otherwise(~own & F.col("boundary").isNotNull() & F.col("predecessor").isNotNull())
     assert_empty(planned.where(~known | ~shaped), "no proper link")
-    with writer_lock(spark, root):
-        assert_flat(read(spark, f"{root}/symbol_links", "symbol_links"), planned)
-        return _append_as(planned, root, "symbol_links")
+    with commit(spark, root) as c:
+        assert_flat(c.read("symbol_links"), planned)
+        return _append_as(planned, c, "symbol_links")
 
 
 def log_days(spark: SparkSession, root: str, source: str, fetched: list, at: str) -> int:
     """Appends a walk over days to the ingest log."""
-    return _append_as(log_rows(spark, source, fetched, at), root, "ingest_log") if fetched else 0
+    if not fetched:
+        return 0
+    with commit(spark, root) as c:
+        return _append_as(log_rows(spark, source, fetched, at), c, "ingest_log")
 
 
 def record_run(spark: SparkSession, root: str, row: DataFrame) -> int:
     """Appends one run to the ledger; see provenance.run_row."""
-    return _append_as(row, root, "runs")
+    with commit(spark, root) as c:
+        return _append_as(row, c, "runs")
 
 
-def _append_as(df: DataFrame, root: str, table: str) -> int:
+def _append_as(df: DataFrame, c: Commit, table: str) -> int:
     """Appends rows in the stored schema; columns that they lack are null."""
     fields = schema(table).fields
     rows = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).persist()
     n = rows.count()
     if n:
-        append(rows, f"{root}/{table}")
+        c.append(table, rows)
     rows.unpersist()
     return n
 

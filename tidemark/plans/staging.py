@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators.actions import detect
 from ..operators.hashing import bar_hash
-from .storage import new_path, read_bars, write_bars
+from ..schemas import KEYS
+from .storage import append, new_path, read_bars, session_days, with_validity, write_bars
 
 PIN_OLD, PIN, PIN_NEW = "2001-01-01", "2003-01-01", "2006-01-01"
 
@@ -58,6 +59,7 @@ class Tables:
     symbol_links: DataFrame
     index_levels: DataFrame
     ingest_log: DataFrame
+    sessions: DataFrame
     adjustments: DataFrame
 
 
@@ -83,17 +85,19 @@ def stage(spark: SparkSession, sf_dir: str) -> Tables:
         path = new_path(spark, "market")
         _relation(spark, sf_dir, {}, "quoted").write.parquet(f"{path}/quoted")
         stored = {"quoted": f"parquet.`{path}/quoted`"}
-        write_bars(_relation(spark, sf_dir, stored, "bars").withColumn("content_hash", bar_hash()), f"{path}/bars")
+        bars = _relation(spark, sf_dir, stored, "bars").withColumn("content_hash", bar_hash())
+        write_bars(with_validity(bars, list(KEYS["bars"])), f"{path}/bars")
+        append(session_days(read_bars(spark, f"{path}/bars")), f"{path}/sessions")
         for name in _KEPT:
-            _relation(spark, sf_dir, stored, name).write.parquet(f"{path}/{name}")
+            append(_relation(spark, sf_dir, stored, name), f"{path}/{name}")
         opened = _open(spark, path)
         found = detect(opened["bars"], opened["symbols"], opened["symbol_links"], PIN).where("outcome = 'share action'")
         found = found.select("entity_id", "ex_date", F.lit("eod2-ratio-step").alias("source"), F.col("exact").cast("decimal(18,8)").alias("ratio"), F.lit("2002-07-01").cast("timestamp").alias("ingested_at"))
-        found.write.parquet(f"{path}/adjustments")
+        append(found, f"{path}/adjustments")
         _STORED[key] = path
     opened = _open(spark, _STORED[key])
     return Tables(**opened, adjustments=spark.read.parquet(f"{_STORED[key]}/adjustments"))
 
 
 def _open(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {k: spark.read.parquet(f"{path}/{k}") for k in _KEPT} | {"bars": read_bars(spark, f"{path}/bars")}
+    return {k: spark.read.parquet(f"{path}/{k}") for k in (*_KEPT, "sessions")} | {"bars": read_bars(spark, f"{path}/bars")}

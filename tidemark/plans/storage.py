@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,23 +39,18 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append(df: DataFrame, path: str) -> None:
-    """The only way rows get into a table: there is no update and no delete."""
-    df.write.mode("append").parquet(path)
+    """The only way rows get into a table: there is no update and no delete. Small tables become one file."""
+    df.hint("rebalance").write.mode("append").parquet(path)
 
 
-@contextmanager
-def writer_lock(spark: SparkSession, root: str) -> Iterator[None]:
-    """One writer at a time: a file that can be created only once, removed at the end. A second writer gets an error and may try again."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_writer")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        fs.create(path, False).close()
-    except Exception as e:
-        raise RuntimeError(f"another writer holds {root}/_writer") from e
-    try:
-        yield
-    finally:
-        fs.delete(path, False)
+def with_validity(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Adds superseded_at, when the next version of a key came to be believed; null for the last. For a bulk load; inserts keep it up by closings."""
+    return rows.withColumn("superseded_at", F.lead("ingested_at").over(Window.partitionBy(*key).orderBy("ingested_at")))
+
+
+def session_days(bars: DataFrame) -> DataFrame:
+    """(source, date, ingested_at): each session and when its first bar came to be believed. Sessions at any pin are a filter on it."""
+    return bars.groupBy("source", "date").agg(F.min("ingested_at").alias("ingested_at"))
 
 
 def write_bytes(spark: SparkSession, path: str, body: bytes) -> None:
