@@ -89,15 +89,22 @@ def bars_at(bars: DataFrame, source: str, pin: Pin, after: str | date | None = N
     return latest_version(between(bars, source, after, upto), ["symbol_id", "date"], pin)
 
 
+def members_on(symbols: DataFrame, links: DataFrame, on: str | date, pin: Pin) -> DataFrame:
+    """(symbol_id, entity_id, label_id, isin, ticker, last_break) of every symbol known at the pin: its entity, the member in force on a day with its label, and the
+    entity's last boundary up to the day. Links and labels meet by symbol, members by entity; an entity has few members."""
+    day = F.lit(on).cast("date")
+    state = symbol_links_at(symbols, links, pin).join(labels_in_force(symbols, on, pin), "symbol_id")
+    started = F.coalesce("boundary", F.lit(EVER).cast("date")) <= day
+    order = F.struct(started, F.col("boundary").isNotNull(), F.coalesce(F.unix_date("boundary"), F.lit(0)), -F.col("symbol_id"))
+    best = F.max_by(F.struct(F.col("symbol_id").alias("label_id"), "isin", "ticker"), order).alias("_l")
+    entities = state.groupBy("entity_id").agg(F.collect_list("symbol_id").alias("_members"), best, F.max(F.when(F.col("boundary") <= day, F.col("boundary"))).alias("last_break"))
+    return entities.select("entity_id", "_l.label_id", "_l.isin", "_l.ticker", "last_break", F.explode("_members").alias("symbol_id"))
+
+
 def bars_for_date(bars: DataFrame, symbols: DataFrame, links: DataFrame, source: str, on: str, pin: Pin, check: bool = True) -> DataFrame:
     """The bars of a day with entity and label. An entity with two members that day is an error, raised as the rows are read."""
     day = date.fromisoformat(on)
-    state = symbol_links_at(symbols, links, pin).join(labels_in_force(symbols, on, pin), "symbol_id")
-    started = F.coalesce("boundary", F.lit(EVER).cast("date")) <= F.lit(on).cast("date")
-    order = F.struct(started, F.col("boundary").isNotNull(), F.coalesce(F.unix_date("boundary"), F.lit(0)), -F.col("symbol_id"))
-    # One row per entity: its members, and the label of the one in force.
-    entities = state.groupBy("entity_id").agg(F.collect_list("symbol_id").alias("_members"), F.max_by(F.struct("isin", "ticker"), order).alias("_l"))
-    member = entities.select("entity_id", "_l.isin", "_l.ticker", F.explode("_members").alias("symbol_id"))
+    member = members_on(symbols, links, on, pin).select("symbol_id", "entity_id", "isin", "ticker")
     out = bars_at(bars, source, pin, day - timedelta(days=1), day).join(member, "symbol_id")
     if check:
         traded = F.count(F.lit(1)).over(Window.partitionBy("entity_id"))

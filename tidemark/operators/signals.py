@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bitemporal import Pin, bars_at, entity_map, latest_version
+from .bitemporal import Pin, bars_at, entity_map, latest_version, sessions
 from .indices import KEY as INDEX_KEY
 
 
-def rebalance_calendar(sessions: DataFrame, months: int = 1, offset: int = 0) -> DataFrame:
+def rebalance_calendar(days: DataFrame, months: int = 1, offset: int = 0) -> DataFrame:
     """Decision days: the last session of each month whose number is a multiple of `months`, `offset` sessions later. The last month's end is not known."""
     order = Window.orderBy("date")  # one row per session
-    rows = sessions.select("date", F.row_number().over(order).alias("n"), F.lead("date").over(order).alias("_next"))
+    rows = days.select("date", F.row_number().over(order).alias("n"), F.lead("date").over(order).alias("_next"))
     ends = rows.where(F.col("_next").isNotNull() & (F.trunc("date", "MM") != F.trunc("_next", "MM")) & (F.month("date") % months == 0))
     shifted = ends.select((F.col("n") + offset).alias("n")).join(rows.select("n", "date"), "n")
     return shifted.select("date").distinct()
@@ -27,10 +27,11 @@ def months_back(day: date, months: int) -> date:
     return date(m // 12, m % 12 + 1, 1) + timedelta(days=day.day - 1)
 
 
-def universes(bars: DataFrame, symbols: DataFrame, links: DataFrame, source: str, days: DataFrame, lookback: int, n: int, pin: Pin) -> DataFrame:
-    """(as_of, entity_id, median_turnover, place) for many days in one pass: each session belongs to the windows of the days that look back on it."""
+def universes(bars: DataFrame, symbols: DataFrame, links: DataFrame, source: str, days: DataFrame, lookback: int, n: int, pin: Pin, calendar: DataFrame | None = None) -> DataFrame:
+    """(as_of, entity_id, median_turnover, place) for many days in one pass: each session belongs to the windows of the days that look back on it. calendar: the
+    kept table of sessions, if there is one."""
     rows = bars_at(bars, source, pin)
-    calendar = rows.select("date").distinct().select("date", F.row_number().over(Window.orderBy("date")).alias("n"))
+    calendar = sessions(bars if calendar is None else calendar, source, None, None, pin).select("date", F.row_number().over(Window.orderBy("date")).alias("n"))
     ends = days.select(F.col("date").alias("as_of")).join(calendar, F.col("as_of") == F.col("date")).select("as_of", "n")
     windows = ends.select("as_of", F.col("n").alias("_end"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - lookback + 1), F.col("n"))).alias("n")).join(calendar, "n").select("as_of", "date", (F.col("n") == F.col("_end")).alias("_last"))
     sizes = windows.groupBy("as_of").agg(F.count(F.lit(1)).alias("sessions"))
@@ -53,7 +54,7 @@ def return_windows(days: list[str], formation: int, skip: int) -> list[tuple[str
     return [(months_back(date.fromisoformat(d), formation).isoformat(), months_back(date.fromisoformat(d), skip).isoformat()) for d in days]
 
 
-def trend_stance(levels: DataFrame, code: str, sessions: DataFrame, days: int, pin: Pin) -> DataFrame:
+def trend_stance(levels: DataFrame, code: str, calendar: DataFrame, days: int, pin: Pin) -> DataFrame:
     """(date, stance): risk on where the index closes above the mean of its last `days` closes, else risk off; unknown where the
     session has no level or there are fewer closes within days * 8 / 5 + 30 calendar days."""
     rows = latest_version(levels.where(F.col("index_code") == code), INDEX_KEY, pin).select("date", F.col("close").cast("double").alias("close"))
@@ -61,4 +62,4 @@ def trend_stance(levels: DataFrame, code: str, sessions: DataFrame, days: int, p
     rows = rows.select("date", "close", F.avg("close").over(last).alias("_mean"), F.count(F.lit(1)).over(last).alias("_k"), F.min("date").over(last).alias("_since"))
     full = (F.col("_k") == days) & (F.datediff("date", "_since") <= days * 8 // 5 + 30)
     stance = F.when(~F.coalesce(full, F.lit(False)), "unknown").when(F.col("close") > F.col("_mean"), "risk on").otherwise("risk off")
-    return sessions.select("date").distinct().join(rows, "date", "left").select("date", stance.alias("stance"))
+    return calendar.select("date").distinct().join(rows, "date", "left").select("date", stance.alias("stance"))

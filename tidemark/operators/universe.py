@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SOURCES
-from .bitemporal import Pin, symbol_links_at, bars_at, believed, between, entity_labels
+from .bitemporal import Pin, bars_at, believed, between, members_on
 from .checks import or_raise
 
 
@@ -28,22 +28,25 @@ class Window(NamedTuple):
 
 
 def window_of(bars: DataFrame, source: str, as_of: str, lookback: int, pin: Pin, span_days: int | None = None) -> Window:
+    """`bars` may be the kept table of sessions."""
     days = window_days(bars, source, as_of, lookback, pin, span_days)
     return Window(*days.agg(F.count(F.lit(1)), F.min("date"), F.max("date")).first())
 
 
 def ranking(
     bars: DataFrame, symbols: DataFrame, links: DataFrame, source: str, as_of: str, lookback: int, pin: Pin, allow_stale: bool = False, span_days: int | None = None, check: bool = True,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Every entity that passes presence (at least 80 % of the sessions) and liveness (it traded on the last one), with its median turnover,
-    days_present, rows and fragments (symbols seen), its last boundary up to the day, and the window. With check, an entity with two bars on a day is an error."""
+    days_present, rows and fragments (symbols seen), its last boundary up to the day, the label in force, and the window. With check, an entity with two bars on a day is an error. calendar: the kept table of sessions, if
+    there is one; else the days are looked for in the bars."""
     if lookback <= 0 or source not in SOURCES:
         raise ValueError("lookback must be positive and the source one of " + ", ".join(SOURCES))
-    found = window_of(bars, source, as_of, lookback, pin, span_days)
+    found = window_of(bars if calendar is None else calendar, source, as_of, lookback, pin, span_days)
     first = found.first_session or date.fromisoformat(as_of)
     # The window's sessions are all sessions from its first to the day, so that a range of dates selects them.
     rows = bars_at(bars, source, pin, first - timedelta(days=1), as_of).where("series = 'EQ'")
-    rows = rows.join(symbol_links_at(symbols, links, pin), "symbol_id")
+    rows = rows.join(members_on(symbols, links, as_of, pin), "symbol_id")
     turnover = F.coalesce(F.col("turnover").cast("double"), F.col("close").cast("double") * F.col("volume"))
     per = rows.groupBy("entity_id").agg(
         F.percentile(turnover, 0.5).alias("median_turnover"),
@@ -51,19 +54,19 @@ def ranking(
         F.count(F.lit(1)).alias("rows"),
         F.size(F.collect_set("symbol_id")).cast("bigint").alias("fragments"),
         F.max("date").alias("last_seen"),
+        *[F.any_value(c).alias(c) for c in ("label_id", "isin", "ticker", "last_break")],  # one value per entity
     )
     live = F.lit(True) if allow_stale else F.col("last_seen") == F.lit(found.last_session)
     kept = per.withColumns({"sessions": F.lit(found.sessions).cast("bigint"), "last_session": F.lit(found.last_session).cast("date")})
     kept = kept.where((F.col("days_present") >= -(-found.sessions * 8 // 10)) & live)
-    if check:
-        kept = kept.withColumn("entity_id", or_raise(F.col("rows") == F.col("days_present"), F.col("entity_id"), "members of an entity overlap"))
-    breaks = symbol_links_at(symbols, links, pin).where(F.col("boundary") <= F.lit(as_of).cast("date")).groupBy("entity_id").agg(F.max("boundary").alias("last_break"))
-    return kept.join(breaks, "entity_id", "left")
+    if not check:
+        return kept
+    return kept.withColumn("entity_id", or_raise(F.col("rows") == F.col("days_present"), F.col("entity_id"), "members of an entity overlap"))
 
 
 def universe_as_of(
     bars: DataFrame, symbols: DataFrame, links: DataFrame, source: str, as_of: str, lookback: int, n: int, pin: Pin,
-    allow_stale: bool = False, equities_only: bool = False, span_days: int | None = None, check: bool = True,
+    allow_stale: bool = False, equities_only: bool = False, span_days: int | None = None, check: bool = True, calendar: DataFrame | None = None,
 ) -> DataFrame:
     """The n entities with the highest median turnover over the last sessions up to a day, as known at the pin.
 
@@ -72,8 +75,7 @@ def universe_as_of(
     """
     if n <= 0:
         raise ValueError("n must be positive")
-    ranked = ranking(bars, symbols, links, source, as_of, lookback, pin, allow_stale, span_days, check)
-    out = ranked.join(entity_labels(symbols, links, as_of, pin), "entity_id")
+    out = ranking(bars, symbols, links, source, as_of, lookback, pin, allow_stale, span_days, check, calendar).withColumn("symbol_id", F.col("label_id"))
     if equities_only:
         out = out.where(F.col("isin").startswith("INE"))
     top = out.orderBy(F.col("median_turnover").desc_nulls_last(), "ticker", "entity_id").limit(n)

@@ -45,15 +45,15 @@ def _bars(df: DataFrame) -> DataFrame:
 
 def _universe(**kw) -> Query:
     args = {"source": NSE, "as_of": AS_OF, "pin": PIN} | kw
-    return on(lambda t: universe.universe_as_of(t.bars, t.symbols, t.symbol_links, lookback=LOOKBACK, n=50, span_days=SPAN, **args), "median_turnover")
+    return on(lambda t: universe.universe_as_of(t.bars, t.symbols, t.symbol_links, lookback=LOOKBACK, n=50, span_days=SPAN, calendar=t.sessions, **args), "median_turnover")
 
 
 def _returns(t: Tables, pin: str = PIN) -> DataFrame:
-    return returns.entity_returns(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, WINDOWS, pin, **WEEKLY)
+    return returns.entity_returns(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, WINDOWS, pin, **WEEKLY, calendar=t.sessions)
 
 
 def _closes(t: Tables) -> DataFrame:
-    return returns.entity_closes(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, "1997-01-06", "1998-12-28", PIN, span=GUARD_SPAN)
+    return returns.entity_closes(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, "1997-01-06", "1998-12-28", PIN, span=GUARD_SPAN, calendar=t.sessions)
 
 
 def _detect(t: Tables) -> DataFrame:
@@ -149,20 +149,20 @@ def _names(t: Tables) -> DataFrame:
 
 def _ranked(t: Tables, kind: str) -> DataFrame:
     days = t.bars.sparkSession.createDataFrame([(d,) for d in DECISIONS], "date string").select(F.col("date").cast("date"))
-    members = signals.universes(t.bars, t.symbols, t.symbol_links, NSE, days, LOOKBACK, 40, PIN)
+    members = signals.universes(t.bars, t.symbols, t.symbol_links, NSE, days, LOOKBACK, 40, PIN, t.sessions)
     if kind == "turnover":
         return members.select(F.col("as_of"), "entity_id", "median_turnover", F.col("place").alias("rank"))
     formation, skip = (12, 1) if kind == "momentum" else (1, 0)
     windows = signals.return_windows(DECISIONS, formation, skip)
-    got = returns.entity_returns(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, windows, PIN, **WEEKLY).where("status = 'priced'")
+    got = returns.entity_returns(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, windows, PIN, **WEEKLY, calendar=t.sessions).where("status = 'priced'")
     named = t.bars.sparkSession.createDataFrame(list(enumerate(DECISIONS)), "window int, as_of string").select("window", F.col("as_of").cast("date"))
     rows = got.join(named, "window").select("as_of", "entity_id", "return").join(members.select("as_of", "entity_id"), ["as_of", "entity_id"])
     return signals.rank_by(rows, "return", kind == "reversal").select("as_of", "entity_id", "return", "rank")
 
 
 def _low_volatility(t: Tables) -> DataFrame:
-    members = universe.universe_as_of(t.bars, t.symbols, t.symbol_links, NSE, AS_OF, LOOKBACK, 40, PIN, span_days=SPAN)
-    vol = returns.entity_volatility(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, "1999-09-25", AS_OF, PIN, ids=members, span=GUARD_SPAN, min_returns=30)
+    members = universe.universe_as_of(t.bars, t.symbols, t.symbol_links, NSE, AS_OF, LOOKBACK, 40, PIN, span_days=SPAN, calendar=t.sessions)
+    vol = returns.entity_volatility(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, "1999-09-25", AS_OF, PIN, ids=members, span=GUARD_SPAN, min_returns=30, calendar=t.sessions)
     return signals.rank_by(vol.withColumn("as_of", F.lit(AS_OF)), "volatility", True).select("entity_id", "volatility", "rank")
 
 
@@ -203,8 +203,8 @@ def _events(t: Tables, offsets: list[int], **kw) -> DataFrame:
     calendar = {o: [str(r["date"]) for r in signals.rebalance_calendar(sessions, 3, o).orderBy("date").collect()] for o in offsets}
     days = sorted({d for ds in calendar.values() for d in ds})  # a few decision days a year
     frame = spark.createDataFrame([(d,) for d in days], "date string").select(F.col("date").cast("date"))
-    members = signals.universes(t.bars, t.symbols, t.symbol_links, NSE, frame, LOOKBACK, 40, PIN).select("as_of", "entity_id")
-    got = returns.entity_returns(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, signals.return_windows(days, 12, 1), PIN, **WEEKLY).where("status = 'priced'")
+    members = signals.universes(t.bars, t.symbols, t.symbol_links, NSE, frame, LOOKBACK, 40, PIN, t.sessions).select("as_of", "entity_id")
+    got = returns.entity_returns(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, signals.return_windows(days, 12, 1), PIN, **WEEKLY, calendar=t.sessions).where("status = 'priced'")
     named = spark.createDataFrame(list(enumerate(days)), "window int, as_of string").select("window", F.col("as_of").cast("date"))
     ranked = signals.rank_by(got.join(named, "window").join(members, ["as_of", "entity_id"]), "return", False).select(F.col("as_of").alias("date"), "entity_id", "rank")
     runs = spark.createDataFrame([(f"momentum+{o}", d) for o, ds in calendar.items() for d in ds], "run string, date string").select("run", F.col("date").cast("date"))
@@ -242,7 +242,7 @@ def queries() -> dict[str, Query]:
         "entity_map_after_retractions": on(lambda t: B.entity_map(t.symbols, t.symbol_links, PIN_NEW)),
         "entity_member_in_force": on(lambda t: B.entity_members(t.symbols, t.symbol_links, "1997-10-01", PIN)),
         "entity_label": on(lambda t: B.entity_labels(t.symbols, t.symbol_links, AS_OF, PIN)),
-        "sessions_range": on(lambda t: B.sessions(t.bars, "eod2", "1997-01-06", "1999-12-27", PIN)),
+        "sessions_range": on(lambda t: B.sessions(t.sessions, "eod2", "1997-01-06", "1999-12-27", PIN)),
         "bars_for_date": on(lambda t: B.bars_for_date(t.bars, t.symbols, t.symbol_links, NSE, AS_OF, PIN).drop("open", "high", "low")),
         "universe_default": _universe(),
         "universe_allow_stale": _universe(allow_stale=True),
@@ -251,15 +251,15 @@ def queries() -> dict[str, Query]:
         "universe_at_new_pin": _universe(pin=PIN_NEW),
         "universe_at_old_pin": _universe(pin=PIN_OLD),
         "universe_across_split": _universe(as_of="1998-06-08"),
-        "universe_window_size": on(lambda t: U.window_days(t.bars, NSE, AS_OF, LOOKBACK, PIN, SPAN).agg(F.count(F.lit(1)).alias("sessions"), F.max("date").alias("last_session"))),
+        "universe_window_size": on(lambda t: U.window_days(t.sessions, NSE, AS_OF, LOOKBACK, PIN, SPAN).agg(F.count(F.lit(1)).alias("sessions"), F.max("date").alias("last_session"))),
         "boundaries": on(lambda t: returns.boundaries(t.symbols, t.symbol_links, PIN)),
-        "guard_starts": on(lambda t: returns.guard_starts(returns.boundaries(t.symbols, t.symbol_links, PIN), B.sessions(t.bars, NSE, None, None, PIN), span=GUARD_SPAN)),
+        "guard_starts": on(lambda t: returns.guard_starts(returns.boundaries(t.symbols, t.symbol_links, PIN), B.sessions(t.sessions, NSE, None, None, PIN), span=GUARD_SPAN)),
         "endpoint_closes": on(lambda t: returns.endpoint_closes(t.bars, t.symbols, t.symbol_links, NSE, WINDOWS, PIN, STALE), "f_close", "t_close"),
         "returns_status": on(lambda t: _returns(t).select("window", "entity_id", "status", "reason")),
         "returns_before_actions": on(lambda t: _returns(t, BEFORE_ACTIONS).select("window", "entity_id", "status", F.when(F.col("reason") == "boundary", F.col("boundary")).alias("boundary"))),
         "returns_priced": on(lambda t: _returns(t).where("status = 'priced'").select("window", "entity_id", "ratio", "return"), "ratio", "return"),
         "closes_back_adjusted": on(_closes, "adjusted"),
-        "volatility_annualised": on(lambda t: returns.entity_volatility(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, "1997-01-06", "2000-09-25", PIN, span=GUARD_SPAN, min_returns=60), "volatility"),
+        "volatility_annualised": on(lambda t: returns.entity_volatility(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, "1997-01-06", "2000-09-25", PIN, span=GUARD_SPAN, min_returns=60, calendar=t.sessions), "volatility"),
         "factor_steps": on(lambda t: actions.factor_steps(t.bars, t.symbols, t.symbol_links, PIN).select("entity_id", "ex_date", "prev_date", "ratio", "prev_close", "close", "key"), "ratio"),
         "share_actions": on(lambda t: _detect(t).select("entity_id", "ex_date", "ratio", "num", "den", "outcome"), "ratio"),
         "detection_summary": on(lambda t: actions.detection_summary(_detect(t))),
@@ -268,7 +268,7 @@ def queries() -> dict[str, Query]:
         "index_closes": on(lambda t: indices.index_closes(t.index_levels, "NIFTYX", "1997-12-01", "1998-02-01", PIN)),
         "index_name_changes": on(lambda t: indices.name_changes(t.index_levels, PIN), "jump"),
         "index_gaps": on(lambda t: indices.gaps(t.index_levels, PIN)),
-        "calendar_agreement": on(lambda t: indices.calendar_agreement(B.sessions(t.bars, NSE, None, None, None), t.index_levels)),
+        "calendar_agreement": on(lambda t: indices.calendar_agreement(B.sessions(t.sessions, NSE, None, None, None), t.index_levels)),
         "content_hash_change_detect": on(_changed),
         "ingest_noop_rerun": on(_rerun),
         "trade_charges": _trade_charges,
