@@ -188,10 +188,14 @@ def fitted(stats: DataFrame, labelled: DataFrame, stage: Stage) -> Model:
         return Model(scale, WIDTHS[0], zero, [zero] * FOLDS, [0.0], [0.5])
     spread = rows.repartition(max(1, min(PARTITIONS, n // ROWS)))
     parts = spread.mapInArrow(_equations(scale), "width int, fold int, i int, sums array<bigint>")
-    cells = parts.select("width", "fold", "i", F.posexplode("sums").alias("j", "v")).groupBy("width", "fold", "i", "j").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"))
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for r in cells.collect():  # a fixed number of cells
-        sums.setdefault((r["width"], r["fold"]), np.zeros((FEATURES + 2,) * 2))[r["i"], r["j"]] = float(r["v"]) / GRID**2
+    cells = parts.select("width", "fold", "i", F.posexplode("sums").alias("j", "v")).where("j >= i")
+    cells = cells.groupBy("width", "fold", "i", "j").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v")).toArrow()  # a fixed number of cells
+    w, f, i, j, v = (np.asarray(c) for c in cells.columns)
+    sums = {}
+    for key in sorted(set(zip(w.tolist(), f.tolist(), strict=True))):
+        mine = (w == key[0]) & (f == key[1])
+        sums[key] = np.zeros((FEATURES + 2,) * 2)
+        sums[key][i[mine], j[mine]] = sums[key][j[mine], i[mine]] = v[mine] / GRID**2
     w, weights, without = solve(sums)
     model = Model(scale, WIDTHS[w], weights.tolist(), [x.tolist() for x in without], [0.0], [0.5])
 
