@@ -5,7 +5,8 @@ import pytest
 from market import links
 from pyspark.sql import functions as F
 
-from tidemark.operators import identity, provenance
+from tidemark.operators import provenance
+from tidemark.operators import roster as identity
 from tidemark.operators.checks import IntegrityError
 from tidemark.plans import ingest
 from tidemark.sources import addresses, archives
@@ -226,4 +227,3 @@ def test_roster_file_round_trip():
     assert identity.load_roster(text) == [link]
     with pytest.raises(ValueError):
         identity.load_roster(text.replace('"x"', '"y"'))
-    assert identity.adopt_manual([], [link]) == [link] and identity.adopt_manual([link | {"reason": "succession"}], [link])[1:] == []

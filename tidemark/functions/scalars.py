@@ -23,6 +23,11 @@ def fixed6(x: Name) -> Column:
     return F.signum(v) * F.floor(F.abs(v) * 1e6 + 0.5) / 1e6
 
 
+def round4(x: Name) -> Column:
+    """Four places as floor(x * 1e4 + 0.5) / 1e4, for numbers not below 0."""
+    return F.floor(c(x) * 1e4 + 0.5) / 1e4
+
+
 def months_before(day: Name, months: int) -> Column:
     """`months` earlier, days past the target month's end running over into the next: 31 March less one month is 2 or 3 March."""
     d = c(day)

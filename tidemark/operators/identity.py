@@ -1,45 +1,72 @@
-"""Identity across reissued identifiers: candidates and gates, rosters, links, retractions, invariants."""
+"""Identity across reissued identifiers: candidates, gates and invariants of the links in force."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import issue_serial, issuer_prefix, ratio_band, well_formed_isin
-from .bitemporal import Pin, bars_at, believed, entity_map, latest_version
-from .checks import IntegrityError, assert_empty
+from ..functions.scalars import isin_check_ok, issue_serial, issuer_prefix, ratio_band, round4
+from ..plans.storage import kept
+from .bitemporal import Pin, bars_at, believed, entity_map, latest_version, sessions
+from .checks import assert_empty
 
 GATES = ("g0_equity", "g1_issuer", "g2_serial", "g3_apart", "g4_no_session", "g4a_settled", "g4b_gap", "g6_ratio")
 MAX_GAP_DAYS = 4
 
 
-def symbol_facts(bars: DataFrame, symbols: DataFrame, source: str, pin: Pin) -> DataFrame:
-    """Per symbol with bars: label, first and last day, number of days, first and last close, neighbours in the source's calendar."""
-    rows = bars_at(bars, source, pin)
-    calendar = rows.select("date").distinct()
-    calendar = calendar.withColumn("n", F.row_number().over(Window.orderBy("date")))  # one row per session of a source
-    per = rows.groupBy("symbol_id").agg(
-        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.countDistinct("date").alias("days"),
-        F.min_by(F.col("close").cast("double"), "date").alias("first_close"), F.max_by(F.col("close").cast("double"), "date").alias("last_close"),
+def day_maps(bars: DataFrame, source: str, pin: Pin) -> DataFrame:
+    """Per symbol and bucket of days (a few human lifetimes each): a bitmap of the days with a bar, and the ends of the stretch with their closes. All that the
+    gates ask of bars comes from this one pass."""
+    day = F.unix_date("date").cast("bigint")
+    close = F.col("close").cast("double")
+    return bars_at(bars, source, pin).groupBy("symbol_id", F.bitmap_bucket_number(day).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(day)).alias("map"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.min_by(close, "date").alias("first_close"), F.max_by(close, "date").alias("last_close"),
     )
+
+
+def facts_of(maps: DataFrame, symbols: DataFrame, calendar: DataFrame, pin: Pin) -> DataFrame:
+    """Per symbol with bars: label, first and last day, number of days, first and last close, and both days' numbers in the calendar (one row per session)."""
+    per = maps.groupBy("symbol_id").agg(
+        F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"), F.sum(F.bitmap_count("map")).alias("days"),
+        F.min_by("first_close", "first_date").alias("first_close"), F.max_by("last_close", "last_date").alias("last_close"),
+    )
+    numbered = calendar.select("date", F.row_number().over(Window.orderBy("date")).alias("n"))
     for end in ("first", "last"):
-        per = per.join(calendar.select(F.col("date").alias(f"{end}_date"), F.col("n").alias(f"{end}_n")), f"{end}_date")
+        per = per.join(numbered.select(F.col("date").alias(f"{end}_date"), F.col("n").alias(f"{end}_n")), f"{end}_date")
     return per.join(latest_version(symbols, ["symbol_id"], pin).select("symbol_id", "isin", "ticker"), "symbol_id")
 
 
-def candidates(facts: DataFrame) -> DataFrame:
-    """Pairs of consecutive symbols, by first day, of one issuer (equity ISINs only) or of one last ticker; a pair that both find counts for the issuer."""
+def symbol_facts(bars: DataFrame, symbols: DataFrame, source: str, pin: Pin, calendar: DataFrame | None = None) -> DataFrame:
+    """facts_of() of a source's bars. calendar: the kept table of sessions, if there is one."""
+    return facts_of(day_maps(bars, source, pin), symbols, sessions(bars if calendar is None else calendar, source, None, None, pin), pin)
+
+
+def consecutive(facts: DataFrame) -> DataFrame:
+    """(predecessor, successor, generator, p, s): pairs of consecutive symbols, by first day, of one issuer (equity ISINs only) or of one last
+    ticker, with the facts of both; a pair that both find counts for the issuer."""
 
     def pairs(rows: DataFrame, key: Column, name: str) -> DataFrame:
-        order = Window.partitionBy("_key").orderBy("first_date", "symbol_id")
-        rows = rows.withColumn("_key", key)
-        return rows.select(F.col("symbol_id").alias("predecessor"), F.lead("symbol_id").over(order).alias("successor"), F.lit(name).alias("generator")).where("successor is not null")
+        order = Window.partitionBy("_key").orderBy("p.first_date", "p.symbol_id")
+        rows = rows.select(key.alias("_key"), F.struct(*facts.columns).alias("p"))
+        return rows.select("p", F.lead("p").over(order).alias("s"), F.lit(name).alias("generator")).where("s is not null")
 
     both = pairs(facts.where(F.col("isin").startswith("INE")), issuer_prefix("isin"), "issuer").unionByName(pairs(facts, F.col("ticker"), "ticker"))
-    return both.groupBy("predecessor", "successor").agg(F.min("generator").alias("generator"))
+    return both.groupBy(F.col("p.symbol_id").alias("predecessor"), F.col("s.symbol_id").alias("successor")).agg(F.min("generator").alias("generator"), F.any_value("p").alias("p"), F.any_value("s").alias("s"))
+
+
+def candidates(facts: DataFrame) -> DataFrame:
+    """The pairs of consecutive() without the facts."""
+    return consecutive(facts).select("predecessor", "successor", "generator")
+
+
+def any_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Any pairs (predecessor, successor) with the facts of both, as consecutive() gives them; a symbol without bars drops its pair."""
+    out = pairs.select("predecessor", "successor", F.lit("asked").alias("generator")).distinct()
+    for side, name in (("predecessor", "p"), ("successor", "s")):
+        out = out.join(facts.select(F.col("symbol_id").alias(side), F.struct(*facts.columns).alias(name)), side)
+    return out
 
 
 def settled_days(log: DataFrame, source: str) -> DataFrame:
@@ -60,46 +87,92 @@ def archive_holes(log: DataFrame, source: str, start: str | None = None, end: st
     return days.where(could).join(settled_days(log, source), "date", "left_anti").select("date")
 
 
-def gate_results(
-    bars: DataFrame, symbols: DataFrame, links: DataFrame, log: DataFrame, source: str, pin: Pin, max_gap_days: int = MAX_GAP_DAYS, expected: DataFrame | None = None,
-) -> DataFrame:
-    """Every candidate with each gate and whether it is accepted.
-
-    expected: the days that must be settled; all calendar days by default. A successor whose latest link is a retraction is
-    quarantined. Last, two accepted candidates that share a predecessor or a successor are both rejected.
-    """
-    facts = symbol_facts(bars, symbols, source, pin)
-    pred = facts.select(*[F.col(c).alias(f"p_{c}") for c in facts.columns])
-    succ = facts.select(*[F.col(c).alias(f"s_{c}") for c in facts.columns])
-    rows = candidates(facts).join(pred, F.col("predecessor") == F.col("p_symbol_id")).join(succ, F.col("successor") == F.col("s_symbol_id"))
-    days = bars_at(bars, source, pin).select("symbol_id", "date").distinct()
-    pair = candidates(facts).select("predecessor", "successor")
-    shared = pair.join(days.withColumnRenamed("symbol_id", "predecessor"), "predecessor").join(days.withColumnRenamed("symbol_id", "successor"), ["successor", "date"]).groupBy("predecessor", "successor").agg(F.count(F.lit(1)).alias("shared"))
-    gap = rows.where(F.datediff("s_first_date", "p_last_date").between(2, 366)).select("predecessor", "successor", F.explode(F.sequence(F.date_add("p_last_date", 1), F.date_sub("s_first_date", 1))).alias("date"))
+def holes_before(log: DataFrame, source: str, calendar: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """(date, before, here): of each calendar day from the first to the last session, how many days before it have no settled fetch, and whether it has none
+    itself. One row per day of history, so that a gap of any length is a difference of two counts."""
+    days = calendar.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi")).where("_lo is not null").select(F.explode(F.sequence("_lo", "_hi")).alias("date"))
+    days = days.join(settled_days(log, source).withColumn("_settled", F.lit(True)), "date", "left")
+    here = F.col("_settled").isNull()
     if expected is not None:
-        gap = gap.join(expected.select("date").distinct(), "date", "left_semi")
-    unsettled = gap.join(settled_days(log, source), "date", "left_anti").groupBy("predecessor", "successor").agg(F.count(F.lit(1)).alias("unsettled"))
-    gone = latest_version(links, ["symbol_id"], pin).where("reason = 'retraction'").select(F.col("symbol_id").alias("successor"), F.lit(True).alias("retracted"))
-    rows = rows.join(shared, ["predecessor", "successor"], "left").join(unsettled, ["predecessor", "successor"], "left").join(gone, "successor", "left")
-    days_between = F.datediff("s_first_date", "p_last_date")
-    ratio = F.col("s_first_close") / F.col("p_last_close")
+        days = days.join(expected.select("date").distinct().withColumn("_due", F.lit(True)), "date", "left")
+        here = here & F.col("_due").isNotNull()
+    days = days.select("date", here.cast("int").alias("here"))
+    return days.withColumn("before", F.coalesce(F.sum("here").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def shared_days(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """(predecessor, successor, shared): the days on which both have a bar, counted in the AND of their bitmaps; pairs that share none have no row."""
+    ends = pairs.select("predecessor", "successor", F.explode(F.array("predecessor", "successor")).alias("symbol_id"))
+    met = ends.join(maps.select("symbol_id", "bucket", "map"), "symbol_id").groupBy("predecessor", "successor", "bucket")
+    both = met.agg(F.count(F.lit(1)).alias("_k"), F.bitmap_count(F.bitmap_and_agg("map")).alias("_n")).where("_k = 2")
+    return both.groupBy("predecessor", "successor").agg(F.sum("_n").alias("shared")).where("shared > 0")
+
+
+def evaluated(pairs: DataFrame, maps: DataFrame, links: DataFrame, log: DataFrame, source: str, pin: Pin, calendar: DataFrame, max_gap_days: int = MAX_GAP_DAYS, expected: DataFrame | None = None) -> DataFrame:
+    """Each pair of consecutive() or any_pairs() with what the gates G0 to G4b and G6 measured and how they went, and whether its successor's latest link is a
+    retraction. Nothing is enforced here. A last close of 0 has no ratio and fails G6."""
+    rows = pairs.select("predecessor", "successor", "generator", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ps" for c in ("isin", "first_date", "last_date", "first_n", "last_n", "first_close", "last_close", "days")])
+    # Stretches that do not meet share no day.
+    overlapping = rows.where("p_last_date >= s_first_date").select("predecessor", "successor")
+    rows = rows.join(shared_days(overlapping, maps), ["predecessor", "successor"], "left")
+    holes = holes_before(log, source, calendar, expected)
+    rows = rows.join(holes.select(F.col("date").alias("p_last_date"), (F.col("before") + F.col("here")).alias("_upto")), "p_last_date")
+    rows = rows.join(holes.select(F.col("date").alias("s_first_date"), F.col("before").alias("_before")), "s_first_date")
+    gone = latest_version(links, ["symbol_id"], pin).where("reason = 'retraction'").select(F.col("symbol_id").alias("successor"), F.lit(True).alias("_gone"))
+    rows = rows.join(gone, "successor", "left")
+    rows = rows.withColumns({
+        "shared_days": F.coalesce("shared", F.lit(0)),
+        "sessions_between": F.greatest(F.col("s_first_n") - F.col("p_last_n") - 1, F.lit(0)),
+        "unsettled_between": F.greatest(F.col("_before") - F.col("_upto"), F.lit(0)),
+        "days_between": F.datediff("s_first_date", "p_last_date"),
+        "ratio": F.when(F.col("p_last_close") != 0, round4(F.col("s_first_close") / F.nullif("p_last_close", F.lit(0.0)))),
+    })
+    ps, ss = issue_serial("p_isin"), issue_serial("s_isin")
     gates = {
-        "g0_equity": F.col("p_isin").startswith("INE") & F.col("s_isin").startswith("INE") & well_formed_isin("p_isin") & well_formed_isin("s_isin"),
+        "g0_equity": F.col("p_isin").startswith("INE") & F.col("s_isin").startswith("INE") & isin_check_ok("p_isin") & isin_check_ok("s_isin"),
         "g1_issuer": issuer_prefix("p_isin") == issuer_prefix("s_isin"),
-        "g2_serial": F.coalesce(issue_serial("s_isin") > issue_serial("p_isin"), F.lit(False)),
-        "g3_apart": (F.col("p_last_date") < F.col("s_first_date")) & F.col("shared").isNull(),
-        "g4_no_session": F.col("s_first_n") - F.col("p_last_n") == 1,
-        "g4a_settled": F.col("unsettled").isNull(),
-        "g4b_gap": days_between.between(1, max_gap_days),
-        "g6_ratio": ratio_band(ratio).isNotNull(),
+        "g2_serial": F.coalesce(ss > ps, F.lit(False)),
+        "g3_apart": (F.col("p_last_date") < F.col("s_first_date")) & (F.col("shared_days") == 0),
+        "g4_no_session": F.col("sessions_between") == 0,
+        "g4a_settled": F.col("unsettled_between") == 0,
+        "g4b_gap": F.col("days_between").between(1, max_gap_days),
+        "g6_ratio": ratio_band("ratio").isNotNull(),
     }
-    out = rows.select("predecessor", "successor", "generator", F.col("p_last_date").alias("last_date"), F.col("s_first_date").alias("first_date"), ratio.alias("ratio"), *[v.alias(k) for k, v in gates.items()], F.coalesce("retracted", F.lit(False)).alias("retracted"))
+    measured = ("shared_days", "sessions_between", "unsettled_between", "days_between", "ratio")
+    return rows.select(
+        "predecessor", "successor", "generator", F.col("p_isin").alias("predecessor_isin"), F.col("s_isin").alias("successor_isin"), F.col("p_last_date").alias("last_date"),
+        F.col("s_first_date").alias("first_date"), *measured, ratio_band("ratio").alias("band"), issuer_prefix("p_isin").alias("issuer"),
+        F.concat(F.lpad(ps.cast("string"), 2, "0"), F.lit("->"), F.lpad(ss.cast("string"), 2, "0")).alias("serial"),
+        (isin_check_ok("p_isin") & isin_check_ok("s_isin")).alias("check_digit"), F.col("p_days").alias("predecessor_bars"), F.col("s_days").alias("successor_bars"),
+        *[v.alias(k) for k, v in gates.items()], F.coalesce("_gone", F.lit(False)).alias("retracted"),
+    )
+
+
+def enforced(rows: DataFrame) -> DataFrame:
+    """Adds G5 (two pairs that pass all else and share a predecessor or a successor both fail) and whether a pair is accepted."""
     alone = ~F.col("retracted")
     for g in GATES:
         alone = alone & F.col(g)
-    out = out.withColumn("_ok", alone)
+    rows = rows.withColumn("_ok", alone)
     clash = (F.count_if("_ok").over(Window.partitionBy("predecessor")) > 1) | (F.count_if("_ok").over(Window.partitionBy("successor")) > 1)
-    return out.withColumn("g5_path", ~(F.col("_ok") & clash)).withColumn("accepted", F.col("_ok") & F.col("g5_path")).drop("_ok")
+    return rows.withColumn("g5_path", ~(F.col("_ok") & clash)).withColumn("accepted", F.col("_ok") & F.col("g5_path")).drop("_ok")
+
+
+def gate_results(
+    bars: DataFrame, symbols: DataFrame, links: DataFrame, log: DataFrame, source: str, pin: Pin, max_gap_days: int = MAX_GAP_DAYS, expected: DataFrame | None = None,
+    calendar: DataFrame | None = None, pairs: DataFrame | None = None,
+) -> DataFrame:
+    """Every candidate with each gate, what it measured, and whether it is accepted.
+
+    expected: the days that must be settled; all calendar days by default. A successor whose latest link is a retraction is quarantined. Last, two accepted
+    candidates that share a predecessor or a successor are both rejected. calendar: the kept table of sessions, if there is one. pairs: any pairs
+    (predecessor, successor) to look at instead of the candidates. Bars are read once.
+    """
+    days = sessions(bars if calendar is None else calendar, source, None, None, pin)
+    maps = kept(day_maps(bars, source, pin), "maps")
+    facts = facts_of(maps, symbols, days, pin)
+    looked_at = consecutive(facts) if pairs is None else any_pairs(pairs, facts)
+    return enforced(evaluated(looked_at, maps, links, log, source, pin, days, max_gap_days, expected))
 
 
 def unlinked(cands: DataFrame, symbols: DataFrame, links: DataFrame, pin: Pin) -> DataFrame:
@@ -115,7 +188,8 @@ def unlinked(cands: DataFrame, symbols: DataFrame, links: DataFrame, pin: Pin) -
 
 
 def evaluate_pair(gates: DataFrame, predecessor: int, successor: int) -> DataFrame:
-    """One candidate's gates, one row each, in order, and the first that fails marked. A pair that is no candidate gives no rows."""
+    """One pair's gates, one row each, in order, and the first that fails marked. The gates are recorded and not enforced: a person who links the pair by hand
+    sees what stands against it. gates: gate_results() with that pair among its pairs."""
     one = gates.where((F.col("predecessor") == predecessor) & (F.col("successor") == successor))
     each = F.posexplode(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(g).alias("passed")) for g in (*GATES, "g5_path")])).alias("place", "_g")
     rows = one.select(each).select("place", "_g.gate", "_g.passed")
@@ -127,7 +201,8 @@ def propose(gates: DataFrame, log: DataFrame, source: str, expected: DataFrame |
     """Roster links of the accepted candidates, ratios to four places, and how many candidates fail each gate first. While the archive has a hole nothing
     is proposed: a session that was never fetched looks like a holiday."""
     assert_empty(archive_holes(log, source, start, end, expected), "the archive has holes")
-    accepted = gates.where("accepted").select("predecessor", "successor", F.col("first_date").alias("boundary"), F.lit("succession").alias("reason"), F.lit(None).cast("string").alias("note"), F.round("ratio", 4).alias("ratio"), ratio_band("ratio").alias("band"), "last_date")
+    measured = ["predecessor_isin", "successor_isin", "last_date", "first_date", "check_digit", "issuer", "serial", "sessions_between", "unsettled_between", "days_between", "ratio", "band"]
+    accepted = gates.where("accepted").select("predecessor", "successor", F.col("first_date").alias("boundary"), F.lit("succession").alias("reason"), F.lit(None).cast("string").alias("note"), *measured)
     failed = F.coalesce(*[F.when(~F.col(g), F.lit(g)) for g in (*GATES, "g5_path")], F.when(F.col("retracted"), "retracted"), F.lit("accepted"))
     return accepted, gates.groupBy(failed.alias("outcome")).agg(F.count(F.lit(1)).alias("candidates"))
 
@@ -153,119 +228,3 @@ def issuers(symbols: DataFrame, links: DataFrame, pin: Pin) -> DataFrame:
     isin = latest_version(symbols, ["symbol_id"], pin).where(F.col("isin").startswith("INE")).select("symbol_id", issuer_prefix("isin").alias("issuer"))
     per = entity_map(symbols, links, pin).join(isin, "symbol_id").groupBy("entity_id").agg(F.array_sort(F.collect_set("issuer")).alias("_i"))
     return per.where(F.size("_i") > 1).select("entity_id", F.array_join("_i", ", ").alias("issuers"))
-
-
-# Rosters: a list of links that a person has signed. A link names symbols; roots come from the chain of predecessors.
-
-LINK = "predecessor bigint, successor bigint, boundary date, reason string, note string"
-
-
-def validate_roster(links: DataFrame) -> None:
-    """Raises on a link without both symbols, to itself, with an unknown reason, on a symbol with two predecessors or two successors, and on a cycle."""
-    rule = F.when(F.col("predecessor").isNull() | F.col("successor").isNull(), "a symbol is missing").when(F.col("predecessor") == F.col("successor"), "a symbol succeeds itself").when(~F.coalesce(F.col("reason").isin("succession", "manual"), F.lit(False)), "unknown reason").when(F.col("boundary").isNull(), "no boundary")
-    assert_empty(links.withColumn("rule", rule).where("rule is not null"), "roster link")
-    for side in ("predecessor", "successor"):
-        assert_empty(links.groupBy(side).count().where("count > 1"), f"roster: one {side}, two links")
-    assert_empty(roots(links).where("root is null"), "roster: links run in a circle")
-
-
-def roots(links: DataFrame) -> DataFrame:
-    """(symbol_id, root) of every successor: the first symbol of its chain, by doubling the known stretch; null in a circle.
-
-    A chain has at most as many steps as there are links, so what still moves after that stretch is covered runs in a circle.
-    """
-    step = links.select(F.col("successor").alias("symbol_id"), F.col("predecessor").alias("root"))
-    for _ in range(links.count().bit_length() + 1):
-        up = step.select(F.col("symbol_id").alias("root"), F.col("root").alias("_up"))
-        step = step.select("symbol_id", "root").join(up, "root", "left").select("symbol_id", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved"))
-        step = step.checkpoint(eager=True) if step.sparkSession.conf.get("spark.checkpoint.dir", None) else step
-        if step.where("_moved").isEmpty():
-            break
-    return step.select("symbol_id", F.when(~F.col("_moved"), F.col("root")).alias("root"))
-
-
-def plan_links(roster: DataFrame, links: DataFrame, at: str, seeded_by: str, digest: str = "", symbols: DataFrame | None = None) -> DataFrame:
-    """The link rows a roster adds: those of symbols that no link joins yet, or only a retraction. A chain whose root is a member of an entity
-    already goes to that entity. Errors: a symbol that the store does not know, and a link that stands with another entity, boundary or
-    predecessor; such a link must be retracted first."""
-    if symbols is not None:
-        ends = roster.select(F.explode(F.array("predecessor", "successor")).alias("symbol_id")).distinct()
-        assert_empty(ends.join(symbols.select("symbol_id").distinct(), "symbol_id", "left_anti"), "symbols that the store does not know")
-    now = latest_version(links, ["symbol_id"], None).where("reason <> 'retraction'").select("symbol_id", *[F.col(c).alias(f"_{c}") for c in ("entity_id", "boundary", "predecessor")])
-    adopted = now.select(F.col("symbol_id").alias("root"), F.col("_entity_id").alias("_adopted"))
-    want = roster.join(roots(roster), roster["successor"] == F.col("symbol_id")).join(adopted, "root", "left")
-    want = want.select("symbol_id", F.coalesce("_adopted", "root").alias("entity_id"), "reason", "boundary", "predecessor", "note")
-    rows = want.join(now, "symbol_id", "left")
-    same = F.lit(True)
-    for c in ("entity_id", "boundary", "predecessor"):
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    assert_empty(rows.where(F.col("_entity_id").isNotNull() & ~same).select("symbol_id", "entity_id", F.col("_entity_id").alias("stored_entity"), "boundary", F.col("_boundary").alias("stored_boundary")), "a link stands otherwise; retract it first")
-    rows = rows.where("_entity_id is null")
-    evidence = F.to_json(F.struct("predecessor", F.col("symbol_id").alias("successor"), "boundary", "reason"))
-    return rows.select("symbol_id", "entity_id", "reason", "boundary", "predecessor", evidence.alias("evidence"), F.lit(digest).alias("roster_sha"), F.lit(seeded_by).alias("seeded_by"), "note", F.lit(at).cast("timestamp").alias("ingested_at"))
-
-
-def plan_retraction(links: DataFrame, at: str, note: str, seeded_by: str, entity_id: int | None = None, symbol_id: int | None = None) -> DataFrame:
-    """Rows that take back the links of one entity's members, or of one symbol that is its entity's only linked member: each then stands for
-    itself again. Nothing to take back, a root, and one member of several are errors, as they would leave an entity split in silence."""
-    if (entity_id is None) == (symbol_id is None):
-        raise ValueError("name an entity or a symbol")
-    if not note:
-        raise ValueError("a retraction needs a note")
-    now = latest_version(links, ["symbol_id"], None).where("reason <> 'retraction' and symbol_id <> entity_id")
-    if symbol_id is not None:
-        own = now.where(F.col("symbol_id") == symbol_id).select("entity_id").first()
-        if own is None:
-            members = now.where(F.col("entity_id") == symbol_id).count()
-            raise IntegrityError(f"symbol {symbol_id} is the root of an entity with {members} members; retract the entity" if members else f"symbol {symbol_id} is not linked")
-        entity_id = own["entity_id"]
-    now = now.where(F.col("entity_id") == entity_id)
-    members = now.count()
-    if not members:
-        raise IntegrityError(f"entity {entity_id} has no linked members")
-    if symbol_id is not None and members > 1:
-        raise IntegrityError(f"symbol {symbol_id} is one of {members} members of entity {entity_id}; retract the entity")
-    evidence = F.to_json(F.struct(F.col("entity_id").alias("retracted_from"), F.lit("symbol" if symbol_id is not None else "entity").alias("scope")))
-    return now.select("symbol_id", F.col("symbol_id").alias("entity_id"), F.lit("retraction").alias("reason"), F.lit(None).cast("date").alias("boundary"), F.lit(None).cast("bigint").alias("predecessor"), evidence.alias("evidence"), F.lit(None).cast("string").alias("roster_sha"), F.lit(seeded_by).alias("seeded_by"), F.lit(note).alias("note"), F.lit(at).cast("timestamp").alias("ingested_at"))
-
-
-def assert_flat(links: DataFrame, added: DataFrame) -> None:
-    """Raises if the links with the added rows would need more than one hop."""
-    names = ["symbol_id", "entity_id", "ingested_at"]
-    assert_empty(flatness(links.select(names).unionByName(added.select(names)), None), "a link leads to a symbol that is linked on")
-
-
-def review_lines(cands: DataFrame) -> DataFrame:
-    """Candidates as JSON lines for a person to review."""
-    return cands.select(F.to_json(F.struct(*cands.columns)).alias("value"))
-
-
-def roster_document(links: list[dict], version: int = 1) -> str:
-    """The roster file: links in order, with the digest of its canonical JSON."""
-    from .provenance import digest_of
-
-    body = {"version": version, "links": sorted(links, key=lambda x: (x["predecessor"], x["successor"]))}
-    return json.dumps(body | {"digest": digest_of(body)}, indent=2, sort_keys=True)
-
-
-def load_roster(text: str) -> list[dict]:
-    """The links of a roster file. Unknown fields and a stated digest that is not that of the content are errors."""
-    from .provenance import digest_of
-
-    doc = json.loads(text)
-    if extra := set(doc) - {"version", "links", "digest"}:
-        raise ValueError(f"unknown fields {sorted(extra)}")
-    if doc.get("version") != 1:
-        raise ValueError("unknown roster version")
-    known = {x.split()[0] for x in LINK.split(", ")} | {"ratified_by", "ratified_at"}
-    if extra := {k for x in doc["links"] for k in x} - known:
-        raise ValueError(f"unknown link fields {sorted(extra)}")
-    if doc.get("digest") != digest_of({k: v for k, v in doc.items() if k != "digest"}):
-        raise ValueError("the stated digest is not that of the content")
-    return doc["links"]
-
-
-def adopt_manual(new: list[dict], existing: list[dict]) -> list[dict]:
-    """A new roster with the manual links of the old one, except those whose boundary the new one states itself."""
-    stated = {(x["predecessor"], x["successor"]) for x in new} | {x["successor"] for x in new}
-    return new + [x for x in existing if x["reason"] == "manual" and (x["predecessor"], x["successor"]) not in stated and x["successor"] not in stated]

@@ -194,16 +194,36 @@ facts AS (SELECT symbol_id, isin, ticker, fd, ld, fc, lc, a.n AS fn, b.n AS ln F
 cand AS (SELECT predecessor, successor, min(generator) AS generator FROM (
   SELECT symbol_id AS predecessor, lead(symbol_id) OVER (PARTITION BY left(isin, 9) ORDER BY fd, symbol_id) AS successor, 'issuer' AS generator FROM facts WHERE isin LIKE 'INE%'
   UNION ALL SELECT symbol_id, lead(symbol_id) OVER (PARTITION BY ticker ORDER BY fd, symbol_id), 'ticker' FROM facts) WHERE successor IS NOT NULL GROUP BY 1, 2),
-gat AS (SELECT c.*, p.ld AS last_date, s.fd AS first_date, s.fc / p.lc AS ratio, p.isin LIKE 'INE%' AND s.isin LIKE 'INE%' AS g0_equity, left(p.isin, 9) = left(s.isin, 9) AS g1_issuer,
+gat AS (SELECT c.*, p.ld AS last_date, s.fd AS first_date, floor(s.fc / nullif(p.lc, 0) * 1e4 + 0.5) / 1e4 AS ratio, p.isin LIKE 'INE%' AND s.isin LIKE 'INE%' AS g0_equity, left(p.isin, 9) = left(s.isin, 9) AS g1_issuer,
   substr(s.isin, 10, 2)::INT > substr(p.isin, 10, 2)::INT AS g2_serial, p.ld < s.fd AND NOT EXISTS (SELECT 1 FROM lv x JOIN lv y USING (date) WHERE x.symbol_id = c.predecessor AND y.symbol_id = c.successor) AS g3_apart,
-  s.fn - p.ln = 1 AS g4_no_session, NOT EXISTS (SELECT 1 FROM cal WHERE d > p.ld AND d < s.fd AND d NOT IN (SELECT date FROM ingest_log WHERE status IN ('ok', 'no-file'))) AS g4a_settled,
-  s.fd - p.ld BETWEEN 1 AND 8 AS g4b_gap, EXISTS (SELECT 1 FROM (VALUES (1.0::DOUBLE), (0.5), (0.4), (0.25), (0.2), (0.1), (0.05), (0.02), (0.01)) b(v) WHERE s.fc / p.lc BETWEEN v * 0.75 AND v * 1.25) AS g6_ratio,
+  s.fn - p.ln <= 1 AS g4_no_session, NOT EXISTS (SELECT 1 FROM cal WHERE d > p.ld AND d < s.fd AND d NOT IN (SELECT date FROM ingest_log WHERE status IN ('ok', 'no-file'))) AS g4a_settled,
+  s.fd - p.ld BETWEEN 1 AND 8 AS g4b_gap, EXISTS (SELECT 1 FROM (VALUES (1.0::DOUBLE), (0.5), (0.4), (0.25), (0.2), (0.1), (0.05), (0.02), (0.01)) b(v) WHERE floor(s.fc / nullif(p.lc, 0) * 1e4 + 0.5) / 1e4 BETWEEN v * 0.75 AND v * 1.25) AS g6_ratio,
   coalesce(c.successor IN (SELECT symbol_id FROM ({latest('symbol_links', 'symbol_id', PIN)}) WHERE reason = 'retraction'), false) AS retracted
   FROM cand c JOIN facts p ON p.symbol_id = c.predecessor JOIN facts s ON s.symbol_id = c.successor),
 okk AS (SELECT *, NOT retracted AND g0_equity AND g1_issuer AND g2_serial AND g3_apart AND g4_no_session AND g4a_settled AND g4b_gap AND g6_ratio AS ok FROM gat),
 fin AS (SELECT *, NOT (ok AND (count(*) FILTER (ok) OVER (PARTITION BY predecessor) > 1 OR count(*) FILTER (ok) OVER (PARTITION BY successor) > 1)) AS g5_path FROM okk)"""
 
 
+def _pairs() -> str:
+    """Any two symbols: all that the gates measure, with every calendar day to be settled."""
+    return f"""{_facts()},
+asked AS (SELECT DISTINCT 2 * s AS predecessor, 2 * (s + k) + 1 AS successor FROM (SELECT DISTINCT symbol_id // 2 AS s FROM symbols), (VALUES (-3), (5), (10)) x(k) WHERE s + k >= 0),
+due AS (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS d FROM sess),
+holes AS (SELECT d FROM due WHERE d NOT IN (SELECT date FROM ingest_log WHERE status IN ('ok', 'no-file'))),
+bars_of AS (SELECT symbol_id, count(*) AS k FROM lv GROUP BY 1),
+mp AS (SELECT a.*, p.isin AS pi, s.isin AS si, p.ld, s.fd, p.ln, s.fn, pk.k::BIGINT AS predecessor_bars, sk.k::BIGINT AS successor_bars,
+  (SELECT count(*) FROM lv x JOIN lv y USING (date) WHERE x.symbol_id = a.predecessor AND y.symbol_id = a.successor)::BIGINT AS shared_days,
+  (SELECT count(*) FROM sess WHERE date > p.ld AND date < s.fd) AS sessions_between, (SELECT count(*) FROM holes WHERE d > p.ld AND d < s.fd)::BIGINT AS unsettled_between,
+  s.fd - p.ld AS days_between, floor(s.fc / nullif(p.lc, 0) * 1e4 + 0.5) / 1e4 AS ratio
+  FROM asked a JOIN facts p ON p.symbol_id = predecessor JOIN facts s ON s.symbol_id = successor JOIN bars_of pk ON pk.symbol_id = predecessor JOIN bars_of sk ON sk.symbol_id = successor),
+mg AS (SELECT *, (SELECT n FROM (VALUES (0, '1/1', 1.0::DOUBLE), (1, '1/2', 0.5), (2, '2/5', 0.4), (3, '1/4', 0.25), (4, '1/5', 0.2), (5, '1/10', 0.1), (6, '1/20', 0.05), (7, '1/50', 0.02), (8, '1/100', 0.01)) b(i, n, v)
+  WHERE ratio BETWEEN v * 0.75 AND v * 1.25 ORDER BY abs(ratio - v) / v, i LIMIT 1) AS band, substr(pi, 10, 2) || '->' || substr(si, 10, 2) AS serial,
+  pi LIKE 'INE%' AND si LIKE 'INE%' AS g0_equity, left(pi, 9) = left(si, 9) AS g1_issuer, substr(si, 10, 2)::INT > substr(pi, 10, 2)::INT AS g2_serial, ld < fd AND shared_days = 0 AS g3_apart,
+  sessions_between = 0 AS g4_no_session, unsettled_between = 0 AS g4a_settled, days_between BETWEEN 1 AND 4 AS g4b_gap FROM mp)
+SELECT predecessor, successor, shared_days, sessions_between, unsettled_between, days_between, ratio, band, serial, predecessor_bars, successor_bars, g0_equity, g1_issuer, g2_serial, g3_apart, g4_no_session,
+  g4a_settled, g4b_gap, band IS NOT NULL AS g6_ratio, false AS accepted FROM mg"""
+
+
 _TANGLED = "tangled AS (SELECT 2 * s AS symbol_id, 2 * s + 2 AS entity_id FROM (SELECT DISTINCT symbol_id // 2 AS s FROM symbols) UNION ALL SELECT symbol_id, entity_id FROM symbol_links WHERE ingested_at <= TIMESTAMP '2003-01-01')"
 _TMAP = f"tmap AS (SELECT s.symbol_id, coalesce(t.entity_id, s.symbol_id) AS entity_id FROM (SELECT DISTINCT symbol_id FROM symbols WHERE ingested_at <= TIMESTAMP '{PIN}') s LEFT JOIN tangled t USING (symbol_id))"
 _RUNS = "SELECT 'run-' || i AS run_id, sha256('{\"top\":' || (i % 3) || '}') AS config_hash, make_date(2020 + i % 5, 6, 30)::VARCHAR AS period_to, '2026-01-' || lpad((i + 1)::VARCHAR, 2, '0') || ' 12:00:00' AS finished_at FROM range(20) t(i)"
@@ -224,6 +244,7 @@ rk AS (SELECT *, CASE WHEN gap BETWEEN 0 AND 5 THEN 'bridged' WHEN new IS NOT NU
     return {
         "succession_candidates": staged(_facts() + " SELECT * FROM cand"),
         "gate_results": staged(_facts() + " SELECT predecessor, successor, generator, last_date::VARCHAR AS last_date, first_date::VARCHAR AS first_date, g0_equity, g1_issuer, g2_serial, g3_apart, g4_no_session, g4a_settled, g4b_gap, g6_ratio, retracted, g5_path, ok AND g5_path AS accepted FROM fin"),
+        "pair_evidence": staged(_pairs()),
         "unlinked_candidates": staged(_facts() + f", um AS ({emap('2002-01-01')}) SELECT predecessor, successor, CASE WHEN a.entity_id = b.entity_id THEN 'stale' WHEN ok AND g5_path THEN 'accepted' ELSE 'quarantined' END AS kind FROM fin LEFT JOIN um a ON a.symbol_id = predecessor LEFT JOIN um b ON b.symbol_id = successor WHERE NOT coalesce(a.entity_id = b.entity_id AND ok AND g5_path, false)"),
         "archive_holes": staged("SELECT d::VARCHAR AS date FROM cal, (SELECT min(date) AS lo, max(date) AS hi, max(fetched_at) AS last FROM ingest_log) WHERE d BETWEEN lo AND hi AND d NOT IN (SELECT date FROM ingest_log WHERE status IN ('ok', 'no-file')) AND last >= d + INTERVAL '42 hours 30 minutes'"),
         "invariant_flatness": staged(f"% {_TANGLED} SELECT a.symbol_id, a.entity_id, b.entity_id AS next_entity FROM tangled a JOIN tangled b ON b.symbol_id = a.entity_id AND b.entity_id <> a.entity_id"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,12 @@ from pyspark.sql.window import Window
 from ..operators.bitemporal import EVER, latest_version
 from ..operators.checks import assert_empty
 from ..operators.hashing import bar_hash, index_hash
-from ..operators.identity import assert_flat
+from ..operators.roster import assert_flat, plan_links, validate_roster
 from ..schemas import REASONS, STATUSES, schema
 from ..sources.addresses import MOST_ERRORS, days_to_fetch, unpacked, walk_days
 from ..sources.archives import equity_bars
 from .commits import Commit, commit, read_folders, state
-from .storage import session_days, write_bytes
+from .storage import kept, session_days, write_bytes
 
 
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -177,6 +178,30 @@ def insert_links(spark: SparkSession, root: str, planned: DataFrame) -> int:
         return _append_as(planned, c, "symbol_links")
 
 
+class Applied(NamedTuple):
+    """What applying a roster adds, as rows, how many links stood already, and whether they were written."""
+
+    rows: DataFrame
+    skipped: int
+    written: bool
+
+
+def apply_roster(spark: SparkSession, root: str, roster: DataFrame, digest: str, seeded_by: str, at: str, dry_run: bool = False) -> Applied:
+    """Validates a roster with its gates, plans its links, looks that the map stays flat and appends them, all under one commit. Without a digest, which says where an
+    irreversible merge came from, nothing is written. A dry run does all but write."""
+    validate_roster(roster, gates=True)
+    if not digest:
+        raise ValueError("a roster without a digest is not applied")
+    with commit(spark, root) as c:
+        links = c.read("symbol_links")
+        planned = kept(plan_links(roster, links, at, seeded_by, digest, c.read("symbols")), "planned")
+        assert_flat(links, planned)
+        n = planned.count()
+        if n and not dry_run:
+            _append_as(planned, c, "symbol_links")
+        return Applied(planned, roster.count() - n, bool(n) and not dry_run)
+
+
 def log_days(spark: SparkSession, root: str, source: str, fetched: list, at: str) -> int:
     """Appends a walk over days to the ingest log."""
     if not fetched:

@@ -29,6 +29,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: its plan runs once, however often it is used, and a lost executor does not bring it back."""
+    path = new_path(df.sparkSession, name)
+    append(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_bars(df: DataFrame, path: str, mode: str = "append") -> None:
     """Bars by source and year, so that a source and a window of dates prune to few files; within a file by date."""
     df.withColumn("year", F.year("date")).repartition("source", "year").sortWithinPartitions("date", "symbol_id").write.mode(mode).partitionBy("source", "year").parquet(path)

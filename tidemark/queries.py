@@ -105,7 +105,19 @@ def _rate_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gates(t: Tables) -> DataFrame:
-    return identity.gate_results(t.bars, t.symbols, t.symbol_links, t.ingest_log, NSE, PIN, max_gap_days=8, expected=t.cal.select(F.col("d").alias("date")))
+    return identity.gate_results(t.bars, t.symbols, t.symbol_links, t.ingest_log, NSE, PIN, max_gap_days=8, expected=t.cal.select(F.col("d").alias("date")), calendar=t.sessions)
+
+
+def _asked_pairs(t: Tables) -> DataFrame:
+    """Pairs that no generator proposes: every first issue with the second issue of other suppliers."""
+    rows = t.symbols.select((F.col("symbol_id") / 2).cast("bigint").alias("s")).distinct()
+    other = rows.select("s", F.explode(F.array(F.lit(-3), F.lit(5), F.lit(10))).alias("k")).where("s + k >= 0")
+    return other.select((2 * F.col("s")).alias("predecessor"), (2 * (F.col("s") + F.col("k")) + 1).alias("successor"))
+
+
+def _pair_evidence(t: Tables) -> DataFrame:
+    found = identity.gate_results(t.bars, t.symbols, t.symbol_links, t.ingest_log, NSE, PIN, calendar=t.sessions, pairs=_asked_pairs(t))
+    return found.select("predecessor", "successor", "shared_days", "sessions_between", "unsettled_between", "days_between", "ratio", "band", "serial", "predecessor_bars", "successor_bars", *identity.GATES, "accepted")
 
 
 def _tangled(t: Tables) -> DataFrame:
@@ -276,8 +288,9 @@ def queries() -> dict[str, Query]:
         "rate_in_force": _rate_in_force,
         "round_trip_curve": lambda spark, sf_dir: plain(costs.round_trips(spark), "share"),
         "min_notional_by_broker": lambda spark, sf_dir: costs.min_notional(costs.round_trips(spark)),
-        "succession_candidates": on(lambda t: identity.candidates(identity.symbol_facts(t.bars, t.symbols, NSE, PIN))),
-        "gate_results": on(lambda t: _gates(t).drop("ratio")),
+        "succession_candidates": on(lambda t: identity.candidates(identity.symbol_facts(t.bars, t.symbols, NSE, PIN, t.sessions))),
+        "gate_results": on(lambda t: _gates(t).select("predecessor", "successor", "generator", "last_date", "first_date", *identity.GATES, "retracted", "g5_path", "accepted")),
+        "pair_evidence": on(_pair_evidence),
         "unlinked_candidates": on(lambda t: identity.unlinked(_gates(t), t.symbols, t.symbol_links, "2002-01-01")),
         "archive_holes": on(lambda t: identity.archive_holes(t.ingest_log, NSE, expected=_sessions(t))),
         "invariant_flatness": on(lambda t: identity.flatness(_tangled(t), PIN)),
