@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import math
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.storage import kept, write_bytes
 from .bitemporal import Pin, bars_at, latest_version
 
 MAX_GAP, TOLERANCE = 5, 0.15
@@ -28,30 +31,74 @@ def close_on(bars: DataFrame, symbols: DataFrame, source: str, day: str, pin: Pi
     return rows.groupBy("ticker").agg(F.min_by(F.col("close").cast("double"), "symbol_id").alias("close"))
 
 
+def numbered(calendar: DataFrame) -> DataFrame:
+    """(date, n): sessions in order; one row per session of an exchange."""
+    return calendar.select("date").distinct().select("date", F.row_number().over(Window.orderBy("date")).alias("n"))
+
+
 def match_renames(vanished: DataFrame, newcomers: DataFrame, calendar: DataFrame, max_gap: int = MAX_GAP, tolerance: float = TOLERANCE) -> DataFrame:
-    """(ticker, newcomer): a vanished ticker (ticker, last_date, last_close) and a newcomer (ticker, first_date, first_close) that starts 1 to
-    max_gap sessions later at a price within the tolerance, if neither has another such match. Days that are no sessions match nothing.
+    """(ticker, newcomer, isin, first_date): a vanished ticker (ticker, last_date, last_close) and a newcomer (ticker, isin, first_date, first_close) that starts 0
+    to max_gap sessions later at a price within the tolerance, if neither has another such match. Days that are no sessions match nothing, and
+    neither do closes that are not above 0.
 
-    The join is by session number: each vanished ticker looks at max_gap sessions, not at all newcomers.
+    The join is by session number and by a step of the price on a logarithmic scale, so that a day on which many tickers begin is not compared with all that ended.
     """
-    n = calendar.select("date", F.row_number().over(Window.orderBy("date")).alias("_n"))
-    v = vanished.join(n, vanished["last_date"] == n["date"]).select(F.col("ticker").alias("vanished"), F.col("last_close"), F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + max_gap)).alias("_n"))
-    w = newcomers.join(n, newcomers["first_date"] == n["date"]).select(F.col("ticker").alias("newcomer"), F.col("first_close"), "_n")
-    pairs = v.join(w, "_n").where((F.col("last_close") > 0) & (F.abs(F.col("first_close") / F.col("last_close") - 1.0) <= tolerance))
+    if not 0 < tolerance < 1:
+        raise ValueError("the tolerance must be between 0 and 1")
+    n = numbered(calendar)
+    step = lambda price: F.floor(F.log(price) / math.log1p(tolerance)).cast("bigint")
+    v = vanished.where("last_close > 0").join(n, vanished["last_date"] == n["date"]).select(F.col("ticker").alias("vanished"), "last_close", F.explode(F.sequence("n", F.col("n") + max_gap)).alias("n"))
+    lo, hi = (step(F.col("last_close") * x) for x in (1 - tolerance, 1 + tolerance))
+    v = v.withColumn("step", F.explode(F.sequence(lo - 1, hi + 1)))  # one more on either side, for rounding
+    w = newcomers.where("first_close > 0").join(n, newcomers["first_date"] == n["date"]).select(F.col("ticker").alias("newcomer"), "isin", "first_date", "first_close", "n", step(F.col("first_close")).alias("step"))
+    pairs = v.join(w, ["n", "step"]).where(F.abs(F.col("first_close") / F.col("last_close") - 1.0) <= tolerance)
     alone = (F.count(F.lit(1)).over(Window.partitionBy("vanished")) == 1) & (F.count(F.lit(1)).over(Window.partitionBy("newcomer")) == 1)
-    return pairs.withColumn("_one", alone).where("_one").select(F.col("vanished").alias("ticker"), "newcomer")
-
-
-def resolve(seen: DataFrame, bridge: DataFrame, renames: DataFrame, calendar: DataFrame, era_end: str, max_gap: int = MAX_GAP) -> DataFrame:
-    """What became of each early ticker (ticker, last_date): bridged (its ISIN's bars start within max_gap sessions), renamed, dead (it
-    vanished more than max_gap sessions before the era's end) or quarantined. identity: the ISIN, the newcomer, or a synthetic one."""
-    n = calendar.select("date", F.row_number().over(Window.orderBy("date")).alias("n"))
-    rows = seen.join(bridge.select("ticker", "isin", "first_date"), "ticker", "left").join(renames, "ticker", "left")
-    for col in ("last_date", "first_date"):
-        rows = rows.join(n.select(F.col("date").alias(col), F.col("n").alias(f"_{col}")), col, "left")
-    end = calendar.where(F.col("date") <= F.lit(era_end).cast("date")).agg(F.count(F.lit(1)).alias("_end"))
-    rows = rows.crossJoin(F.broadcast(end))
-    gap = F.col("_first_date") - F.col("_last_date")
-    kind = F.when(F.coalesce(gap.between(0, max_gap), F.lit(False)), "bridged").when(F.col("newcomer").isNotNull(), "renamed").when(F.col("first_date").isNull() & (F.col("_end") - F.col("_last_date") > max_gap), "dead").otherwise("quarantined")
+    return pairs.withColumn("_one", alone).where("_one").select(F.col("vanished").alias("ticker"), "newcomer", "isin", "first_date")
+
+
+def resolve(seen: DataFrame, bridge: DataFrame, renames: DataFrame, calendar: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
+    """(ticker, kind, identity, gap_sessions): what became of each early ticker (ticker, last_date).
+
+    A ticker that has an ISIN later (bridge: ticker, isin, first_date) is bridged to it if its bars start within max_gap sessions, else quarantined: the gap is too wide to tell a
+    suspension from a ticker given to another company. One without is renamed, with the newcomer's ISIN, or dead. The quarantined and the dead get an identity of
+    their own. gap_sessions: null for the dead, and where one of the days is no session or the second comes first, which is no small gap.
+    """
+    n = numbered(calendar)
+    later = bridge.select("ticker", F.col("isin").alias("_isin"), F.col("first_date").alias("_first"))
+    names = renames.select("ticker", F.col("isin").alias("_new"), F.col("first_date").alias("_began"))
+    rows = seen.select("ticker", "last_date").join(later, "ticker", "left").join(names, "ticker", "left").withColumn("_to", F.when(F.col("_isin").isNotNull(), F.col("_first")).otherwise(F.col("_began")))
+    rows = rows.join(n.select(F.col("date").alias("last_date"), F.col("n").alias("_a")), "last_date", "left").join(n.select(F.col("date").alias("_to"), F.col("n").alias("_b")), "_to", "left")
+    gap = F.when(F.col("_b") >= F.col("_a"), F.col("_b") - F.col("_a"))
+    held = F.when(F.coalesce(gap <= max_gap, F.lit(False)), "bridged").otherwise("quarantined")
+    kind = F.when(F.col("_isin").isNotNull(), held).when(F.col("_new").isNotNull(), "renamed").otherwise("dead")
     own = F.concat(F.lit("X-NSE-"), F.upper(F.trim("ticker")))
-    return rows.withColumn("kind", kind).select("ticker", "kind", F.when(F.col("kind") == "bridged", F.col("isin")).when(F.col("kind") == "renamed", F.col("newcomer")).otherwise(own).alias("identity"))
+    identity = F.when(F.col("kind") == "bridged", F.col("_isin")).when(F.col("kind") == "renamed", F.col("_new")).otherwise(own)
+    return rows.withColumns({"kind": kind, "gap_sessions": gap.cast("bigint")}).select("ticker", "kind", identity.alias("identity"), "gap_sessions", "last_date", F.col("_to").alias("first_date"))
+
+
+def assignments(observed: DataFrame, bridge: DataFrame, calendar: DataFrame, scan_start: str | None = None, max_gap: int = MAX_GAP, tolerance: float = TOLERANCE) -> DataFrame:
+    """resolve() of the tickers observed before ISINs (ticker, first_date, first_close, last_date, last_close), given those that have one later (ticker, isin, first_date,
+    first_close). Vanished are the observed without an ISIN; newcomers are those with one, from their first session of either era, but for tickers
+    that were there on the scan's first day, which look new to any scan that begins on it."""
+    start = F.lit(scan_start).cast("date") if scan_start else None
+    first = observed.agg(F.min("first_date").alias("_start")) if start is None else observed.sparkSession.range(1).select(start.alias("_start"))
+    known = bridge.select("ticker", "isin", F.col("first_date").alias("_d"), F.col("first_close").alias("_c"))
+    early = observed.join(known, "ticker").crossJoin(F.broadcast(first)).where("first_date > _start").select("ticker", "isin", "first_date", "first_close")  # one row
+    late = bridge.join(observed.select("ticker"), "ticker", "left_anti").select("ticker", "isin", "first_date", "first_close")
+    vanished = observed.join(bridge.select("ticker"), "ticker", "left_anti").select("ticker", "last_date", "last_close")
+    return resolve(observed, bridge, match_renames(vanished, early.unionByName(late), calendar, max_gap, tolerance), calendar, max_gap)
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """(bridged, dead, quarantined, renamed, total) of assignments."""
+    return found.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("bridged", "dead", "quarantined", "renamed")], F.count(F.lit(1)).alias("total"))
+
+
+def write_proposal(found: DataFrame, path: str, first: str, last: str, at: str, max_gap: int = MAX_GAP) -> dict:
+    """A proposal for a person to review: `summary` (one JSON object with the span, the gap and the counts) and `assignments` (JSON lines by ticker) under a folder.
+    Nothing is stored of it. Returns the summary."""
+    found = kept(found, "assignments")
+    counts = summary(found).first().asDict() | {"from": first, "to": last, "generated_at": at, "max_gap_sessions": max_gap}
+    found.orderBy("ticker").write.mode("error").json(f"{path}/assignments")
+    write_bytes(found.sparkSession, f"{path}/summary.json", json.dumps(counts, sort_keys=True).encode())
+    return counts

@@ -233,13 +233,16 @@ _CHECK = """digs AS (SELECT isin, list_reverse(list_transform(string_split(array
 
 def _identity() -> dict[str, str]:
     v = latest("bars", "symbol_id, date", PIN, "source = 'nse-bhavcopy'")
-    early = f"""en AS (SELECT 'T' || (symbol_id // 2)::VARCHAR || '-' || ((n - 1) // 13)::VARCHAR AS ticker, date, close::DOUBLE AS close FROM ({v}) JOIN cal ON d = date),
-pe AS (SELECT ticker, min(date) AS fd, arg_min(close, date) AS fc, max(date) AS ld, arg_max(close, date) AS lc FROM en GROUP BY 1),
-mm AS (SELECT a.ticker AS old, b.ticker AS new FROM pe a JOIN cal x ON x.d = a.ld JOIN pe b ON true JOIN cal y ON y.d = b.fd WHERE y.n - x.n BETWEEN 1 AND 5 AND a.lc > 0 AND abs(b.fc / a.lc - 1) <= 0.15),
-m1 AS (SELECT old, new FROM mm QUALIFY count(*) OVER (PARTITION BY old) = 1 AND count(*) OVER (PARTITION BY new) = 1),
-br AS (SELECT regexp_replace(ticker, '-7$', '-6') AS ticker, 'INE' || ticker AS isin, fd FROM pe WHERE ticker LIKE '%-7'),
-rs AS (SELECT pe.ticker, br.isin, m1.new, br.fd, y.n - x.n AS gap, (SELECT count(*) FROM cal WHERE d <= DATE '1996-12-30') - x.n AS quiet FROM pe JOIN cal x ON x.d = pe.ld LEFT JOIN br USING (ticker) LEFT JOIN cal y ON y.d = br.fd LEFT JOIN m1 ON m1.old = pe.ticker),
-rk AS (SELECT *, CASE WHEN gap BETWEEN 0 AND 5 THEN 'bridged' WHEN new IS NOT NULL THEN 'renamed' WHEN fd IS NULL AND quiet > 5 THEN 'dead' ELSE 'quarantined' END AS kind FROM rs)"""
+    early = f"""en AS (SELECT 'T' || s || '-' || ((n - 1 + 7 * s) // (CASE WHEN s % 6 = 0 THEN 40 ELSE 13 + s % 4 END)) AS ticker, s, n, date, close::DOUBLE * (1 + s) AS close
+  FROM (SELECT *, symbol_id // 2 AS s FROM ({v})) JOIN cal ON d = date),
+ob AS (SELECT ticker, min(n) AS fn, arg_min(close, n) AS fc, max(n) AS ln, arg_max(close, n) AS lc FROM en WHERE n <= 130 GROUP BY 1),
+br AS (SELECT ticker, 'INE' || ticker AS isin, min(n) AS fn, arg_min(close, n) AS fc FROM en WHERE n >= 130 AND NOT (s % 6 = 0 AND n < 150) GROUP BY 1),
+va AS (SELECT * FROM ob WHERE ticker NOT IN (SELECT ticker FROM br)),
+nc AS (SELECT ob.ticker, isin, ob.fn, ob.fc FROM ob JOIN br USING (ticker) WHERE ob.fn > (SELECT min(fn) FROM ob) UNION ALL SELECT ticker, isin, fn, fc FROM br WHERE ticker NOT IN (SELECT ticker FROM ob)),
+ca AS (SELECT va.ticker, nc.ticker AS new, isin, nc.fn FROM va JOIN nc ON va.lc > 0 AND nc.fc > 0 AND nc.fn - va.ln BETWEEN 0 AND 5 AND abs(nc.fc / va.lc - 1) <= 0.15),
+un AS (SELECT * FROM ca QUALIFY count(*) OVER (PARTITION BY ticker) = 1 AND count(*) OVER (PARTITION BY new) = 1),
+rk AS (SELECT ob.ticker, CASE WHEN br.isin IS NOT NULL THEN CASE WHEN br.fn - ob.ln BETWEEN 0 AND 5 THEN 'bridged' ELSE 'quarantined' END WHEN un.isin IS NOT NULL THEN 'renamed' ELSE 'dead' END AS kind, br.isin, un.isin AS new,
+  CASE WHEN coalesce(br.fn, un.fn) >= ob.ln THEN coalesce(br.fn, un.fn) - ob.ln END AS gap_sessions FROM ob LEFT JOIN br USING (ticker) LEFT JOIN un USING (ticker))"""
     alias = "(VALUES ('NIFTY50', 'S&P CNX NIFTY'), ('NIFTY50', 'CNX NIFTY'), ('NIFTY50', 'NIFTY 50')) a(code, plain)"
     return {
         "succession_candidates": staged(_facts() + " SELECT * FROM cand"),
@@ -257,7 +260,7 @@ rk AS (SELECT *, CASE WHEN gap BETWEEN 0 AND 5 THEN 'bridged' WHEN new IS NOT NU
         "slug_codes": staged(f"%nm AS (SELECT index_name, date FROM index_levels UNION ALL SELECT CASE WHEN day(date) = 1 THEN 'CNX  nifty' ELSE 'S&P CNX Nifty' END, date FROM index_levels) SELECT index_name, coalesce(code, nullif(regexp_replace(upper(index_name), '[^A-Z0-9]', '', 'g'), ''), 'UNKNOWN') AS index_code, count(*) AS days FROM nm LEFT JOIN {alias} ON plain = upper(regexp_replace(trim(index_name), '\\s+', ' ', 'g')) GROUP BY 1, 2"),
         "month_windows": staged("SELECT d::VARCHAR AS date, (date_trunc('month', d)::DATE - INTERVAL 1 MONTH + to_days(day(d)::INT - 1))::DATE::VARCHAR AS back_1, (date_trunc('month', d)::DATE - INTERVAL 12 MONTH + to_days(day(d)::INT - 1))::DATE::VARCHAR AS back_12 FROM cal"),
         "pre_isin_bridge": staged(f"SELECT ticker, isin, fd::VARCHAR AS first_date FROM (SELECT DISTINCT symbol_id, ticker, isin FROM symbols WHERE ingested_at <= TIMESTAMP '{PIN}') JOIN (SELECT symbol_id, min(date) AS fd FROM ({v}) GROUP BY 1) USING (symbol_id) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY fd, symbol_id) = 1"),
-        "pre_isin_resolution": staged(f"% {early} SELECT ticker, kind, CASE kind WHEN 'bridged' THEN isin WHEN 'renamed' THEN new ELSE 'X-NSE-' || upper(trim(ticker)) END AS identity FROM rk"),
+        "pre_isin_resolution": staged(f"% {early} SELECT ticker, kind, CASE kind WHEN 'bridged' THEN isin WHEN 'renamed' THEN new ELSE 'X-NSE-' || upper(trim(ticker)) END AS identity, gap_sessions FROM rk"),
         "prior_runs": f"SELECT * FROM ({_RUNS}) WHERE config_hash = sha256('{{\"top\":1}}')",
         "holdout_runs": f"SELECT * FROM ({_RUNS}) WHERE period_to >= '2023-01-01'",
         "ingest_noop_rerun": staged(f"SELECT run, CASE run WHEN 1 THEN n ELSE 0 END AS rows_added FROM (SELECT count(*) AS n FROM ({v})), (VALUES (1), (2)) r(run)"),

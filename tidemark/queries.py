@@ -129,19 +129,20 @@ def _tangled(t: Tables) -> DataFrame:
 
 
 def _early_names(t: Tables) -> DataFrame:
-    """Prices under names that change every 13 sessions."""
-    rows = bitemporal.bars_at(t.bars, NSE, PIN).join(t.cal, F.col("date") == F.col("d"))
-    return rows.select("date", "n", F.concat(F.lit("T"), (F.col("symbol_id") / 2).cast("bigint").cast("string"), F.lit("-"), ((F.col("n") - 1) / 13).cast("bigint").cast("string")).alias("ticker"), F.col("close").cast("double").alias("close"))
+    """Prices under names that change every 13 to 16 sessions, of every sixth supplier every 40."""
+    rows = bitemporal.bars_at(t.bars, NSE, PIN).join(t.cal, F.col("date") == F.col("d")).withColumn("s", (F.col("symbol_id") / 2).cast("bigint"))
+    width = F.when(F.col("s") % 6 == 0, 40).otherwise(13 + F.col("s") % 4)
+    name = F.concat(F.lit("T"), F.col("s").cast("string"), F.lit("-"), ((F.col("n") - 1 + 7 * F.col("s")) / width).cast("bigint").cast("string"))
+    return rows.select("date", "n", "s", name.alias("ticker"), (F.col("close").cast("double") * (1 + F.col("s"))).alias("close"))
 
 
 def _pre_isin(t: Tables) -> DataFrame:
+    """Names up to session 130 are observed without ISIN, those from it on have one; every sixth supplier is away until session 150."""
     rows = _early_names(t)
-    per = rows.groupBy("ticker").agg(F.min("date").alias("first_date"), F.min_by("close", "date").alias("first_close"), F.max("date").alias("last_date"), F.max_by("close", "date").alias("last_close"))
-    calendar = t.cal.select(F.col("d").alias("date"))
-    renames = preisin.match_renames(per.select("ticker", "last_date", "last_close"), per.select("ticker", "first_date", "first_close"), calendar)
-    last = per.where("ticker like '%-7'")
-    bridge = last.select(F.regexp_replace("ticker", "-7$", "-6").alias("ticker"), F.concat(F.lit("INE"), "ticker").alias("isin"), "first_date")
-    return preisin.resolve(per.select("ticker", "last_date"), bridge, renames, calendar, "1996-12-30")
+    ends = [F.min("date").alias("first_date"), F.min_by("close", "date").alias("first_close"), F.max("date").alias("last_date"), F.max_by("close", "date").alias("last_close")]
+    observed = rows.where("n <= 130").groupBy("ticker").agg(*ends)
+    later = rows.where("n >= 130 and not (s % 6 = 0 and n < 150)").groupBy("ticker").agg(*ends[:2]).withColumn("isin", F.concat(F.lit("INE"), "ticker"))
+    return preisin.assignments(observed, later, _sessions(t)).select("ticker", "kind", "identity", "gap_sessions")
 
 
 def _isins(t: Tables) -> DataFrame:
