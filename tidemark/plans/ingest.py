@@ -15,8 +15,10 @@ from ..operators.checks import assert_empty
 from ..operators.hashing import bar_hash, index_hash
 from ..operators.roster import assert_flat, plan_links, validate_roster
 from ..schemas import REASONS, STATUSES, schema
-from ..sources.addresses import MOST_ERRORS, days_to_fetch, unpacked, walk_days
-from ..sources.archives import equity_bars
+from ..functions.aliases import with_code
+from ..sources.addresses import FIRST_EQUITY, FIRST_INDEX, MOST_ERRORS, days_to_fetch, index_file, looks_like_index_file, walk_days
+from ..sources.archives import equity_bars, index_levels, index_lines
+from ..sources.members import batch_files, lines
 from .commits import Commit, commit, read_folders, state
 from .storage import kept, session_days, write_bytes
 
@@ -227,22 +229,51 @@ def _append_as(df: DataFrame, c: Commit, table: str) -> int:
     return n
 
 
-def backfill(spark: SparkSession, root: str, source: str, start: date, end: date, fetch: Callable[[date], bytes | None], now: Callable[[], datetime], refetch: bool = False) -> list:
-    """Fetches, unpacks, parses, inserts and logs every day from start to end that the log does not have as settled. fetch(day) gives a zip file or a
+Fetch = Callable[[date], bytes | None]
+
+
+def backfill(spark: SparkSession, root: str, source: str, start: date, end: date, fetch: Fetch, now: Callable[[], datetime], refetch: bool = False, first: date = FIRST_EQUITY) -> list:
+    """Fetches, unpacks, parses, inserts and logs every day from start to end, not before the archive's first, that the log does not have as settled. fetch(day) gives a zip file or a
     CSV, or None where there is no file. Days done before an error stay logged, so that the walk can be taken up again."""
-    todo = [r["date"] for r in days_to_fetch(spark, read(spark, f"{root}/ingest_log", "ingest_log"), source, start, end, first=start, refetch=refetch).collect()]
-    done: list = []
 
     def store(day: date, body: bytes) -> int:
         path = f"{root}/incoming/{source}-{day:%Y%m%d}.csv"
-        write_bytes(spark, path, unpacked(body))
+        write_bytes(spark, path, body)
         bars = equity_bars(spark, path).drop("file")
         assert_empty(bars.where(F.col("date") != F.lit(day)).select("date", "ticker"), f"rows of another day than {day}")
         return insert_bars(spark, root, source, bars, f"{now():%Y-%m-%d %H:%M:%S}")
 
+    return _walk(spark, root, source, start, end, fetch, store, now, refetch, first)
+
+
+def index_backfill(spark: SparkSession, root: str, source: str, start: date, end: date, fetch: Fetch, now: Callable[[], datetime], refetch: bool = False, first: date = FIRST_INDEX) -> list:
+    """The same for index files. A page in place of a file counts as no file. Names that stand more than once in a session are left out of it, and the log's note
+    says so."""
+    notes: dict[date, str] = {}
+
+    def found(day: date) -> bytes | None:
+        body = fetch(day)
+        return body if body is not None and looks_like_index_file(body) else None
+
+    def store(day: date, body: bytes) -> int:
+        path = f"{root}/incoming/{source}-{index_file(day)}"
+        write_bytes(spark, path, body)
+        levels, twice = index_levels(index_lines(lines(batch_files(spark, path))))
+        names = twice.collect()  # the names of one session
+        notes[day] = "; ".join(f"{r['index_name']!r} stands {r['copies']} times; all copies left out" for r in names)
+        return insert_index_levels(spark, root, source, with_code(levels), f"{now():%Y-%m-%d %H:%M:%S}")
+
+    return _walk(spark, root, source, start, end, found, store, now, refetch, first, notes)
+
+
+def _walk(spark, root, source, start, end, fetch, store, now, refetch, first, notes=None) -> list:
+    todo = [r["date"] for r in days_to_fetch(spark, read(spark, f"{root}/ingest_log", "ingest_log"), source, start, end, first=first, refetch=refetch).collect()]
+    done: list = []
     try:
         for day in todo:
             done += walk_days([day], fetch, store, now)
+            if notes and done and done[-1].date == day and done[-1].status == "ok":
+                done[-1].note = notes.get(day, "")
             if len(done) >= MOST_ERRORS and all(f.status == "error" for f in done[-MOST_ERRORS:]):
                 raise RuntimeError(f"{MOST_ERRORS} errors in a row, the last on {day}: {done[-1].note}")
     finally:

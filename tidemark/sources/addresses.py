@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
@@ -26,17 +24,6 @@ def index_file(day: date) -> str:
     return f"ind_close_all_{day:%d%m%Y}.csv"
 
 
-def unpacked(body: bytes) -> bytes:
-    """The CSV of a session's archive: the one member of a zip file, or the bytes as they are."""
-    if not body.startswith(b"PK"):
-        return body
-    with zipfile.ZipFile(io.BytesIO(body)) as z:
-        names = [n for n in z.namelist() if n.lower().endswith(".csv")]
-        if len(names) != 1:
-            raise ValueError(f"one CSV expected, found {names}")
-        return z.read(names[0])
-
-
 def looks_like_index_file(body: bytes) -> bool:
     """Some servers answer a missing file with a page; a real one begins with its header."""
     return body.lstrip(b"\xef\xbb\xbf \r\n").startswith(b"Index Name,")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.checks import IntegrityError, assert_empty
+from .members import batch_files, lines
 
 SERIES = ("EQ", "BE")
 #: The columns each layout must have, and the dates it may write.
@@ -21,15 +24,6 @@ INDEX_DATES = ("dd-MM-yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "MM/dd/yyyy")
 DAILY_COLUMNS = ("Date", "Open", "High", "Low", "Close", "Volume")
 
 
-def layout_of(header: list[str]) -> str:
-    """The layout of a header, the newest first: the oldest one's columns are a part of its successor's."""
-    have = {h.strip() for h in header}
-    for name, (columns, _) in LAYOUTS.items():
-        if set(columns) <= have:
-            return name
-    raise IntegrityError(f"unknown header {header}")
-
-
 def number(col: Column, kind: str = "double") -> Column:
     """A number without thousands separators; null for an empty text or a dash."""
     text = F.trim(F.regexp_replace(col, ",", ""))
@@ -60,30 +54,48 @@ def read_csv(spark: SparkSession, paths: list[str] | str) -> list[DataFrame]:
     return out
 
 
-def parsed(raw: DataFrame, layout: str) -> DataFrame:
-    """Bars of text columns in one layout, series EQ and BE only, numbers and dates null where they cannot be read. Batches and streams both come here."""
-    columns, formats = LAYOUTS[layout]
-    col = lambda c: F.col(f"`{c}`")
-    isin = F.nullif(F.trim(col("ISIN")), F.lit("")) if "ISIN" in columns else F.lit(None).cast("string")
-    prices, volume, value = columns[-6:-2], columns[-2], columns[-1]
-    file = F.col("file") if "file" in raw.columns else F.lit(None).cast("string")
-    return raw.where(F.trim(col(columns[2])).isin(*SERIES)).select(
-        file.alias("file"), day(col(columns[0]), formats).alias("date"), F.trim(col(columns[1])).alias("ticker"), F.trim(col(columns[2])).alias("series"), isin.alias("isin"),
-        *[number(col(c)).alias(k) for c, k in zip(prices, ("open", "high", "low", "close"), strict=True)],
-        number(col(volume), "bigint").alias("volume"), number(col(value)).alias("turnover"),
-    )
+def plain_number(text: Column) -> Column:
+    """A number as an archive of bars writes it, without separators; null for anything else, NaN and infinities included."""
+    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
 
 
-def checked(rows: DataFrame, layout: str) -> None:
-    """Raises on an unreadable date, price or volume, a price that is no finite number, a blank ISIN in a layout that has it, and one ISIN (or
-    ticker, where there is none) twice on a day."""
-    bad = F.col("date").isNull() | F.col("volume").isNull()
-    for p in ("open", "high", "low", "close"):
-        bad = bad | F.col(p).isNull() | F.isnan(p) | (F.abs(F.col(p)) == float("inf"))
-    assert_empty(rows.where(bad), "malformed rows")
-    if "ISIN" in LAYOUTS[layout][0]:
-        assert_empty(rows.where("isin is null"), "rows without ISIN")
-    assert_empty(rows.groupBy("date", F.coalesce("isin", "ticker").alias("identity")).count().where("count > 1"), "one identity twice on a day")
+#: What a line gives, in the order of LAYOUTS with the ISIN fourth.
+_NUMBERS = ("open", "high", "low", "close", "volume", "turnover")
+
+
+def _places(columns: tuple[str, ...]) -> list[str]:
+    """The names of date, ticker, series, ISIN and the numbers in a layout; a name of no column where it has none."""
+    return [*columns[:3], "ISIN" if "ISIN" in columns else "", *columns[-6:]]
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """Bars of lines(), series EQ and BE only, each by the layout of its own file's header, with `wrong`: what is malformed in a line, null if nothing is."""
+    have = [F.when(F.size(F.array_except(F.array(*map(F.lit, columns)), "header")) == 0, F.lit(name)) for name, (columns, _) in LAYOUTS.items()]
+    rows = rows.withColumn("layout", F.coalesce(*have))  # the newest first: the oldest one's columns are a part of its successor's
+    names = F.coalesce(*[F.when(F.col("layout") == name, F.array(*map(F.lit, _places(columns)))) for name, (columns, _) in LAYOUTS.items()])
+    rows = rows.withColumn("_c", F.transform(names, lambda n: F.coalesce(F.try_element_at("cells", n), F.lit(""))))
+    dates = F.coalesce(*[F.when(F.col("layout") == name, day(F.get("_c", F.lit(0)), formats)) for name, (_, formats) in LAYOUTS.items()])
+    rows = rows.withColumns({"date": dates, "ticker": F.get("_c", F.lit(1)), "series": F.get("_c", F.lit(2)), "isin": F.nullif(F.get("_c", F.lit(3)), F.lit(""))})
+    said = F.arrays_zip(F.array(*map(F.lit, _NUMBERS)).alias("name"), F.slice("_c", 5, len(_NUMBERS)).alias("text"))
+    rows = rows.withColumns({"_v": F.transform(F.slice("_c", 5, len(_NUMBERS)), lambda x: plain_number(x)), "_said": said})
+    unread = F.get(F.filter(F.zip_with("_said", "_v", lambda x, v: F.when(v.isNull(), F.concat(x["name"], F.lit(" "), x["text"]))), lambda x: x.isNotNull()), F.lit(0))
+    volume = F.get("_v", F.lit(4))
+    uncounted = (volume < -float(1 << 63)) | (volume >= float(1 << 63))  # what 64 bits do not hold; fractions are cut off
+    with_isin = [name for name, (columns, _) in LAYOUTS.items() if "ISIN" in columns]
+    traded = F.coalesce(F.col("series").isin(*SERIES), F.lit(False))
+    line = F.coalesce(F.when(F.col("date").isNull(), "date"), unread, F.when(uncounted, F.concat(F.lit("volume "), F.get("_c", F.lit(8)))), F.when(F.col("isin").isNull() & F.col("layout").isin(*with_isin), "no ISIN"))
+    unknown = F.when(F.col("layout").isNull(), F.concat(F.lit("unknown header "), F.array_join("header", ",")))
+    rows = rows.withColumn("wrong", F.coalesce("error", unknown, F.when(traded, line))).where(F.col("wrong").isNotNull() | traded)
+    numbers = [F.get("_v", F.lit(i)).try_cast("bigint" if k == "volume" else "double").alias(k) for i, k in enumerate(_NUMBERS)]
+    return rows.select("file", "line", "layout", "date", "ticker", "series", "isin", *numbers, "wrong")
+
+
+def checked(rows: DataFrame) -> None:
+    """Raises, with file and line, on a file that cannot be opened or has an unknown header, on an unreadable date, price, volume or turnover, on a blank ISIN in a layout that has
+    it, and on one ISIN (or ticker, where there is none) twice on a day of a file."""
+    assert_empty(rows.where("wrong is not null").select("file", "line", "wrong"), "malformed rows")
+    identity = F.coalesce("isin", "ticker").alias("identity")
+    assert_empty(rows.groupBy("file", "date", identity).agg(F.count(F.lit(1)).alias("k"), F.min("line").alias("line")).where("k > 1"), "one identity twice on a day")
 
 
 def typed(rows: DataFrame) -> DataFrame:
@@ -92,17 +104,12 @@ def typed(rows: DataFrame) -> DataFrame:
 
 
 def equity_bars(spark: SparkSession, paths: list[str] | str, check: bool = True) -> DataFrame:
-    """Bars of equity archive files, each read by its own header; see checked() for what is an error."""
-    out = None
-    for raw in read_csv(spark, paths):
-        name = layout_of(raw.columns)
-        rows = parsed(raw, name)
-        if check:
-            checked(rows, name)
-        out = typed(rows) if out is None else out.unionByName(typed(rows))
-    if out is None:
-        raise IntegrityError("no files")
-    return out
+    """Bars of equity archive files, zipped or not, each read by its own header; see checked() for what is an error. Without check, lines that cannot be read are
+    left out."""
+    rows = parsed(lines(batch_files(spark, paths)))
+    if check:
+        checked(rows)
+    return typed(rows.where("wrong is null"))
 
 
 def daily_bars(spark: SparkSession, folder: str, symbol_map: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -136,20 +143,38 @@ def symbol_map(spark: SparkSession, path: str) -> dict[str, str]:
     return {r["k"]: r["v"] for r in rows}
 
 
+def index_lines(rows: DataFrame) -> DataFrame:
+    """Index levels of lines(): file, line, session (from the file's name), index_name, date, numbers, and `wrong`. A dash is a null; a close is required. The date may be written in
+    four ways; one of them must give the session of the file."""
+    kinds = ("open", "high", "low", "close", "points_change", "pct_change", "volume", "turnover", "pe", "pb", "div_yield")
+    cells = F.transform(F.array(*map(F.lit, INDEX_COLUMNS)), lambda n: F.coalesce(F.try_element_at("cells", n), F.lit("")))
+    session = F.try_to_timestamp(F.regexp_extract("file", "([0-9]{8})[^0-9]*$", 1), F.lit("ddMMyyyy")).cast("date")
+    rows = rows.withColumns({"_c": cells, "session": session})
+    rows = rows.withColumns({"index_name": F.get("_c", F.lit(0)), "_v": F.transform(F.slice("_c", 3, len(kinds)), lambda x: number(x))})
+    told = F.zip_with(F.slice("_c", 3, len(kinds)), "_v", lambda text, v: F.when(v.isNull() & ~text.isin("", "-"), F.concat(F.lit("no number: "), text)))
+    unread = F.get(F.filter(told, lambda x: x.isNotNull()), F.lit(0))
+    asked = F.coalesce(*[F.when(F.try_to_timestamp(F.get("_c", F.lit(1)), F.lit(f)).cast("date") == F.col("session"), F.lit(True)) for f in INDEX_DATES], F.lit(False))
+    line = F.coalesce(
+        F.when(F.col("session").isNull(), "no session in the file's name"), F.when(F.size("cells") != len(INDEX_COLUMNS), "a cell is missing"),
+        F.when(~asked, "a row of another day"), unread, F.when(F.get("_v", F.lit(3)).isNull(), "no close"),
+    )
+    unknown = F.when(F.col("header") != F.array(*map(F.lit, INDEX_COLUMNS)), F.concat(F.lit("unexpected header "), F.array_join("header", ",")))
+    named = F.col("index_name") != ""
+    rows = rows.withColumn("wrong", F.coalesce("error", unknown, F.when(named, line))).where(F.col("wrong").isNotNull() | named)
+    return rows.select("file", "line", "index_name", F.col("session").alias("date"), *[F.get("_v", F.lit(i)).alias(k) for i, k in enumerate(kinds)], "wrong")
+
+
+def index_levels(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Levels of index_lines(), and the anomalies (date, index_name, copies): names that stand more than once in a session, of which no copy is taken, as nothing
+    says which is right. What is malformed raises, with file and line."""
+    twice = rows.where("index_name <> ''").groupBy("date", "index_name").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    single = rows.join(twice, ["date", "index_name"], "left_anti")
+    assert_empty(single.where("wrong is not null").select("file", "line", "index_name", "wrong"), "malformed index rows")
+    return single.drop("wrong", "line"), twice.orderBy("date", "index_name")
+
+
 def index_rows(spark: SparkSession, path: str, session: str) -> tuple[DataFrame, DataFrame]:
-    """Levels of an index file of one session, and the names dropped because they stand in it more than once.
-
-    The date may be written in four ways; one of them must give the session asked for. A dash is a null; a close is required.
-    """
-    raw = read_csv(spark, path)[0]
-    if tuple(c for c in raw.columns if c != "file") != INDEX_COLUMNS:
-        raise IntegrityError(f"unexpected header {raw.columns}")
-    text = F.trim(F.col("`Index Date`"))
-    ways = F.array(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in INDEX_DATES])
-    assert_empty(raw.where(~F.coalesce(F.exists(ways, lambda d: d == F.lit(session).cast("date")), F.lit(False))).select("Index Name", "Index Date"), "rows of another day")
-    named = raw.withColumn("index_name", F.trim(F.col("`Index Name`")))
-    twice = named.groupBy("index_name").count().where("count > 1").select("index_name")
-    kinds = dict(zip(INDEX_COLUMNS[2:], ("open", "high", "low", "close", "points_change", "pct_change", "volume", "turnover", "pe", "pb", "div_yield"), strict=True))
-    rows = named.join(twice, "index_name", "left_anti").select("index_name", F.lit(session).cast("date").alias("date"), *[number(F.col(f"`{c}`")).alias(k) for c, k in kinds.items()])
-    assert_empty(rows.where("close is null").select("index_name"), "index without a close")
-    return rows, twice.orderBy("index_name")
+    """Levels of an index file of one session, and the names dropped because they stand in it more than once."""
+    rows = index_lines(lines(batch_files(spark, path)).withColumn("file", F.concat("file", F.lit(f"@{date.fromisoformat(session):%d%m%Y}"))))
+    levels, twice = index_levels(rows)
+    return levels.drop("file"), twice.select("index_name")
