@@ -105,9 +105,11 @@ def day_charges(trades: DataFrame, rates=RATES) -> DataFrame:
     return out.select("account", "broker", "date", "trades", "scrips_sold", round2("_t").alias("charges"), "dp", round2(F.col("_t") + F.col("dp")).alias("total"))
 
 
-def round_trips(spark: SparkSession, on: str = NOTE, product: str = "equity", slippage_bps: float = 0.0, lowest: int = 100, highest: int = 2_000_000, step: int = 100, brokers=BROKERS) -> DataFrame:
-    """(broker, notional, cost, share): what buying and selling one order of each size costs, with slippage on both ways."""
-    sizes = spark.range(lowest, highest + 1, step).select(F.col("id").alias("notional"))
+def round_trips(spark: SparkSession, on: str = NOTE, product: str = "equity", slippage_bps: float = 0.0, lowest: int = 100, highest: int = 2_000_000, step: int = 100, brokers=BROKERS, sizes: DataFrame | None = None) -> DataFrame:
+    """(broker, notional, cost, share): what buying and selling one order of each size costs, with slippage on both ways. sizes (notional): the sizes to look at; by
+    default a range of them."""
+    if sizes is None:
+        sizes = spark.range(lowest, highest + 1, step).select(F.col("id").alias("notional"))
     both = sizes.crossJoin(spark.createDataFrame([(b, s) for b in brokers for s in ("buy", "sell")], "broker string, side string"))
     asked = both.select(F.concat_ws("|", "broker", "side", F.col("notional").cast("string")).alias("trade_id"), "broker", F.lit(product).alias("product"), "side", F.lit(on).cast("date").alias("date"), F.lit(1).alias("qty"), F.col("notional").cast("double").alias("price"), "notional")
     priced = trade_charges(asked).groupBy("broker", "notional").agg(F.sum("total").alias("_c"))

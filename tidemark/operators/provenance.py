@@ -7,11 +7,11 @@ import json
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import KEYS
-from .bitemporal import Pin, latest_version
+from .bitemporal import Pin, believed, latest_version
 
 
 def canonical_json(value) -> str:
@@ -56,6 +56,56 @@ def group_digests(table: DataFrame, name: str, group: str, content: list[str], p
     return per.select(F.lit(name).alias("table"), "part", "rows", "digest")
 
 
+LANES = 4
+_FULL = 1 << 60
+
+
+def lanes_of(digest: str) -> list[Column]:
+    """A sha256 in hex as LANES numbers of 60 bits."""
+    return [F.conv(F.substring(digest, 15 * i + 1, 15), 16, 10).cast("decimal(38,0)").alias(f"lane{i}") for i in range(LANES)]
+
+
+def lane_sums(rows: DataFrame, sign: Column | None = None) -> DataFrame:
+    """(source, date, rows, lane0, ...): of each part, the number of rows and the sums of their content hashes' lanes; with a sign, rows that leave count
+    against those that come. Sums need no order, so a part is never gathered in one place."""
+    times = F.lit(1) if sign is None else sign
+    signed = rows.select("source", "date", times.cast("bigint").alias("_s"), *lanes_of("content_hash"))
+    return signed.groupBy("source", "date").agg(F.sum("_s").alias("rows"), *[F.sum(F.col(f"lane{i}") * F.col("_s")).cast("decimal(38,0)").alias(f"lane{i}") for i in range(LANES)])
+
+
+def lane_digest(sums: DataFrame) -> DataFrame:
+    """(source, date, rows, digest): each part's lanes, modulo 2**60, in hex. Parts without rows are left out."""
+    full = F.lit(_FULL).cast("decimal(38,0)")
+    one = lambda i: F.lpad(F.lower(F.hex(F.pmod(F.col(f"lane{i}"), full).cast("bigint"))), 15, "0")
+    return sums.where("rows <> 0").select("source", "date", "rows", F.concat(*[one(i) for i in range(LANES)]).alias("digest"))
+
+
+def lane_parts(bars: DataFrame, pin: Pin) -> DataFrame:
+    """The digest of each source and day, from all bars that are believed at the pin."""
+    return lane_digest(lane_sums(latest_version(bars, list(KEYS["bars"]), pin)))
+
+
+def kept_parts(digests: DataFrame, pin: Pin) -> DataFrame:
+    """The same from the changes that commits wrote down: a few numbers for each part that a commit touched, so that no bar is read."""
+    rows = believed(digests, pin).groupBy("source", "date")
+    return lane_digest(rows.agg(F.sum("rows").alias("rows"), *[F.sum(f"lane{i}").cast("decimal(38,0)").alias(f"lane{i}") for i in range(LANES)]))
+
+
+def year_digests(parts: DataFrame) -> DataFrame:
+    """(source, year, rows, digest): the level above the days, over at most 366 of them in order. Two stores whose years agree agree in their days."""
+    line = F.concat_ws("|", F.col("date").cast("string"), F.col("rows").cast("string"), "digest")
+    per = parts.groupBy("source", F.year("date").alias("year")).agg(F.sum("rows").alias("rows"), F.array_sort(F.collect_list(line)).alias("_l"))
+    return per.select("source", "year", "rows", F.sha2(F.array_join("_l", ";"), 256).alias("digest"))
+
+
+def differing_parts(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(source, date): days whose digests differ between two stores, or that only one has; only days of years that differ are compared."""
+    years = [year_digests(x).select("source", "year", "digest") for x in (one, other)]
+    apart = years[0].exceptAll(years[1]).union(years[1].exceptAll(years[0])).select("source", "year").distinct()
+    days = [x.withColumn("year", F.year("date")).join(apart, ["source", "year"], "left_semi").select("source", "date", "digest") for x in (one, other)]
+    return days[0].exceptAll(days[1]).union(days[1].exceptAll(days[0])).select("source", "date").distinct()
+
+
 def table_digests(parts: DataFrame) -> DataFrame:
     """(table, rows, digest): the sha256 over a table's parts in order."""
     listed = F.array_sort(F.collect_list(F.concat_ws("|", "part", F.col("rows").cast("string"), "digest")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,41 +43,54 @@ def summary(curve: DataFrame, costs: DataFrame, benchmark: DataFrame, capital: f
 
 
 def by_year(curve: DataFrame, benchmark: DataFrame, capital: float) -> DataFrame:
-    """Per run and year: the last equity, its return on the year before (the first year on the capital) and the benchmark's."""
+    """Per run and year: the last equity, its return on the year before (the first year on the capital) and the benchmark's; null on a value of 0."""
     last = curve.groupBy("run", F.year("date").alias("year")).agg(F.max_by("equity", "date").alias("equity"))
     before = F.lag("equity").over(Window.partitionBy("run").orderBy("year"))
     bench = benchmark.groupBy(F.year("date").alias("year")).agg(F.max_by("close", "date").alias("_level"), F.min_by("close", "date").alias("_first"))
     bench = bench.withColumn("_before", F.coalesce(F.lag("_level").over(Window.orderBy("year")), F.col("_first")))  # one row per year
     rows = last.withColumn("_prev", F.coalesce(before, F.lit(capital))).join(bench, "year", "left")
-    return rows.select("run", "year", "equity", (F.col("equity") / F.col("_prev") - 1).alias("return"), (F.col("_level") / F.col("_before") - 1).alias("benchmark"))
+    return rows.select("run", "year", "equity", (F.try_divide("equity", "_prev") - 1).alias("return"), (F.try_divide("_level", "_before") - 1).alias("benchmark"))
 
 
 def worst_days(curve: DataFrame, k: int) -> DataFrame:
-    """The k sessions of each run with the largest fall since the session before."""
-    change = F.col("equity") / F.lag("equity").over(Window.partitionBy("run").orderBy("date")) - 1
+    """The k sessions of each run with the largest fall since the session before; a session after an equity of 0 has none."""
+    change = F.try_divide("equity", F.lag("equity").over(Window.partitionBy("run").orderBy("date"))) - 1
     rows = curve.withColumn("change", change).where("change is not null")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy("change", "date"))).where(F.col("place") <= k).select("run", "place", "date", "change")
 
 
+TRIPS = "run string, entity_id bigint, seq int, exit date, basis double, proceeds double"
+
+
+def _fold(batches):
+    """Sales of fills that come ordered by run, entity and seq. What is held goes on from batch to batch, so no entity's fills need fit in one row or batch."""
+    at, qty, basis = None, 0.0, 0.0
+    for batch in batches:
+        out: list[list] = [[] for _ in range(6)]
+        for run, entity, seq, day, side, n, value, costs in zip(*(batch.column(c).to_pylist() for c in ("run", "entity_id", "seq", "date", "side", "qty", "value", "costs")), strict=True):
+            if at != (run, entity):
+                at, qty, basis = (run, entity), 0.0, 0.0
+            if side == "buy":
+                qty, basis = qty + n, basis + value + costs
+            elif qty >= n and qty:
+                sold = basis * n / qty
+                qty, basis = qty - n, basis - sold
+                if sold > 0:
+                    for column, x in zip(out, (run, entity, seq, day, sold, value - costs), strict=True):
+                        column.append(x)
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.date32(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split(" ")[0] for x in TRIPS.split(", ")])
+
+
 def round_trips(fills: DataFrame) -> DataFrame:
     """Sales (run, entity_id, seq, date, side, qty, value, costs) with their basis at average cost, proceeds and return.
 
-    A fold over each entity's fills in order; a sale of more than is held is skipped, as is one without basis.
+    A fold over each entity's fills in order of seq; a sale of more than is held is skipped, as is one without basis. Fills are sorted within partitions and pass through as a
+    stream: the state is two numbers, whatever the number of an entity's fills.
     """
-    one = F.struct("seq", "date", "side", F.col("qty").cast("double").alias("qty"), F.col("value").alias("value"), F.col("costs").alias("costs"))
-    listed = fills.groupBy("run", "entity_id").agg(F.array_sort(F.collect_list(one)).alias("_f"))
-    row = "array<struct<seq:int,date:date,basis:double,proceeds:double>>"
-    start = F.struct(F.lit(0.0).alias("qty"), F.lit(0.0).alias("basis"), F.expr(f"cast(array() as {row})").alias("out"))
-
-    def step(a: Column, f: Column) -> Column:
-        out_basis = F.when(a["qty"] > 0, a["basis"] * f["qty"] / F.when(a["qty"] > 0, a["qty"])).otherwise(0.0)
-        sold = F.array(F.struct(f["seq"].alias("seq"), f["date"].alias("date"), out_basis.alias("basis"), (f["value"] - f["costs"]).alias("proceeds")))
-        bought = F.struct((a["qty"] + f["qty"]).alias("qty"), (a["basis"] + f["value"] + f["costs"]).alias("basis"), a["out"].alias("out"))
-        left = F.struct((a["qty"] - f["qty"]).alias("qty"), (a["basis"] - out_basis).alias("basis"), F.concat(a["out"], sold).alias("out"))
-        return F.when(f["side"] == "buy", bought).when((a["qty"] < f["qty"]) | (a["qty"] == 0), a).otherwise(left)
-
-    folded = listed.select("run", "entity_id", F.explode(F.aggregate("_f", start, step).out).alias("t"))
-    return folded.where("t.basis > 0").select("run", "entity_id", F.col("t.seq").alias("seq"), F.col("t.date").alias("exit"), F.col("t.basis").alias("basis"), F.col("t.proceeds").alias("proceeds"), (F.col("t.proceeds") / F.col("t.basis") - 1).alias("return"))
+    rows = fills.select("run", F.col("entity_id").cast("bigint"), F.col("seq").cast("int"), "date", "side", F.col("qty").cast("double"), F.col("value").cast("double"), F.col("costs").cast("double"))
+    folded = rows.repartition("run", "entity_id").sortWithinPartitions("run", "entity_id", "seq", "side").mapInArrow(_fold, TRIPS)
+    return folded.withColumn("return", F.col("proceeds") / F.col("basis") - 1)
 
 
 def trade_stats(trips: DataFrame) -> DataFrame:

@@ -180,7 +180,10 @@ def oracle_sql() -> dict[str, str]:
         "day_charges": f"WITH {_rates()}, {TRADES}, {charges('trades')}, dsum AS (SELECT account, broker, date, count(*) AS trades, sum(total) AS t, count(DISTINCT CASE WHEN side = 'sell' THEN scrip END) AS scrips_sold FROM priced_trades GROUP BY 1, 2, 3) SELECT account, broker, date::VARCHAR AS date, trades, scrips_sold, {r2('t')} AS charges, {r2("scrips_sold * CASE broker WHEN 'zerodha' THEN 15.34::DOUBLE ELSE 23.6::DOUBLE END")} AS dp FROM dsum",
         "rate_in_force": f"WITH {_rates()}, {TRADES}, q AS (SELECT DISTINCT broker, product, side, DATE '2026-09-07' + (n * 400 - 8000)::INT AS date, broker || product || side || n::VARCHAR AS trade_id FROM trades, range(0, 21) r(n)) SELECT trade_id, component, since::VARCHAR AS since, basis, value, verified FROM {rates_for('q', COMPONENTS)}",
     }
-    curve = f"WITH {_rates()}, sz AS (SELECT b.broker, s.side, n AS notional FROM range(100, 2000001, 100) r(n), (VALUES ('zerodha'), ('angelone')) b(broker), (VALUES ('buy'), ('sell')) s(side)), trades AS (SELECT broker || side || notional::VARCHAR AS trade_id, broker, 'equity' AS product, side, DATE '2026-09-07' AS date, notional, notional::DOUBLE AS price, 1 AS qty FROM sz), {charges('trades')}, cv AS (SELECT broker, notional, {r2("sum(total) + max(CASE broker WHEN 'zerodha' THEN 15.34::DOUBLE ELSE 23.6::DOUBLE END)")} AS cost FROM priced_trades GROUP BY 1, 2)"
+    sized = "sz AS (SELECT DISTINCT b.broker, s.side, (ceil(qty * price / 100) * 100)::BIGINT AS notional FROM trades, (VALUES ('zerodha'), ('angelone')) b(broker), (VALUES ('buy'), ('sell')) s(side))"
+    asked = "asked AS (SELECT broker || side || notional::VARCHAR AS trade_id, broker, 'equity' AS product, side, DATE '2026-09-07' AS date, notional, notional::DOUBLE AS price, 1 AS qty FROM sz)"
+    dp = "max(CASE broker WHEN 'zerodha' THEN 15.34::DOUBLE ELSE 23.6::DOUBLE END)"
+    curve = f"WITH {_rates()}, {TRADES}, {sized}, {asked}, {charges('asked')}, cv AS (SELECT broker, notional, {r2(f'sum(total) + {dp}')} AS cost FROM priced_trades GROUP BY 1, 2)"
     out["round_trip_curve"] = f"{curve} SELECT broker, notional, cost, {f6('cost / notional')} AS share FROM cv"
     out["min_notional_by_broker"] = f"{curve} SELECT broker, min(CASE WHEN cost / notional <= 0.005 THEN notional END) AS min_notional FROM cv GROUP BY 1"
     out |= _identity() | _signals() | _reports()
@@ -226,7 +229,36 @@ SELECT predecessor, successor, shared_days, sessions_between, unsettled_between,
 
 _TANGLED = "tangled AS (SELECT 2 * s AS symbol_id, 2 * s + 2 AS entity_id FROM (SELECT DISTINCT symbol_id // 2 AS s FROM symbols) UNION ALL SELECT symbol_id, entity_id FROM symbol_links WHERE ingested_at <= TIMESTAMP '2003-01-01')"
 _TMAP = f"tmap AS (SELECT s.symbol_id, coalesce(t.entity_id, s.symbol_id) AS entity_id FROM (SELECT DISTINCT symbol_id FROM symbols WHERE ingested_at <= TIMESTAMP '{PIN}') s LEFT JOIN tangled t USING (symbol_id))"
-_RUNS = "SELECT 'run-' || i AS run_id, sha256('{\"top\":' || (i % 3) || '}') AS config_hash, make_date(2020 + i % 5, 6, 30)::VARCHAR AS period_to, '2026-01-' || lpad((i + 1)::VARCHAR, 2, '0') || ' 12:00:00' AS finished_at FROM range(20) t(i)"
+_RUNS = (
+    "SELECT concat_ws('-', 'run', k, y) AS run_id, sha256('{\"top\":' || (k % 3) || '}') AS config_hash, d::VARCHAR AS period_to, (d + (k + 1)::INT)::TIMESTAMP::VARCHAR AS finished_at"
+    " FROM (SELECT o_custkey % 10 AS k, year(o_orderdate) AS y, max(o_orderdate::DATE) AS d FROM orders GROUP BY 1, 2)"
+)
+
+
+def _ratio_rows() -> str:
+    v = latest("bars", "symbol_id, date", PIN, "source = 'nse-bhavcopy'")
+    return f"SELECT DISTINCT floor(close / before * 1e4 + 0.5) / 1e4 AS ratio FROM (SELECT close::DOUBLE AS close, lag(close::DOUBLE) OVER (PARTITION BY symbol_id ORDER BY date) AS before FROM ({v})) WHERE before > 0"
+
+
+def _trips() -> str:
+    """Fills folded in order by recursion: quantity and basis held, and what each sale took out."""
+    can = "f.qty >= o.qty AND f.qty <> 0"
+    return f"""WITH RECURSIVE {_rates()}, {TRADES}, {charges('trades')},
+fills AS (SELECT broker AS run, scrip AS entity_id, date, side, sum(qty)::DOUBLE AS qty, sum(turnover) AS value, sum(total) AS costs, ((date - DATE '1990-01-01') * 2 + (side = 'sell')::INT)::INT AS seq FROM priced_trades GROUP BY 1, 2, 3, 4),
+ord AS (SELECT *, row_number() OVER (PARTITION BY run, entity_id ORDER BY seq, side) AS k FROM fills),
+fold(run, entity_id, k, qty, basis, seq, exit, sold, proceeds) AS (
+  SELECT run, entity_id, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, NULL::INT, NULL::DATE, NULL::DOUBLE, NULL::DOUBLE FROM (SELECT DISTINCT run, entity_id FROM ord)
+  UNION ALL SELECT f.run, f.entity_id, o.k, CASE WHEN o.side = 'buy' THEN f.qty + o.qty WHEN {can} THEN f.qty - o.qty ELSE f.qty END,
+    CASE WHEN o.side = 'buy' THEN f.basis + o.value + o.costs WHEN {can} THEN f.basis - f.basis * o.qty / f.qty ELSE f.basis END, o.seq, o.date,
+    CASE WHEN o.side = 'sell' AND {can} THEN f.basis * o.qty / f.qty END, o.value - o.costs
+  FROM fold f JOIN ord o ON o.run = f.run AND o.entity_id = f.entity_id AND o.k = f.k + 1),
+trips AS (SELECT run, entity_id, seq, exit, sold AS basis, proceeds, proceeds / sold - 1 AS ret FROM fold WHERE sold > 0)"""
+
+
+def _lane_parts() -> str:
+    line = "concat_ws('|', symbol_id::VARCHAR, date::VARCHAR, series, open::VARCHAR, high::VARCHAR, low::VARCHAR, close::VARCHAR, volume::VARCHAR, coalesce(turnover::VARCHAR, '-'), '-')"
+    lane = " || ".join(f"lpad(lower(to_hex((sum(('0x' || substr(h, {15 * i + 1}, 15))::BIGINT::HUGEINT) % 1152921504606846976)::BIGINT)), 15, '0')" for i in range(4))
+    return f"%lh AS (SELECT source, date, sha256({line}) AS h FROM ({latest('bars', 'source, symbol_id, date', PIN)})), lp AS (SELECT source, date, count(*) AS rows, {lane} AS digest FROM lh GROUP BY 1, 2)"
 _ISINS = "isins AS (SELECT DISTINCT isin FROM symbols UNION ALL SELECT DISTINCT left(isin, 11) || ((substr(isin, 12, 1)::INT + 1) % 10)::VARCHAR FROM symbols)"
 _CHECK = """digs AS (SELECT isin, list_reverse(list_transform(string_split(array_to_string(list_transform(string_split(isin, ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN (ascii(c) - 55)::VARCHAR ELSE c END), ''), ''), lambda d: d::INT)) AS r FROM isins)"""
 
@@ -255,14 +287,20 @@ rk AS (SELECT ob.ticker, CASE WHEN br.isin IS NOT NULL THEN CASE WHEN br.fn - ob
         "invariant_issuer": staged(f"% {_TANGLED}, {_TMAP} SELECT entity_id, string_agg(DISTINCT left(isin, 9), ', ' ORDER BY left(isin, 9)) AS issuers FROM tmap JOIN ({latest('symbols', 'symbol_id', PIN)}) USING (symbol_id) WHERE isin LIKE 'INE%' GROUP BY 1 HAVING count(DISTINCT left(isin, 9)) > 1"),
         "isin_check_digit": staged(f"% {_ISINS}, {_CHECK} SELECT isin, regexp_full_match(isin, '[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]') AS well_formed, list_sum(list_transform(r, lambda d, i: CASE WHEN i % 2 = 1 THEN d WHEN d >= 5 THEN 2 * d - 9 ELSE 2 * d END)) % 10 = 0 AS check_ok FROM digs"),
         "issuer_prefix_serial": staged(f"% {_ISINS} SELECT isin, left(isin, 9) AS issuer, substr(isin, 10, 2)::INT AS serial FROM isins"),
-        "ratio_band": "WITH r AS (SELECT n / 200.0::DOUBLE AS ratio FROM range(1, 4001) x(n)), b(place, name, v) AS (VALUES (0, '1/1', 1.0::DOUBLE), (1, '1/2', 0.5), (2, '2/5', 0.4), (3, '1/4', 0.25), (4, '1/5', 0.2), (5, '1/10', 0.1), (6, '1/20', 0.05), (7, '1/50', 0.02), (8, '1/100', 0.01)) SELECT ratio, (SELECT name FROM b WHERE ratio >= v * (1 - 0.25::DOUBLE) AND ratio <= v * (1 + 0.25::DOUBLE) ORDER BY abs(ratio - v) / v, place LIMIT 1) AS band FROM r",
-        "simple_fraction": "WITH r AS (SELECT n / 200.0::DOUBLE AS ratio FROM range(1, 4001) x(n)), f AS (SELECT n::INT AS num, d::INT AS den FROM range(1, 21) a(n), range(1, 11) b(d) WHERE n <> d), m AS (SELECT ratio, num, den FROM r JOIN f ON abs(ratio - 1) >= 0.09::DOUBLE AND abs(ratio / (num::DOUBLE / den) - 1) <= 0.01::DOUBLE QUALIFY row_number() OVER (PARTITION BY ratio ORDER BY den, num) = 1) SELECT r.ratio, num, den FROM r LEFT JOIN m USING (ratio)",
+        "ratio_band": staged(f"%r AS ({_ratio_rows()}), b(place, name, v) AS (VALUES (0, '1/1', 1.0::DOUBLE), (1, '1/2', 0.5), (2, '2/5', 0.4), (3, '1/4', 0.25), (4, '1/5', 0.2), (5, '1/10', 0.1), (6, '1/20', 0.05), (7, '1/50', 0.02), (8, '1/100', 0.01)) SELECT ratio, (SELECT name FROM b WHERE ratio >= v * (1 - 0.25::DOUBLE) AND ratio <= v * (1 + 0.25::DOUBLE) ORDER BY abs(ratio - v) / v, place LIMIT 1) AS band FROM r"),
+        "simple_fraction": staged(f"%r AS ({_ratio_rows()}), f AS (SELECT n::INT AS num, d::INT AS den FROM range(1, 21) a(n), range(1, 11) b(d) WHERE n <> d), m AS (SELECT ratio, num, den FROM r JOIN f ON abs(ratio - 1) >= 0.09::DOUBLE AND abs(ratio / (num::DOUBLE / den) - 1) <= 0.01::DOUBLE QUALIFY row_number() OVER (PARTITION BY ratio ORDER BY den, num) = 1) SELECT r.ratio, num, den FROM r LEFT JOIN m USING (ratio)"),
         "slug_codes": staged(f"%nm AS (SELECT index_name, date FROM index_levels UNION ALL SELECT CASE WHEN day(date) = 1 THEN 'CNX  nifty' ELSE 'S&P CNX Nifty' END, date FROM index_levels) SELECT index_name, coalesce(code, nullif(regexp_replace(upper(index_name), '[^A-Z0-9]', '', 'g'), ''), 'UNKNOWN') AS index_code, count(*) AS days FROM nm LEFT JOIN {alias} ON plain = upper(regexp_replace(trim(index_name), '\\s+', ' ', 'g')) GROUP BY 1, 2"),
         "month_windows": staged("SELECT d::VARCHAR AS date, (date_trunc('month', d)::DATE - INTERVAL 1 MONTH + to_days(day(d)::INT - 1))::DATE::VARCHAR AS back_1, (date_trunc('month', d)::DATE - INTERVAL 12 MONTH + to_days(day(d)::INT - 1))::DATE::VARCHAR AS back_12 FROM cal"),
         "pre_isin_bridge": staged(f"SELECT ticker, isin, fd::VARCHAR AS first_date FROM (SELECT DISTINCT symbol_id, ticker, isin FROM symbols WHERE ingested_at <= TIMESTAMP '{PIN}') JOIN (SELECT symbol_id, min(date) AS fd FROM ({v}) GROUP BY 1) USING (symbol_id) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY fd, symbol_id) = 1"),
         "pre_isin_resolution": staged(f"% {early} SELECT ticker, kind, CASE kind WHEN 'bridged' THEN isin WHEN 'renamed' THEN new ELSE 'X-NSE-' || upper(trim(ticker)) END AS identity, gap_sessions FROM rk"),
+        "snapshot_lanes": staged(f"{_lane_parts()} SELECT source, date::VARCHAR AS date, rows, digest FROM lp"),
+        "snapshot_years": staged(
+            f"{_lane_parts()} SELECT source, year(date)::INT AS year, sum(rows)::BIGINT AS rows, sha256(string_agg(date::VARCHAR || '|' || rows || '|' || digest, ';' ORDER BY date::VARCHAR || '|' || rows || '|' || digest)) AS digest FROM lp GROUP BY 1, 2"
+        ),
+        "round_trips": f"{_trips()} SELECT run, entity_id, seq, exit::VARCHAR AS exit, {f6('basis')} AS basis, {f6('proceeds')} AS proceeds, {f6('ret')} AS \"return\" FROM trips",
+        "trade_stats": f"{_trips()} SELECT run, count(*) AS trades, {f6('avg(ret)')} AS mean, {f6('coalesce(stddev_samp(ret), 0)')} AS deviation, {f6('avg((ret > 0)::INT::DOUBLE)')} AS win_rate FROM trips GROUP BY 1",
         "prior_runs": f"SELECT * FROM ({_RUNS}) WHERE config_hash = sha256('{{\"top\":1}}')",
-        "holdout_runs": f"SELECT * FROM ({_RUNS}) WHERE period_to >= '2023-01-01'",
+        "holdout_runs": f"SELECT * FROM ({_RUNS}) WHERE period_to >= '1997-01-01'",
         "ingest_noop_rerun": staged(f"SELECT run, CASE run WHEN 1 THEN n ELSE 0 END AS rows_added FROM (SELECT count(*) AS n FROM ({v})), (VALUES (1), (2)) r(run)"),
         "close_on_day": staged(f"SELECT ticker, arg_min(close::DOUBLE, symbol_id) AS close FROM ({v}) JOIN (SELECT symbol_id, ticker FROM ({latest('symbols', 'symbol_id', PIN)})) USING (symbol_id) WHERE date = DATE '{AS_OF}' GROUP BY 1"),
     }

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..operators.bitemporal import EVER, latest_version
 from ..operators.checks import assert_empty
 from ..operators.hashing import bar_hash, index_hash
+from ..operators.provenance import lane_sums
 from ..operators.roster import assert_flat, plan_links, validate_roster
 from ..schemas import REASONS, STATUSES, schema
 from ..functions.aliases import with_code
@@ -106,12 +107,16 @@ def insert_bars(spark: SparkSession, root: str, source: str, batch: DataFrame, a
         names = [f.name for f in schema("bars").fields]
         moment = F.lit(at).cast("timestamp")
         found = rows.join(now, key, "left").where(~F.col("content_hash").eqNullSafe(F.col("_h"))).withColumns({"ingested_at": moment, "superseded_at": F.lit(None).cast("timestamp")})
-        found = found.select(*names, "_since").persist()
+        found = found.select(*names, "_since", "_h").persist()
         try:
             assert_empty(found.where(F.col("_since") >= moment).select(*key), "a batch that is older than what it changes")
             n, closes = found.agg(F.count(F.lit(1)), F.count("_since")).first()
             if n:
                 c.append("bars", found.select(*names))
+                # What the parts' digests change by: new contents come, closed ones leave.
+                moved = F.explode(F.array(F.struct("content_hash", F.lit(1).alias("sign")), F.struct(F.col("_h").alias("content_hash"), F.lit(-1).alias("sign"))))
+                change = found.select("source", "date", moved.alias("_m")).select("source", "date", "_m.*").where("content_hash is not null")
+                c.append("digests", lane_sums(change, F.col("sign")).withColumn("ingested_at", moment))
                 days = session_days(found).join(c.read("sessions").where(F.col("source") == source).select("source", "date"), ["source", "date"], "left_anti")
                 c.append("sessions", days)
             if closes:

@@ -151,8 +151,17 @@ def _isins(t: Tables) -> DataFrame:
     return good.unionByName(good.select(F.concat(F.substring("isin", 1, 11), ((F.substring("isin", 12, 1).cast("int") + 1) % 10).cast("string")).alias("isin")))
 
 
-def _ratios(spark: SparkSession) -> DataFrame:
-    return spark.range(1, 4001).select((F.col("id") / 200.0).cast("double").alias("ratio"))
+def _ratios(t: Tables) -> DataFrame:
+    """How many times its last close each close is, to four places."""
+    before = F.lag("close").over(Window.partitionBy("symbol_id").orderBy("date"))
+    rows = bitemporal.bars_at(t.bars, NSE, PIN).select("symbol_id", "date", F.col("close").cast("double").alias("close"))
+    rows = rows.withColumn("_before", before).where("_before > 0")
+    return rows.select(scalars.round4(F.col("close") / F.col("_before")).alias("ratio")).distinct()
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of all trades, in hundreds."""
+    return trades(spark, sf_dir).select((F.ceil(F.col("qty") * F.col("price") / 100) * 100).cast("bigint").alias("notional")).distinct()
 
 
 def _names(t: Tables) -> DataFrame:
@@ -237,9 +246,16 @@ def _snapshot(t: Tables) -> DataFrame:
     return provenance.snapshot_parts(t.bars, t.symbols, t.symbol_links, t.index_levels, t.adjustments, PIN)
 
 
-def _runs(spark: SparkSession) -> DataFrame:
-    rows = [(f"run-{i}", provenance.digest_of({"top": i % 3}), f"20{20 + i % 5}-06-30", f"2026-01-{i + 1:02d} 12:00:00") for i in range(20)]
-    return spark.createDataFrame(rows, "run_id string, config_hash string, period_to string, finished_at string").select("run_id", "config_hash", F.col("period_to").cast("date"), F.col("finished_at").cast("timestamp"))
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of runs: one for each tenth of the customers and year of their orders, with one of three configurations."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 10).alias("k"), F.year("o_orderdate").alias("y"), F.col("o_orderdate").cast("date").alias("d"))
+    per = orders.groupBy("k", "y").agg(F.max("d").alias("period_to"))
+    hashes = F.element_at(F.array(*[F.lit(provenance.digest_of({"top": i})) for i in range(3)]), (F.col("k") % 3 + 1).cast("int"))
+    return per.select(F.concat_ws("-", F.lit("run"), "k", "y").alias("run_id"), hashes.alias("config_hash"), "period_to", F.date_add("period_to", (F.col("k") + 1).cast("int")).cast("timestamp").alias("finished_at"))
+
+
+def _lanes(t: Tables) -> DataFrame:
+    return provenance.lane_parts(t.bars, PIN)
 
 
 def queries() -> dict[str, Query]:
@@ -287,8 +303,8 @@ def queries() -> dict[str, Query]:
         "trade_charges": _trade_charges,
         "day_charges": _day_charges,
         "rate_in_force": _rate_in_force,
-        "round_trip_curve": lambda spark, sf_dir: plain(costs.round_trips(spark), "share"),
-        "min_notional_by_broker": lambda spark, sf_dir: costs.min_notional(costs.round_trips(spark)),
+        "round_trip_curve": lambda spark, sf_dir: plain(costs.round_trips(spark, sizes=_sizes(spark, sf_dir)), "share"),
+        "min_notional_by_broker": lambda spark, sf_dir: costs.min_notional(costs.round_trips(spark, sizes=_sizes(spark, sf_dir))),
         "succession_candidates": on(lambda t: identity.candidates(identity.symbol_facts(t.bars, t.symbols, NSE, PIN, t.sessions))),
         "gate_results": on(lambda t: _gates(t).select("predecessor", "successor", "generator", "last_date", "first_date", *identity.GATES, "retracted", "g5_path", "accepted")),
         "pair_evidence": on(_pair_evidence),
@@ -299,8 +315,8 @@ def queries() -> dict[str, Query]:
         "invariant_issuer": on(lambda t: identity.issuers(t.symbols, _tangled(t), PIN)),
         "isin_check_digit": on(lambda t: _isins(t).select("isin", scalars.well_formed_isin("isin").alias("well_formed"), scalars.isin_check_ok("isin").alias("check_ok"))),
         "issuer_prefix_serial": on(lambda t: _isins(t).select("isin", scalars.issuer_prefix("isin").alias("issuer"), scalars.issue_serial("isin").alias("serial"))),
-        "ratio_band": lambda spark, sf_dir: _ratios(spark).select("ratio", scalars.ratio_band("ratio").alias("band")),
-        "simple_fraction": lambda spark, sf_dir: _ratios(spark).withColumn("_f", scalars.simple_fraction("ratio", 0.01)).select("ratio", "_f.num", "_f.den"),
+        "ratio_band": on(lambda t: _ratios(t).select("ratio", scalars.ratio_band("ratio").alias("band"))),
+        "simple_fraction": on(lambda t: _ratios(t).withColumn("_f", scalars.simple_fraction("ratio", 0.01)).select("ratio", "_f.num", "_f.den")),
         "slug_codes": on(lambda t: aliases.with_code(_names(t)).groupBy("index_name", "index_code").agg(F.count(F.lit(1)).alias("days"))),
         "month_windows": on(lambda t: _sessions(t).select("date", *[scalars.months_before("date", k).alias(f"back_{k}") for k in (1, 12)])),
         "pre_isin_bridge": on(lambda t: preisin.pre_isin_bridge(t.bars, t.symbols, NSE, PIN)),
@@ -321,8 +337,10 @@ def queries() -> dict[str, Query]:
         "trade_stats": lambda spark, sf_dir: plain(report.trade_stats(_trips(spark, sf_dir)), "mean", "deviation", "win_rate"),
         "snapshot_parts": on(_snapshot),
         "snapshot_digest": on(lambda t: provenance.table_digests(_snapshot(t))),
-        "prior_runs": lambda spark, sf_dir: plain(provenance.prior_runs(_runs(spark), provenance.digest_of({"top": 1}))),
-        "holdout_runs": lambda spark, sf_dir: plain(provenance.holdout_runs(_runs(spark), "2023-01-01")),
+        "snapshot_lanes": on(lambda t: _lanes(t).select("source", "date", "rows", "digest")),
+        "snapshot_years": on(lambda t: provenance.year_digests(_lanes(t))),
+        "prior_runs": lambda spark, sf_dir: plain(provenance.prior_runs(_runs(spark, sf_dir), provenance.digest_of({"top": 1}))),
+        "holdout_runs": lambda spark, sf_dir: plain(provenance.holdout_runs(_runs(spark, sf_dir), "1997-01-01")),
         "backtest_events": on(lambda t: _events(t, [0]).where("kind <> 'equity'"), "price", "charges", "amount", "cash"),
         "equity_curve": on(lambda t: _events(t, [0]).where("kind = 'equity'").select("run", "date", "amount", "cash", "held"), "amount", "cash"),
         "gate_decisions": on(lambda t: report.reasons(_events(t, [0], max_positions=5), "rejected")),

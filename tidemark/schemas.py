@@ -9,6 +9,7 @@ _DDL = {
     "bars": "symbol_id bigint, date date, source string, ingested_at timestamp, series string, open decimal(14,4), high decimal(14,4), low decimal(14,4), close decimal(14,4), volume bigint, turnover decimal(20,2), delivery_qty bigint, content_hash string, superseded_at timestamp",
     "closings": "source string, symbol_id bigint, date date, ingested_at timestamp, superseded_at timestamp",
     "sessions": "source string, date date, ingested_at timestamp",
+    "digests": "source string, date date, rows bigint, lane0 decimal(38,0), lane1 decimal(38,0), lane2 decimal(38,0), lane3 decimal(38,0), ingested_at timestamp",
     "ingest_log": "source string, date date, status string, rows int, note string, fetched_at timestamp",
     "symbol_links": "symbol_id bigint, entity_id bigint, reason string, boundary date, predecessor bigint, evidence string, roster_sha string, seeded_by string, note string, ingested_at timestamp",
     "index_levels": "index_code string, date date, source string, ingested_at timestamp, index_name string, open decimal(14,4), high decimal(14,4), low decimal(14,4), close decimal(14,4), points_change decimal(14,4), pct_change decimal(12,4), volume bigint, turnover decimal(20,2), pe decimal(12,4), pb decimal(12,4), div_yield decimal(12,4), content_hash string",
