@@ -127,3 +127,22 @@ def test_rebalance_days_move_by_the_offset(spark):
         got = sorted(str(r["date"]) for r in signals.rebalance_calendar(df, 1, offset).collect())
         ends = [i for i in range(len(days) - 1) if days[i][:7] != days[i + 1][:7]]
         assert got == [days[i + offset] for i in ends if i + offset < len(days)]
+
+
+@pytest.mark.parametrize(("text", "want"), [("2026-09-07", "2026-09-07 00:00:00.000000+00:00"), ("2026-09-07T18:30:00+05:30", "2026-09-07 13:00:00.000000+00:00"), ("2026-09-07T18:30:00.25Z", "2026-09-07 18:30:00.250000+00:00")])
+def test_pins_are_times_in_utc(spark, text, want):
+    assert bitemporal.parse_pin(text) == want
+    rows = spark.sql(f"SELECT timestamp'{want}' AS ingested_at UNION ALL SELECT timestamp'{want}' + INTERVAL 1 MICROSECOND")
+    assert bitemporal.believed(rows, bitemporal.parse_pin(text)).count() == 1
+
+
+@pytest.mark.parametrize("text", ["yesterday", "2026-9-7", "2026-09-07T18:30:00", "07-09-2026"])
+def test_what_is_no_pin_is_refused(text):
+    with pytest.raises(ValueError):
+        bitemporal.parse_pin(text)
+
+
+def test_no_pin_is_now():
+    from datetime import datetime, timezone
+
+    assert bitemporal.parse_pin("", datetime(2026, 9, 7, 1, 2, 3, tzinfo=timezone.utc)) == "2026-09-07 01:02:03.000000+00:00"

@@ -5,7 +5,8 @@ Every read takes `pin` and sees only rows with ingested_at <= pin. Without a pin
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+import re
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,19 @@ Pin = str | None
 EVER = "0001-01-01"
 
 
+def parse_pin(text: str, now: datetime | None = None) -> str:
+    """A pin as a time in UTC: an RFC 3339 time, which names its offset, a day, which is its midnight in UTC, or nothing, which is now."""
+    if not text:
+        moment = now or datetime.now(timezone.utc)
+    elif re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
+        moment = datetime.fromisoformat(text).replace(tzinfo=timezone.utc)
+    elif re.fullmatch(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})", text):
+        moment = datetime.fromisoformat(text)
+    else:
+        raise ValueError(f"a pin is a time with its offset or a day, not {text!r}")
+    return moment.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f+00:00")
+
+
 def believed(table: DataFrame, pin: Pin) -> DataFrame:
     return table if pin is None else table.where(F.col("ingested_at") <= F.lit(pin).cast("timestamp"))
 

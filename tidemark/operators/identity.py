@@ -214,13 +214,30 @@ def flatness(links: DataFrame, pin: Pin) -> DataFrame:
     return now.join(up, "entity_id").where("next_entity <> entity_id").select("symbol_id", "entity_id", "next_entity")
 
 
-def overlaps(bars: DataFrame, symbols: DataFrame, links: DataFrame, pin: Pin) -> DataFrame:
-    """(entity_id, days): entities two of whose members have bars of one source on one day. Only bars of linked symbols are read."""
+def overlap_days(bars: DataFrame, symbols: DataFrame, links: DataFrame, pin: Pin) -> DataFrame:
+    """(entity_id, source, date, members): days on which more than one member of an entity has a bar of one source. Only bars of linked symbols are read."""
     m = entity_map(symbols, links, pin)
     linked = m.where("symbol_id <> entity_id")
     members = m.join(linked.select("entity_id").distinct(), "entity_id", "left_semi")
-    days = believed(bars, pin).join(members, "symbol_id").groupBy("entity_id", "source", "date").agg(F.countDistinct("symbol_id").alias("k")).where("k > 1")
-    return days.groupBy("entity_id").agg(F.count(F.lit(1)).alias("days"))
+    return believed(bars, pin).join(members, "symbol_id").groupBy("entity_id", "source", "date").agg(F.countDistinct("symbol_id").alias("members")).where("members > 1")
+
+
+def overlaps(bars: DataFrame, symbols: DataFrame, links: DataFrame, pin: Pin) -> DataFrame:
+    """(entity_id, days): entities two of whose members have bars of one source on one day."""
+    return overlap_days(bars, symbols, links, pin).groupBy("entity_id").agg(F.count(F.lit(1)).alias("days"))
+
+
+def violations(bars: DataFrame, symbols: DataFrame, links: DataFrame, pin: Pin) -> DataFrame:
+    """(kind, entity_id, detail, advisory): all that is wrong with the links at the pin, by kind, entity and detail: entities that lead on to others (flatness), members
+    that trade on one day, each source and day (overlap), and, for a person to look at, entities of several issuers (issuer)."""
+    hops = F.concat(F.lit("symbol "), F.col("symbol_id").cast("string"), F.lit(" leads to "), F.col("entity_id").cast("string"), F.lit(", which leads to "), F.col("next_entity").cast("string"))
+    met = F.concat(F.col("members").cast("string"), F.lit(" members have a bar of "), F.col("source"), F.lit(" on "), F.col("date").cast("string"))
+    parts = [
+        flatness(links, pin).select(F.lit("flatness").alias("kind"), "entity_id", hops.alias("detail"), F.lit(False).alias("advisory")),
+        overlap_days(bars, symbols, links, pin).select(F.lit("overlap").alias("kind"), "entity_id", met.alias("detail"), F.lit(False).alias("advisory")),
+        issuers(symbols, links, pin).select(F.lit("issuer").alias("kind"), "entity_id", F.concat(F.lit("issuers "), F.col("issuers")).alias("detail"), F.lit(True).alias("advisory")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("kind", "entity_id", "detail")
 
 
 def issuers(symbols: DataFrame, links: DataFrame, pin: Pin) -> DataFrame:

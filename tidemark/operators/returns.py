@@ -170,3 +170,20 @@ def entity_volatility(*args, min_returns: int = MIN_RETURNS, **kwargs) -> DataFr
     step = F.log(F.col("adjusted") / F.lag("adjusted").over(Window.partitionBy("entity_id").orderBy("date")))
     per = rows.withColumn("_r", step).groupBy("entity_id").agg(F.count("_r").alias("returns"), F.stddev_samp("_r").alias("_sd"))
     return per.select("entity_id", "returns", F.when(F.col("returns") >= min_returns, F.col("_sd") * math.sqrt(YEAR_SESSIONS)).alias("volatility"))
+
+
+def volatility_status(
+    bars: DataFrame, symbols: DataFrame, links: DataFrame, adjustments: DataFrame, source: str, start: str, end: str, pin: Pin,
+    ids: DataFrame | None = None, min_returns: int = MIN_RETURNS, guard: int = GUARD_SESSIONS, span: int = GUARD_SPAN, calendar: DataFrame | None = None,
+) -> DataFrame:
+    """One row per entity asked for (all by default): its volatility, or why it has none: an unexplained boundary in reach, no usable return in the window, or
+    fewer than min_returns of them."""
+    asked = (ids if ids is not None else entity_map(symbols, links, pin)).select("entity_id").distinct()
+    rows = entity_volatility(bars, symbols, links, adjustments, source, start, end, pin, ids=ids, guard=guard, span=span, calendar=calendar, min_returns=min_returns)
+    found = fences(links, adjustments, _calendar(bars, calendar, source, pin), pin, guard, span)
+    first, last = (F.lit(x).cast("date") for x in (start, end))
+    shut = found.select("entity_id", F.get(F.filter("walls", lambda w: (w.date > first) & (w.guard <= last)), F.lit(0)).date.alias("boundary")).where("boundary is not null")
+    out = asked.join(rows, "entity_id", "left").join(shut, "entity_id", "left").withColumn("returns", F.coalesce("returns", F.lit(0)))
+    few = F.concat(F.lit("only "), F.col("returns").cast("string"), F.lit(" usable returns in the window"))
+    reason = F.when(F.col("boundary").isNotNull(), "boundary").when(F.col("returns") == 0, "no bars in the window").when(F.col("returns") < min_returns, few)
+    return out.select("entity_id", "volatility", "returns", reason.alias("reason"), "boundary")

@@ -63,3 +63,12 @@ def trend_stance(levels: DataFrame, code: str, calendar: DataFrame, days: int, p
     full = (F.col("_k") == days) & (F.datediff("date", "_since") <= days * 8 // 5 + 30)
     stance = F.when(~F.coalesce(full, F.lit(False)), "unknown").when(F.col("close") > F.col("_mean"), "risk on").otherwise("risk off")
     return calendar.select("date").distinct().join(rows, "date", "left").select("date", stance.alias("stance"))
+
+
+def accounted(ranked: DataFrame, asked: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Every entity asked for on a day (as_of, entity_id) with its rank, or why it has none: statuses (as_of, entity_id, status, reason), as entity_returns() gives them. An entity
+    that has neither rank nor status is absent without a row."""
+    key = ["as_of", "entity_id"]
+    out = asked.select(*key).distinct().join(ranked.select(*key, "rank"), key, "left").join(statuses.select(*key, "status", "reason"), key, "left")
+    status = F.when(F.col("rank").isNotNull(), "ranked").otherwise(F.coalesce("status", F.lit("absent")))
+    return out.select(*key, "rank", status.alias("status"), F.when(F.col("rank").isNull(), F.coalesce("reason", F.lit("no row"))).alias("reason"))

@@ -166,6 +166,12 @@ def oracle_sql() -> dict[str, str]:
         "returns_priced": staged(returns(PIN) + f" SELECT win AS \"window\", entity_id, {f6('ratio')} AS ratio, {f6('t_close * ratio / f_close - 1.0')} AS \"return\" FROM z WHERE reason IS NULL", True),
         "closes_back_adjusted": staged(adjusted(PIN, "1997-01-06", "1998-12-28", False) + f" SELECT entity_id, date::VARCHAR AS date, close, {f6('adjusted')} AS adjusted FROM a", True),
         "volatility_annualised": staged(adjusted(PIN, "1997-01-06", "2000-09-25", True) + f", l AS (SELECT entity_id, ln(adjusted / lag(adjusted) OVER (PARTITION BY entity_id ORDER BY date)) AS r FROM a WHERE adjusted > 0) SELECT entity_id, count(r) AS returns, CASE WHEN count(r) >= 60 THEN {f6('stddev_samp(r) * sqrt(252)')} END AS volatility FROM l GROUP BY 1", True),
+        "volatility_status": staged(
+            adjusted(PIN, "1997-01-06", "2000-09-25", True)
+            + f", l AS (SELECT entity_id, ln(adjusted / lag(adjusted) OVER (PARTITION BY entity_id ORDER BY date)) AS r FROM a WHERE adjusted > 0), k AS (SELECT entity_id, count(r) AS n, stddev_samp(r) * sqrt(252) AS v FROM l GROUP BY 1),"
+            f" sb AS (SELECT entity_id, min(date) AS boundary FROM g WHERE date > DATE '1997-01-06' AND guard <= DATE '2000-09-25' AND entity_id IN (SELECT entity_id FROM shut) AND NOT EXISTS (SELECT 1 FROM act WHERE act.entity_id = g.entity_id AND ex_date BETWEEN g.guard AND g.date) GROUP BY 1)"
+            f" SELECT e.entity_id, CASE WHEN n >= 60 THEN {f6('v')} END AS volatility, coalesce(n, 0) AS returns, boundary::VARCHAR AS boundary, CASE WHEN boundary IS NOT NULL THEN 'boundary' WHEN coalesce(n, 0) = 0 THEN 'no bars in the window'"
+            f" WHEN n < 60 THEN 'only ' || n || ' usable returns in the window' END AS reason FROM (SELECT DISTINCT entity_id FROM ({emap(PIN)})) e LEFT JOIN k USING (entity_id) LEFT JOIN sb USING (entity_id)", True),
         "factor_steps": staged(f"SELECT entity_id, ex_date::VARCHAR AS ex_date, prev_date::VARCHAR AS prev_date, {f6('ratio')} AS ratio, prev_close, close, key FROM astep", True),
         "share_actions": staged(f"SELECT entity_id, ex_date::VARCHAR AS ex_date, {f6('ratio')} AS ratio, num::INT AS num, den::INT AS den, outcome FROM adet", True),
         "detection_summary": staged("SELECT count(*) AS steps, count(*) FILTER (outcome = 'unclassified') AS unclassified, count(*) FILTER (outcome = 'uncorroborated') AS uncorroborated, count(*) FILTER (outcome = 'share action') AS share_actions FROM adet", True),
@@ -284,6 +290,10 @@ rk AS (SELECT ob.ticker, CASE WHEN br.isin IS NOT NULL THEN CASE WHEN br.fn - ob
         "archive_holes": staged("SELECT d::VARCHAR AS date FROM cal, (SELECT min(date) AS lo, max(date) AS hi, max(fetched_at) AS last FROM ingest_log) WHERE d BETWEEN lo AND hi AND d NOT IN (SELECT date FROM ingest_log WHERE status IN ('ok', 'no-file')) AND last >= d + INTERVAL '42 hours 30 minutes'"),
         "invariant_flatness": staged(f"% {_TANGLED} SELECT a.symbol_id, a.entity_id, b.entity_id AS next_entity FROM tangled a JOIN tangled b ON b.symbol_id = a.entity_id AND b.entity_id <> a.entity_id"),
         "invariant_overlap": staged(f"% {_TANGLED}, {_TMAP}, od AS (SELECT entity_id, source, date FROM bars JOIN tmap USING (symbol_id) WHERE ingested_at <= TIMESTAMP '{PIN}' GROUP BY 1, 2, 3 HAVING count(DISTINCT symbol_id) > 1) SELECT entity_id, count(*) AS days FROM od GROUP BY 1"),
+        "invariant_violations": staged(
+            f"% {_TANGLED}, {_TMAP}, iv AS (SELECT 'flatness' AS kind, a.entity_id, 'symbol ' || a.symbol_id || ' leads to ' || a.entity_id || ', which leads to ' || b.entity_id AS detail, false AS advisory FROM tangled a JOIN tangled b ON b.symbol_id = a.entity_id AND b.entity_id <> a.entity_id"
+            f" UNION ALL SELECT 'overlap', entity_id, count(DISTINCT symbol_id) || ' members have a bar of ' || source || ' on ' || date::VARCHAR, false FROM bars JOIN tmap USING (symbol_id) WHERE ingested_at <= TIMESTAMP '{PIN}' GROUP BY entity_id, source, date HAVING count(DISTINCT symbol_id) > 1"
+            f" UNION ALL SELECT 'issuer', entity_id, 'issuers ' || string_agg(DISTINCT left(isin, 9), ', ' ORDER BY left(isin, 9)), true FROM tmap JOIN ({latest('symbols', 'symbol_id', PIN)}) USING (symbol_id) WHERE isin LIKE 'INE%' GROUP BY entity_id HAVING count(DISTINCT left(isin, 9)) > 1) SELECT * FROM iv"),
         "invariant_issuer": staged(f"% {_TANGLED}, {_TMAP} SELECT entity_id, string_agg(DISTINCT left(isin, 9), ', ' ORDER BY left(isin, 9)) AS issuers FROM tmap JOIN ({latest('symbols', 'symbol_id', PIN)}) USING (symbol_id) WHERE isin LIKE 'INE%' GROUP BY 1 HAVING count(DISTINCT left(isin, 9)) > 1"),
         "isin_check_digit": staged(f"% {_ISINS}, {_CHECK} SELECT isin, regexp_full_match(isin, '[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]') AS well_formed, list_sum(list_transform(r, lambda d, i: CASE WHEN i % 2 = 1 THEN d WHEN d >= 5 THEN 2 * d - 9 ELSE 2 * d END)) % 10 = 0 AS check_ok FROM digs"),
         "issuer_prefix_serial": staged(f"% {_ISINS} SELECT isin, left(isin, 9) AS issuer, substr(isin, 10, 2)::INT AS serial FROM isins"),
@@ -313,11 +323,17 @@ wn AS (SELECT as_of, b.date, b.k = a.k AS last_ FROM dd JOIN ss a ON a.date = as
 mp AS (SELECT as_of, m.entity_id, median(coalesce(turnover::DOUBLE, close::DOUBLE * volume)) AS med, count(DISTINCT date) AS present, bool_or(last_) AS live FROM lv JOIN ({emap(PIN)}) m USING (symbol_id) JOIN wn USING (date) WHERE series = 'EQ' GROUP BY 1, 2),
 mb AS (SELECT as_of, entity_id, med, row_number() OVER (PARTITION BY as_of ORDER BY med DESC, entity_id) AS place FROM mp WHERE live AND present >= ceil((SELECT count(*) FROM wn WHERE wn.as_of = mp.as_of) * 0.8) QUALIFY place <= 40)"""
 
-    def ranked(formation: int, skip: int, order: str) -> str:
+    def ranked(formation: int, skip: int, order: str, accounted: bool = False) -> str:
         back = lambda k: f"(date_trunc('month', as_of)::DATE - INTERVAL {k} MONTH + to_days(day(as_of)::INT - 1))::DATE"
         body = returns(PIN)
         wins = f"(SELECT row_number() OVER (ORDER BY as_of) - 1 AS win, as_of, {back(formation)} AS fd, {back(skip)} AS td FROM ({days}))"
         start, end = body.index("win AS ("), body.index("), b AS (")
+        if accounted:
+            priced = "SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY ret DESC, entity_id)::INT AS rank FROM ca WHERE reason IS NULL"
+            every = "ca AS (SELECT mb.as_of, mb.entity_id, z.reason, t_close * ratio / f_close - 1.0 AS ret FROM mb JOIN win USING (as_of) JOIN z ON z.win = win.win AND z.entity_id = mb.entity_id)"
+            kind = "CASE WHEN rk.rank IS NOT NULL THEN 'ranked' WHEN ca.reason = 'boundary' THEN 'refused' ELSE 'absent' END"
+            tail = f"{members}, {every}, rk AS ({priced}) SELECT ca.as_of::VARCHAR AS as_of, ca.entity_id, rk.rank, {kind} AS status, ca.reason FROM ca LEFT JOIN rk USING (as_of, entity_id)"
+            return staged(body[:start] + f"win AS (SELECT * FROM {wins}" + body[end:] + f", {tail}", True)
         return staged(body[:start] + f"win AS (SELECT * FROM {wins}" + body[end:] + f", {members} SELECT as_of::VARCHAR AS as_of, entity_id, {f6('ret')} AS \"return\", row_number() OVER (PARTITION BY as_of ORDER BY ret {order}, entity_id)::INT AS rank FROM (SELECT win.as_of, z.entity_id, t_close * ratio / f_close - 1.0 AS ret FROM z JOIN win ON win.win = z.win JOIN mb ON mb.as_of = win.as_of AND mb.entity_id = z.entity_id WHERE reason IS NULL)", True)
 
     low_days = adjusted(PIN, "1999-09-25", AS_OF, True)
@@ -327,6 +343,7 @@ mb AS (SELECT as_of, entity_id, med, row_number() OVER (PARTITION BY as_of ORDER
         "rebalance_calendar": staged("% x AS (SELECT d, n, lead(d) OVER (ORDER BY d) AS nx FROM cal) SELECT y.d::VARCHAR AS date FROM x JOIN cal y ON y.n = x.n + 2 WHERE nx IS NOT NULL AND date_trunc('month', x.d) <> date_trunc('month', nx) AND month(x.d) % 3 = 0"),
         "turnover_rank": staged(f"% {members} SELECT as_of::VARCHAR AS as_of, entity_id, {f6('med')} AS median_turnover, place::INT AS rank FROM mb"),
         "momentum_rank": ranked(12, 1, "DESC"),
+        "momentum_accounted": ranked(12, 1, "DESC", True),
         "reversal_rank": ranked(1, 0, "ASC"),
         "lowvol_rank": staged(low_days + f", mem AS (WITH {core}), lr AS (SELECT entity_id, ln(adjusted / lag(adjusted) OVER (PARTITION BY entity_id ORDER BY date)) AS r FROM a WHERE adjusted > 0 AND entity_id IN (SELECT entity_id FROM mem)), lg AS (SELECT entity_id, stddev_samp(r) * sqrt(252) AS vol FROM lr GROUP BY 1 HAVING count(r) >= 30) SELECT entity_id, {f6('vol')} AS volatility, row_number() OVER (ORDER BY vol, entity_id)::INT AS rank FROM lg", True),
         "trend_stance": staged("% t AS (SELECT date, close::DOUBLE AS close, avg(close::DOUBLE) OVER w AS mean, count(*) OVER w AS k, min(date) OVER w AS since FROM index_levels WINDOW w AS (ORDER BY date ROWS 199 PRECEDING)) SELECT d::VARCHAR AS date, CASE WHEN close IS NULL OR k < 200 OR date - since > 350 THEN 'unknown' WHEN close > mean THEN 'risk on' ELSE 'risk off' END AS stance FROM cal LEFT JOIN t ON t.date = d"),

@@ -182,6 +182,17 @@ def _ranked(t: Tables, kind: str) -> DataFrame:
     return signals.rank_by(rows, "return", kind == "reversal").select("as_of", "entity_id", "return", "rank")
 
 
+def _accounted(t: Tables) -> DataFrame:
+    """Each member of the universes of the decision days with its momentum rank, or why it has none."""
+    days = t.bars.sparkSession.createDataFrame([(d,) for d in DECISIONS], "date string").select(F.col("date").cast("date"))
+    members = signals.universes(t.bars, t.symbols, t.symbol_links, NSE, days, LOOKBACK, 40, PIN, t.sessions)
+    got = returns.entity_returns(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, signals.return_windows(DECISIONS, 12, 1), PIN, **WEEKLY, calendar=t.sessions)
+    named = t.bars.sparkSession.createDataFrame(list(enumerate(DECISIONS)), "window int, as_of string").select("window", F.col("as_of").cast("date"))
+    rows = got.join(named, "window").join(members.select("as_of", "entity_id"), ["as_of", "entity_id"])
+    ranked = signals.rank_by(rows.where("status = 'priced'").select("as_of", "entity_id", "return"), "return", False)
+    return signals.accounted(ranked, members, rows)
+
+
 def _low_volatility(t: Tables) -> DataFrame:
     members = universe.universe_as_of(t.bars, t.symbols, t.symbol_links, NSE, AS_OF, LOOKBACK, 40, PIN, span_days=SPAN, calendar=t.sessions)
     vol = returns.entity_volatility(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, "1999-09-25", AS_OF, PIN, ids=members, span=GUARD_SPAN, min_returns=30, calendar=t.sessions)
@@ -289,6 +300,8 @@ def queries() -> dict[str, Query]:
         "returns_priced": on(lambda t: _returns(t).where("status = 'priced'").select("window", "entity_id", "ratio", "return"), "ratio", "return"),
         "closes_back_adjusted": on(_closes, "adjusted"),
         "volatility_annualised": on(lambda t: returns.entity_volatility(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, "1997-01-06", "2000-09-25", PIN, span=GUARD_SPAN, min_returns=60, calendar=t.sessions), "volatility"),
+        "volatility_status": on(lambda t: returns.volatility_status(t.bars, t.symbols, t.symbol_links, t.adjustments, NSE, "1997-01-06", "2000-09-25", PIN, span=GUARD_SPAN, min_returns=60, calendar=t.sessions), "volatility"),
+        "momentum_accounted": on(_accounted),
         "factor_steps": on(lambda t: actions.factor_steps(t.bars, t.symbols, t.symbol_links, PIN).select("entity_id", "ex_date", "prev_date", "ratio", "prev_close", "close", "key"), "ratio"),
         "share_actions": on(lambda t: _detect(t).select("entity_id", "ex_date", "ratio", "num", "den", "outcome"), "ratio"),
         "detection_summary": on(lambda t: actions.detection_summary(_detect(t))),
@@ -313,6 +326,7 @@ def queries() -> dict[str, Query]:
         "invariant_flatness": on(lambda t: identity.flatness(_tangled(t), PIN)),
         "invariant_overlap": on(lambda t: identity.overlaps(t.bars, t.symbols, _tangled(t), PIN)),
         "invariant_issuer": on(lambda t: identity.issuers(t.symbols, _tangled(t), PIN)),
+        "invariant_violations": on(lambda t: identity.violations(t.bars, t.symbols, _tangled(t), PIN)),
         "isin_check_digit": on(lambda t: _isins(t).select("isin", scalars.well_formed_isin("isin").alias("well_formed"), scalars.isin_check_ok("isin").alias("check_ok"))),
         "issuer_prefix_serial": on(lambda t: _isins(t).select("isin", scalars.issuer_prefix("isin").alias("issuer"), scalars.issue_serial("isin").alias("serial"))),
         "ratio_band": on(lambda t: _ratios(t).select("ratio", scalars.ratio_band("ratio").alias("band"))),
