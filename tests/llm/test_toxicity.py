@@ -134,3 +134,23 @@ def test_other_labels_do_not_thin_out_the_sample(spark):
 @pytest.mark.parametrize(("text", "word"), [("st" + "." * 45 + "upid", "stupid"), ("stu" + "u" * 50 + "pid", "stupid"), ("i\td\ti\to\tt", "idiot"), ("i\nd\ni\no\nt", "idiot")])
 def test_long_and_spread_words_are_read(text, word):
     assert word in found(text)
+
+
+def test_toxic_rows_held_out_are_found(spark):
+    from tidemark.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = [(labels[r["doc_id"]], r["predicted"]) for r in queries.op5_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
+    toxic, clean = ([p for t, p in out if t == kind] for kind in (1, 0))
+    assert len(toxic) > 90 and sum(toxic) >= 0.9 * len(toxic)
+    assert sum(clean) <= 0.002 * len(clean)
+
+
+def test_letters_of_all_scripts_make_a_bounded_table():
+    texts = ["".join(chr(0x4E00 + (7 * i + k * k) % 20_000) for k in range(5)) + " straße naïve ΑΒΓ где plain" for i in range(500)]
+    found = toxicity.count_letters(texts)
+    classes = set(toxicity.ALPHABET) | {toxicity.OTHER, toxicity.EDGE}
+    assert {c for t in found for c in t} <= classes and len(found) < 60
+    model = toxicity.smoothed(found)
+    assert model.letter("漢", "字", "é") == model.letter("ж", toxicity.OTHER, "ß") and "straße" in model.words("$traße straße")

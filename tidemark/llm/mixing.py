@@ -131,7 +131,11 @@ def mixture(df: DataFrame, mix: Mix) -> DataFrame:
 
 
 def keep(df: DataFrame, mix: Mix) -> DataFrame:
-    """The documents of the mixture with all their columns, each once: a mix for a stage that may not repeat rows."""
+    """The documents of the mixture with all their columns, each once: a mix for a stage that may not repeat rows.
+
+    Null and empty texts have no tokens; one is kept if its place lies before its leaf's cut, at no cost. Very long texts count whole. Repeated rows and null ids are rows like others;
+    an empty table stays empty, and columns of any name are kept.
+    """
     stage = Stage(df.sparkSession, "mix")
     found = plan(slim(df, stage), mix, stage).select(*[F.col(k).alias(f"_{k}") for k in LEAF], "full_epochs", F.col("cut").alias("_cut"))
     keys = {"_domain": domain_of(F.col("source")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_source": F.coalesce(F.col("source").cast("string"), F.lit(""))}

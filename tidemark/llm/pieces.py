@@ -229,7 +229,11 @@ def decode(df: DataFrame, model: str, ids: str = "ids") -> DataFrame:
 
 
 def digests(documents: DataFrame, model: str) -> DataFrame:
-    """Token count and digests of ids and decoded text, from the two operators above."""
+    """doc_id, n_tokens and the digests of ids and decoded text of each row, from the two operators above.
+
+    A null text counts as empty; an empty text has no ids and decodes to an empty one. Very long texts are encoded whole, one at a time. Repeated rows and null
+    ids are kept as they are; an empty table gives no rows. Other columns are not read, whatever their names.
+    """
     out = decode(encode(documents, model), model)
     return out.select(
         "doc_id",

@@ -29,8 +29,9 @@ from .common import Stage, slices, whole_text, widened
 
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE = 3000
-#: A feature must be in this share of the sample's toxic texts, and its log ratio must lie so many standard deviations above 0.
-FEATURE_SHARE, FEATURE_SIGMA = 0.02, 6.0
+#: A feature must be in so many of the sample's toxic texts, and its log ratio must lie so many standard deviations above 0. Rare features that pass are
+#: held down by the penalty of the fit.
+FEATURE_TEXTS, FEATURE_SIGMA = 3, 6.0
 FOLDS = 5
 PREFIXES = range(3, 9)
 START = PREFIXES[0]
@@ -43,6 +44,11 @@ KEEP_TOKENS, KEEP_CHARS = 100_000, 40
 #: Distinct words that a task counts before it hands their trigrams on.
 FLUSH_WORDS = 100_000
 EDGE = "^"
+#: The letters that are told apart in trigrams: all that a character may stand for, and more. Any other letter is OTHER; a lattice never has to choose
+#: between two of those, and the table of trigrams is bounded whatever the languages.
+ALPHABET, OTHER = "abcdefghijklmnopqrstuvwxyz", "\uffff"
+_CLASS = {c: c for c in ALPHABET + EDGE}
+_CLASS_CODES = np.array([ord(c) for c in sorted(_CLASS)])
 _TRIPLE, _DOUBLE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
 _ENDS = ".,;:?\"'()[]{}«»<>…-!*"
 #: Ends that never stand for a letter.
@@ -87,17 +93,22 @@ class Model:
             after: dict[tuple[str, str], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in states.items():
                 for out, cost in ways:
-                    to = (b, out) if out else (a, b)
-                    new = score + cost + (self.letter(a, b, out) if out else 0.0)
+                    c = _CLASS.get(out, OTHER)
+                    to = (b, c) if out else (a, b)
+                    new = score + cost + (self._classed(a, b, c) if out else 0.0)
                     if to not in after or new > after[to][0]:
                         after[to] = (new, (path, out) if out else path)
             states = after
             if ch not in SEPARATORS:
                 before = ch
-        best = max((score + self.letter(a, b, EDGE), _spelled(path)) for (a, b), (score, path) in states.items())[1]
+        best = max((score + self._classed(a, b, EDGE), _spelled(path)) for (a, b), (score, path) in states.items())[1]
         return best if best.isalpha() else token
 
     def letter(self, a: str, b: str, c: str) -> float:
+        """Log-probability of a letter after two."""
+        return self._classed(*(_CLASS.get(x, OTHER) for x in (a, b, c)))
+
+    def _classed(self, a: str, b: str, c: str) -> float:
         got = self.trigrams.get((a, b, c))
         return got if got is not None else self.unseen.get((a, b), self.floor)
 
@@ -214,11 +225,13 @@ def features_of(readings: tuple[str, ...]) -> list[str]:
 
 
 def letters_of(words: Counter[str]) -> Counter[tuple[str, str, str]]:
-    """Trigrams of the plain ones among counted words."""
+    """Trigrams of the plain ones among counted words, letters outside ALPHABET as OTHER."""
     plain = [w for w in words if w.isalpha() and not _TRIPLE.search(w)]
     if not plain:
         return Counter()
     flat = np.frombuffer("".join(EDGE * 2 + w + EDGE for w in plain).encode("utf-32-le"), np.uint32).astype(np.int64)
+    known = _CLASS_CODES[np.minimum(np.searchsorted(_CLASS_CODES, flat), len(_CLASS_CODES) - 1)] == flat
+    flat = np.where(known, flat, ord(OTHER))
     size = np.array([len(w) + 3 for w in plain])
     whole = np.arange(len(flat)) + 2 < np.repeat(np.cumsum(size), size)  # a trigram that begins here ends in the same word
     at = np.flatnonzero(whole)
@@ -296,8 +309,8 @@ def training(labels: DataFrame) -> DataFrame:
 
 
 def letter_counts(documents: DataFrame, labels: DataFrame | None = None) -> Counter[tuple[str, str, str]]:
-    """Trigrams of all documents that are not held out (with labels: of the labelled ones); one row for each trigram, at most letters
-    cubed, reaches the driver."""
+    """Trigrams of all documents that are not held out (with labels: of the labelled ones); one row for each trigram reaches the
+    driver, which are at most the classes of letters cubed, some 22,000."""
 
     def handed(tri) -> pa.RecordBatch:
         a, b, c = zip(*tri, strict=True) if tri else ((), (), ())
@@ -350,10 +363,10 @@ def features(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def telling(counted: DataFrame, n0: int, n1: int) -> DataFrame:
-    """The features that are often enough in toxic rows and clearly more often there than in the others."""
+    """The features that are in a few toxic rows and clearly more often there than in the others."""
     per = counted.groupBy("feature").agg(F.sum(F.col("n") * F.col("toxic")).alias("pos"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("neg"))
     strength = F.sqrt("pos") * F.log((F.col("pos") + 0.5) / n1 / ((F.col("neg") + 0.5) / n0))
-    return per.where((F.col("pos") >= max(3.0, FEATURE_SHARE * n1)) & (strength >= FEATURE_SIGMA)).select("feature")
+    return per.where((F.col("pos") >= FEATURE_TEXTS) & (strength >= FEATURE_SIGMA)).select("feature")
 
 
 def cells(rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
