@@ -98,3 +98,37 @@ def test_odd_documents(spark):
     assert "set" not in kept.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 4, 7, 8, 8, 9, 10]
     assert kept.where("doc_id is null").count() == 1
     assert overlap.groups(documents(spark, [])).count() == 0
+
+
+def counted(spark, monkeypatch, texts):
+    """component_id by doc_id, and the rows of each stored table by name."""
+    from tidemark.llm.common import Stage
+
+    rows, put = {}, Stage.put
+
+    def counting(self, df, name="t"):
+        out = put(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Stage, "put", counting)
+    found = {r["doc_id"]: r["component_id"] for r in overlap.groups(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    return found, rows
+
+
+def test_pages_of_one_template_that_are_not_similar_enough_make_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    template = [f"t{i}" for i in range(150)]
+    pages = [" ".join(template[:75] + [f"p{k}x{j}" for j in rng.permutation(22)] + template[75:]) for k in range(150)]
+    found, rows = counted(spark, monkeypatch, pages)
+    assert len(set(found.values())) == len(pages)
+    assert rows["met"] <= len(pages)  # of 11,175 pairs
+
+
+def test_a_dense_family_makes_few_pairs_that_are_not_links(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    blocks = [[[f"b{i}v{v}w{j}" for j in range(6)] for v in (0, 1)] for i in range(40)]
+    pages = [" ".join(w for b in blocks for w in b[int(rng.random() < 0.12)]) for _ in range(250)]
+    found, rows = counted(spark, monkeypatch, pages)
+    assert found == dict(enumerate(brute([(i, t, "en", "s") for i, t in enumerate(pages)])))
+    assert rows["met"] <= 4 * len(pages)  # of 31,125 pairs

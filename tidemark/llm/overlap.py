@@ -9,7 +9,8 @@ shingles. Every link is verified on the whole sets.
 
 Groups of many copies are joined without all their pairs: first each set is compared only with its closest fingerprint and with the set
 at the head of most lists that it stands in; what that connects is one component. Then all pairs of sets that share a first shingle are compared, but
-only those of different components, as others change nothing.
+only those of different components, as others change nothing. There every set carries a sketch of a fixed number of bits, by which the join itself
+refuses a pair: in a family of pages that are nearly similar enough, nearly all pairs are refused before they become rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ WORDS = 5
 SHARE, OFTEN, COMMON = 8, 3, 1_000_000
 #: Differing bits of the fingerprints that are looked at first; pairs with one set that are verified in one group.
 BITS, FAN = 3, 256
+#: Words of 64 bits of the sketch that goes with every row of the last join. It affects the work only.
+SKETCH = 16
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -60,6 +63,13 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH words of 64 bits: the bits that ten binary digits of some shingle name."""
+    bits = np.zeros(64 * SKETCH, np.uint8)
+    bits[(shingles >> np.uint64(32)) & np.uint64(64 * SKETCH - 1)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
 def common_shingles(df: DataFrame, words: int, stage: Stage) -> np.ndarray:
     """Shingles that many of a share of the distinct texts have, ascending; at most COMMON of them reach the driver."""
 
@@ -99,13 +109,13 @@ def sets(df: DataFrame, words: int, common: np.ndarray) -> DataFrame:
                 found = [np.unique(h) for h in hashes]
                 names, sizes = pa.array([name_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())
                 first = _listed([first_shingles(s, shared.value) for s in found])
-                bits = _listed([bitmap(s) for s in found])
+                bits, sketches = _listed([bitmap(s) for s in found]), _listed([sketch(s) for s in found])
                 prints = pa.array(majority(hashes).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("text_key").slice(lo, n), names, sizes, prints, bits, first], ["doc_id", "text_key", "set", "size", "fingerprint", "bits", "first"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("text_key").slice(lo, n), names, sizes, prints, bits, sketches, first], ["doc_id", "text_key", "set", "size", "fingerprint", "bits", "sketch", "first"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
     rows = df.select("doc_id", whole_text().alias("_text"), text_key().alias("text_key"))
-    return rows.select("doc_id", "text_key", "_text").mapInArrow(run, f"doc_id {kind}, text_key bigint, set bigint, size bigint, fingerprint bigint, bits array<bigint>, first array<bigint>")
+    return rows.select("doc_id", "text_key", "_text").mapInArrow(run, f"doc_id {kind}, text_key bigint, set bigint, size bigint, fingerprint bigint, bits array<bigint>, sketch array<bigint>, first array<bigint>")
 
 
 def whole_sets(df: DataFrame, keys: DataFrame, words: int) -> DataFrame:
@@ -194,10 +204,13 @@ def pairs_of(index: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets of different components whose first shingles allow the similarity.
 
     What two sets share up to the last first shingle that they have in common, they share among their first shingles, so the
-    overlap is at most that many and what is left behind it in the set with less left.
+    overlap is at most that many and what is left behind it in the set with less left. Each bit of one sketch (columns s0, s1, ...) that the other lacks is
+    at least one shingle that it lacks; both are conditions of the join, so a pair that they refuse is never written.
     """
     x, y = index.alias("x"), index.alias("y")
-    fits = "x.set < y.set and x.component <> y.component and 9 * least(x.reach, y.reach) >= 4 * (x.size + y.size)"
+    lacks = lambda a, b: " + ".join(f"bit_count({a}.s{i} & ~{b}.s{i})" for i in range(SKETCH))
+    near = f"9 * least(x.size - ({lacks('x', 'y')}), y.size - ({lacks('y', 'x')})) >= 4 * (x.size + y.size)"
+    fits = f"x.set < y.set and x.component <> y.component and 9 * least(x.reach, y.reach) >= 4 * (x.size + y.size) and {near}"
     met = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(fits)
     per = met.groupBy(F.col("x.set").alias("a"), F.col("y.set").alias("b")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.least("x.reach", "y.reach")).alias("_left"), F.max(F.col("x.size") + F.col("y.size")).alias("_both"))
     return per.where("9 * (_n + _left - 1) >= 4 * _both").select("a", "b")
@@ -211,7 +224,7 @@ def labelled(df: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, component_id and text_key of each row; see groups."""
     stage = Stage(df.sparkSession, "overlap")
     found = stage.put(sets(df, words, common_shingles(df, words, stage)), "sets")
-    reps = stage.put(found.groupBy("set").agg(F.min(F.struct("doc_id", "text_key")).alias("_at"), F.min("doc_id").alias("_first"), *[F.first(c).alias(c) for c in ("size", "fingerprint", "bits", "first")]), "distinct")
+    reps = stage.put(found.groupBy("set").agg(F.min(F.struct("doc_id", "text_key")).alias("_at"), F.min("doc_id").alias("_first"), *[F.first(c).alias(c) for c in ("size", "fingerprint", "bits", "sketch", "first")]), "distinct")
     rows = stage.put(found.select("doc_id", "text_key", "set"), "rows")
     stage.drop(found)
     names = reps.select("set", F.col("_at.doc_id").alias("_id"), F.col("_at.text_key").alias("text_key"), "_first", "size", "fingerprint", "bits")
@@ -224,7 +237,8 @@ def labelled(df: DataFrame, words: int = WORDS) -> DataFrame:
     # Second round: pairs of sets that the first one did not connect.
     known = shared.join(nodes.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("component", F.coalesce("root", "set")).drop("root")
     open_ = stage.put(differing(known, "component"), "open")
-    met = stage.put(pairs_of(open_), "met")
+    sketches = reps.select("set", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+    met = stage.put(pairs_of(open_.join(sketches, "set")), "met")
     rest = verified(stage.put(possible(met, names, stage), "rest"), names, df, words, stage)
     nodes = stage.put(components(nodes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest.select("a", "b")), stage), "nodes")
     named = nodes.join(names, nodes["node"] == names["set"]).groupBy("root").agg(F.min("_first").alias("_joined"))
@@ -245,5 +259,10 @@ def groups(df: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def first_of_group(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns; see simhash.only_first."""
+    """The documents whose id is the smallest of their component, with all their columns; see simhash.only_first.
+
+    Null and empty texts, and texts without words, have the empty set and are one group. Texts with fewer words than a shingle have the one shingle of all their words. Very
+    long texts are compared whole. Rows alike in id and text stay or go together, and rows with a null id stay. An empty table stays empty; columns of any name are
+    kept.
+    """
     return only_first(df, labelled(df, words))
