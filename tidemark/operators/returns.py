@@ -67,16 +67,28 @@ def windows_frame(spark: SparkSession, windows: list[tuple[str, str]]) -> DataFr
     return spark.createDataFrame(rows, "window int, from_date date, to_date date")
 
 
-def _ends_seen(bars: DataFrame, symbols: DataFrame, links: DataFrame, source: str, windows: list[tuple[str, str]], pin: Pin, stale: int) -> DataFrame:
-    """(window, entity_id, symbol_id, side, date, close): the closes within `stale` days up to an end. Only days that some end looks at are read."""
+def _ends_seen(
+    bars: DataFrame, symbols: DataFrame, links: DataFrame, source: str, windows: list[tuple[str, str]], pin: Pin, stale: int, ids: DataFrame | None = None
+) -> DataFrame:
+    """(window, entity_id, symbol_id, side, date, close): of each end the last close of an entity within `stale` days up to it; of members on one day the first by symbol.
+    Only days that some end looks at are read, and of these rows only those of `ids`, if given.
+
+    A close is the last one of all ends from its day to the day before the entity's next close. So a row meets only ends that it answers, however many windows overlap."""
     frame = windows_frame(bars.sparkSession, windows)
     lo = min(date.fromisoformat(a) for a, _ in windows) - timedelta(days=stale)
     hi = max(date.fromisoformat(b) for _, b in windows)
     sides = [F.struct(F.lit(s).alias("side"), F.col(c).alias("at")) for s, c in (("f", "from_date"), ("t", "to_date"))]
     ends = frame.select("window", F.explode(F.array(*sides)).alias("e")).select("window", "e.*")
-    ends = ends.select("window", "side", F.explode(F.sequence(F.date_sub("at", stale - 1), F.col("at"))).alias("date"))
-    rows = bars_at(bars, source, pin, lo, hi).join(entity_map(symbols, links, pin), "symbol_id")
-    return rows.join(ends, "date").select("window", "entity_id", "symbol_id", "side", "date", F.col("close").cast("double").alias("close"))
+    looked_at = ends.select(F.explode(F.sequence(F.date_sub("at", stale - 1), F.col("at"))).alias("date")).distinct()
+    members = entity_map(symbols, links, pin)
+    if ids is not None:
+        members = members.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
+    rows = bars_at(bars, source, pin, lo, hi).join(F.broadcast(looked_at), "date", "left_semi").join(members, "symbol_id")
+    rows = rows.select("entity_id", "symbol_id", "date", F.col("close").cast("double").alias("close"))
+    following = F.lead("date").over(Window.partitionBy("entity_id").orderBy("date", F.desc("symbol_id")))
+    until = F.least(F.date_sub(following, 1), F.date_add("date", stale - 1))
+    rows = rows.withColumn("_until", until).where("_until >= date").withColumn("at", F.explode(F.sequence("date", "_until")))
+    return rows.join(F.broadcast(ends), "at").select("window", "entity_id", "symbol_id", "side", "date", "close")  # the caller's list
 
 
 def endpoint_closes(bars: DataFrame, symbols: DataFrame, links: DataFrame, source: str, windows: list[tuple[str, str]], pin: Pin, stale: int = STALE_DAYS) -> DataFrame:
@@ -107,7 +119,9 @@ def entity_returns(
     frame = F.broadcast(windows_frame(bars.sparkSession, windows))  # the caller's list
     asked = (ids if ids is not None else entity_map(symbols, links, pin)).select("entity_id", F.lit(True).alias("_asked"))
     fenced_off = fences(links, adjustments, _calendar(bars, calendar, source, pin), pin, guard, span).select("entity_id", F.struct("walls", "actions").alias("_fence"))
-    seen = _ends_seen(bars, symbols, links, source, windows, pin, stale)
+    if ids is not None:
+        fenced_off = fenced_off.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
+    seen = _ends_seen(bars, symbols, links, source, windows, pin, stale, ids)
     rows = seen.unionByName(asked.crossJoin(frame.select("window")), allowMissingColumns=True).unionByName(fenced_off.crossJoin(frame.select("window")), allowMissingColumns=True)
     best = [_last_of("f").alias("_f"), _last_of("t").alias("_t"), F.bool_or("_asked").alias("_asked"), F.max_by("_fence", F.col("_fence").isNotNull()).alias("_fence")]
     out = rows.groupBy("window", "entity_id").agg(*best).where("_asked").join(frame, "window")

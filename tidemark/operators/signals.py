@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,19 +30,56 @@ def months_back(day: date, months: int) -> date:
 
 
 def universes(bars: DataFrame, symbols: DataFrame, links: DataFrame, source: str, days: DataFrame, lookback: int, n: int, pin: Pin, calendar: DataFrame | None = None) -> DataFrame:
-    """(as_of, entity_id, median_turnover, place) for many days in one pass: each session belongs to the windows of the days that look back on it. calendar: the
-    kept table of sessions, if there is one."""
-    rows = bars_at(bars, source, pin)
+    """(as_of, entity_id, median_turnover, place) for many days in one pass. calendar: the kept table of sessions, if there is one.
+
+    An entity's turnovers lie in one row in order of session, and the windows of all days are looked at there, so that what moves is each bar once and not once for each day
+    that looks back on it. Entities that are present and live on a day are ranked with the others of that day."""
     calendar = sessions(bars if calendar is None else calendar, source, None, None, pin).select("date", F.row_number().over(Window.orderBy("date")).alias("n"))
-    ends = days.select(F.col("date").alias("as_of")).join(calendar, F.col("as_of") == F.col("date")).select("as_of", "n")
-    windows = ends.select("as_of", F.col("n").alias("_end"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - lookback + 1), F.col("n"))).alias("n")).join(calendar, "n").select("as_of", "date", (F.col("n") == F.col("_end")).alias("_last"))
-    sizes = windows.groupBy("as_of").agg(F.count(F.lit(1)).alias("sessions"))
-    seen = rows.where("series = 'EQ'").join(entity_map(symbols, links, pin), "symbol_id").join(windows, "date")
+    ends = days.select("date").distinct().join(calendar, "date").orderBy("n").collect()  # the caller's days
+    ends = [(r["date"], r["n"]) for r in ends]
     turnover = F.coalesce(F.col("turnover").cast("double"), F.col("close").cast("double") * F.col("volume"))
-    per = seen.groupBy("as_of", "entity_id").agg(F.percentile(turnover, 0.5).alias("median_turnover"), F.countDistinct("date").alias("days_present"), F.bool_or("_last").alias("live"))
-    kept = per.join(sizes, "as_of").where((F.col("days_present") >= F.ceil(F.col("sessions") * F.lit("0.8").cast("decimal(2,1)"))) & F.col("live"))
+    rows = bars_at(bars, source, pin).where("series = 'EQ'").select("symbol_id", "date", turnover.alias("_t")).join(F.broadcast(calendar), "date")  # a row per session
+    if ends:
+        rows = rows.where(F.col("n").between(max(1, ends[0][1] - lookback + 1), ends[-1][1]))
+    per = rows.join(entity_map(symbols, links, pin), "symbol_id").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("n", "_t"))).alias("_h"))
+    seen = per.select("entity_id", "_h.n", F.col("_h._t").alias("turnover")).mapInArrow(lambda batches: _present(batches, ends, lookback), "as_of date, entity_id bigint, median_turnover double")
     place = F.row_number().over(Window.partitionBy("as_of").orderBy(F.desc("median_turnover"), "entity_id"))
-    return kept.withColumn("place", place).where(F.col("place") <= n).select("as_of", "entity_id", "median_turnover", "place")
+    return seen.withColumn("place", place).where(F.col("place") <= n).select("as_of", "entity_id", "median_turnover", "place")
+
+
+def _present(batches, ends: list[tuple[date, int]], lookback: int):
+    """Of rows (entity_id, n, turnover: lists in order of n) the days on which the entity traded, and in at least 80 % of the window, with the median of its turnovers there."""
+    last = np.array([n for _, n in ends], dtype=np.int64)
+    first = np.maximum(last - lookback + 1, 1)
+    least = -(-(last - first + 1) * 8 // 10)
+    days = np.array([d for d, _ in ends], dtype="datetime64[D]")
+    for batch in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        columns = {c: batch.column(c) for c in ("n", "turnover")}
+        bounds = columns["n"].offsets.to_numpy()
+        at = columns["n"].values.to_numpy(zero_copy_only=False)
+        value = columns["turnover"].values.to_numpy(zero_copy_only=False).astype(float)  # null: NaN, which sorts last
+        for entity, a, b in zip(batch.column("entity_id").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+            n, x = at[a:b], value[a:b]
+            lo, hi = np.searchsorted(n, first, "left"), np.searchsorted(n, last, "right")
+            sessions_seen = np.concatenate([[0], np.cumsum(np.diff(n, prepend=0) != 0)])
+            good = np.flatnonzero((sessions_seen[hi] - sessions_seen[lo] >= least) & (np.searchsorted(n, last, "left") < hi))
+            if not len(good):
+                continue
+            lo, hi = lo[good], hi[good]
+            places = lo[:, None] + np.arange((hi - lo).max())
+            inside = np.sort(np.where(places < hi[:, None], x[np.minimum(places, len(x) - 1)], np.nan), axis=1)
+            known = np.concatenate([[0], np.cumsum(~np.isnan(x))])
+            k = known[hi] - known[lo]
+            row = np.arange(len(good))
+            median = 0.5 * inside[row, np.maximum(k - 1, 0) // 2] + 0.5 * inside[row, np.minimum(k // 2, inside.shape[1] - 1)]
+            out[0].append(days[good])
+            out[1].append(np.full(len(good), entity))
+            out[2].append(median)
+        if out[0]:
+            kinds = (pa.date32(), pa.int64(), pa.float64())
+            arrays = [pa.array(np.concatenate(c), k, from_pandas=True) for c, k in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["as_of", "entity_id", "median_turnover"])
 
 
 def rank_by(scores: DataFrame, score: str, ascending: bool, by: str = "as_of") -> DataFrame:
