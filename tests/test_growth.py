@@ -10,7 +10,7 @@ import pytest
 from market import bars, links, symbols, weekdays
 from pyspark.sql import functions as F
 
-from tidemark.operators import returns, signals
+from tidemark.operators import preisin, returns, signals
 from tidemark.plans import storage
 
 PIN = "2030-01-01"
@@ -66,3 +66,32 @@ def test_windows_of_all_days_are_looked_at_in_one_row():
                 known = [t for _, t in inside if t is not None]
                 want[(d, e)] = statistics.median(known) if known else None
     assert got.keys() == want.keys() and want and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_renames_are_counted_and_not_paired(spark):
+    """Many tickers of one price end and begin on the same days: 9 million pairs before, a few rows for each ticker now."""
+    days = spark.createDataFrame([(date.fromisoformat(d),) for d in weekdays("2011-01-03", 30)], "date date")
+    many = spark.range(3000).select(F.concat(F.lit("V"), "id").alias("ticker"), F.lit("2011-01-10").cast("date").alias("day"), F.lit(100.0).alias("close"))
+    lone = spark.createDataFrame([("OLD", date(2011, 1, 12), 7.0)], "ticker string, day date, close double")
+    gone = many.unionByName(lone).toDF("ticker", "last_date", "last_close")
+    come = many.union(lone).select(F.concat(F.lit("N"), "ticker").alias("ticker"), F.col("ticker").alias("isin"), F.date_add("day", 1).alias("first_date"), F.col("close").alias("first_close"))
+    found = preisin.match_renames(gone, come, days)
+    assert [tuple(r)[:3] for r in found.collect()] == [("OLD", "NOLD", "OLD")]
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert "place" in joins[0]  # by the place that the count gives, not by cells of price that hold many
+
+
+@pytest.mark.parametrize("seed", [1, 3, 5])
+def test_counted_renames_are_the_pairs_of_the_rule(spark, seed):
+    dice, days = random.Random(seed), weekdays("2011-01-03", 30)
+    price = lambda: dice.choice([100.0, 115.0, 85.0, 114.99999999999999, round(10 ** dice.uniform(0, 4), 2)])
+    gone = [(f"V{i}", dice.randrange(20), price()) for i in range(60)]
+    come = [(f"W{i}", dice.randrange(25), price()) for i in range(60)]
+    pairs = [(v, w) for v, a, x in gone for w, b, y in come if 0 <= b - a <= 5 and abs(y / x - 1.0) <= 0.15]
+    want = sorted(p for p in pairs if sum(q[0] == p[0] for q in pairs) == 1 and sum(q[1] == p[1] for q in pairs) == 1)
+    got = preisin.match_renames(
+        spark.createDataFrame([(t, date.fromisoformat(days[i]), c) for t, i, c in gone], "ticker string, last_date date, last_close double"),
+        spark.createDataFrame([(t, f"I{t}", date.fromisoformat(days[i]), c) for t, i, c in come], "ticker string, isin string, first_date date, first_close double"),
+        spark.createDataFrame([(date.fromisoformat(d),) for d in days], "date date"),
+    )
+    assert sorted((r["ticker"], r["newcomer"]) for r in got.collect()) == want and want

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-import math
 from datetime import date, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,24 +37,59 @@ def numbered(calendar: DataFrame) -> DataFrame:
     return calendar.select("date").distinct().select("date", F.row_number().over(Window.orderBy("date")).alias("n"))
 
 
+def reach(prices: np.ndarray, tolerance: float, forward: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest price that each price matches, to the last bit, as the rule is the rounded one |new / old - 1| <= tolerance. forward: the given prices are the old ones."""
+
+    def fits(x: np.ndarray) -> np.ndarray:
+        return np.abs((x / prices if forward else prices / x) - 1.0) <= tolerance
+
+    lo, hi = (prices * (1 - tolerance), prices * (1 + tolerance)) if forward else (prices / (1 + tolerance), prices / (1 - tolerance))
+    for _ in range(16):  # the rounding is a few last places
+        lo, hi = np.where(fits(lo), np.nextafter(lo, 0), lo), np.where(fits(hi), np.nextafter(hi, np.inf), hi)
+    for _ in range(32):
+        lo, hi = np.where(fits(lo), lo, np.nextafter(lo, np.inf)), np.where(fits(hi), hi, np.nextafter(hi, 0))
+    return lo, hi
+
+
+def _reaches(tolerance: float):
+    @F.pandas_udf("lo double, hi double")
+    def of(price: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        (a, b), (c, d) = (reach(price.to_numpy(), tolerance, forward) for forward in (True, False))
+        return pd.DataFrame({"lo": np.where(gone, a, c), "hi": np.where(gone, b, d)})
+
+    return of
+
+
 def match_renames(vanished: DataFrame, newcomers: DataFrame, calendar: DataFrame, max_gap: int = MAX_GAP, tolerance: float = TOLERANCE) -> DataFrame:
     """(ticker, newcomer, isin, first_date): a vanished ticker (ticker, last_date, last_close) and a newcomer (ticker, isin, first_date, first_close) that starts 0
     to max_gap sessions later at a price within the tolerance, if neither has another such match. Days that are no sessions match nothing, and
     neither do closes that are not above 0.
 
-    The join is by session number and by a step of the price on a logarithmic scale, so that a day on which many tickers begin is not compared with all that ended.
+    Pairs are counted and not made: the prices of a session lie in order, and how many of the other side are within reach of one is the difference of two running
+    counts. Where it is 1, the count itself is the place of the match.
     """
     if not 0 < tolerance < 1:
         raise ValueError("the tolerance must be between 0 and 1")
     n = numbered(calendar)
-    step = lambda price: F.floor(F.log(price) / math.log1p(tolerance)).cast("bigint")
-    v = vanished.where("last_close > 0").join(n, vanished["last_date"] == n["date"]).select(F.col("ticker").alias("vanished"), "last_close", F.explode(F.sequence("n", F.col("n") + max_gap)).alias("n"))
-    lo, hi = (step(F.col("last_close") * x) for x in (1 - tolerance, 1 + tolerance))
-    v = v.withColumn("step", F.explode(F.sequence(lo - 1, hi + 1)))  # one more on either side, for rounding
-    w = newcomers.where("first_close > 0").join(n, newcomers["first_date"] == n["date"]).select(F.col("ticker").alias("newcomer"), "isin", "first_date", "first_close", "n", step(F.col("first_close")).alias("step"))
-    pairs = v.join(w, ["n", "step"]).where(F.abs(F.col("first_close") / F.col("last_close") - 1.0) <= tolerance)
-    alone = (F.count(F.lit(1)).over(Window.partitionBy("vanished")) == 1) & (F.count(F.lit(1)).over(Window.partitionBy("newcomer")) == 1)
-    return pairs.withColumn("_one", alone).where("_one").select(F.col("vanished").alias("ticker"), "newcomer", "isin", "first_date")
+    usable = lambda c: (F.col(c) > 0) & (F.col(c) < float("inf"))
+    v = vanished.where(usable("last_close")).join(n, vanished["last_date"] == n["date"]).select(F.lit(True).alias("gone"), "ticker", F.col("last_close").alias("price"), F.explode(F.sequence("n", F.col("n") + max_gap)).alias("n"))
+    w = newcomers.where(usable("first_close")).join(n, newcomers["first_date"] == n["date"]).select(F.lit(False).alias("gone"), "ticker", F.col("first_close").alias("price"), "n", "isin", "first_date")
+    sides = v.unionByName(w, allowMissingColumns=True).withColumn("_r", _reaches(tolerance)("price", "gone"))
+    # Each row stands at its price and, before and after all equal prices, at the ends of its reach.
+    points = [F.struct(F.col(c).alias("at"), F.lit(k).alias("kind")) for c, k in (("_r.lo", 0), ("price", 1), ("_r.hi", 2))]
+    placed = sides.select("gone", "ticker", "n", "isin", "first_date", F.explode(F.array(*points)).alias("_p")).select("*", "_p.*").drop("_p")
+    upto = Window.partitionBy("n").orderBy("at", "kind", "gone", "ticker", "isin").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.col("kind") == 1
+    placed = placed.withColumns({"_v": F.sum((own & F.col("gone")).cast("bigint")).over(upto), "_w": F.sum((own & ~F.col("gone")).cast("bigint")).over(upto)})
+    other = F.when(F.col("gone"), F.col("_w")).otherwise(F.col("_v"))
+    counted = placed.groupBy("gone", "ticker", "n", "isin", "first_date").agg(
+        F.max(F.when(F.col("kind") == 0, other)).alias("_before"), F.max(F.when(F.col("kind") == 2, other)).alias("_last"), F.max(F.when(own, F.col("_w"))).alias("place"),
+    ).withColumn("matches", F.col("_last") - F.col("_before"))
+    match = F.when(F.col("matches") == 1, F.struct("n", F.col("_last").alias("place")))
+    gone = counted.where("gone").groupBy("ticker").agg(F.sum("matches").alias("_k"), F.max(match).alias("_m")).where("_k = 1").select("ticker", "_m.*")
+    total = F.sum("matches").over(Window.partitionBy("ticker"))
+    come = counted.where("not gone").withColumn("_k", total).where("_k = 1 and matches = 1").select("n", "place", F.col("ticker").alias("newcomer"), "isin", "first_date")
+    return gone.join(come, ["n", "place"]).select("ticker", "newcomer", "isin", "first_date")
 
 
 def resolve(seen: DataFrame, bridge: DataFrame, renames: DataFrame, calendar: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
