@@ -111,3 +111,58 @@ def test_sales_make_room_in_the_book_and_ids_begin_at_one():
     got = backtest.gate([(1, "sell", 10, 50.0), (2, "buy", 1, 90.0), (0, "buy", 1, 5.0)], {1: 80.0}, 100.0, s)
     assert [r for _, r in got] == ["", "", "malformed"]
     assert [r for _, r in backtest.gate([(2, "buy", 1, 30.0)], {1: 80.0}, 100.0, s)] == ["book too large"]
+
+
+def test_the_sheet_has_what_rate_at_finds(spark):
+    from pyspark.sql import functions as F
+
+    days = ["1989-12-31", "1990-01-01", "2017-06-30", "2017-07-01", "2020-06-30", "2020-07-01", "2026-09-06", "2026-09-07", None]
+    kinds = [(b, p, s, d) for b in ("zerodha", "angelone", "other", None) for p in ("equity", "fund", "bond", None) for s in ("buy", "sell", "short", None) for d in days]
+    rows = spark.createDataFrame(kinds, "broker string, product string, side string, date string").withColumn("date", F.col("date").cast("date"))
+    for components in (costs.COMPONENTS, ("dp",), ("ipf",)):
+        found = costs.with_terms(rows, components)
+        assert found.count() == len(kinds)
+        for c in components:
+            assert found.where(~F.col(f"_{c}").eqNullSafe(costs.term(costs.rate_at(c)))).count() == 0
+
+
+def test_terms_charge_by_their_basis(spark):
+    rates = [("x", None, None, None, "1990-01-01", basis, 0.5, 20.0, 5.0, True) for basis in ("flat", "zero", "percent", "capped")]
+    for rate, expected in zip(rates, ([0.5, 0.5, 0.5, 0.5], [0.0, 0.0, 0.0, 0.0], [1.0, 15.0, 50.0, None], [5.0, 15.0, 20.0, 20.0]), strict=True):
+        rows = spark.createDataFrame([(1, 2.0), (2, 30.0), (3, 100.0), (4, None)], "i int, base double").selectExpr("*", "date'2020-01-01' AS date", "'a' AS broker", "'b' AS product", "'c' AS side")
+        rows = costs.with_terms(rows, ("x",), [rate])
+        assert [r[0] for r in rows.orderBy("i").select(costs.rupees(rows["base"], rows["_x"])).collect()] == expected
+
+
+def test_a_trade_without_a_rate_is_an_error(spark):
+    with pytest.raises(Exception, match="no rate for zerodha equity buy 1989-12-31"):
+        priced(spark, ("t", "zerodha", "equity", "buy", "1989-12-31", 1, 1.0))
+
+
+def test_round_trips_make_no_method_that_the_jvm_leaves_uncompiled(spark, sf, capsys):
+    import re
+
+    import __spark_entry__ as entry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        entry.queries()["round_trips"](spark, sf).explain(mode="codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_holdings_go_on_from_batch_to_batch():
+    import datetime
+
+    import pyarrow as pa
+
+    rows = [("r", 1, 1, "buy", 10.0, 1000.0, 5.0), ("r", 1, 2, "sell", 4.0, 480.0, 2.0), ("r", 1, 4, "sell", 6.0, 500.0, 2.0), ("s", 1, 1, "sell", 1.0, 1.0, 1.0), (None, None, 1, "buy", 1.0, 7.0, 0.0), (None, None, 2, "sell", 1.0, 9.0, 0.0), (None, None, 3, None, None, None, None)]
+    table = pa.table({k: [r[i] for r in rows] for i, k in enumerate(("run", "entity_id", "seq", "side", "qty", "value", "costs"))}).append_column("date", pa.array([datetime.date(2024, 1, 1)] * 7))
+    expected = [("r", 1, 2, 402.0, 478.0), ("r", 1, 4, 603.0, 498.0), (None, None, 2, 7.0, 9.0)]
+    for size in (1, 2, 6):
+        got = pa.Table.from_batches(list(report._fold(table.slice(0, 6).to_batches(size)))).to_pylist()
+        assert [(r["run"], r["entity_id"], r["seq"], r["basis"], r["proceeds"]) for r in got] == expected
+    with pytest.raises(TypeError):
+        list(report._fold(table.to_batches()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,19 +64,44 @@ def rates_in_force(trades: DataFrame, components: tuple[str, ...], rates=RATES)
     return rows.select(*trades.columns, "_rate.component", "_rate.r.*")
 
 
-def rupees(base: Column, rate: Column) -> Column:
-    """The charge of a rate on a base, to the paisa."""
-    percent = rate["value"] * base
-    capped = F.greatest(F.least(percent, rate["cap"]), rate["floor"])
-    return round2(F.when(rate["basis"] == "flat", rate["value"]).when(rate["basis"] == "percent", percent).when(rate["basis"] == "capped", capped).otherwise(0.0))
+def term(rate: Column) -> Column:
+    """A rate as struct(flat, share, cap, floor, verified) for rupees(): flat is null where a share of the base is charged, cap and floor are null where nothing bounds it."""
+    shared, capped = rate["basis"].isin("percent", "capped"), rate["basis"] == "capped"
+    flat = F.when(~F.coalesce(shared, F.lit(False)), F.when(rate["basis"] == "flat", rate["value"]).otherwise(0.0))
+    return F.when(rate.isNotNull(), F.struct(flat.alias("flat"), rate["value"].alias("share"), F.when(capped, rate["cap"]).alias("cap"), F.when(capped, rate["floor"]).alias("floor"), rate["verified"].alias("verified")))
+
+
+def rupees(base: Column, term: Column) -> Column:
+    """The charge of a term on a base, to the paisa. least and greatest pass over nulls."""
+    return round2(F.coalesce(term["flat"], F.greatest(F.least(term["share"] * base, term["cap"]), term["floor"])))
+
+
+def with_terms(trades: DataFrame, components: tuple[str, ...], rates=RATES) -> DataFrame:
+    """Trades (broker, product, side, date) with the term of each component as `_<component>`, null if it has no rate.
+
+    Rates change only on the days they name, and values that none of them names fare alike. So one sheet has a row for each kind of trade and stretch of days, as rate_at()
+    finds it, and goes to the trades. As expressions of each trade, all components' rates make a method of over 8,000 bytes, which the JVM does not compile."""
+    own = [r for r in rates if r[0] in components]
+    kinds, keys = [()], {}
+    for i, name in enumerate(("product", "side", "broker"), start=1):
+        named = sorted({r[i] for r in own if r[i] is not None})
+        kinds = [(*k, v) for k in kinds for v in (*named, None)]
+        keys[name] = F.when(F.col(name).isin(named), F.col(name)) if named else F.lit(None).cast("string")
+    days = sorted({r[4] for r in own}, reverse=True)
+    keys["since"] = F.coalesce(F.lit(None).cast("string"), *[F.when(F.col("date") >= F.lit(d).cast("date"), F.lit(d)) for d in days])
+    kinds = pa.Table.from_pylist([dict(zip(keys, (*k, d), strict=True)) for k in kinds for d in days], pa.schema([(k, pa.string()) for k in keys]))
+    sheet = trades.sparkSession.createDataFrame(kinds).withColumn("date", F.col("since").cast("date"))
+    sheet = sheet.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[term(rate_at(c, rates)).alias(f"_{c}") for c in components])
+    rows = trades.withColumns({f"_its_{k}": v for k, v in keys.items()})
+    same = [F.col(f"_its_{k}").eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return rows.join(F.broadcast(sheet), same, "left").drop(*[f"_{x}_{k}" for x in ("its", "of") for k in keys])
 
 
 def trade_charges(trades: DataFrame, rates=RATES) -> DataFrame:
     """Trades (broker, product, side, date, qty, price) with turnover, each charge, taxable, gst, verified, total and net
     (what leaves the account; negative for a sale). Each line is rounded; tax is rounded once on the rounded sum. Nothing is shuffled.
     A trade for which a component has no rate is an error."""
-    rows = trades.withColumn("turnover", round2(F.col("qty").cast("double") * F.col("price")))
-    rows = rows.withColumns({f"_{c}": rate_at(c, rates) for c in COMPONENTS})
+    rows = with_terms(trades.withColumn("turnover", round2(F.col("qty").cast("double") * F.col("price"))), COMPONENTS, rates)
     known = F.lit(True)
     for c in COMPONENTS:
         known = known & F.col(f"_{c}").isNotNull()
@@ -85,8 +111,8 @@ def trade_charges(trades: DataFrame, rates=RATES) -> DataFrame:
     for c in COMPONENTS:
         verified = verified & F.col(f"_{c}.verified")
     rows = rows.withColumns({c: rupees(F.col("turnover"), F.col(f"_{c}")) for c in COMPONENTS if c != "gst"} | {"verified": verified})
-    rows = rows.withColumn("taxable", round2(F.col("brokerage") + F.col("exchange") + F.col("sebi") + F.col("ipf") + missing))
-    rows = rows.withColumn("gst", round2(F.col("_gst.value") * F.col("taxable"))).drop(*[f"_{c}" for c in COMPONENTS])
+    rows = rows.withColumn("taxable", round2(missing + F.col("brokerage") + F.col("exchange") + F.col("sebi") + F.col("ipf")))
+    rows = rows.withColumn("gst", round2(F.col("_gst.share") * F.col("taxable"))).drop(*[f"_{c}" for c in COMPONENTS])
     rows = rows.withColumn("total", round2(F.col("taxable") + F.col("gst") + F.col("stt") + F.col("stamp")))
     sign = F.when(F.col("side") == "sell", -1.0).otherwise(1.0)
     return rows.withColumn("net", round2(sign * F.col("turnover") + F.col("total")))

@@ -62,34 +62,42 @@ def worst_days(curve: DataFrame, k: int) -> DataFrame:
 TRIPS = "run string, entity_id bigint, seq int, exit date, basis double, proceeds double"
 
 
+def _values(column) -> list:
+    """A column of a batch as a list; nulls stay None."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _fold(batches):
-    """Sales of fills that come ordered by run, entity and seq. What is held goes on from batch to batch, so no entity's fills need fit in one row or batch."""
-    at, qty, basis = None, 0.0, 0.0
+    """Sales of fills that come ordered by entity, run and seq. What is held goes on from batch to batch, so no entity's fills need fit in one row or batch. Only what the
+    fold reckons with becomes Python values; sales take the rest from the batch."""
+    at_run, at_entity, qty, basis = None, None, 0.0, 0.0
     for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for run, entity, seq, day, side, n, value, costs in zip(*(batch.column(c).to_pylist() for c in ("run", "entity_id", "seq", "date", "side", "qty", "value", "costs")), strict=True):
-            if at != (run, entity):
-                at, qty, basis = (run, entity), 0.0, 0.0
+        places, taken, proceeds = [], [], []
+        read = [_values(batch.column(c)) for c in ("run", "entity_id", "side", "qty", "value", "costs")]
+        for place, (run, entity, side, n, value, costs) in enumerate(zip(*read, strict=True)):
+            if entity != at_entity or run != at_run:
+                at_run, at_entity, qty, basis = run, entity, 0.0, 0.0
             if side == "buy":
                 qty, basis = qty + n, basis + value + costs
             elif qty >= n and qty:
                 sold = basis * n / qty
                 qty, basis = qty - n, basis - sold
                 if sold > 0:
-                    for column, x in zip(out, (run, entity, seq, day, sold, value - costs), strict=True):
-                        column.append(x)
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.date32(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split(" ")[0] for x in TRIPS.split(", ")])
+                    places.append(place)
+                    taken.append(sold)
+                    proceeds.append(value - costs)
+        rows = batch.select(["run", "entity_id", "seq", "date"]).take(pa.array(places, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(taken, pa.float64()), pa.array(proceeds, pa.float64())], [x.split(" ")[0] for x in TRIPS.split(", ")])
 
 
 def round_trips(fills: DataFrame) -> DataFrame:
     """Sales (run, entity_id, seq, date, side, qty, value, costs) with their basis at average cost, proceeds and return.
 
     A fold over each entity's fills in order of seq; a sale of more than is held is skipped, as is one without basis. Fills are sorted within partitions and pass through as a
-    stream: the state is two numbers, whatever the number of an entity's fills.
+    stream: the state is two numbers, whatever the number of an entity's fills. They are sorted by entity before run: a sort compares the first column by itself, and runs are few.
     """
     rows = fills.select("run", F.col("entity_id").cast("bigint"), F.col("seq").cast("int"), "date", "side", F.col("qty").cast("double"), F.col("value").cast("double"), F.col("costs").cast("double"))
-    folded = rows.repartition("run", "entity_id").sortWithinPartitions("run", "entity_id", "seq", "side").mapInArrow(_fold, TRIPS)
+    folded = rows.repartition("run", "entity_id").sortWithinPartitions("entity_id", "run", "seq", "side").mapInArrow(_fold, TRIPS)
     return folded.withColumn("return", F.col("proceeds") / F.col("basis") - 1)
 
 
