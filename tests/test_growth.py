@@ -10,7 +10,7 @@ import pytest
 from market import bars, links, symbols, weekdays
 from pyspark.sql import functions as F
 
-from tidemark.operators import preisin, returns, signals
+from tidemark.operators import identity, preisin, returns, signals
 from tidemark.plans import storage
 
 PIN = "2030-01-01"
@@ -95,3 +95,29 @@ def test_counted_renames_are_the_pairs_of_the_rule(spark, seed):
         spark.createDataFrame([(date.fromisoformat(d),) for d in days], "date date"),
     )
     assert sorted((r["ticker"], r["newcomer"]) for r in got.collect()) == want and want
+
+
+@pytest.mark.parametrize("validity", [False, True])
+def test_more_bars_are_counted_by_more_tasks(spark, monkeypatch, validity):
+    """Overlaps against brute force, with versions before and after the pin; a task's share stays as it is when bars are more."""
+    monkeypatch.setattr(identity, "BARS_OF_A_TASK", 100, raising=False)
+    rng, days = random.Random(7), weekdays("2021-01-04", 40)
+    rows = [(s, d, 10.0) for s in range(1, 41) for d in days if rng.random() < 0.5]
+    late = [(s, d, 11.0, at, "EQ") for s, d, _ in rows[::3] for at in (f"{d} 21:00:00", "2031-01-01 00:00:00")]
+    first_late = [(s, "2021-06-01", 12.0, "2031-01-01 00:00:00", "EQ") for s in range(1, 41)]
+    parts = {"nse-bhavcopy": rows + late + first_late, "eod2": rows[::2]}
+    b = bars(spark, parts["nse-bhavcopy"]).unionByName(bars(spark, parts["eod2"], "eod2"))
+    if validity:
+        b = storage.with_validity(b, ["source", "symbol_id", "date"])
+    s = symbols(spark, [(i, f"INE00{i:02d}01010", f"T{i}", "2000-01-01", "0001-01-01") for i in range(1, 41)])
+    entity = {i: i - i % 4 if i % 4 and i > 8 else i for i in range(1, 41)}
+    made = links(spark, [(i, e, "manual", None, e, "2000-01-01") for i, e in entity.items() if i != e])
+    traded = {}
+    for source, all_rows in parts.items():
+        for i, d, *_ in all_rows:
+            if d != "2021-06-01":
+                traded.setdefault((entity[i], source, d), set()).add(i)
+    found = identity.overlap_days(b, s, made, PIN)
+    assert {(r["entity_id"], r["source"], str(r["date"])): r["members"] for r in found.collect()} == {k: len(v) for k, v in traded.items() if len(v) > 1}
+    assert found.rdd.getNumPartitions() >= (len(parts["nse-bhavcopy"]) + len(parts["eod2"])) // 100
+    assert sum(r["days"] for r in identity.overlaps(b, s, made, PIN).collect()) == found.count()

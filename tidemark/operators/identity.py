@@ -214,12 +214,22 @@ def flatness(links: DataFrame, pin: Pin) -> DataFrame:
     return now.join(up, "entity_id").where("next_entity <> entity_id").select("symbol_id", "entity_id", "next_entity")
 
 
+#: About how many bars one task of overlap_days() counts: some 200 MB in an aggregation.
+BARS_OF_A_TASK = 1_500_000
+
+
 def overlap_days(bars: DataFrame, symbols: DataFrame, links: DataFrame, pin: Pin) -> DataFrame:
-    """(entity_id, source, date, members): days on which more than one member of an entity has a bar of one source. Only bars of linked symbols are read."""
+    """(entity_id, source, date, members): days on which more than one member of an entity has a bar of one source. Only bars of linked symbols are read.
+
+    At a pin a symbol has one bar of a source and day, so that rows are members. Hardly any two bars share entity, source and day: counting before they move would only
+    fill tables as large as the files read. They move once, to more tasks the more bars there are; the members go to the bars, two numbers a symbol."""
     m = entity_map(symbols, links, pin)
     linked = m.where("symbol_id <> entity_id")
     members = m.join(linked.select("entity_id").distinct(), "entity_id", "left_semi")
-    return believed(bars, pin).join(members, "symbol_id").groupBy("entity_id", "source", "date").agg(F.countDistinct("symbol_id").alias("members")).where("members > 1")
+    rows = latest_version(bars, ["source", "symbol_id", "date"], pin).select("symbol_id", "source", "date").join(F.broadcast(members), "symbol_id")
+    tasks = max(bars.sparkSession.sparkContext.defaultParallelism, bars.count() // BARS_OF_A_TASK + 1)  # the count reads the files' footers only
+    rows = rows.repartition(tasks, "entity_id", "source", "date")
+    return rows.groupBy("entity_id", "source", "date").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
 
 
 def overlaps(bars: DataFrame, symbols: DataFrame, links: DataFrame, pin: Pin) -> DataFrame:
